@@ -172,89 +172,85 @@ def _assign(weights: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _assign_component(rows: pd.DataFrame) -> pd.DataFrame:
-    lefts, left_pos = np.unique(rows["left_id"], return_inverse=True)
-    rights, right_pos = np.unique(rows["right_id"], return_inverse=True)
+    lefts = rows.groupby("left_id")["left_copies"].first()
+    rights = rows.groupby("right_id")["right_copies"].first()
+    # a ring never needs more copies than its partners have together
+    l_cap = np.minimum(lefts, rows.groupby("left_id")["right_copies"].sum())
+    r_cap = np.minimum(rights, rows.groupby("right_id")["left_copies"].sum())
     weights = np.zeros((len(lefts), len(rights)))
-    weights[left_pos, right_pos] = rows["iou"]
-    chosen = [(lefts[i], rights[j]) for i, j in _assign(weights) if weights[i, j] > 0]
-    return rows.merge(pd.DataFrame(chosen, columns=["left_id", "right_id"]), on=["left_id", "right_id"])[list(rows.columns)]
+    weights[lefts.index.get_indexer(rows["left_id"]), rights.index.get_indexer(rows["right_id"])] = rows["iou"]
+    l_of, r_of = np.repeat(np.arange(len(lefts)), l_cap), np.repeat(np.arange(len(rights)), r_cap)
+    units = np.zeros(weights.shape, dtype="int64")
+    for i, j in _assign(weights[np.ix_(l_of, r_of)]):
+        units[l_of[i], r_of[j]] += 1
+    out = rows.assign(units=units[lefts.index.get_indexer(rows["left_id"]), rights.index.get_indexer(rows["right_id"])])
+    return out[(out["units"] > 0) & (out["iou"] > 0)]
 
 
 def best_assignment(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One-to-one pairs of greatest total ``iou`` from ``by, left_id, right_id, iou``.
+    """One-to-one pairs of greatest total ``iou``: adds ``units``, how many copies of the pair are matched.
 
-    A pair at least as heavy as the best other choices of its two ends together belongs to some best
-    assignment. Rounds take all such pairs and drop what they touch, which settles nearly every object in a
-    distributed way. What is left splits into components of mutually contested objects, one small exact
-    assignment each.
+    Pairs carry ``by, left_id, right_id, left_copies, right_copies, iou`` over distinct rings, so copies are
+    counts, not rows. A pair at least as heavy as the best other choices of its two ends together belongs to
+    some best assignment. Rounds take all such pairs and drop the rings they use up, which settles nearly
+    every object in a distributed way. What is left splits into components of mutually contested rings, one
+    exact assignment each.
     """
     by = list(by)
-    open_pairs = cut_lineage(pairs)
-    taken = None
+    open_pairs = cut_lineage(pairs.withColumn("units", F.lit(0).cast("bigint")))
+    taken = open_pairs.limit(0)
     while not open_pairs.isEmpty():
 
-        def runner_up(end: str) -> DataFrame:
-            # best two pairs per end as a bounded aggregate
+        def ends(end: str) -> DataFrame:
             top = open_pairs.groupBy(*by, end).agg(F.max(F.struct("iou", "left_id", "right_id")).alias("top"))
             rest = (
-                open_pairs.join(top, [*by, end])
-                .filter("left_id <> top.left_id or right_id <> top.right_id")
+                open_pairs.join(top, [*by, end]).filter("left_id <> top.left_id or right_id <> top.right_id")
                 .groupBy(*by, end).agg(F.max("iou").alias("second"))
             )
             return top.join(rest, [*by, end], "left").select(*by, end, "top", F.coalesce("second", F.lit(0.0)).alias("second"))
 
-        left = runner_up("left_id").withColumnsRenamed({"top": "lt", "second": "ls"})
-        right = runner_up("right_id").withColumnsRenamed({"top": "rt", "second": "rs"})
+        left = ends("left_id").withColumnsRenamed({"top": "lt", "second": "ls"})
+        right = ends("right_id").withColumnsRenamed({"top": "rt", "second": "rs"})
         won = cut_lineage(
             open_pairs.join(left, [*by, "left_id"]).join(right, [*by, "right_id"])
             .filter("lt.right_id = right_id and rt.left_id = left_id and iou >= ls + rs")
-            .select(open_pairs.columns)
+            .withColumn("units", F.least("left_copies", "right_copies")).select(open_pairs.columns)
         )
         if won.isEmpty():
             break
-        taken = won if taken is None else taken.unionByName(won)
+        taken = taken.unionByName(won)
+        used_l = won.select(*by, "left_id", F.col("units").alias("used_l"))
+        used_r = won.select(*by, "right_id", F.col("units").alias("used_r"))
         open_pairs = cut_lineage(
-            open_pairs.join(won.select(*by, "left_id"), [*by, "left_id"], "left_anti")
-            .join(won.select(*by, "right_id"), [*by, "right_id"], "left_anti")
+            open_pairs.join(used_l, [*by, "left_id"], "left").join(used_r, [*by, "right_id"], "left")
+            .withColumn("left_copies", F.col("left_copies") - F.coalesce("used_l", F.lit(0)))
+            .withColumn("right_copies", F.col("right_copies") - F.coalesce("used_r", F.lit(0)))
+            .filter("left_copies > 0 and right_copies > 0").select(open_pairs.columns)
+            .join(won.select(*by, "left_id", "right_id"), [*by, "left_id", "right_id"], "left_anti")
         )
     if open_pairs.isEmpty():
-        return pairs.limit(0) if taken is None else taken
+        return taken
     end = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("id"))
     linked = open_pairs.select(*by, end(0, "left_id").alias("u"), end(1, "right_id").alias("v"))
     groups = components(linked, by).filter("node.side = 0").select(*by, F.col("node.id").alias("left_id"), "component")
     contested = open_pairs.join(groups, [*by, "left_id"])
-    solved = contested.groupBy(*by, "component").applyInPandas(_assign_component, contested.schema).select(pairs.columns)
-    return solved if taken is None else taken.unionByName(solved)
+    solved = contested.groupBy(*by, "component").applyInPandas(_assign_component, contested.schema)
+    return taken.unionByName(solved.select(taken.columns))
 
 
 def tree_iou_optimal(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), limit: float = 0.4) -> DataFrame:
-    """Assignment of greatest total IoU, then pairs with IoU at least ``limit`` count. Pairs without overlap add nothing.
-
-    Copies of one ring enter the assignment as separate objects.
-    """
+    """Assignment of greatest total IoU, then pairs with IoU at least ``limit`` count. Pairs without overlap add nothing."""
     by = list(by)
     shapes = overlap_area(pred, truth, by)
     pairs = shapes.withColumn("iou", F.round(iou(F.col("inter"), F.col("left_area"), F.col("right_area")), 12)).filter("iou > 0")
-    pairs = expand_copies(pairs, pred, truth, by).select(*by, "left_id", "right_id", "iou")
-    hits = best_assignment(pairs, by).filter(F.col("iou") >= F.lit(float(limit))).groupBy(*by).agg(F.count("*").alias("hits"))
+    right_copies = _copies(truth, by).withColumnsRenamed({"left_id": "right_id", "copies": "right_copies"})
+    pairs = (
+        pairs.join(_copies(pred, by).withColumnRenamed("copies", "left_copies"), [*by, "left_id"])
+        .join(right_copies, [*by, "right_id"]).select(*by, "left_id", "right_id", "left_copies", "right_copies", "iou")
+    )
+    matched = best_assignment(pairs, by).filter(F.col("iou") >= F.lit(float(limit)))
+    hits = matched.groupBy(*by).agg(F.sum("units").alias("hits"))
     rows = _counts(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("hits", F.lit(0)))
     both = (F.col("n_pred") > 0) & (F.col("n_truth") > 0)
     value = F.when(both, F.col("tp") / (F.col("n_pred") + F.col("n_truth") - F.col("tp"))).otherwise(F.lit(0.0))
     return rows.select(*by, value.alias("tree_iou"))
-
-
-def expand_copies(pairs: DataFrame, pred: DataFrame, truth: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Replace the representative ids of distinct rings by up to min(copies left, copies right) matched copies each way.
-
-    Copies of one ring are interchangeable: pairing the i-th copy of one ring with every copy of the other
-    adds no better assignment than pairing the first k of each, k the smaller number of copies.
-    """
-    by = list(by)
-
-    def ids(polys: DataFrame, name: str) -> DataFrame:
-        listed = polys.groupBy(*by, "ring").agg(F.min("poly_id").alias(name), F.count("*").alias(f"{name}_copies"))
-        return listed.drop("ring")
-
-    sized = pairs.join(ids(pred, "left_id"), [*by, "left_id"]).join(ids(truth, "right_id"), [*by, "right_id"])
-    # copy number n of a ring is the pseudo id (id, n); only as many copies as the other side can use
-    return sized

@@ -4,6 +4,8 @@ import importlib
 
 FAMILIES = (
     "polygons",
+    "bands",
+    "metrics",
 )
 
 
