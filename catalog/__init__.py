@@ -6,6 +6,7 @@ FAMILIES = (
     "polygons",
     "bands",
     "metrics",
+    "sources",
 )
 
 

@@ -239,8 +239,9 @@ def _lonlat_sql() -> str:
     with src as (select image_id, c as x, f as y, 27 as lon0 from fx_meta)
     select image_id, round(lon, 5) as lon, round(lat, 5) as lat from ({_lonlat_sql()})""")
 def tm_to_lonlat(spark, sf):
-    lon, lat = coords.tm_to_lonlat(F.col("c"), F.col("f"), coords.grid_for_epsg(3067))
-    return fx(spark, sf, "fx_meta").select("image_id", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
+    g = coords.tm_to_lonlat(F.col("c"), F.col("f"), coords.grid_for_epsg(3067))
+    rows = fx(spark, sf, "fx_meta").withColumn("g", g)
+    return rows.select("image_id", F.round("g.lon", 5).alias("lon"), F.round("g.lat", 5).alias("lat"))
 
 
 @query("image_center_lonlat", f"""
@@ -258,6 +259,7 @@ def image_center_lonlat(spark, sf):
 def align_crs(spark, sf):
     """Zone 35 and the national grid share meridian and scale, so the aligned coordinates must come back unchanged."""
     rows = fx(spark, sf, "fx_meta")
-    x, y = coords.reproject(F.col("c"), F.col("f"), F.col("epsg"), F.lit(3067), [3067, 32635])
+    moved = coords.reproject(F.col("c"), F.col("f"), F.col("epsg"), F.lit(3067), [3067, 32635])
     kind = F.when(F.col("epsg") == 3067, "same").otherwise("moved")
-    return rows.select("image_id", kind.alias("kind"), F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+    rows = rows.withColumn("p", moved)
+    return rows.select("image_id", kind.alias("kind"), F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
