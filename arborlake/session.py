@@ -29,3 +29,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that the plan of the next round starts here."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` over all shuffle partitions before a step that multiplies its rows.
+
+    Small rows that grow into many (rings into pixels) are cheap to move beforehand, and a fixed number keeps
+    adaptive execution from folding them into a few tasks because they are still small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

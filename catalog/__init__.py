@@ -7,6 +7,7 @@ FAMILIES = (
     "bands",
     "metrics",
     "sources",
+    "labels",
 )
 
 

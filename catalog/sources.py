@@ -1,17 +1,18 @@
 """File catalogues, GeoJSON and patch store."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from arborlake.session import ensure_checkpoint_dir
 from arborlake.sources import evaluation_csv, files, geojson, patches, tiles as tile_source
 from catalog.fixtures import fx, polygons, tile_pixels, tiles
 from catalog.registry import query
 
 
-def _scratch() -> str:
-    """A fresh folder on the session's file system; checks run on a local master."""
-    return tempfile.mkdtemp(prefix="arborlake-out-") + "/t"
+def _scratch(spark) -> str:
+    """A fresh name in the shared folder the session checkpoints to."""
+    return f"{ensure_checkpoint_dir(spark)}/out-{uuid.uuid4().hex}"
 
 
 _IMAGES = "(path like '%.tiff' or path like '%.tif' or path like '%.jp2')"
@@ -177,7 +178,7 @@ def feature_collections(spark, sf):
 @query("write_geojson", """
     select image_id, count(*) as features from fx_gt_poly group by 1""")
 def write_geojson(spark, sf):
-    path = _scratch()
+    path = _scratch(spark)
     geojson.write_geojson(geojson.feature_collections(polygons(spark, sf, "gt"), fx(spark, sf, "fx_meta"), max_features=40), path)
     back = spark.read.option("wholetext", True).text(path)
     n = F.size(F.from_json("value", "features array<struct<type: string>>")["features"])
@@ -186,7 +187,7 @@ def write_geojson(spark, sf):
 
 @query("read_raster_tiles", "select image_id, band, x, y, value from fx_tile_pixels")
 def read_raster_tiles(spark, sf):
-    path = _scratch()
+    path = _scratch(spark)
     tiles(spark, sf).write.parquet(path)
     return tile_source.explode_pixels(tile_source.read_raster_tiles(spark, path))
 
@@ -199,14 +200,14 @@ def raster_bounds(spark, sf):
 
 @query("patch_catalog", "select patch_key, source_image, num_trees, latitude, longitude, pixel_x, pixel_y from fx_patches")
 def patch_catalog(spark, sf):
-    path = _scratch()
+    path = _scratch(spark)
     patches.write_patches(fx(spark, sf, "fx_patches").withColumn("image", F.array_repeat(F.lit(0.5), 16)), path)
     return patches.patch_catalog(spark, path)
 
 
 @query("read_patches", "select patch_key, source_image, num_trees, cast(16 * pixel_x as double) as pixel_sum from fx_patches")
 def read_patches(spark, sf):
-    path = _scratch()
+    path = _scratch(spark)
     patches.write_patches(fx(spark, sf, "fx_patches").withColumn("image", F.array_repeat(F.col("pixel_x").cast("double"), 16)), path)
     total = F.aggregate("image", F.lit(0.0), lambda a, v: a + v)
     return patches.read_patches(spark, path).select("patch_key", "source_image", "num_trees", total.alias("pixel_sum"))
@@ -223,6 +224,6 @@ def catalog_by_image(spark, sf):
 def eval_csv(spark, sf):
     rows = fx(spark, sf, "fx_gt_poly").groupBy("image_id").agg(F.count("*").alias("n_truth"), F.avg("w").alias("precision"))
     zero = {c: F.lit(0).cast(kind) for _, c, kind in evaluation_csv.COLUMNS if c not in ("file", "n_truth", "precision")}
-    path = _scratch()
+    path = _scratch(spark)
     evaluation_csv.write_eval_csv(rows.withColumns({**zero, "file": F.concat(F.col("image_id").cast("string"), F.lit(".geojson"))}), path)
     return evaluation_csv.read_eval_csv(spark, path).select("file", "n_truth", F.round("precision", 6).alias("precision"))
