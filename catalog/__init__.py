@@ -8,6 +8,7 @@ FAMILIES = (
     "metrics",
     "sources",
     "labels",
+    "morphology",
 )
 
 
