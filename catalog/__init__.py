@@ -9,6 +9,7 @@ FAMILIES = (
     "sources",
     "labels",
     "morphology",
+    "splits",
 )
 
 

@@ -42,9 +42,9 @@ def erode(spark, sf):
     m as ({_MASK}),
     row1 as (select image_id, tx, y, sum(w) as v from m, k, range(64) t(tx)
              where x = case when (tx + o + 128) % 128 < 64 then (tx + o + 128) % 128 else 127 - (tx + o + 128) % 128 end group by 1, 2, 3),
-    both as (select image_id, tx as x, ty as y, sum(v * w) as value from row1, k, range(64) t(ty)
+    blurred as (select image_id, tx as x, ty as y, sum(v * w) as value from row1, k, range(64) t(ty)
              where y = case when (ty + o + 128) % 128 < 64 then (ty + o + 128) % 128 else 127 - (ty + o + 128) % 128 end group by 1, 2, 3)
-    select image_id, cast(x as int) as x, cast(y as int) as y, round(value, 6) as value from both""")
+    select image_id, cast(x as int) as x, cast(y as int) as y, round(value, 6) as value from blurred""")
 def gaussian_blur(spark, sf):
     px = _noise(spark, sf)
     rows = M.gaussian_blur(px, _sizes(px), 1.5)
