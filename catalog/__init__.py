@@ -10,6 +10,7 @@ FAMILIES = (
     "labels",
     "morphology",
     "splits",
+    "jobs",
 )
 
 

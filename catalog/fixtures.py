@@ -68,10 +68,10 @@ SHARED: dict[str, str] = {
                       case when o_orderkey % 3 <> 0 then '.geojson' when o_orderkey % 7 = 0 then '.jp2'
                            when o_orderkey % 2 = 0 then '.tif' else '.tiff' end) as path
         from {orders} where o_orderkey % 11 <> 0""",
-    # points with many exact copies, for nearest and clustering work
+    # half-pixel points with exact copies; the id follows the position in raster order
     "fx_points": """
         select cast(floor(l_orderkey / 500) as int) as image_id,
-               l_orderkey * 8 + l_linenumber as point_id,
+               l_suppkey * 11 % 157 * 1000 + l_partkey * 7 % 199 as point_id,
                cast(l_partkey * 7 % 199 as double) / 2 as x, cast(l_suppkey * 11 % 157 as double) / 2 as y,
                cast(l_linenumber % 2 as int) as side
         from {lineitem} where l_quantity < 8""",
