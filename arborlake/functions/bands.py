@@ -24,7 +24,7 @@ NODATA_FLOOR = -3e38
 
 def map_bands(bands: Column, fn) -> Column:
     """Apply ``fn(value)`` to every pixel of every band."""
-    return F.transform(bands, lambda band: F.transform(band, fn))
+    return F.transform(bands, lambda band: F.transform(band, lambda v: fn(v)))
 
 
 def reorder_bands(bands: Column, order: Sequence[int]) -> Column:

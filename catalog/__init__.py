@@ -1,6 +1,11 @@
 """Registered queries and their SQL oracles over tables derived from the given ones."""
 
 import importlib
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FAMILIES = (
     "polygons",
