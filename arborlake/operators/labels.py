@@ -74,7 +74,8 @@ def centroid_heat(polys: DataFrame, sizes: DataFrame, sigma: float = 2.0) -> Dat
     Equal centroids are counted before the windows are spread out. Beyond eight sigma a term is below 1e-13.
     """
     radius = int(8 * sigma)
-    seeds = polygon_moments(polys).groupBy("image_id", "cx_px", "cy_px").agg(F.count("*").alias("n"))
+    seeds = spread(polygon_moments(polys).select("image_id", "cx_px", "cy_px"), "image_id", "cx_px", "cy_px")
+    seeds = seeds.groupBy("image_id", "cx_px", "cy_px").agg(F.count("*").alias("n"))
     seeds = seeds.join(sizes.select("image_id", "width", "height"), "image_id")
 
     def span(centre: str, side: str) -> Column:
@@ -93,20 +94,25 @@ def tree_count(polys: DataFrame) -> DataFrame:
 
 
 def _runs(instances: DataFrame, keys: Sequence[str], line: str, along: str, low: str, high: str) -> DataFrame:
-    """Adds first and last pixel of the straight run each pixel lies in. The window is one raster line."""
+    """Adds first and last pixel of the straight run each pixel lies in. The window is one raster line, sorted once."""
     order = Window.partitionBy(*keys, line).orderBy(along)
-    rows = instances.withColumn("_g", F.col(along) - F.row_number().over(order))
-    run = Window.partitionBy(*keys, line, "_g")
-    return rows.withColumns({low: F.min(along).over(run), high: F.max(along).over(run)}).drop("_g")
+    rows = instances.withColumns({"_prev": F.lag(along).over(order), "_next": F.lead(along).over(order)})
+    starts = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(along) - 1), F.col(along))
+    ends = F.when(F.col("_next").isNull() | (F.col("_next") != F.col(along) + 1), F.col(along))
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return rows.withColumns({low: F.max(starts).over(before), high: F.min(ends).over(after)}).drop("_prev", "_next")
 
 
 def instance_distance(instances: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("image_id", "poly_id")) -> DataFrame:
     """Chamfer distance to the nearest pixel outside the instance: adds ``dist`` and ``outline``.
 
-    In every raster row the nearest outside pixel is one step beyond the run, so a pixel only has to look at
-    the rows up to its own horizontal or vertical reach, whichever is shorter: one equi-join on
-    ``(keys, x, y)``. Pixels beyond the image are not outside pixels; ``dist`` is null when the instance fills
-    the image. ``outline`` marks pixels with a missing 4-neighbour.
+    In every raster row the nearest outside pixel is one step beyond the run. Straight along the pixel's own
+    row or column the run ends tell the distance at once; a slanted way can only be shorter through rows
+    closer than both, all of them in the pixel's own column run. So a pixel asks ``2 * (reach - 1)`` rows by
+    one equi-join on ``(keys, x, y)``, and a pixel on the outline asks none. Pixels beyond the image are not
+    outside pixels; ``dist`` is null when the instance fills the image. ``outline`` marks pixels with a
+    missing 4-neighbour.
     """
     keys = list(keys)
     rows = _runs(instances, keys, "y", "x", "x_low", "x_high")
@@ -120,17 +126,20 @@ def instance_distance(instances: DataFrame, sizes: DataFrame, keys: Sequence[str
 
     outline = (F.col("x") == F.col("x_low")) | (F.col("x") == F.col("x_high")) | (F.col("y") == F.col("y_low")) | (F.col("y") == F.col("y_high"))
     rows = cut_lineage(rows.select(
-        *keys, "x", "y", "height", reach("x", "x_low", "x_high", "width").alias("h"),
+        *keys, "x", "y", "y_low", "y_high", reach("x", "x_low", "x_high", "width").alias("h"),
         reach("y", "y_low", "y_high", "height").alias("v"), outline.alias("outline"),
     ))
-    limit = F.least("h", "v", F.col("height"))
-    asked = rows.withColumn("dy", F.explode(F.sequence(-limit, limit))).withColumn("ry", F.col("y") + F.col("dy"))
-    asked = asked.filter("ry >= 0 and ry < height").select(*keys, "x", "y", "dy", F.col("ry"), "outline")
-    other = rows.select(*keys, "x", F.col("y").alias("ry"), F.col("h").alias("side"))
-    steps = asked.join(other, [*keys, "x", "ry"], "left").withColumns({"side": F.coalesce("side", F.lit(0)), "dy": F.abs("dy")})
+    straight = F.least("h", "v")
+    own = rows.select(*keys, "x", "y", F.when(straight < far, F.lit(AXIAL) * straight).alias("cost"), F.col("outline").cast("int").alias("o"))
+    first, last = F.greatest(F.col("y") - straight + 1, F.col("y_low")), F.least(F.col("y") + straight - 1, F.col("y_high"))
+    asked = rows.filter(straight > 1).withColumn("ry", F.explode(F.filter(F.sequence(first, last), lambda r: r != F.col("y"))))
+    asked = asked.select(*keys, "x", "y", "ry")
+    other = rows.filter(F.col("h") < far).select(*keys, "x", F.col("y").alias("ry"), F.col("h").alias("side"))
+    steps = asked.join(other, [*keys, "x", "ry"]).withColumn("dy", F.abs(F.col("ry") - F.col("y")))
     low, high = F.least("side", "dy"), F.greatest("side", "dy")
-    cost = F.when(F.col("side") < far, F.lit(AXIAL) * (high - low) + F.lit(DIAGONAL) * low)
-    return steps.groupBy(*keys, "x", "y").agg(F.min(cost).alias("dist"), F.first("outline").alias("outline"))
+    slanted = steps.select(*keys, "x", "y", (F.lit(AXIAL) * (high - low) + F.lit(DIAGONAL) * low).alias("cost"), F.lit(0).alias("o"))
+    both = own.unionByName(slanted).groupBy(*keys, "x", "y").agg(F.min("cost").alias("dist"), F.max("o").alias("o"))
+    return both.withColumn("outline", F.col("o") == 1).drop("o")
 
 
 def with_share(distances: DataFrame, keys: Sequence[str] = ("image_id", "poly_id")) -> DataFrame:

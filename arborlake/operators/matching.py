@@ -33,13 +33,13 @@ def _copies(polys: DataFrame, by: Sequence[str]) -> DataFrame:
     return polys.groupBy(*by, "ring").agg(F.min("poly_id").alias("left_id"), F.count("*").alias("copies")).drop("ring")
 
 
-def best_truth(pred: DataFrame, truth: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+def best_truth(pairs: DataFrame, pred: DataFrame, by: Sequence[str], score: str) -> DataFrame:
     """Best truth per distinct prediction ring by ``iou`` or ``coverage`` (overlap / prediction area).
 
-    The first truth wins ties. ``copies`` tells how many predictions the ring stands for.
+    ``pairs`` comes from :func:`overlap_area`. The first truth wins ties. ``copies`` tells how many predictions
+    the ring stands for.
     """
     by = list(by)
-    pairs = overlap_area(pred, truth, by)
     value = {
         "iou": iou(F.col("inter"), F.col("left_area"), F.col("right_area")),
         "coverage": F.col("inter") / F.col("left_area"),
@@ -51,10 +51,13 @@ def best_truth(pred: DataFrame, truth: DataFrame, by: Sequence[str], score: str)
     return best.join(_copies(pred, by), [*by, "left_id"])
 
 
-def object_pixel_iou(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Mean over best IoU per prediction and one 0 per truth that no prediction chose; 0 when a side is empty."""
+def object_pixel_iou(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), pairs: DataFrame | None = None) -> DataFrame:
+    """Mean over best IoU per prediction and one 0 per truth that no prediction chose; 0 when a side is empty.
+
+    ``pairs`` may pass in overlaps that are already there.
+    """
     by = list(by)
-    best = best_truth(pred, truth, by, "iou")
+    best = best_truth(overlap_area(pred, truth, by) if pairs is None else pairs, pred, by, "iou")
     total = best.groupBy(*by).agg(F.sum(F.col("value") * F.col("copies")).alias("total"))
     # two levels, so that one image's chosen truths are counted in many tasks
     chosen = best.select(*by, "truth_id").distinct().groupBy(*by).agg(F.count("*").alias("chosen"))
@@ -65,10 +68,12 @@ def object_pixel_iou(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("im
     return rows.select(*by, value.alias("pixel_iou"))
 
 
-def tree_iou_greedy(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), limit: float = 0.4) -> DataFrame:
+def tree_iou_greedy(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), limit: float = 0.4,
+                    pairs: DataFrame | None = None) -> DataFrame:
     """Best-covered truth per prediction; a truth counts once, for its first prediction."""
     by = list(by)
-    best = best_truth(pred, truth, by, "coverage").filter(F.col("value") >= F.lit(float(limit)))
+    pairs = overlap_area(pred, truth, by) if pairs is None else pairs
+    best = best_truth(pairs, pred, by, "coverage").filter(F.col("value") >= F.lit(float(limit)))
     hits = best.select(*by, "truth_id").distinct().groupBy(*by).agg(F.count("*").alias("hits"))
     rows = _counts(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("hits", F.lit(0)))
     both = (F.col("n_pred") > 0) & (F.col("n_truth") > 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arborlake.functions.coords import reproject
 from arborlake.functions.scores import precision_recall_f1
 from arborlake.operators import matching, metrics
-from arborlake.operators.polygons import validate_polygons
+from arborlake.operators.polygons import overlap_area, validate_polygons
 from arborlake.session import cut_lineage
 
 # The six summarised scores.
@@ -38,10 +38,11 @@ def evaluate_files(pred: DataFrame, truth: DataFrame, files: DataFrame, by: Sequ
     truth, bad_truth = validate_polygons(truth)
     pred, truth = cut_lineage(pred.select(*by, "poly_id", "ring")), cut_lineage(truth.select(*by, "poly_id", "ring"))
     rejected = bad_pred.select(*by).unionByName(bad_truth.select(*by)).groupBy(*by).agg(F.count("*").alias("rejected"))
+    pairs = cut_lineage(overlap_area(pred, truth, by))
     rows = files
     for part in (
-        matching.object_pixel_iou(pred, truth, by),
-        matching.tree_iou_greedy(pred, truth, by, overlap),
+        matching.object_pixel_iou(pred, truth, by, pairs),
+        matching.tree_iou_greedy(pred, truth, by, overlap, pairs),
         matching.centroid_match(pred, truth, by, limit),
         pred.groupBy(*by).agg(F.count("*").alias("n_pred")),
         truth.groupBy(*by).agg(F.count("*").alias("n_truth")),
