@@ -139,7 +139,8 @@ def instance_distance(instances: DataFrame, sizes: DataFrame, keys: Sequence[str
     low, high = F.least("side", "dy"), F.greatest("side", "dy")
     slanted = steps.select(*keys, "x", "y", (F.lit(AXIAL) * (high - low) + F.lit(DIAGONAL) * low).alias("cost"), F.lit(0).alias("o"))
     both = own.unionByName(slanted).groupBy(*keys, "x", "y").agg(F.min("cost").alias("dist"), F.max("o").alias("o"))
-    return both.withColumn("outline", F.col("o") == 1).drop("o")
+    # every label built on it reads it more than once
+    return cut_lineage(both.withColumn("outline", F.col("o") == 1).drop("o"))
 
 
 def with_share(distances: DataFrame, keys: Sequence[str] = ("image_id", "poly_id")) -> DataFrame:
@@ -181,7 +182,7 @@ def topo_label(distances: DataFrame) -> DataFrame:
 
 def label_channels(polys: DataFrame, sizes: DataFrame, sigma: float = 2.0, width: int = 2) -> DataFrame:
     """mask, centroid and hybrid in one sparse table; pixels left out are zero in all three."""
-    distances = cut_lineage(instance_distance(rasterize(polys, sizes), sizes))
+    distances = instance_distance(rasterize(polys, sizes), sizes)
     parts = hybrid_label(distances, width).select("image_id", "x", "y", F.lit(1).alias("mask"), F.lit(0.0).alias("centroid"), "hybrid")
     heat = centroid_heat(polys, sizes, sigma).select("image_id", "x", "y", F.lit(0).alias("mask"), F.col("heat").alias("centroid"), F.lit(0.0).alias("hybrid"))
     both = parts.unionByName(heat).groupBy("image_id", "x", "y")

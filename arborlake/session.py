@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that the plan of the next round starts here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` reliably so that the plan of the next round starts here.
+
+    The rows become a Parquet table in the shared folder: they survive lost executors, later steps read only
+    the columns they need, and the planner knows the size, so small tables are broadcast and large ones not.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
