@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import geometry as geo
 from arborlake.operators.components import buffer_mask, count_components  # noqa: F401  (label operators too)
 from arborlake.operators.polygons import polygon_moments
-from arborlake.session import cut_lineage, spread
+from arborlake.session import cut_lineage, join_small, spread
 
 # Weights of the 3x3 chamfer distance.
 AXIAL = 0.955
@@ -59,7 +59,7 @@ def rasterize(polys: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     rows = rows.select("image_id", "poly_id", F.explode(row).alias("x"), "y")
     if sizes is None:
         return rows.filter((F.col("x") >= 0) & (F.col("y") >= 0))
-    rows = rows.join(sizes.select("image_id", "width", "height"), "image_id")
+    rows = join_small(rows, sizes.select("image_id", "width", "height"), "image_id")
     inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))
     return rows.filter(inside).drop("width", "height")
 
@@ -76,7 +76,7 @@ def centroid_heat(polys: DataFrame, sizes: DataFrame, sigma: float = 2.0) -> Dat
     radius = int(8 * sigma)
     seeds = spread(polygon_moments(polys).select("image_id", "cx_px", "cy_px"), "image_id", "cx_px", "cy_px")
     seeds = seeds.groupBy("image_id", "cx_px", "cy_px").agg(F.count("*").alias("n"))
-    seeds = seeds.join(sizes.select("image_id", "width", "height"), "image_id")
+    seeds = join_small(seeds, sizes.select("image_id", "width", "height"), "image_id")
 
     def span(centre: str, side: str) -> Column:
         low = F.greatest(F.col(centre) - radius, F.lit(0))
@@ -116,7 +116,7 @@ def instance_distance(instances: DataFrame, sizes: DataFrame, keys: Sequence[str
     """
     keys = list(keys)
     rows = _runs(instances, keys, "y", "x", "x_low", "x_high")
-    rows = _runs(rows, keys, "x", "y", "y_low", "y_high").join(sizes.select("image_id", "width", "height"), "image_id")
+    rows = join_small(_runs(rows, keys, "x", "y", "y_low", "y_high"), sizes.select("image_id", "width", "height"), "image_id")
     far = F.lit(2**30)
 
     def reach(at: str, low: str, high: str, side: str) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from arborlake.functions.bands import threshold
 from arborlake.operators.components import remove_small
-from arborlake.session import cut_lineage, spread
+from arborlake.session import cut_lineage, join_small
 
 TILE = 256  # side of a flood tile: at most 65,536 pixels and their rim per group
 
@@ -37,7 +37,7 @@ def _moved(pixels: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
 
 
 def _inside(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    rows = rows.join(sizes.select("image_id", "width", "height"), "image_id")
+    rows = join_small(rows, sizes.select("image_id", "width", "height"), "image_id")
     keep = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))
     return rows.filter(keep)
 
@@ -87,7 +87,7 @@ def gaussian_blur(pixels: DataFrame, sizes: DataFrame, sigma: float, truncate: f
         return rows.groupBy("image_id", "x", "y", "width", "height").agg(F.sum("part").alias("value"))
 
     value = F.col("value").cast("double") if "value" in pixels.columns else F.lit(1.0)
-    rows = pixels.select("image_id", "x", "y", value.alias("value")).join(sizes.select("image_id", "width", "height"), "image_id")
+    rows = join_small(pixels.select("image_id", "x", "y", value.alias("value")), sizes.select("image_id", "width", "height"), "image_id")
     rows = one_pass(one_pass(rows, "x", "width"), "y", "height")
     return rows.select("image_id", "x", "y", "value")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.operators.ranking import exact_quantiles
+from arborlake.session import cut_lineage, join_small
 
 
 def check_bands(tiles: DataFrame, order: Sequence[int]) -> DataFrame:
@@ -28,8 +29,8 @@ def nonzero_percentiles(pixels: DataFrame, by: Sequence[str] = ("image_id", "ban
 def stretch_uint8(pixels: DataFrame, by: str = "channel") -> DataFrame:
     """Percentile stretch to 0..255, per channel or per image. A flat group gives 0, or 255 when its percentile is above 0."""
     keys = {"channel": ["image_id", "band"], "image": ["image_id"]}[by]
-    limits = nonzero_percentiles(pixels, keys)
-    rows = pixels.join(limits, keys, "left")
+    limits = cut_lineage(nonzero_percentiles(pixels, keys))
+    rows = join_small(pixels, limits, keys, "left")
     low, high = F.coalesce("p_low", F.lit(0.0)), F.coalesce("p_high", F.lit(0.0))
     scaled = (F.col("value") - low) / (high - low) * 255
     flat = F.when(low == 0, F.lit(0)).otherwise(F.lit(255))
@@ -39,8 +40,8 @@ def stretch_uint8(pixels: DataFrame, by: str = "channel") -> DataFrame:
 
 def max_normalise(pixels: DataFrame) -> DataFrame:
     """value / largest value of the image * 255, truncated. The maximum is a map-side aggregate, not a window."""
-    top = pixels.groupBy("image_id").agg(F.max("value").alias("top"))
-    rows = pixels.join(top, "image_id")
+    top = cut_lineage(pixels.groupBy("image_id").agg(F.max("value").alias("top")))
+    rows = join_small(pixels, top, "image_id")
     return rows.withColumn("value", (F.col("value") / F.col("top") * 255).cast("int")).drop("top")
 
 
@@ -50,7 +51,7 @@ def resize(pixels: DataFrame, sizes: DataFrame, width: int, height: int, mode: s
     Source pixels are sent to the target pixels they take part in, so the whole job is one aggregation by
     target pixel; nearest needs no aggregation at all. Pixel centres are half-way, corners are not aligned.
     """
-    rows = pixels.join(sizes, "image_id")
+    rows = join_small(pixels, sizes, "image_id")
     by = list(by)
     if mode == "nearest":
         # target t reads source floor(t * w / W): the targets of x are ceil(x W / w) .. ceil((x + 1) W / w) - 1
@@ -85,7 +86,7 @@ def resize(pixels: DataFrame, sizes: DataFrame, width: int, height: int, mode: s
 
 def crop_or_pad_pixels(pixels: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
     """Centred crop or shift of a sparse pixel table; padding stays implicit (missing pixels are zero)."""
-    rows = pixels.join(sizes, "image_id")
+    rows = join_small(pixels, sizes, "image_id")
 
     def shift(side: str) -> Column:
         return F.floor(F.greatest(F.lit(size) - F.col(side), F.lit(0)) / 2) - F.floor(F.greatest(F.col(side) - size, F.lit(0)) / 2)

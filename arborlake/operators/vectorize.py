@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from arborlake.functions import geometry as geo
 from arborlake.functions.coords import pixel_to_geo
 from arborlake.operators.morphology import erode
-from arborlake.session import cut_lineage
+from arborlake.session import cut_lineage, join_small
 
 BLOCK = 256
 _EAST, _SOUTH, _WEST, _NORTH = 0, 1, 2, 3
@@ -182,7 +182,7 @@ def contours_from_labels(regions: DataFrame) -> DataFrame:
 
 def to_map(polys: DataFrame, meta: DataFrame) -> DataFrame:
     """Ring points through the affine map of their image."""
-    rows = polys.join(meta.select("image_id", F.struct(*"abcdef").alias("t")), "image_id")
+    rows = join_small(polys, meta.select("image_id", F.struct(*"abcdef").alias("t")), "image_id")
 
     def place(p: Column) -> Column:
         gx, gy = pixel_to_geo(p["x"], p["y"], lambda c: F.col(f"t.{c}"))
@@ -235,7 +235,7 @@ def ellipse_polygons(ellipses: DataFrame, meta: DataFrame, n: int = 100, min_are
         return F.struct(x.alias("x"), y.alias("y"))
 
     rows = to_map(ellipses.withColumn("ring", geo.close_ring(F.transform(steps, point))), meta)
-    rows = rows.join(meta.select("image_id", *"abcdef"), "image_id")
+    rows = join_small(rows, meta.select("image_id", *"abcdef"), "image_id")
     cx, cy = pixel_to_geo(F.col("x0"), F.col("y0"), F.col)
     rows = rows.withColumns({"map_area": geo.area(F.col("ring")), "cx": cx, "cy": cy})
     rows = rows.filter(geo.shape_passes(geo.open_ring(F.col("ring")), min_area, max_aspect, min_solidity))

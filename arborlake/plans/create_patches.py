@@ -14,7 +14,7 @@ from arborlake.operators import labels, raster, tiling
 from arborlake.operators.components import buffer_mask, connected_components
 from arborlake.operators.polygons import validate_polygons
 from arborlake.plans.predict import pixel_vectors
-from arborlake.session import cut_lineage
+from arborlake.session import cut_lineage, join_small
 from arborlake.sources.tiles import explode_pixels
 
 
@@ -40,7 +40,7 @@ def normalised_pixels(tiles: DataFrame, params: PatchParams) -> DataFrame:
         limits = limits.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(len(params.band_order) - 1))))
     # one small row per image instead of a join on every pixel
     per_image = limits.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("p_low", "p_high")))).alias("limits"))
-    rows = rows.join(per_image, "image_id", "left")
+    rows = join_small(rows, cut_lineage(per_image), "image_id", "left")
 
     def stretch(v, lim):
         low, high = F.coalesce(lim["p_low"], F.lit(0.0)), F.coalesce(lim["p_high"], F.lit(0.0))
@@ -57,7 +57,7 @@ def ring_to_pixels(polys: DataFrame, meta: DataFrame) -> DataFrame:
     from arborlake.sources.tiles import with_bounds
 
     place = with_bounds(meta).select("image_id", "min_x", "min_y", "res_x", "res_y", "height")
-    rows = polys.join(place, "image_id")
+    rows = join_small(polys, place, "image_id")
 
     def to_pixel(p):
         col, row = geo_to_pixel(p["x"], p["y"], F.col("min_x"), F.col("min_y"), F.col("res_x"), F.col("res_y"), F.col("height"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -45,3 +46,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     adaptive execution from folding them into a few tasks because they are still small.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+SMALL_ROWS = 1_000_000  # narrow rows a broadcast side may have
+
+
+def join_small(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner", max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Join a narrow side that usually is small, such as one row per image.
+
+    The side is counted first. Within ``max_rows`` it is broadcast, so a pixel table is not moved and a hot
+    image stays spread out; beyond that it is an ordinary join, where adaptive execution splits hot keys.
+    """
+    small = side.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(side) if small else side, on, how)
