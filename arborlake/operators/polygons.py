@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import geometry as geo
 from arborlake.operators.spatial_join import box_join
+from arborlake.session import spread
 
 
 def polygon_edges(polys: DataFrame, keep: Sequence[str] = ("image_id", "poly_id")) -> DataFrame:
@@ -76,7 +77,8 @@ def overlap_area(left: DataFrame, right: DataFrame, by: Sequence[str] = ("image_
     by = list(by)
 
     def side(polys: DataFrame, name: str) -> DataFrame:
-        shapes = polys.groupBy(*by, "ring").agg(F.min("poly_id").alias(f"{name}_id"))
+        # one shuffle both spreads the ring measures over the tasks and brings copies together
+        shapes = spread(polys, *by, "ring").groupBy(*by, "ring").agg(F.min("poly_id").alias(f"{name}_id"))
         shapes = with_box(shapes).withColumns({
             f"{name}_area": geo.area(F.col("ring")), f"{name}_lines": _lines(F.col("ring")), f"{name}_base": F.col("min_y"),
         })
