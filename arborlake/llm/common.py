@@ -64,9 +64,13 @@ class Rolling:
     def _grow(self, n: int) -> None:
         if len(self.power) <= n:
             size = 1 << int(n).bit_length()
-            base, back = self.BASE, pow(self.BASE, -1, 1 << 64)
-            self.power = np.cumprod(np.concatenate([[1], np.full(size, base)]).astype(np.uint64))
-            self.inverse = np.cumprod(np.concatenate([[1], np.full(size, back)]).astype(np.uint64))
+            self.power, self.inverse = self._powers(self.BASE, size), self._powers(pow(self.BASE, -1, 1 << 64), size)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps)
 
     def prefix(self, codes: np.ndarray) -> np.ndarray:
         """Prefix sums, one longer than ``codes``; pass them to ``slices``."""

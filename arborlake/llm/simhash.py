@@ -196,6 +196,10 @@ def simhash_groups(documents: DataFrame) -> DataFrame:
 
 
 def keep_first_copies(documents: DataFrame) -> DataFrame:
-    """The documents without near copies: of each group the one of smallest id stays, once."""
+    """The documents without near copies: of each group the one of smallest id stays, once.
+
+    Rows without an id cannot be told apart by one and stay.
+    """
     kept = simhash_groups(documents).filter("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    return named.unionByName(documents.filter("doc_id is null"))
