@@ -31,7 +31,7 @@ def is_held_out(key: int | None) -> bool:
 
 
 def learning_rows(documents: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most ``bound`` labelled rows ``text, y`` outside the held-out fold, those of smallest hashed id.
+    """At most ``bound`` labelled rows ``doc_id, text, y`` outside the held-out fold, those of smallest hashed id.
 
     The bound only limits what a model is fitted on. A document with several labels counts once, with the
     largest; rows without a label or an id are no learning rows.
@@ -42,7 +42,21 @@ def learning_rows(documents: DataFrame, labels: DataFrame, label: str, bound: in
     )
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = documents.select("doc_id", "text").filter("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+
+
+def calibrate(margin: np.ndarray, labels: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
+    """Slope and offset that turn margins of unseen rows into log odds (logistic regression on one number)."""
+    spread = float(margin.std()) or 1.0
+    x = np.stack([(margin - margin.mean()) / spread, np.ones(len(margin))], axis=1)
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        pull = np.array([ridge, 1e-6])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - labels) + pull * w)
+        w -= np.clip(step, -5, 5)
+    slope = w[0] / spread
+    return float(slope), float(w[1] - slope * margin.mean())
 
 
 def mix(x: np.ndarray) -> np.ndarray:

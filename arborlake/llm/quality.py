@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from arborlake.llm.common import Rolling, held_out, learning_rows, mix, runs_of
+from arborlake.llm.common import Rolling, calibrate, held_out, learning_rows, mix, runs_of
 
 BITS = 16  # log2 of the number of feature buckets
 GRAMS = (2, 3, 4)  # lengths of character n-grams, word ends counted
@@ -85,20 +85,6 @@ class QualityModel:
         return out
 
 
-def calibrate(margin: np.ndarray, labels: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
-    """Slope and offset that turn margins of unseen rows into log odds (logistic regression on one number)."""
-    spread = float(margin.std()) or 1.0
-    x = np.stack([(margin - margin.mean()) / spread, np.ones(len(margin))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        pull = np.array([ridge, 1e-6])
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - labels) + pull * w)
-        w -= np.clip(step, -5, 5)
-    slope = w[0] / spread
-    return float(slope), float(w[1] - slope * margin.mean())
-
-
 def train(texts: list[str], labels: np.ndarray, spare: int = 5) -> QualityModel:
     """A model learned on the rows; every ``spare``-th row is kept back to turn its outputs into probabilities."""
     kept = np.arange(len(texts)) % spare == spare - 1

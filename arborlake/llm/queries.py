@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import language, quality, simhash
+from arborlake.llm import language, quality, simhash, toxicity
 from arborlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_ids(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
