@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import html_text, language, packing, quality, simhash, suffixes, toxicity
+from arborlake.llm import html_text, language, merkle, packing, quality, simhash, suffixes, toxicity
 from arborlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,42 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = merkle.edit_report(table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+ORACLES["op8_merkle"] = rf"""
+with texts as (select doc_id, coalesce(text, '') as a from documents),
+next as (
+  select doc_id, a, coalesce(lead(a) over (order by doc_id), first_value(a) over (order by doc_id)) as c from texts
+),
+edited as (
+  select doc_id, a, c, length(a) as n, substring(a, 1, length(a) - length(a) // 2) || substring(c, 1, length(a) // 2) as b from next
+),
+cut as (
+  select *, list_distinct(case when length(a) < 64 then regexp_extract_all(a, '{merkle.CHARACTERS}') else regexp_extract_all(a, '{merkle.WORDS}') end) as pa,
+    list_distinct(case when length(b) < 64 then regexp_extract_all(b, '{merkle.CHARACTERS}') else regexp_extract_all(b, '{merkle.WORDS}') end) as pb,
+    list_distinct(case when length(c) < 64 then regexp_extract_all(c, '{merkle.CHARACTERS}') else regexp_extract_all(c, '{merkle.WORDS}') end) as pc
+  from edited
+),
+weighed as (
+  select *, coalesce(list_sum(list_transform(pa, lambda p: least(length(p), 4095))), 0) as wa,
+    coalesce(list_sum(list_transform(pb, lambda p: least(length(p), 4095))), 0) as wb,
+    coalesce(list_sum(list_transform(pc, lambda p: least(length(p), 4095))), 0) as wc,
+    coalesce(list_sum(list_transform(list_intersect(pa, pb), lambda p: least(length(p), 4095))), 0) as wab,
+    coalesce(list_sum(list_transform(list_intersect(pa, pc), lambda p: least(length(p), 4095))), 0) as wac
+  from cut
+)
+select doc_id, n as n_chars, sha256(b) as edited_sha256,
+  sha256(array_to_string(list_transform(string_split(a, chr(10) || chr(10)), lambda s:
+    sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ',')) as fingerprint,
+  sha256(array_to_string(list_transform(string_split(b, chr(10) || chr(10)), lambda s:
+    sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ',')) as edited_fingerprint,
+  case when wa + wb > 0 then cast(wab as double) / cast(wa + wb - wab as double) when a = b then 1.0 else 0.0 end as near_edited,
+  case when wa + wc > 0 then cast(wac as double) / cast(wa + wc - wac as double) when a = c then 1.0 else 0.0 end as near_next
+from weighed
+"""
