@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import html_text, language, merkle, packing, quality, simhash, suffixes, toxicity
+from arborlake.llm import html_text, language, merkle, mixing, packing, quality, simhash, suffixes, toxicity
 from arborlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ select doc_id, n as n_chars, sha256(b) as edited_sha256,
   case when wa + wc > 0 then cast(wac as double) / cast(wa + wc - wac as double) when a = c then 1.0 else 0.0 end as near_next
 from weighed
 """
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"))
