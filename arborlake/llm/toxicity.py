@@ -4,7 +4,7 @@ The vocabulary is the words whose presence goes with the label beyond chance on
 frequencies are counted over all documents. Examples are unit TF-IDF vectors over that vocabulary in an inverted
 index. Examples with the same leading words stand together and are cut into blocks; for every word and block the
 index keeps the largest weight. The sum of a query's weights times these maxima bounds every cosine in a block,
-so blocks are visited from the highest bound down and the search ends when a bound falls below the k-th best.
+so blocks are visited from the highest bound down and those whose bound falls below the k-th best are left out.
 The result is exact: no example that ties with or beats the k-th is passed over.
 
 Neighbours vote with their cosine. The scale from votes to probabilities comes from the examples' own votes, each
@@ -33,6 +33,7 @@ MIN_ROWS = 3  # least learning rows of a vocabulary word
 ASSOCIATION = 16.0  # least likelihood ratio of a vocabulary word
 FALLBACK_WORDS = 32  # the most associated words, where none reaches that ratio
 EVIDENCE = 3
+FIRST_BLOCKS = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,25 +110,39 @@ class ToxicityIndex:
         """Positions and cosines of the ``k`` examples nearest to a unit vector; ties go to the earlier position."""
         where, weight = vector
         bounds = weight @ self.most[where]
+        blocks = np.argsort(-bounds, kind="stable")
+        blocks = blocks[bounds[blocks] > 0]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1] - 1e-12:
+        # a few blocks one by one set the bar, those that may still reach it are scored together
+        for group in [*blocks[:FIRST_BLOCKS, None], blocks[FIRST_BLOCKS:]]:
+            if len(best) == k:
+                group = group[bounds[group] >= best[-1] - 1e-12]
+            if not len(group):
                 break
-            total = np.zeros(BLOCK)
-            for term, w in zip(where.tolist(), weight.tolist()):
-                examples, weights, starts = self.lists[term]
-                lo, hi = starts[block], starts[block + 1]
-                if hi > lo:
-                    total[examples[lo:hi] - block * BLOCK] += w * weights[lo:hi]
-            total = np.round(total, 12)
-            found = np.nonzero(total)[0]
-            at = found + block * BLOCK
+            at, total = self._score(where, weight, group)
             keep = at != without
-            best_at, best = np.concatenate([best_at, at[keep]]), np.concatenate([best, total[found][keep]])
+            best_at, best = np.concatenate([best_at, at[keep]]), np.concatenate([best, total[keep]])
             order = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[order], best[order]
         return best_at, best
 
+    def _score(self, where: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks that share a word with the query, and their cosines."""
+        low, high = int(blocks.min()), int(blocks.max()) + 1
+        total = np.zeros((high - low) * BLOCK)
+        for term, w in zip(where.tolist(), weight.tolist()):
+            examples, weights, starts = self.lists[term]
+            lo, hi = starts[low], starts[high]
+            if hi > lo:
+                total[examples[lo:hi] - low * BLOCK] += w * weights[lo:hi]
+        if len(blocks) < high - low:
+            open_ = np.zeros(high - low, bool)
+            open_[blocks - low] = True
+            total.reshape(-1, BLOCK)[~open_] = 0
+        total = np.round(total, 12)
+        found = np.nonzero(total)[0]
+        return found + low * BLOCK, total[found]
+
     def _vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Log odds of the neighbours' votes, smoothed by the rate without any neighbour."""
         p = ((cosine * self.labels[at]).sum() + self.none) / (cosine.sum() + 1)
