@@ -44,7 +44,7 @@ _TRIPLES = """
     f as (select path, regexp_extract(path, '^(.*)/[^/]*/[^/]*$', 1) as root, regexp_extract(path, '([^/]*)/[^/]*$', 1) as leaf,
                  regexp_extract(path, '([^/]*)\\.[^./]*$', 1) as stem from fx_files),
     t as (select i.root, i.stem, i.path as image_path, g.path as truth_path, p.path as pred_path, p.root || '/' || p.leaf as pred_set
-          from f i join f g on i.root = g.root and i.stem = g.stem join f p on p.stem = i.stem
+          from f i join f g on i.root = g.root and i.stem = g.stem join f p on p.root = i.root and p.stem = i.stem
           where i.leaf = 'Images' and (i.path like '%.tif' or i.path like '%.tiff') and g.leaf = 'Geojsons' and g.path like '%.geojson'
             and p.leaf like 'Predictions%' and p.path like '%.geojson')"""
 
@@ -64,18 +64,16 @@ def filter_by_keys(spark, sf):
 
 
 @query("filter_by_key_table", """
-    select path from fx_files where regexp_matches(path, 'T[0-9]*7\\.') and exists (
-      select 1 from customer where c_custkey % 10 = 7 and contains(path, 'T' || c_custkey || '.'))""")
+    select path from fx_files where try_cast(regexp_extract(path, 'T([0-9]+)\\.', 1) as bigint) in (select c_custkey from customer)""")
 def filter_by_key_table(spark, sf):
-    keys = spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey % 10 = 7").selectExpr("concat('T', c_custkey, '.') as key")
-    lengths = F.sequence(F.lit(3), F.lit(21))
-    return files.semi_by_substring(fx(spark, sf, "fx_files"), keys, "path", lengths)
+    keys = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("concat('T', c_custkey, '.') as key")
+    return files.semi_by_substring(fx(spark, sf, "fx_files"), keys, "path")
 
 
 @query("skip_done", """
     select path from fx_files where (path like '%.tiff' or path like '%.tif' or path like '%.jp2')
-    and regexp_extract(path, '([^/]*)\\.[^./]*$', 1) not in (
-      select regexp_extract(path, '([^/]*)\\.[^./]*$', 1) from fx_files where path like '%/Predictions%')""")
+    and regexp_extract(path, '^(.*)/[^/]*/[^/]*$', 1) || '|' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) not in (
+      select regexp_extract(path, '^(.*)/[^/]*/[^/]*$', 1) || '|' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) from fx_files where path like '%/Predictions%')""")
 def skip_done(spark, sf):
     rows = fx(spark, sf, "fx_files")
     return files.skip_done(files.image_catalog(rows), rows.filter(F.col("path").contains("/Predictions")))
