@@ -21,13 +21,19 @@ def check_bands(tiles: DataFrame, order: Sequence[int]) -> DataFrame:
 
 
 def nonzero_percentiles(pixels: DataFrame, by: Sequence[str] = ("image_id", "band"), probs: Sequence[float] = (0.01, 0.99)) -> DataFrame:
-    """Percentiles of the values above zero: ``by, p_low, p_high``; groups without such values are left out."""
-    rows = exact_quantiles(pixels.filter("value > 0"), by, "value", probs)
+    """Percentiles of the values above zero: ``by, p_low, p_high``; groups without such values are left out.
+
+    Missing and not-a-number values are no values.
+    """
+    rows = exact_quantiles(pixels.filter("value > 0 and not isnan(value)"), by, "value", probs)
     return rows.select(*by, F.get("quantiles", F.lit(0)).alias("p_low"), F.get("quantiles", F.lit(len(probs) - 1)).alias("p_high"))
 
 
 def stretch_uint8(pixels: DataFrame, by: str = "channel") -> DataFrame:
-    """Percentile stretch to 0..255, per channel or per image. A flat group gives 0, or 255 when its percentile is above 0."""
+    """Percentile stretch to 0..255, per channel or per image.
+
+    A flat group gives 0, or 255 when its percentile is above 0. A value that is not a number gives 0.
+    """
     keys = {"channel": ["image_id", "band"], "image": ["image_id"]}[by]
     limits = cut_lineage(nonzero_percentiles(pixels, keys))
     rows = join_small(pixels, limits, keys, "left")
@@ -35,7 +41,7 @@ def stretch_uint8(pixels: DataFrame, by: str = "channel") -> DataFrame:
     scaled = (F.col("value") - low) / (high - low) * 255
     flat = F.when(low == 0, F.lit(0)).otherwise(F.lit(255))
     out = F.when(high != low, F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0)).cast("int")).otherwise(flat)
-    return rows.withColumn("value", out).select(pixels.columns)
+    return rows.withColumn("value", F.when(F.isnan(F.col("value").cast("double")), 0).otherwise(out)).select(pixels.columns)
 
 
 def max_normalise(pixels: DataFrame) -> DataFrame:

@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 ATTRIBUTES = ("patch_key", "source_image", "num_trees", "latitude", "longitude", "pixel_x", "pixel_y")
 
 
-def write_patches(patches: DataFrame, path: str, codec: str = "gzip", rows_per_file: int = 2000) -> None:
-    """Write patch rows; an existing store is an error. Files are cut by rows, so a hot image becomes many files."""
+def write_patches(patches: DataFrame, path: str, codec: str = "gzip", rows_per_file: int = 2000, spread: int = 4) -> None:
+    """Write patch rows; an existing store is an error.
+
+    Patches of an image are brought together in at most ``spread`` tasks before they are written, so an image has
+    a few files and not one from every task; files are cut by rows, so a hot image becomes many.
+    """
+    part = F.pmod(F.xxhash64("patch_key"), F.lit(spread))
+    together = patches.withColumn("_part", part).repartition("source_image", "_part").drop("_part")
     (
-        patches.write.mode("errorifexists").partitionBy("source_image")
+        together.write.mode("errorifexists").partitionBy("source_image")
         .option("compression", codec).option("maxRecordsPerFile", rows_per_file).parquet(path)
     )
 
