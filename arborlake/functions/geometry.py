@@ -34,6 +34,15 @@ def open_ring(ring: Column) -> Column:
     return let(ring, lambda r: F.when(_is_closed(r), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
 
 
+def without_repeats(ring: Column) -> Column:
+    """The open ring without points that repeat the one before."""
+
+    def changes(r: Column) -> Column:
+        return F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1)))
+
+    return open_ring(let(ring, changes))
+
+
 def edges(ring: Column) -> Column:
     """Directed edges x0,y0,x1,y1 of the ring, the last one back to the first point."""
     return let(
@@ -168,7 +177,7 @@ def shape_passes(ring: Column, min_area: float, max_aspect: float, min_solidity:
 
 
 def crosses_itself(ring: Column) -> Column:
-    """True when two edges that do not follow each other share a point."""
+    """True when two edges that do not follow each other share a point; repeated points count once."""
 
     def side(e: Column, x: Column, y: Column) -> Column:
         return F.signum((e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"]))
@@ -190,14 +199,14 @@ def crosses_itself(ring: Column) -> Column:
             & (side(f, e["x0"], e["y0"]) * side(f, e["x1"], e["y1"]) <= 0)
         )
 
-    numbered = F.transform(edges(ring), lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+    numbered = F.transform(edges(without_repeats(ring)), lambda e, i: F.struct(i.alias("i"), e.alias("e")))
     return let(numbered, lambda all_: F.exists(all_, lambda a: F.exists(all_, lambda b: meet(a, b, F.size(all_)))))
 
 
 def reject_reason(ring: Column) -> Column:
     """Why a ring is not a simple polygon; null for a good one."""
     return let(
-        open_ring(ring),
+        without_repeats(ring),
         lambda r: F.when(r.isNull(), F.lit("no ring"))
         .when(F.size(F.array_distinct(r)) < 3, F.lit("fewer than 3 points"))
         .when(area(r) == 0, F.lit("zero area"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arborlake.session import cut_lineage
 
 
-def components(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Smallest node of each component: ``by, node, component`` for every node that has an edge.
 
     Edges carry ``by, u, v``. Large-star and small-star steps alternate: every round replaces an edge by
@@ -21,13 +21,11 @@ def components(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 64) -
     by = list(by)
     down = edges.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     down = cut_lineage(down)
-    for _ in range(max_rounds):
-        if _is_star(down, by):
-            stars = down.select(*by, F.col("u").alias("node"), F.col("v").alias("component"))
-            roots = down.select(*by, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return stars.unionByName(roots)
+    while not _is_star(down, by):
         down = cut_lineage(_small_star(_large_star(down, by), by))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    stars = down.select(*by, F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = down.select(*by, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.unionByName(roots)
 
 
 def _large_star(down: DataFrame, by: list[str]) -> DataFrame:

@@ -77,9 +77,9 @@ def overlap_area(left: DataFrame, right: DataFrame, by: Sequence[str] = ("image_
     by = list(by)
 
     def side(polys: DataFrame, name: str) -> DataFrame:
-        # one shuffle both spreads the ring measures over the tasks and brings copies together
-        shapes = spread(polys, *by, "ring").groupBy(*by, "ring").agg(F.min("poly_id").alias(f"{name}_id"))
-        shapes = with_box(shapes).withColumns({
+        # copies meet as partial minima; the measures are then taken on evenly spread rings
+        shapes = polys.groupBy(*by, "ring").agg(F.min("poly_id").alias(f"{name}_id"))
+        shapes = with_box(spread(shapes, *by, "ring")).withColumns({
             f"{name}_area": geo.area(F.col("ring")), f"{name}_lines": _lines(F.col("ring")), f"{name}_base": F.col("min_y"),
         })
         return shapes.drop("ring").filter(F.col(f"{name}_area") > 0)

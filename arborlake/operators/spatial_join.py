@@ -15,19 +15,19 @@ from pyspark.sql import functions as F
 
 from arborlake.session import cut_lineage
 
-MAX_LEVEL = 20  # 4^20 units: larger than any projected coordinate range
+# 4^20 units are longer than any coordinate range, 4^-12 shorter than any box that counts; cell numbers stay exact
+MIN_LEVEL, MAX_LEVEL = -12, 20
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
 def _level() -> Column:
     side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    return F.when(side <= 1, F.lit(0)).otherwise(
-        F.least(F.ceil(F.log2(side) / 2).cast("int"), F.lit(MAX_LEVEL))
-    )
+    level = F.ceil(F.log2(side) / 2).cast("int")
+    return F.when(side <= 0, F.lit(MIN_LEVEL)).otherwise(F.greatest(F.least(level, F.lit(MAX_LEVEL)), F.lit(MIN_LEVEL)))
 
 
 def _present_levels(df: DataFrame) -> list[int]:
-    """Size classes that occur: at most MAX_LEVEL + 1 numbers, whatever the input."""
+    """Size classes that occur: a few dozen numbers at most, whatever the input."""
     return sorted(r["level"] for r in df.select("level").distinct().collect())
 
 
