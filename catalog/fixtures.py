@@ -30,24 +30,25 @@ SHARED: dict[str, str] = {
                cast(4 + p_size % 12 as int) as w, cast(4 + p_partkey * 7 % 11 as int) as h,
                cast(p_partkey % 3 as int) as shape, cast(p_partkey % 2 as int) as flipped
         from {part}""",
-    # predictions: shifted copies with partly other shapes, one in five missing
+    # predictions: shifted copies with partly other shapes, one in five out of reach of any other
     "fx_pred_poly": """
         select cast(floor(p_partkey / 100) as int) as image_id, p_partkey as poly_id,
                cast(12 * (p_partkey % 10) + 2 + p_partkey * 3 % 4 + p_partkey * 13 % 5 - 2 as int) as x0,
-               cast(12 * floor((p_partkey % 100) / 10) + 2 + p_partkey * 7 % 4 + p_partkey * 17 % 5 - 2 as int) as y0,
+               cast(12 * floor((p_partkey % 100) / 10) + 2 + p_partkey * 7 % 4 + p_partkey * 17 % 5 - 2
+                    + case when p_partkey % 5 = 0 then 400 else 0 end as int) as y0,
                cast(4 + p_size % 12 as int) as w, cast(4 + p_partkey * 7 % 11 as int) as h,
                cast((p_partkey + floor(p_partkey / 7)) % 3 as int) as shape,
                cast(floor(p_partkey / 2) % 2 as int) as flipped
-        from {part} where p_partkey % 5 <> 0""",
+        from {part}""",
     # one geo-reference per polygon image
     "fx_meta": """
         select cast(floor(p_partkey / 100) as int) as image_id, 144 as width, 144 as height,
                cast(0.25 as double) as a, cast(0.0 as double) as b,
-               cast(300000 + (p_partkey % 40000) as double) as c,
+               cast(300000 + (min(p_partkey) % 40000) as double) as c,
                cast(0.0 as double) as d, cast(-0.25 as double) as e,
-               cast(6700000 + (p_partkey % 90000) as double) as f,
+               cast(6700000 + (min(p_partkey) % 90000) as double) as f,
                case when floor(p_partkey / 100) % 4 = 0 then 32635 else 3067 end as epsg
-        from {part} where p_partkey % 100 = 0""",
+        from {part} group by floor(p_partkey / 100)""",
     # patch metadata: 25 clusters two degrees apart, about 1% null coordinates
     "fx_patches": """
         select concat('img_', c_nationkey, '_', cast(floor(c_custkey / 500) as int), '_', c_custkey) as patch_key,
@@ -64,17 +65,17 @@ SHARED: dict[str, str] = {
         select concat('/data/region_', o_custkey % 4, '/',
                       case o_orderkey % 3 when 0 then 'Images' when 1 then 'Geojsons' else 'Predictions' end,
                       case when o_orderkey % 3 = 2 and o_orderkey % 5 = 0 then '_b' else '' end,
-                      '/T', cast(floor(o_orderkey / 3) as int),
+                      case when o_orderkey % 11 = 0 then '/S' else '/T' end, cast(floor(o_orderkey / 3) as int),
                       case when o_orderkey % 3 <> 0 then '.geojson' when o_orderkey % 7 = 0 then '.jp2'
                            when o_orderkey % 2 = 0 then '.tif' else '.tiff' end) as path
-        from {orders} where o_orderkey % 11 <> 0""",
+        from {orders}""",
     # half-pixel points with exact copies; the id follows the position in raster order
     "fx_points": """
-        select cast(floor(l_orderkey / 500) as int) as image_id,
+        select cast(floor(l_orderkey / 100) as int) as image_id,
                l_suppkey * 11 % 157 * 1000 + l_partkey * 7 % 199 as point_id,
                cast(l_partkey * 7 % 199 as double) / 2 as x, cast(l_suppkey * 11 % 157 as double) / 2 as y,
                cast(l_linenumber % 2 as int) as side
-        from {lineitem} where l_quantity < 8""",
+        from {lineitem}""",
 }
 
 DUCK: dict[str, str] = {
