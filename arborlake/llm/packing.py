@@ -33,38 +33,66 @@ WINDOW = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 2  # id behind every document
 COMBINATIONS = 200_000  # combinations of three lengths that take part in the fit
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
+CACHED_PARTS = 800_000
+MARKS = b".,;:!?*#$%&|()-"  # marks that never share a token with the letters before them
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
-def word_encoder(vocabulary: str) -> Callable[[str], bytes]:
+class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit numbers.
 
     White space never joins a token of this vocabulary, so a text's ids are those of its words one after the
-    other. Words seen before are looked up; a worker keeps them from task to task, up to a fixed number.
+    other; likewise a run of letters and the marks behind it share no token, and case does not count. Words and
+    runs of letters seen before are looked up, each up to a fixed number.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import public_tokenizers
-    import tokenizers
 
-    kept = tokenizers.__dict__.setdefault("_arborlake_words", {})
-    if vocabulary not in kept:
-        kept[vocabulary] = tokenizers.Tokenizer.from_file(public_tokenizers.path(vocabulary)), {}
-    tokenizer, words = kept[vocabulary]
+    def __init__(self, vocabulary: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import tokenizers
 
-    def encode(text: str) -> bytes:
+        self._tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self._words: dict[bytes, bytes] = {}
+        self._parts: dict[bytes, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
         split = text.encode("utf-8", "replace").split()
-        missing = [w for w in dict.fromkeys(split) if w not in words]
-        if not missing:
+        words = self._words
+        new = {w: self._word(w) for w in set(split) if w not in words}
+        if not new:
             return b"".join(map(words.__getitem__, split))
-        new = {w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in missing}
         if len(words) < CACHED_WORDS:
             words.update(new)
             return b"".join(map(words.__getitem__, split))
         return b"".join([new[w] if w in new else words[w] for w in split])
 
-    return encode
+    def _word(self, word: bytes) -> bytes:
+        stem = word.rstrip(MARKS)
+        if len(stem) == len(word) or not stem:
+            return self._part(word.lower() if word.isalpha() else word)  # bytes: ASCII letters only
+        if stem.isalpha():
+            return self._part(stem.lower()) + self._part(word[len(stem) :])
+        return self._part(stem) + self._part(word[len(stem) :]) if stem.decode().isalpha() else self._part(word)
+
+    def _part(self, part: bytes) -> bytes:
+        ids = self._parts.get(part)
+        if ids is None:
+            ids = np.array(self._tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self._parts) < CACHED_PARTS:
+                self._parts[part] = ids
+        return ids
+
+
+def word_encoder(vocabulary: str) -> Callable[[str], bytes]:
+    """The encoder of a vocabulary; a worker process keeps it from task to task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_arborlake_encoders", {})
+    if vocabulary not in kept:
+        kept[vocabulary] = WordEncoder(vocabulary)
+    return kept[vocabulary]
 
 
 def _pieces(vocabulary: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 
 from arborlake.llm import packing as pk
 
-TEXTS = ["Hello, World! it's 3.5 o'clock", None, "", " \t\n", "naïve ÉCOLE ΟΔΟΣ İstanbul é", "a b c\x1cd\x85e", "<|endoftext|> x<|startoftext|>y", "漢字 かな 😀👍🏽", "word " * 3000]
+TEXTS = ["Hello, World! it's 3.5 o'clock", None, "", " \t\n", "naïve ÉCOLE ΟΔΟΣ İstanbul é", "a b c\x1cd\x85e", "<|endoftext|> x<|startoftext|>y", "漢字 かな 😀👍🏽", "word " * 3000,
+    "Word, WORD. word! word!! wörd, ΣΟΦΟΣ. Straße?! a-b c--- it's. 'tis, don't! x.y. 5. 5!! a1. é) (é) ǅ, ﬁne! e\u0301. ... a\u0301! ne\u0301e, $a$ #x##"]
 
 
 def test_ids_equal_the_tokenizers_own():
@@ -58,7 +59,7 @@ def test_least_squares_uses_up_a_histogram_that_fits():
 
 
 def test_pieces_hold_all_ids(spark):
-    rows = [(i, t, i) for i, t in enumerate(TEXTS)] + [(8, "word " * 3000, 0), (None, "no id", 0), (20, "long text " * 9000, 0)]
+    rows = [(i, t, i) for i, t in enumerate(TEXTS)] + [(9, "word " * 3000, 0), (None, "no id", 0), (20, "long text " * 9000, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length long")
     got = pk.pack(docs).collect()
     plain = Tokenizer.from_file(public_tokenizers.path(pk.VOCABULARY))
