@@ -203,6 +203,46 @@ def crosses_itself(ring: Column) -> Column:
     return let(numbered, lambda all_: F.exists(all_, lambda a: F.exists(all_, lambda b: meet(a, b, F.size(all_)))))
 
 
+def one_part(ring: Column) -> Column:
+    """A ring as a geometry: an array of parts, each an exterior ring and its holes."""
+    return F.array(F.array(ring))
+
+
+def signed_rings(geometry: Column) -> Column:
+    """All rings of a geometry as structs ``sign, ring``: 1 for exteriors, -1 for holes."""
+    return F.flatten(F.transform(geometry, lambda part: F.transform(
+        part, lambda ring, i: F.struct(F.when(i == 0, 1.0).otherwise(-1.0).alias("sign"), ring.alias("ring")))))
+
+
+def geometry_area(geometry: Column) -> Column:
+    """Area of the parts less that of their holes."""
+    return F.aggregate(signed_rings(geometry), F.lit(0.0), lambda total, s: total + s["sign"] * area(s["ring"]))
+
+
+def geometry_moments(geometry: Column) -> Column:
+    """Struct m00, m10, m01, cx, cy of a geometry; centroid null when m00 is 0."""
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(total: Column, s: Column) -> Column:
+        return let(moments(s["ring"]), lambda m: F.struct(
+            (total["a"] + s["sign"] * m["m00"]).alias("a"), (total["x"] + s["sign"] * m["m10"]).alias("x"),
+            (total["y"] + s["sign"] * m["m01"]).alias("y")))
+
+    return F.aggregate(signed_rings(geometry), zero, add, lambda t: F.struct(
+        t["a"].alias("m00"), t["x"].alias("m10"), t["y"].alias("m01"),
+        F.when(t["a"] != 0, t["x"] / t["a"]).alias("cx"), F.when(t["a"] != 0, t["y"] / t["a"]).alias("cy")))
+
+
+def geometry_bounds(geometry: Column) -> Column:
+    return bounds(F.flatten(F.flatten(geometry)))
+
+
+def geometry_reject_reason(geometry: Column) -> Column:
+    """The first reason why a ring of a geometry is no simple polygon; null for a good one."""
+    reasons = F.filter(F.transform(signed_rings(geometry), lambda s: reject_reason(s["ring"])), lambda r: r.isNotNull())
+    return F.when(geometry.isNull() | (F.size(geometry) == 0), F.lit("no ring")).otherwise(F.get(reasons, F.lit(0)))
+
+
 def reject_reason(ring: Column) -> Column:
     """Why a ring is not a simple polygon; null for a good one."""
     return let(

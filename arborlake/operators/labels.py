@@ -74,8 +74,8 @@ def centroid_heat(polys: DataFrame, sizes: DataFrame, sigma: float = 2.0) -> Dat
     Equal centroids are counted before the windows are spread out. Beyond eight sigma a term is below 1e-13.
     """
     radius = int(8 * sigma)
-    seeds = spread(polygon_moments(polys).select("image_id", "cx_px", "cy_px"), "image_id", "cx_px", "cy_px")
-    seeds = seeds.groupBy("image_id", "cx_px", "cy_px").agg(F.count("*").alias("n"))
+    seeds = polygon_moments(polys).groupBy("image_id", "cx_px", "cy_px").agg(F.count("*").alias("n"))
+    seeds = spread(seeds, "image_id", "cx_px", "cy_px")
     seeds = join_small(seeds, sizes.select("image_id", "width", "height"), "image_id")
 
     def span(centre: str, side: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.scores import precision_recall_f1
 from arborlake.operators.graph import components
-from arborlake.operators.polygons import iou, overlap_area, polygon_moments
+from arborlake.operators.polygons import iou, overlap_area, polygon_moments, shape_column
 from arborlake.operators.spatial_join import distance_join, nearest_join
 from arborlake.session import cut_lineage
 
@@ -29,8 +29,9 @@ def _counts(pred: DataFrame, truth: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _copies(polys: DataFrame, by: Sequence[str]) -> DataFrame:
-    """How many polygons share the ring of the smallest id."""
-    return polys.groupBy(*by, "ring").agg(F.min("poly_id").alias("left_id"), F.count("*").alias("copies")).drop("ring")
+    """How many polygons share the shape of the smallest id."""
+    shape = shape_column(polys)
+    return polys.groupBy(*by, shape).agg(F.min("poly_id").alias("left_id"), F.count("*").alias("copies")).drop(shape)
 
 
 def best_truth(pairs: DataFrame, pred: DataFrame, by: Sequence[str], score: str) -> DataFrame:

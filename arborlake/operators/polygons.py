@@ -12,6 +12,15 @@ from arborlake.operators.spatial_join import box_join
 from arborlake.session import spread
 
 
+def shape_column(polys: DataFrame) -> str:
+    """``geometry`` (parts with holes) where the table has it, else ``ring``."""
+    return "geometry" if "geometry" in polys.columns else "ring"
+
+
+def geometry_of(polys: DataFrame) -> Column:
+    return F.col("geometry") if shape_column(polys) == "geometry" else geo.one_part(F.col("ring"))
+
+
 def polygon_edges(polys: DataFrame, keep: Sequence[str] = ("image_id", "poly_id")) -> DataFrame:
     """Directed edges in ring order."""
     rows = polys.select(*keep, F.posexplode(geo.edges(F.col("ring"))).alias("edge_no", "e"))
@@ -19,19 +28,24 @@ def polygon_edges(polys: DataFrame, keep: Sequence[str] = ("image_id", "poly_id"
 
 
 def polygon_moments(polys: DataFrame) -> DataFrame:
-    """Adds m00, m10, m01, cx, cy and the truncated label centroid cx_px, cy_px; empty rings are dropped."""
-    rows = polys.withColumn("m", geo.moments(F.col("ring"))).filter("m.m00 > 0")
+    """Adds m00, m10, m01, cx, cy and the truncated label centroid cx_px, cy_px; empty shapes are dropped.
+
+    A ``geometry`` counts with all its parts, less its holes.
+    """
+    measured = geo.geometry_moments(F.col("geometry")) if shape_column(polys) == "geometry" else geo.moments(F.col("ring"))
+    rows = polys.withColumn("m", measured).filter("m.m00 > 0")
     return rows.select("*", "m.*").drop("m").withColumns(
         {"cx_px": F.col("cx").cast("int"), "cy_px": F.col("cy").cast("int")}
     )
 
 
 def with_box(polys: DataFrame) -> DataFrame:
-    return polys.withColumn("b", geo.bounds(F.col("ring"))).select("*", "b.*").drop("b")
+    return polys.withColumn("b", geo.geometry_bounds(geometry_of(polys))).select("*", "b.*").drop("b")
 
 
-def _lines(ring: Column) -> Column:
-    """Non-vertical edges left to right: xl, xr, yl, slope and the sign that makes any ring direction count positive."""
+def _lines(geometry: Column) -> Column:
+    """Non-vertical edges left to right: xl, xr, yl, slope and the sign that makes exteriors count positive and
+    holes negative, whatever direction their rings have."""
 
     def line(e: Column, sign: Column) -> Column:
         ahead = e["x0"] < e["x1"]
@@ -43,10 +57,16 @@ def _lines(ring: Column) -> Column:
             F.when(ahead, -sign).otherwise(sign).alias("s"),
         )
 
-    return geo.let(
-        F.struct(F.filter(geo.edges(ring), lambda e: e["x0"] != e["x1"]).alias("e"), F.signum(geo.signed_area(ring)).alias("sign")),
-        lambda v: F.transform(v["e"], lambda e: line(e, v["sign"])),
-    )
+    def of_ring(s: Column) -> Column:
+        return geo.let(
+            F.struct(
+                F.filter(geo.edges(s["ring"]), lambda e: e["x0"] != e["x1"]).alias("e"),
+                (s["sign"] * F.signum(geo.signed_area(s["ring"]))).alias("sign"),
+            ),
+            lambda v: F.transform(v["e"], lambda e: line(e, v["sign"])),
+        )
+
+    return F.flatten(F.transform(geo.signed_rings(geometry), of_ring))
 
 
 def _under_both(lines: DataFrame) -> DataFrame:
@@ -71,18 +91,22 @@ def _under_both(lines: DataFrame) -> DataFrame:
 def overlap_area(left: DataFrame, right: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:
     """Exact area of every overlapping pair: ``by, left_id, right_id, left_area, right_area, inter``.
 
-    Inputs carry ``by, poly_id, ring`` with simple rings. Copies of one ring under one key are matched once
+    Inputs carry ``by, poly_id`` and a simple ``ring``, or a ``geometry`` of parts and holes, which is then what
+    counts. Copies of one shape under one key are matched once
     and expanded afterwards by :func:`expand_copies`; here ``left_id`` / ``right_id`` are the smallest ids.
     """
     by = list(by)
 
     def side(polys: DataFrame, name: str) -> DataFrame:
         # copies meet as partial minima; the measures are then taken on evenly spread rings
-        shapes = polys.groupBy(*by, "ring").agg(F.min("poly_id").alias(f"{name}_id"))
-        shapes = with_box(spread(shapes, *by, "ring")).withColumns({
-            f"{name}_area": geo.area(F.col("ring")), f"{name}_lines": _lines(F.col("ring")), f"{name}_base": F.col("min_y"),
+        shape = shape_column(polys)
+        shapes = polys.groupBy(*by, shape).agg(F.min("poly_id").alias(f"{name}_id"))
+        shapes = with_box(spread(shapes, *by, shape))
+        geometry = geometry_of(shapes)
+        shapes = shapes.withColumns({
+            f"{name}_area": geo.geometry_area(geometry), f"{name}_lines": _lines(geometry), f"{name}_base": F.col("min_y"),
         })
-        return shapes.drop("ring").filter(F.col(f"{name}_area") > 0)
+        return shapes.drop(shape).filter(F.col(f"{name}_area") > 0)
 
     pairs = box_join(side(left, "left"), side(right, "right"), by)
     lines = (
@@ -102,8 +126,12 @@ def iou(inter: Column, left_area: Column, right_area: Column) -> Column:
 
 
 def validate_polygons(polys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected): rejected rows carry ``reason``. Rings are not repaired silently."""
-    flagged = polys.withColumn("reason", geo.reject_reason(F.col("ring")))
+    """(good, rejected): rejected rows carry ``reason``. Rings are not repaired silently.
+
+    A ``geometry`` is rejected when one of its rings is.
+    """
+    whole = shape_column(polys) == "geometry"
+    flagged = polys.withColumn("reason", geo.geometry_reject_reason(F.col("geometry")) if whole else geo.reject_reason(F.col("ring")))
     good = flagged.filter(F.col("reason").isNull()).drop("reason")
     return good, flagged.filter(F.col("reason").isNotNull())
 

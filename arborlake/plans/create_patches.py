@@ -12,7 +12,6 @@ from arborlake.functions import bands as B
 from arborlake.functions import geometry as geo
 from arborlake.operators import labels, raster, tiling
 from arborlake.operators.components import buffer_mask, connected_components
-from arborlake.operators.polygons import validate_polygons
 from arborlake.plans.predict import pixel_vectors
 from arborlake.session import cut_lineage, join_small
 from arborlake.sources.tiles import explode_pixels
@@ -70,11 +69,14 @@ def build_patch_table(tiles: DataFrame, meta: DataFrame, polys: DataFrame, param
     """(patches, rejects).
 
     ``patches``: key, image, tree count, centre, position, ``bands`` (C arrays), ``mask, centroid, hybrid,
-    buffer_mask`` arrays. ``rejects``: images without tiles for their labels, and rings that are no polygons.
+    buffer_mask`` arrays. ``rejects``: images without tiles for their labels, and rings of less than three points.
     ``polys`` has rings in map coordinates.
     """
     window, stride = params.window, params.stride
-    shapes, bad_rings = validate_polygons(ring_to_pixels(polys, meta))
+    # truncation makes points repeat and edges touch; every ring with three points is filled all the same
+    rings = ring_to_pixels(polys, meta)
+    shapes = rings.filter(F.size("ring") >= 3)
+    bad_rings = rings.filter("ring is null or size(ring) < 3").withColumn("reason", F.lit("fewer than 3 points"))
     channels = labels.label_channels(cut_lineage(shapes), meta, params.sigma, params.boundary)
     pixels = normalised_pixels(tiles, params).join(channels, ["image_id", "x", "y"], "left")
     zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arborlake.functions.coords import reproject
 from arborlake.functions.scores import precision_recall_f1
 from arborlake.operators import matching, metrics
-from arborlake.operators.polygons import overlap_area, validate_polygons
+from arborlake.operators.polygons import overlap_area, shape_column, validate_polygons
 from arborlake.session import cut_lineage
 
 # The six summarised scores.
@@ -18,12 +18,21 @@ SCORES = ("pixel_iou", "tree_iou", "precision", "recall", "f1", "centroid_error"
 
 
 def align_crs(pred: DataFrame, truth: DataFrame, by: Sequence[str], systems: Sequence[int]) -> DataFrame:
-    """Truth rings in the system of their file's predictions; unsupported pairs raise."""
-    target = pred.groupBy(*by).agg(F.first("epsg").alias("target"))
+    """Truth shapes in the system of their file's predictions; unsupported pairs, and files whose predictions
+    name several systems, raise."""
+    one = F.when(F.min("epsg") == F.max("epsg"), F.min("epsg")).when(F.max("epsg").isNotNull(), F.raise_error(F.lit("predictions of one file name several systems")))
+    target = pred.groupBy(*by).agg(one.cast("int").alias("target"))
     rows = truth.join(target, list(by), "left").withColumn("target", F.coalesce("target", "epsg"))
-    moved = F.transform("ring", lambda p: reproject(p["x"], p["y"], F.col("epsg"), F.col("target"), systems))
-    ring = F.when(F.col("epsg") == F.col("target"), F.col("ring")).otherwise(moved)
-    return rows.withColumns({"ring": ring, "epsg": F.col("target")}).drop("target")
+    same = F.col("epsg") == F.col("target")
+
+    def moved(ring):
+        return F.transform(ring, lambda p: reproject(p["x"], p["y"], F.col("epsg"), F.col("target"), systems))
+
+    shapes = {"ring": F.when(same, F.col("ring")).otherwise(moved(F.col("ring")))} if "ring" in rows.columns else {}
+    if "geometry" in rows.columns:
+        parts = F.transform("geometry", lambda part: F.transform(part, moved))
+        shapes["geometry"] = F.when(same, F.col("geometry")).otherwise(parts)
+    return rows.withColumns({**shapes, "epsg": F.col("target")}).drop("target")
 
 
 def evaluate_files(pred: DataFrame, truth: DataFrame, files: DataFrame, by: Sequence[str] = ("pred_set", "file"),
@@ -36,7 +45,7 @@ def evaluate_files(pred: DataFrame, truth: DataFrame, files: DataFrame, by: Sequ
     by = list(by)
     pred, bad_pred = validate_polygons(pred)
     truth, bad_truth = validate_polygons(truth)
-    pred, truth = cut_lineage(pred.select(*by, "poly_id", "ring")), cut_lineage(truth.select(*by, "poly_id", "ring"))
+    pred, truth = (cut_lineage(side.select(*by, "poly_id", shape_column(side))) for side in (pred, truth))
     rejected = bad_pred.select(*by).unionByName(bad_truth.select(*by)).groupBy(*by).agg(F.count("*").alias("rejected"))
     pairs = cut_lineage(overlap_area(pred, truth, by))
     rows = files

@@ -72,8 +72,7 @@ def spatial_box_join(spark, sf):
     select image_id, poly_id, sum(x0 * y1 - x1 * y0) / 2 as hull_area,
            round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 6) as hull_perimeter, count(*) as hull_points
     from (select *, row_number() over (partition by poly_id, x0, y0 order by (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) desc) as rn
-          from side where low >= 0) where rn = 1 and not exists (
-          select 1 from v c where c.poly_id = q.poly_id and false) group by 1, 2""".replace("where rn = 1 and not exists (\n          select 1 from v c where c.poly_id = q.poly_id and false)", "where rn = 1"))
+          from side where low >= 0) where rn = 1 group by 1, 2""")
 def convex_hull(spark, sf):
     rows = polygons.convex_hull(polys(spark, sf, "gt"))
     return rows.select("image_id", "poly_id", "hull_area", F.round("hull_perimeter", 6).alias("hull_perimeter"),
@@ -125,7 +124,7 @@ def _mixed(spark, sf):
 @query("validate_polygons", """
     select reason, count(*) as n, sum(poly_id)::bigint as id_sum from (
       select poly_id, case when poly_id % 7 in (0, 1) then 'fewer than 3 points' when poly_id % 7 = 3 then 'zero area'
-        when poly_id % 7 = 2 and shape = 0 then case when w = h then 'zero area' else 'zero area' end else 'good' end as reason
+        when poly_id % 7 = 2 and shape = 0 then 'zero area' else 'good' end as reason
       from fx_gt_poly) group by 1""")
 def validate_polygons(spark, sf):
     good, bad = polygons.validate_polygons(_mixed(spark, sf))
@@ -133,6 +132,31 @@ def validate_polygons(spark, sf):
     return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum("poly_id").alias("id_sum"))
 
 
+@query("validate_bow_ties", """
+    select poly_id, case when poly_id % 3 = 0 then 'self-crossing' else 'good' end as reason from fx_gt_poly where shape = 0""")
+def validate_bow_ties(spark, sf):
+    """Boxes with one side pulled across (their two loops differ in area), and boxes that say points twice."""
+    boxes = polys(spark, sf, "gt").join(fx(spark, sf, "fx_gt_poly").filter("shape = 0").select("poly_id"), "poly_id")
+    p = lambda i: F.get("ring", F.lit(i))
+    pulled = F.struct((4 * p(2)["x"] - 3 * p(3)["x"]).alias("x"), (2 * p(2)["y"] - p(0)["y"]).alias("y"))
+    ring = F.when(F.col("poly_id") % 3 == 0, F.array(p(0), pulled, p(1), p(3))).otherwise(F.array(p(0), p(0), p(1), p(2), p(2), p(2), p(3), p(0)))
+    good, bad = polygons.validate_polygons(boxes.withColumn("ring", ring))
+    return good.select("poly_id", F.lit("good").alias("reason")).unionByName(bad.select("poly_id", "reason"))
+
+
+@query("box_join_degrees", """
+    with g as (select image_id, poly_id, min(x) / 1e7 as x0, min(y) / 1e7 as y0, max(x) / 1e7 as x1, max(y) / 1e7 as y1 from fx_gt_vertices group by 1, 2)
+    select p.image_id, p.poly_id as left_id, g.poly_id as right_id from g p join g on p.image_id = g.image_id
+     and p.x0 < g.x1 and g.x0 < p.x1 and p.y0 < g.y1 and g.y0 < p.y1""")
+def box_join_degrees(spark, sf):
+    """Boxes of some ten-millionths of a unit, as degree coordinates give them."""
+    from arborlake.operators.spatial_join import box_join
+
+    small = lambda c: F.col(c) / 1e7
+    boxes = polygons.with_box(polys(spark, sf, "gt")).drop("ring").withColumns({c: small(c) for c in ("min_x", "min_y", "max_x", "max_y")})
+    return box_join(boxes.withColumnRenamed("poly_id", "left_id"), boxes.withColumnRenamed("poly_id", "right_id"), ["image_id"])
+
+
 @query("first_feature_center", """
     with first as (select image_id, min(poly_id) as poly_id from fx_gt_poly group by 1)
     select f.image_id, f.poly_id, round(a.s10 / a.signed, 6) as cx, round(a.s01 / a.signed, 6) as cy,

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from arborlake.functions import geometry as geo
 from arborlake.session import ensure_checkpoint_dir
 from arborlake.sources import evaluation_csv, files, geojson, patches, tiles as tile_source
 from catalog.fixtures import fx, polygons, tile_pixels, tiles
@@ -155,13 +156,67 @@ def read_geojson_features(spark, sf):
                        F.size("ring").cast("bigint").alias("points"))
 
 
+def _holed(spark, sf):
+    """Every box and its neighbour's box as two parts of one feature, the first with a hole in its middle."""
+    boxes = fx(spark, sf, "fx_gt_poly").select("image_id", "poly_id", "x0", "y0", "w", "h")
+    box = "array(named_struct('x', {x}, 'y', {y}), named_struct('x', {x} + {w}, 'y', {y}), named_struct('x', {x} + {w}, 'y', {y} + {h}), named_struct('x', {x}, 'y', {y} + {h}))"
+    outer = box.format(x="cast(x0 as double)", y="cast(y0 as double)", w="w", h="h")
+    hole = box.format(x="cast(x0 + w / 4D as double)", y="cast(y0 + h / 4D as double)", w="w / 2D", h="h / 2D")
+    apart = box.format(x="cast(x0 + 200 as double)", y="cast(y0 as double)", w="w", h="2")
+    return boxes.selectExpr("image_id", "poly_id", f"{outer} as ring", f"array(array({outer}, {hole}), array({apart})) as geometry")
+
+
+@query("read_geojson_multipart", """
+    select image_id, poly_id as poly_id, 2::int as parts, 2::int as rings, round(w * h * 0.75::double + w * 2, 6) as area,
+           round((w * h * 0.75::double * (x0 + w / 2.0::double) + w * 2 * (x0 + 200 + w / 2.0::double)) / (w * h * 0.75::double + w * 2), 6) as cx from fx_gt_poly""")
+def read_geojson_multipart(spark, sf):
+    """Parts and holes written, read back and measured."""
+    lines = geojson.feature_collections(_holed(spark, sf), fx(spark, sf, "fx_meta"))
+    path = _scratch(spark)
+    geojson.write_geojson(lines, path)
+    rows = geojson.read_geojson_features(spark.read.text(path, wholetext=True), ["image_id"])
+    order = _holed(spark, sf).selectExpr("image_id", "poly_id as own", "row_number() over (partition by image_id order by poly_id) - 1 as poly_id")
+    m = geo.geometry_moments(F.col("geometry"))
+    rows = rows.join(order, ["image_id", "poly_id"])
+    return rows.select("image_id", F.col("own").alias("poly_id"), F.size("geometry").alias("parts"), F.size(F.get("geometry", F.lit(0))).alias("rings"),
+                       F.round(m["m00"], 6).alias("area"), F.round(m["cx"], 6).alias("cx"))
+
+
+@query("overlap_with_holes", """
+    with b as (select image_id, poly_id, x0::double as x0, y0::double as y0, w::double as w, h::double as h from fx_gt_poly),
+    pieces as (select image_id, poly_id, 1 as s, x0, y0, x0 + w as x1, y0 + h as y1 from b
+         union all select image_id, poly_id, -1, x0 + w / 4, y0 + h / 4, x0 + w * 0.75, y0 + h * 0.75 from b
+         union all select image_id, poly_id, 1, x0 + 200, y0, x0 + 200 + w, y0 + 2 from b)
+    select l.image_id, l.poly_id as left_id, r.poly_id as right_id,
+           round(sum(l.s * r.s * greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0))), 6) as inter
+    from pieces l join pieces r using (image_id) group by 1, 2, 3
+    having round(sum(l.s * r.s * greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0))), 9) > 0""")
+def overlap_with_holes(spark, sf):
+    from arborlake.operators.polygons import overlap_area
+
+    rows = overlap_area(_holed(spark, sf), _holed(spark, sf)).filter(F.round("inter", 9) > 0)
+    return rows.select("image_id", "left_id", "right_id", F.round("inter", 6).alias("inter"))
+
+
+@query("rejected_features", """
+    select cast(floor(poly_id / 10) as bigint) as doc_id, case when poly_id % 30 < 10 then null else cast(poly_id % 10 as bigint) end as poly_id,
+           case when poly_id % 30 < 10 then 'no feature collection' else 'no usable ring' end as reason
+    from fx_gt_poly where poly_id % 30 < 10 or poly_id % 11 in (3, 5) group by all""")
+def rejected_features(spark, sf):
+    """Every third document is cut short."""
+    broken = F.when(F.col("doc_id") % 3 == 0, F.substring("value", 1, 40)).otherwise(F.col("value"))
+    return geojson.rejected_features(_documents(spark, sf).withColumn("value", broken), ["doc_id"])
+
+
 @query("feature_collections", """
     select v.image_id, v.poly_id, epsg, m.c, count(*) + 1 as points, round(sum(x) + min(x) filter (vertex_no = 0), 3) as sum_x
     from fx_gt_vertices v join fx_meta m using (image_id) group by 1, 2, 3, 4""")
 def feature_collections(spark, sf):
     """Written documents parsed back: every feature, its closed ring and the image's reference."""
     shapes = polygons(spark, sf, "gt").withColumn("properties", F.struct("poly_id"))
-    docs = geojson.feature_collections(shapes, fx(spark, sf, "fx_meta"), max_features=30)
+    lines = geojson.feature_collections(shapes, fx(spark, sf, "fx_meta"))
+    docs = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("lines"))
+    docs = docs.select("image_id", F.array_join("lines.value", "\n").alias("value"))
     parsed = docs.select("image_id", F.from_json("value", """crs struct<properties: struct<name: string>>, metadata struct<transform: array<double>>,
         features array<struct<properties: struct<poly_id: bigint>, geometry: struct<coordinates: array<array<array<double>>>>>>""").alias("d"))
     rows = parsed.select("image_id", "d.crs", "d.metadata", F.explode("d.features").alias("f"))
@@ -174,13 +229,16 @@ def feature_collections(spark, sf):
 
 
 @query("write_geojson", """
-    select image_id, count(*) as features from fx_gt_poly group by 1""")
+    select image_id, count(*) as features, round(sum(area), 4) as area, round(sum(s10 / signed), 4) as cx, 1::bigint as documents
+    from fx_gt_areas group by 1""")
 def write_geojson(spark, sf):
     path = _scratch(spark)
-    geojson.write_geojson(geojson.feature_collections(polygons(spark, sf, "gt"), fx(spark, sf, "fx_meta"), max_features=40), path)
-    back = spark.read.option("wholetext", True).text(path)
-    n = F.size(F.from_json("value", "features array<struct<type: string>>")["features"])
-    return back.groupBy("image_id").agg(F.sum(n).alias("features"))
+    geojson.write_geojson(geojson.feature_collections(polygons(spark, sf, "gt"), fx(spark, sf, "fx_meta")), path)
+    documents = spark.read.text(path, wholetext=True)
+    back = geojson.read_geojson_features(documents, ["image_id"])
+    m = geo.moments(F.col("ring"))
+    rows = back.groupBy("image_id").agg(F.count("*").alias("features"), F.round(F.sum(m["m00"]), 4).alias("area"), F.round(F.sum(m["cx"]), 4).alias("cx"))
+    return rows.join(documents.groupBy("image_id").agg(F.count("*").alias("documents")), "image_id")
 
 
 @query("read_raster_tiles", "select image_id, band, x, y, value from fx_tile_pixels")

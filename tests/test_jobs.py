@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from arborlake.functions import bands as B
 from arborlake.functions import scores as S
-from arborlake.operators import ranking, raster, scoring, splits, tiling
+from arborlake.operators import labels, ranking, raster, scoring, splits, tiling
+from arborlake.operators.polygons import overlap_area
+from arborlake.plans import create_patches
 from arborlake.sources import evaluation_csv, files, geojson, patches
+from arborlake.sources import tiles as tiles_source
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,11 +34,66 @@ def test_label_reader_takes_both_types_and_strict_only_multipolygons(spark):
 def test_feature_collection_without_epsg_has_null_crs(spark):
     rows = spark.createDataFrame([(1, 7, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)])], "image_id int, poly_id long, ring array<struct<x: double, y: double>>")
     meta = spark.createDataFrame([(1, None, 1.0, 0.0, 0.0, 0.0, -1.0, 0.0)], "image_id int, epsg int, a double, b double, c double, d double, e double, f double")
-    out = json.loads(geojson.feature_collections(rows, meta).first()["value"])
+    lines = geojson.feature_collections(rows, meta).orderBy("line_no").collect()
+    out = json.loads("\n".join(r["value"] for r in lines))
     assert out["crs"] is None and out["metadata"]["transform"] == [1.0, 0.0, 0.0, 0.0, -1.0, 0.0]
     assert out["features"][0]["geometry"]["coordinates"] == [[[0, 0], [1, 0], [1, 1], [0, 0]]]
 
 
+def test_every_round_crown_is_painted(spark):
+    """Crowns of a few pixels: truncated outlines repeat points and touch, and are filled all the same."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(200):
+        x, y, r = 300000 + 20 * (i % 20) + rng.random(), 6700000 - 20 * (i // 20) - 10 + rng.random(), rng.uniform(0.4, 2.5)
+        turn = np.linspace(0, 2 * np.pi, 24, endpoint=False)
+        rows.append((1, i, [(float(x + 6 + r * np.cos(t)), float(y - 3 + r * np.sin(t))) for t in turn]))
+    polys = spark.createDataFrame(rows, "image_id int, poly_id long, ring array<struct<x: double, y: double>>")
+    meta = spark.createDataFrame([(1, 1700, 1000, 0.25, 0.0, 300000.0, 0.0, -0.25, 6700000.0)],
+                                 "image_id int, width int, height int, a double, b double, c double, d double, e double, f double")
+    rings = create_patches.ring_to_pixels(polys, meta).filter(F.size("ring") >= 3)
+    assert labels.rasterize(rings, meta).select("poly_id").distinct().count() == 200
+
+
+def test_parts_holes_and_rejects(spark):
+    ring = lambda x, s: [[x, 0], [x + s, 0], [x + s, s], [x, s], [x, 0]]
+    text = doc({"type": "MultiPolygon", "coordinates": [[ring(0, 4), ring(1, 2)], [ring(10, 1)], [[[0, 0], [1, 1]]]]}, None,
+               {"type": "Polygon", "coordinates": [ring(0, 4)]})
+    docs = spark.createDataFrame([("f", text), ("g", text[:50]), ("h", None)], "path string, value string")
+    shapes = geojson.read_geojson_features(docs).orderBy("poly_id").collect()
+    assert [(r.poly_id, [len(p) for p in r.geometry]) for r in shapes] == [(0, [2, 1]), (2, [1])]
+    bad = {(r.path, r.poly_id, r.reason) for r in geojson.rejected_features(docs).collect()}
+    assert bad == {("f", 1, "no usable ring"), ("g", None, "no feature collection"), ("h", None, "no feature collection")}
+    pred = geojson.read_geojson_features(docs).filter("poly_id = 0")
+    truth = geojson.read_geojson_features(docs).filter("poly_id = 2")
+    pair = overlap_area(pred, truth, ["path"]).first()
+    assert (pair.left_area, pair.right_area, pair.inter) == (pytest.approx(13), pytest.approx(16), pytest.approx(12))
+
+
+def test_tiles_keep_their_place(spark, tmp_path):
+    rows = [(1, 2, 1, [[1.0, 2.0]], 0, 0), (1, 2, 1, [[3.0, 4.0]], 2, 5)]
+    spark.createDataFrame(rows, tiles_source.TILE_SCHEMA).write.parquet(f"{tmp_path}/t")
+    got = tiles_source.explode_pixels(tiles_source.read_raster_tiles(spark, f"{tmp_path}/t")).collect()
+    assert {(r.x, r.y, r.value) for r in got} == {(0, 0, 1.0), (1, 0, 2.0), (2, 5, 3.0), (3, 5, 4.0)}
+
+
+def test_values_that_are_no_numbers_stay_out(spark):
+    px = spark.createDataFrame([(1, 0, x, 0, v) for x, v in enumerate([1.0, 2.0, 3.0, float("nan"), 0.0])], "image_id int, band int, x int, y int, value double")
+    limits = raster.nonzero_percentiles(px).first()
+    assert limits.p_high < 3.01
+    assert {r.x: r.value for r in raster.stretch_uint8(px).collect()}[3] == 0
+
+
+def test_done_and_triples_go_by_root(spark):
+    paths = ["/a/r1/Images/T1.tif", "/a/r2/Images/T1.tif", "/a/r1/Geojsons/T1.geojson", "/a/r2/Geojsons/T1.geojson", "/a/r1/Predictions/T1.geojson"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    done = files.skip_done(files.image_catalog(rows), rows.filter("path like '%Predictions%'"))
+    assert [r.path for r in done.collect()] == ["/a/r2/Images/T1.tif"]
+    assert [r.root for r in files.find_triples(rows).collect()] == ["/a/r1"]
+    apart = spark.createDataFrame([("/out/r2/Predictions_b/T1.geojson",)], "path string")
+    assert [r.image_path for r in files.find_triples(rows, apart).collect()] == ["/a/r2/Images/T1.tif"]
+
+
 def test_bad_inputs_raise(spark):
     tiles = spark.createDataFrame([(1, [[1.0], [2.0]])], "image_id int, bands array<array<double>>")
     with pytest.raises(Exception, match="band order needs 4"):
@@ -106,12 +164,13 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert one == many and len(one) == 200
 
 
-def test_keys_beyond_the_literal_limit_give_the_same_rows(spark, monkeypatch):
+def test_paths_with_any_key(spark):
     df = spark.createDataFrame([(f"/r/T{i}.geojson",) for i in range(60)], "truth_path string")
     keys = ["T1", "T22.", "T5"]
     few = {r.truth_path for r in files.filter_by_keys(df, keys).collect()}
-    monkeypatch.setattr(files, "LITERAL_KEYS", 1)
-    assert {r.truth_path for r in files.filter_by_keys(df, keys).collect()} == few
+    assert few == {f"/r/T{i}.geojson" for i in range(60) if any(k in f"/r/T{i}.geojson" for k in keys)}
+    assert files.filter_by_keys(df, []).count() == 0
+    assert files.filter_by_keys(df, ["", "x"]).count() == 60
 
 
 def test_patch_store_refuses_to_overwrite_and_catalog_prunes(spark, tmp_path):
