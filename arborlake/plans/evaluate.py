@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions.coords import reproject
@@ -12,6 +12,8 @@ from arborlake.functions.scores import precision_recall_f1
 from arborlake.operators import matching, metrics
 from arborlake.operators.polygons import overlap_area, shape_column, validate_polygons
 from arborlake.session import cut_lineage
+from arborlake.sources import files as files_source
+from arborlake.sources import geojson
 
 # The six summarised scores.
 SCORES = ("pixel_iou", "tree_iou", "precision", "recall", "f1", "centroid_error")
@@ -32,7 +34,8 @@ def align_crs(pred: DataFrame, truth: DataFrame, by: Sequence[str], systems: Seq
     if "geometry" in rows.columns:
         parts = F.transform("geometry", lambda part: F.transform(part, moved))
         shapes["geometry"] = F.when(same, F.col("geometry")).otherwise(parts)
-    return rows.withColumns({**shapes, "epsg": F.col("target")}).drop("target")
+    # two steps: a new epsg in the same step would be what the lambdas see
+    return rows.withColumns(shapes).withColumn("epsg", F.col("target")).drop("target")
 
 
 def evaluate_files(pred: DataFrame, truth: DataFrame, files: DataFrame, by: Sequence[str] = ("pred_set", "file"),
@@ -69,8 +72,50 @@ def evaluate_files(pred: DataFrame, truth: DataFrame, files: DataFrame, by: Sequ
                        "latitude", "longitude", "n_pred", "n_truth", "status")
 
 
+def evaluate_documents(triples: DataFrame, documents: DataFrame, systems: Sequence[int], overlap: float = 0.4, limit: float = 50.0) -> DataFrame:
+    """Scores of every (prediction set, file) from GeoJSON texts.
+
+    ``triples`` carries ``pred_set, stem, pred_path, truth_path`` and may carry ``latitude, longitude``;
+    ``documents`` has ``path, value``. Truth is brought into the system of its predictions. A file whose prediction
+    or truth is missing or no feature collection keeps its row: ``status`` says which, its scores are null.
+    """
+    by = ["pred_set", "file"]
+    files = triples.withColumn("file", F.col("stem"))
+    files = files.withColumns({c: F.col(c) if c in triples.columns else F.lit(None).cast("double") for c in ("latitude", "longitude")})
+
+    def side(path: str) -> DataFrame:
+        rows = files.select(*by, F.col(path).alias("path")).join(documents, "path", "left")
+        return rows.select(*by, "value")
+
+    pred_docs, truth_docs = side("pred_path"), side("truth_path")
+    pred, truth = geojson.read_geojson_features(pred_docs, by), geojson.read_geojson_features(truth_docs, by)
+
+    def unreadable(docs: DataFrame, name: str) -> DataFrame:
+        return geojson.rejected_features(docs, by).filter("poly_id is null").select(*by, F.lit(f"unreadable {name}").alias("failed"))
+
+    failed = unreadable(pred_docs, "prediction").unionByName(unreadable(truth_docs, "truth")).groupBy(*by).agg(F.min("failed").alias("failed"))
+    shapes = ("poly_id", "epsg", "geometry")
+    truth = align_crs(pred.select(*by, *shapes), truth.select(*by, *shapes), by, systems)
+    scored = evaluate_files(pred.select(*by, *shapes), truth, files.select(*by, "latitude", "longitude"), by, overlap, limit)
+    rows = scored.join(failed, by, "left")
+    values = {c: F.when(F.col("failed").isNull(), F.col(c)) for c in (*SCORES, "tp", "fp", "fn", "n_pred", "n_truth")}
+    return rows.withColumns({**values, "status": F.coalesce("failed", "status")}).drop("failed")
+
+
+def evaluate_folder(spark: SparkSession, root: str, systems: Sequence[int], pred_root: str | None = None, overlap: float = 0.4, limit: float = 50.0) -> DataFrame:
+    """:func:`evaluate_documents` for all images, truths and predictions found below the roots."""
+    listed = files_source.list_files(spark, root)
+    apart = None if pred_root is None else files_source.list_files(spark, pred_root)
+    triples = files_source.find_triples(listed, apart)
+    documents = geojson.read_documents(spark, root)
+    if pred_root is not None:
+        documents = documents.unionByName(geojson.read_documents(spark, pred_root))
+    return evaluate_documents(triples, documents, systems, overlap, limit)
+
+
 def evaluate_summary(rows: DataFrame, by: Sequence[str] = ("pred_set",), confidence: float = 0.95, include_empty: bool = False) -> DataFrame:
     """Description and confidence interval of the six scores with total tp, fp, fn, per prediction set."""
+    rows = rows.filter("not startswith(status, 'unreadable')")
     rows = cut_lineage(rows if include_empty else rows.filter("status <> 'empty'"))
     keys = [*by, "metric"]
     table = metrics.describe(rows, SCORES, by).join(metrics.confidence_interval(rows, SCORES, confidence, by), keys)
