@@ -8,7 +8,7 @@ has, with rates kept at or above their least value.
 
 A step changes a rate by the document's posterior times one number per domain. The rate is therefore a short
 formula over the posterior and the numbers of the steps so far: a round is one pass of sums over a narrow table,
-nothing is shuffled but one row of sums per task, and no rate is ever joined back to its document.
+and nothing is shuffled but one row of sums per task.
 """
 
 from __future__ import annotations
@@ -32,12 +32,13 @@ CLOSE = 1e-4  # relative miss that ends the rounds
 UNIT = 1 << 30
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+def exploded(text: Column) -> Column:
+    """Lower-cased words with their position; one row without a word for a null text."""
+    return F.posexplode_outer(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+")).alias("place", "word")
 
 
-def _buckets(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def _chance(*columns: Column) -> Column:
@@ -49,24 +50,16 @@ def _constant(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def _looked_up(places: Column, values: Column) -> Column:
-    """Sum of the values at the places."""
-    return F.aggregate(places, F.lit(0.0), lambda total, place: total + F.get(values, place))
-
-
 @dataclass(frozen=True)
 class DomainModel:
     domains: list[str]
     prior: list[float]
     words: list[list[float]]  # log probability of each bucket, per domain
 
-    def posterior(self, buckets: Column) -> Column:
-        """Array of the domains' probabilities for a text given as buckets of its words."""
-        size = F.size(buckets)
-        scores = []
-        for prior, table in zip(self.prior, self.words):
-            total = _looked_up(buckets, _constant(table))
-            scores.append(F.lit(math.log(prior)) + F.when(size > 0, total / size * F.least(size, F.lit(EVIDENCE))).otherwise(0.0))
+    def posterior(self, tokens: Column, sums: list[Column]) -> Column:
+        """Array of the domains' probabilities from a text's number of words and summed log probabilities."""
+        weight = F.when(tokens > 0, F.least(tokens, F.lit(EVIDENCE)) / tokens).otherwise(0.0)
+        scores = [F.lit(math.log(p)) + F.coalesce(s, F.lit(0.0)) * weight for p, s in zip(self.prior, sums)]
         raw = F.array(*scores)
         grown = F.transform(raw, lambda s: F.exp(s - F.array_max(raw)))
         return F.transform(grown, lambda e: e / F.aggregate(grown, F.lit(0.0), lambda a, x: a + x))
@@ -86,7 +79,7 @@ def fit_domains(labelled: DataFrame, key: Column, per_domain: int = PER_DOMAIN)
     rate = F.create_map(*(F.lit(x) for d in domains for x in (d, min(1.0, per_domain / sizes[d]))))
     taken = known.filter(_chance(key) < F.get(F.array(F.element_at(rate, F.col("domain"))), F.lit(0)))
     counts = {d: [0.1] * BUCKETS for d in domains}
-    seen = taken.select("domain", F.explode(_buckets(F.col("text"))).alias("bucket")).groupBy("domain", "bucket").count()
+    seen = taken.select("domain", exploded(F.col("text"))).filter("word <> ''").groupBy("domain", bucket(F.col("word")).alias("bucket")).count()
     for r in seen.collect():  # at most domains x buckets
         counts[r.domain][r.bucket] += r["count"]
     total = sum(sizes.values())
@@ -154,33 +147,49 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]
     return fitted
 
 
+def memberships(documents: DataFrame, model: DomainModel) -> DataFrame:
+    """``doc_id, text_hash, rows, tokens, posterior``: one row for each different document.
+
+    Words are summed where they are read, so what is shuffled is one row of sums per document.
+    """
+    spelled = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), exploded(F.col("text")))
+    real = F.col("word") != ""
+    marked = spelled.withColumn("bucket", F.when(real, bucket(F.col("word"))))
+    sums = [F.sum(F.get(_constant(t), F.col("bucket"))).alias(f"s{k}") for k, t in enumerate(model.words)]
+    rows = F.sum(F.when(F.coalesce("place", F.lit(0)) == 0, 1).otherwise(0)).alias("rows")
+    summed = marked.groupBy("doc_id", "text_hash").agg(rows, F.count("bucket").alias("all"), *sums)
+    own = [F.col(f"s{k}") / F.col("rows") for k in range(len(model.domains))]
+    tokens = F.floor(F.col("all") / F.col("rows"))
+    return summed.select("doc_id", "text_hash", "rows", tokens.alias("tokens"), model.posterior(tokens, own).alias("posterior"))
+
+
 def mixed(documents: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, least: float = 0.0) -> tuple[DataFrame, Rates]:
-    """The documents with ``_tokens, _posterior, _rate, _copies``, and the fit.
+    """``doc_id, text_hash, rows, tokens, posterior, rate, copies`` for each different document, and the fit.
 
     The labelled table is the documents that have a ``domain``, outside the held-out fold. Copies are the rate's
     whole part and one more with its fraction as chance, the same in every run. A null or empty text has no
-    tokens and the prior as posterior. Rows repeated under an id are rows like others and draw alike.
+    tokens and the prior as posterior. Repeated rows share one entry, which counts them.
     """
     labelled = documents.filter(~held_out()).select("doc_id", "text", F.col(domain).alias("domain"))
     model = fit_domains(labelled, F.col("doc_id"))
-    bucketed = documents.withColumn("_buckets", _buckets(F.col("text")))
-    members = cut_lineage(
-        bucketed.withColumns({"_tokens": F.size("_buckets").cast("long"), "_posterior": model.posterior(F.col("_buckets"))}).drop("_buckets")
-    )
-    fitted = fit_rates(members.select(F.col("_tokens").alias("tokens"), F.col("_posterior").alias("posterior")), model.domains, targets, least)
-    rated = members.withColumn("_rate", fitted.rate(F.col("_posterior")))
-    drawn = F.floor("_rate") + F.when(_chance(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("copies")) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return rated.withColumn("_copies", drawn.cast("int")), fitted
+    members = cut_lineage(memberships(documents, model))
+    fitted = fit_rates(members.select((F.col("tokens") * F.col("rows")).alias("tokens"), "posterior"), model.domains, targets, least)
+    rated = members.withColumn("rate", fitted.rate(F.col("posterior")))
+    more = _chance(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("copies")) < F.col("rate") - F.floor("rate")
+    return rated.withColumn("copies", (F.floor("rate") + F.when(more, 1).otherwise(0)).cast("int")), fitted
 
 
 def mixing_rates(documents: DataFrame, domain: str = "lang") -> DataFrame:
     """``doc_id, n_tokens, posterior, rate, copies`` for every row. An empty table gives an empty result."""
     rows, _ = mixed(documents.select("doc_id", "text", domain), domain)
-    return rows.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_time")
+    return rows.select("doc_id", F.col("tokens").alias("n_tokens"), "posterior", "rate", "copies", again).drop("_time")
 
 
 def repeat_to_targets(documents: DataFrame, domain: str = "lang") -> DataFrame:
     """Every document as often as its rate says, at least once: scarce domains are repeated, nothing is dropped."""
     rows, _ = mixed(documents, domain, least=1.0)
+    copies = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     times = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_time")
-    return rows.select(*documents.columns, times).drop("_time")
+    return documents.join(copies, same).select(*documents.columns, times).drop("_time")

@@ -32,7 +32,7 @@ def plain_rates(tokens, posterior, targets, least, rounds=4000):
 @pytest.mark.parametrize("targets", [None, {"xa": 500.0, "yb": 900.0, "zc": 700.0}, {"yb": 100.0, "xa": 100.0, "zc": 2.0}])
 def test_totals_meet_targets(spark, targets):
     rows, fitted = mx.mixed(corpus(spark), targets=targets)
-    got = rows.select("_tokens", "_posterior", "_rate").collect()
+    got = rows.select("tokens", "posterior", "rate").collect()
     tokens, posterior, rate = (np.array([r[i] for r in got], float) for i in range(3))
     assert np.allclose(posterior.sum(axis=1), 1) and (rate >= 0).all()
     assert np.allclose((tokens * rate) @ posterior, fitted.totals)
@@ -43,7 +43,7 @@ def test_totals_meet_targets(spark, targets):
 def test_posteriors_name_the_domain(spark):
     docs = corpus(spark)
     rows, fitted = mx.mixed(docs)
-    right = [fitted.domains[int(np.argmax(r._posterior))] == ("xa" if r.doc_id < 120 else "yb" if r.doc_id < 150 else "zc") for r in rows.collect()]
+    right = [fitted.domains[int(np.argmax(r.posterior))] == ("xa" if r.doc_id < 120 else "yb" if r.doc_id < 150 else "zc") for r in rows.collect()]
     assert np.mean(right) > 0.97
 
 
