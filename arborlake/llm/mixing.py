@@ -152,7 +152,9 @@ def memberships(documents: DataFrame, model: DomainModel) -> DataFrame:
 
     Words are summed where they are read, so what is shuffled is one row of sums per document.
     """
-    spelled = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), exploded(F.col("text")))
+    # the hash is taken below the explode, or every word would take it again
+    stamped = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    spelled = stamped.select("doc_id", "text_hash", exploded(F.col("text")))
     real = F.col("word") != ""
     marked = spelled.withColumn("bucket", F.when(real, bucket(F.col("word"))))
     sums = [F.sum(F.get(_constant(t), F.col("bucket"))).alias(f"s{k}") for k, t in enumerate(model.words)]
