@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.operators.ranking import ordered_total
 from arborlake.session import cut_lineage
 
 
@@ -115,9 +116,6 @@ def eps_clusters(points: DataFrame, eps: float = 0.5, refine: int = 8, levels: i
     groups = components(linked.select(node("cx", "cy").alias("u"), node("ox", "oy").alias("v")))
     cell_of = points.withColumn("node", F.struct(F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")))
     rooted = cell_of.join(groups, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    # one row per cluster: at most one per grid cell of the coordinate range
-    firsts = rooted.groupBy("root").agg(F.min("point_id").alias("first"))
-    from pyspark.sql import Window
-
-    numbered = firsts.select("root", (F.row_number().over(Window.orderBy("first")) - 1).alias("cluster"))
+    firsts = rooted.groupBy("root").agg(F.min("point_id").alias("first")).withColumn("one", F.lit(1))
+    numbered = ordered_total(firsts, ["first"], "one", "cluster").select("root", F.col("cluster").cast("int").alias("cluster"))
     return rooted.join(numbered, "root").select("point_id", "cluster")

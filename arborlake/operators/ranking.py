@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions.hashing import bucket, digest
+from arborlake.session import cut_lineage
 
 
 def running_total(df: DataFrame, bucket_col: Column, order: Sequence[str], value: str, by: Sequence[str] = (),
@@ -32,6 +33,23 @@ def running_total(df: DataFrame, bucket_col: Column, order: Sequence[str], value
     return joined.withColumn(out, F.col("_start") + F.col("_local")).drop("_bucket", "_start", "_local")
 
 
+def ordered_total(df: DataFrame, order: Sequence[Column | str], value: str, out: str = "before") -> DataFrame:
+    """Adds ``out``: sum of ``value`` over all rows that come earlier in ``order``, which has to tell rows apart.
+
+    Rows are dealt by ranges of the order and written with the number of their range, so the numbers hold for
+    good; only the sums of the ranges, one row each, are added up in one place.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sums = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = local.join(F.broadcast(starts), "_part")
+    return joined.withColumn(out, F.col("_start") + F.col("_local")).drop("_part", "_start", "_local")
+
+
 def hash_rank(df: DataFrame, key: str, salt: str, by: Sequence[str] = (), out: str = "rank", digits: int = 3) -> DataFrame:
     """Adds ``out``: 0-based position in shuffled order, the order of md5(key | salt); ``by`` must have few values."""
     rows = df.withColumn("_h", digest(F.col(key).cast("string"), salt)).withColumn("_one", F.lit(1))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.functions.hashing import bucket, digest
 from arborlake.operators.graph import eps_clusters
-from arborlake.operators.ranking import first_by_hash, running_total
+from arborlake.operators.ranking import first_by_hash, ordered_total, running_total
 from arborlake.session import cut_lineage
 
 
@@ -37,24 +37,26 @@ def cluster_patches(patches: DataFrame, eps: float = 0.5) -> DataFrame:
 def split_by_cluster(patches: DataFrame, val: float = 0.2, test: float = 0.1, weight: str = "region_total") -> DataFrame:
     """Adds ``split``: clusters in descending weight fill train, then val, then test; the rest is ``leftover``.
 
-    ``weight='region_total'`` adds up the region total of every patch, ``'trees'`` the trees. The prefix cuts
-    run on the cluster table, which has at most one row per coordinate cell.
+    ``weight='region_total'`` adds up the region total of every patch, ``'trees'`` the trees. Of the cluster
+    table only four sums come to the driver.
     """
     value = {"region_total": "region_trees", "trees": "num_trees"}[weight]
     clusters = patches.groupBy("cluster").agg(F.sum(value).alias("weight"))
-    order = Window.orderBy(F.desc("weight"), "cluster").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rows = clusters.withColumns({
-        "before": F.coalesce(F.sum("weight").over(order), F.lit(0)), "total": F.sum("weight").over(everything),
-    })
-    target = lambda share: F.bround(F.lit(float(share)) * F.col("total"), 0)
-    rows = rows.withColumn("train", F.col("before") < target(1 - val - test))
-    rows = rows.withColumn("used", F.coalesce(F.sum(F.when(F.col("train"), F.col("weight"))).over(everything), F.lit(0)))
-    rows = rows.withColumn("val", ~F.col("train") & (F.col("before") - F.col("used") < target(val)))
-    rows = rows.withColumn("used", F.col("used") + F.coalesce(F.sum(F.when(F.col("val"), F.col("weight"))).over(everything), F.lit(0)))
-    taken = F.col("train") | F.col("val")
-    rows = rows.withColumn("test", ~taken & (F.col("before") - F.col("used") < target(test)))
-    split = F.when(F.col("train"), "train").when(F.col("val"), "val").when(F.col("test"), "test").otherwise("leftover")
+    rows = cut_lineage(ordered_total(clusters, [F.desc("weight"), F.col("cluster")], "weight"))
+
+    def weight_of(chosen) -> float:
+        return rows.filter(chosen).agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+
+    def target(share: float):
+        return F.bround(F.lit(float(share)) * F.lit(float(total)), 0)
+
+    total = weight_of(F.lit(True))
+    train = F.col("before") < target(1 - val - test)
+    used = weight_of(train)
+    in_val = ~train & (F.col("before") - used < target(val))
+    used += weight_of(in_val)
+    in_test = ~train & ~in_val & (F.col("before") - used < target(test))
+    split = F.when(train, "train").when(in_val, "val").when(in_test, "test").otherwise("leftover")
     return patches.join(rows.select("cluster", "weight", split.alias("split")), "cluster")
 
 
