@@ -29,9 +29,13 @@ class PatchParams:
 
 
 def normalised_pixels(tiles: DataFrame, params: PatchParams) -> DataFrame:
-    """``image_id, x, y, bands`` with uint8 values in the wanted band order."""
+    """``image_id, x, y, bands`` with uint8 values in the wanted band order.
+
+    Tiles may carry ``nodata``, the value that stands for missing pixels of their image.
+    """
     ordered = B.reorder_bands(B.check_bands(F.col("bands"), params.band_order), params.band_order)
-    rows = tiles.withColumn("bands", B.map_bands(ordered, B.mask_nodata))
+    missing = F.col("nodata").cast("double") if "nodata" in tiles.columns else None
+    rows = tiles.withColumn("bands", B.map_bands(ordered, lambda v: B.mask_nodata(v, missing)))
     if params.normalise is None:
         return pixel_vectors(rows.withColumn("bands", B.map_bands(F.col("bands"), lambda v: B.clip_uint8(v).cast("double"))))
     limits = raster.nonzero_percentiles(explode_pixels(rows), ["image_id", "band"] if params.normalise == "channel" else ["image_id"])
@@ -70,7 +74,7 @@ def build_patch_table(tiles: DataFrame, meta: DataFrame, polys: DataFrame, param
 
     ``patches``: key, image, tree count, centre, position, ``bands`` (C arrays), ``mask, centroid, hybrid,
     buffer_mask`` arrays. ``rejects``: images without tiles for their labels, and rings of less than three points.
-    ``polys`` has rings in map coordinates.
+    ``polys`` has rings in map coordinates; ``meta`` may state the ``nodata`` value of an image.
     """
     window, stride = params.window, params.stride
     # truncation makes points repeat and edges touch; every ring with three points is filled all the same
@@ -78,6 +82,8 @@ def build_patch_table(tiles: DataFrame, meta: DataFrame, polys: DataFrame, param
     shapes = rings.filter(F.size("ring") >= 3)
     bad_rings = rings.filter("ring is null or size(ring) < 3").withColumn("reason", F.lit("fewer than 3 points"))
     channels = labels.label_channels(cut_lineage(shapes), meta, params.sigma, params.boundary)
+    if "nodata" in meta.columns:
+        tiles = join_small(tiles, meta.select("image_id", "nodata"), "image_id", "left")
     pixels = normalised_pixels(tiles, params).join(channels, ["image_id", "x", "y"], "left")
     zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
     pixels = pixels.select("image_id", "x", "y", "bands", zero("mask", "int"), zero("centroid", "double"), zero("hybrid", "double"))

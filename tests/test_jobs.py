@@ -10,7 +10,7 @@ from arborlake.functions import bands as B
 from arborlake.functions import scores as S
 from arborlake.operators import labels, ranking, raster, scoring, splits, tiling
 from arborlake.operators.polygons import overlap_area
-from arborlake.plans import create_patches
+from arborlake.plans import create_patches, predict
 from arborlake.sources import evaluation_csv, files, geojson, patches
 from arborlake.sources import tiles as tiles_source
 
@@ -84,6 +84,18 @@ def test_values_that_are_no_numbers_stay_out(spark):
     assert {r.x: r.value for r in raster.stretch_uint8(px).collect()}[3] == 0
 
 
+def test_stated_nodata_and_dtype_reach_the_jobs(spark):
+    tiles = spark.createDataFrame([(1, 2, 1, [[7.0, 9.0], [255.0, 51.0]], 7.0, "uint8")], "image_id int, width int, height int, bands array<array<double>>, nodata double, dtype string")
+    params = create_patches.PatchParams(band_order=(1, 0))
+    got = {r.x: list(r.bands) for r in create_patches.normalised_pixels(tiles, params).collect()}
+    assert got == {0: [255.0, 0.0], 1: [51.0, 9.0]}
+    assert [list(b) for b in predict.model_tiles(tiles, (1, 0)).first().bands] == [[1.0, 0.2], [7 / 255, 9 / 255]]
+    meta = spark.createDataFrame([(1, 0.25, -0.25), (2, 0.25, -0.25)], "image_id int, a double, e double")
+    assert predict.pixels_of_area(meta, 3.0) == 48
+    with pytest.raises(ValueError, match="one pixel size"):
+        predict.pixels_of_area(meta.unionAll(spark.createDataFrame([(3, 0.5, -0.5)], meta.schema)), 3.0)
+
+
 def test_done_and_triples_go_by_root(spark):
     paths = ["/a/r1/Images/T1.tif", "/a/r2/Images/T1.tif", "/a/r1/Geojsons/T1.geojson", "/a/r2/Geojsons/T1.geojson", "/a/r1/Predictions/T1.geojson"]
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
