@@ -32,9 +32,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The rows become a Parquet table in the shared folder: they survive lost executors, later steps read only
     the columns they need, and the planner knows the size, so small tables are broadcast and large ones not.
+    All tables of an application lie in one folder with its id, which can go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/step-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
