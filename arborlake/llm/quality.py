@@ -11,7 +11,7 @@ the table folds into a vector that every task gets, and a document's score is th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -155,9 +155,19 @@ def learn_embeddings(texts: list[str], labels: np.ndarray, size: int = 16, epoch
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 4000) -> QualityModel:
-    """Model learned on at most ``bound`` labelled rows outside the held-out fold, taken by hashed id."""
-    rows = learning_rows(documents, labels, label, bound).toPandas()
-    return train(rows["text"].tolist(), rows["y"].to_numpy(np.int64))
+    """Model learned on at most ``bound`` labelled rows outside the held-out fold, taken by hashed id.
+
+    One task learns from the rows; only the finished numbers come to the driver.
+    """
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)  # bounded
+        rows = pd.concat(parts).sort_values("doc_id") if parts else pd.DataFrame({"text": [], "y": []})
+        model = train(rows["text"].tolist(), rows["y"].to_numpy(np.int64))
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    rows = learning_rows(documents, labels, label, bound).repartition(1)
+    learned = rows.mapInPandas(learn, "weights binary, bias double").first()
+    return QualityModel(np.frombuffer(learned.weights), learned.bias) if learned else train([], np.zeros(0, np.int64))
 
 
 def scorer(model: QualityModel) -> Callable[[str], Column]:
