@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +102,13 @@ class Rolling:
         return mix((sums[n:] - sums[:-n]) * self.inverse[: len(sums) - n])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that only a piece's texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def runs_of(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive slices of a list whose sizes add up to about ``limit``; never an empty slice."""
     start = total = 0

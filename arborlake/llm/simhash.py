@@ -45,12 +45,11 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 def simhash(texts: list[str | None], words: int = WORDS, chunk: int = 1 << 19) -> np.ndarray:
     """Fingerprints as unsigned 64-bit integers; null texts and texts without words give zero."""
     out = np.zeros(len(texts), np.uint64)
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     digest = xxhash.xxh64_digest
-    for lo, hi in runs_of([len(r) for r in raw], chunk):
+    for lo, hi in runs_of([len(t or "") for t in texts], chunk):
         hashes, counts = [], []
-        for r in raw[lo:hi]:
-            parts = r.lower().split()
+        for t in texts[lo:hi]:
+            parts = (t or "").encode("utf-8", "surrogatepass").lower().split()
             flat = b" ".join(parts)
             if len(parts) <= words:
                 own = [digest(flat, SEED)] if parts else []

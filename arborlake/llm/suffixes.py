@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from arborlake.llm.common import Rolling, mix, partitions, runs_of
+from arborlake.llm.common import Rolling, mix, partitions, runs_of, slices
 from arborlake.session import cut_lineage
 
 LENGTH = 100
 GRAM = 32
 SLICE = 1 << 20  # bytes of one text worked on at once
 CHUNK = 1 << 18  # bytes of short texts worked on at once
-HELD = 1 << 20  # spans that a task compares with each other
+HELD = 1 << 19  # spans that a task compares with each other
 SHARD = 4096  # spans of one suffix array, about
 SEPARATOR = 0xFF  # no UTF-8 text has this byte
 
@@ -89,7 +89,7 @@ def spans(parts: list[bytes], length: int, gram: int, rolling: Rolling) -> tuple
 
 def _find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling, held, count = Rolling(), [], 0
-    for batch in batches:
+    for batch in slices(batches):
         docs = batch.column(0).to_numpy()
         texts = [utf8(t.as_py()) for t in batch.column(1)]
         pieces, doc, shift = [], [], []
@@ -308,7 +308,7 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         doc, texts, runs = (batch.column(i).to_pylist() for i in range(3))
         rows = [(d, r["gram"], r["low"], utf8_text[r["low"] : r["high"] + LENGTH]) for d, t, own in zip(doc, texts, runs) for utf8_text in [utf8(t)] for r in own]
         columns = list(zip(*rows)) or [()] * 4
