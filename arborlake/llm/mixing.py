@@ -29,6 +29,8 @@ EVIDENCE = 32  # words whose weight a text's mean likelihood carries at most
 POWER = 0.7  # default targets: token shares to this power
 ROUNDS = 60
 CLOSE = 1e-4  # relative miss that ends the rounds
+GAIN = 5e-3  # least part of the squared misses that a round takes away
+WRITTEN = 8  # rounds between two tables of rates
 UNIT = 1 << 30
 
 
@@ -97,14 +99,15 @@ class Rates:
     steps: list[list[float]] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
 
-    def rate(self, posterior: Column) -> Column:
+    def rate(self, posterior: Column, start: Column | None = None, since: int = 0) -> Column:
+        """The rate after all steps, or from ``start`` on after those ``since`` a step."""
         parts = [F.get(posterior, F.lit(k)) for k in range(len(self.domains))]
 
         def move(rate: Column, step: list[float]) -> Column:
             slope = reduce(lambda a, b: a + b, (p * F.lit(c) for p, c in zip(parts, step)))
             return F.greatest(F.lit(self.least), rate - slope)
 
-        return reduce(move, self.steps, F.greatest(F.lit(self.least), F.lit(1.0)))
+        return reduce(move, self.steps[since:], F.greatest(F.lit(self.least), F.lit(1.0)) if start is None else start)
 
     @property
     def miss(self) -> float:
@@ -122,8 +125,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]
     """Rates for rows ``tokens, posterior``.
 
     ``targets`` are wanted tokens by domain (missing ones: none wanted); by default those of ``default_targets``.
-    The rounds end when every domain is within ``CLOSE`` of its target or the misses no longer shrink; what is
-    then reached stands in ``totals``.
+    The rounds end when every domain is within ``CLOSE`` of its target or a round takes less than ``GAIN`` of the
+    misses away; what is then reached stands in ``totals``. Every few rounds the rates are written, so that the
+    formula of a round stays short.
     """
     def sums(rate: Column) -> list[float]:
         own = [F.sum(F.col("tokens") * rate * F.get("posterior", F.lit(k))).alias(f"s{k}") for k in range(len(domains))]
@@ -135,15 +139,18 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]
     unit = [max(s, 1e-9 * (sum(start) + 1)) for s in start]
     fitted = Rates(domains, wanted, least)
     fitted.totals = start if least <= 1.0 else sums(F.lit(least))
-    last = math.inf
+    last, written, current = math.inf, 0, None
     for _ in range(rounds):
         misses = [(s - t) / u for s, t, u in zip(fitted.totals, wanted, unit)]
         cost = sum(m * m * u for m, u in zip(misses, unit))
-        if fitted.miss < CLOSE or cost > last * (1 - 1e-6):
+        if fitted.miss < CLOSE or cost > last * (1 - GAIN):
             break
         last = cost
         fitted.steps.append(misses)
-        fitted.totals = sums(fitted.rate(F.col("posterior")))
+        if len(fitted.steps) - written == WRITTEN:
+            members = cut_lineage(members.withColumn("rate", fitted.rate(F.col("posterior"), current, written)))
+            written, current = len(fitted.steps), F.col("rate")
+        fitted.totals = sums(fitted.rate(F.col("posterior"), current, written))
     return fitted
 
 

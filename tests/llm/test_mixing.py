@@ -70,3 +70,13 @@ def test_default_targets_shrink_nothing():
     sums = [600.0, 150.0, 0.0]
     targets = mx.default_targets(sums)
     assert all(t >= s - 1e-9 for s, t in zip(sums, targets)) and abs(targets[0] - 600) < 1e-9
+
+
+def test_written_rates_are_those_of_the_formula(spark, monkeypatch):
+    monkeypatch.setattr(mx, "WRITTEN", 1)
+    targets = {"xa": 500.0, "yb": 2500.0, "zc": 700.0}
+    rows, fitted = mx.mixed(corpus(spark), targets=targets, least=0.9)
+    assert len(fitted.steps) > 1
+    got = rows.select("tokens", "posterior", "rate").collect()
+    tokens, posterior, rate = (np.array([r[i] for r in got], float) for i in range(3))
+    assert np.allclose((tokens * rate) @ posterior, fitted.totals) and (rate >= 0.9).all()
