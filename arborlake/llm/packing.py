@@ -33,8 +33,8 @@ WINDOW = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 2  # id behind every document
 COMBINATIONS = 200_000  # combinations of three lengths that take part in the fit
-CACHED_WORDS = 400_000
-CACHED_PARTS = 800_000
+CACHED_WORDS = 250_000
+CACHED_PARTS = 500_000
 MARKS = b".,;:!?*#$%&|()-"  # marks that never share a token with the letters before them
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
