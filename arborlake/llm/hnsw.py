@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
 Equal vectors of a label are collapsed to one with a count. A label's vectors are dealt by hash into shards of
-bounded size, each with a graph of its own, and every vector is searched in its own shard and in all shards
-behind it, so that every pair is met from one side. Searches walk many queries at once. A query whose beam is
-full of links has it widened to the shard; a sample of queries is audited against a scan, and beams are widened
-for all until the audit finds nothing missed. Links are verified by cosine in double precision.
+bounded size, each with a graph of its own, and every vector is searched in its own shard and in all others, so
+that every pair is met from both sides. Searches walk many queries at once. A query that meets anything near the
+threshold is compared with its whole shard by cosine in double precision. Before a search some queries of either
+side are audited: if a walk misses any of their nearest nodes, linked or not, the pair of shards is scanned, and so
+are in the end all pairs of a label of which any audit missed one. At the size of a shard a scan costs less than a
+wider beam.
 
 A task hands on, for each vector, the number of its links and one link to the least vector it is joined with, so
 groups of any size pass through without their pairs.
@@ -26,12 +28,14 @@ from arborlake.session import cut_lineage
 LEAST = 0.98
 SHARD = 8192  # vectors of one graph
 NEIGHBOURS = 16  # links of a node; twice as many on the ground layer
-BEAM = 48  # first width of a search
+BEAM = 48  # width of a search
 BUILD_BEAM = 64
 BATCH = 256  # queries that walk together
 STEP = 4  # nodes that a query expands at once
-AUDIT = 64  # queries of a task that are compared with a scan
-BAND = 1e-4  # cosines this near to the threshold are computed in double precision
+AUDIT = 64  # queries of each side that are compared with a scan
+NEAREST = 10  # nodes that the walk of an audited query has to meet
+SINGLE = 1e-5  # error of a cosine in single precision, at most
+NEAR = 0.1  # a query that meets a cosine this little below the threshold is scanned
 
 
 class Graph:
@@ -193,43 +197,56 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return exact / np.sqrt((exact**2).sum(axis=1, keepdims=True))
 
 
+def missed(graph: Graph, exact: np.ndarray, queries: np.ndarray) -> int:
+    """Number of nearest nodes that the walks of some queries do not meet. A query always has nearest nodes."""
+    audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
+    most = min(NEAREST, BEAM, len(exact))
+    cosines = graph.search(queries[audited].astype(np.float32), BEAM)[1][:, :most]
+    best = -np.sort(-(queries[audited] @ exact.T), axis=1)[:, :most]
+    return int((cosines < best - SINGLE).sum())
+
+
 def linked(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float = LEAST) -> np.ndarray:
     """Table of queries x nodes: whether their cosine reaches ``least``.
 
-    ``exact`` and ``queries`` are unit vectors in double precision. Beams start narrow. A query whose beam ends
-    above the threshold has more links than the beam can hold and is scanned, which is a beam as wide as the
-    shard. Then some queries are scanned as well; if one of them had missed a link, all beams are widened.
+    ``exact`` and ``queries`` are unit vectors in double precision.
     """
-    walkers = queries.astype(np.float32)
+    every = np.arange(len(queries))
+    if len(exact) <= BEAM or missed(graph, exact, queries):
+        return _scan(exact, queries, every, least)
+    return _walked(graph, exact, queries, least)
+
+
+def _walked(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
+    """The same by walks; those that meet something near the threshold are followed by a scan."""
+    ids, cosines = graph.search(queries.astype(np.float32), BEAM)
+    own = queries is exact  # then a query is not near to itself
+    every = np.arange(len(queries))
+    best = (np.where(ids == every[:, None], -2, cosines) if own else cosines).max(axis=1)
+    hits = _scan(exact, queries, np.nonzero(best >= least - NEAR)[0], least)
+    if own:
+        np.fill_diagonal(hits, True)
+    return hits
+
+
+def _scan(exact: np.ndarray, queries: np.ndarray, chosen: np.ndarray, least: float) -> np.ndarray:
     hits = np.zeros((len(queries), len(exact)), bool)
-    settled = np.zeros(len(queries), bool)
-    audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    scanned = _scan(exact, queries[audited], least)
-    beam = BEAM
-    while True:
-        todo = np.nonzero(~settled)[0]
-        if beam >= len(exact):
-            for lo in range(0, len(todo), BATCH):
-                hits[todo[lo : lo + BATCH]] = _scan(exact, queries[todo[lo : lo + BATCH]], least)
-            return hits
-        ids, cosines = graph.search(walkers[todo], beam)
-        row, column = np.nonzero(cosines >= least - BAND)
-        at, to = todo[row], ids[row, column]
-        sure = cosines[row, column] >= least + BAND
-        doubt = np.nonzero(~sure)[0]
-        sure[doubt] = np.einsum("kd,kd->k", queries[at[doubt]], exact[to[doubt]]) >= least
-        hits[at[sure], to[sure]] = True
-        full = todo[cosines[:, -1] >= least - BAND]
-        for lo in range(0, len(full), BATCH):
-            hits[full[lo : lo + BATCH]] = _scan(exact, queries[full[lo : lo + BATCH]], least)
-        settled[full] = True
-        if (hits[audited] == scanned).all():
-            return hits
-        beam *= 4
-
-
-def _scan(exact: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
-    return queries @ exact.T >= least
+    for lo in range(0, len(chosen), BATCH):
+        part = chosen[lo : lo + BATCH]
+        hits[part] = queries[part] @ exact.T >= least
+    return hits
+
+
+def joint_links(left: tuple[Graph, np.ndarray], right: tuple[Graph, np.ndarray] | None, least: float = LEAST, scan: bool = False) -> tuple[np.ndarray, bool, int]:
+    """Links of two shards, or of one with itself, searched from both sides; whether by walks; nodes that audits missed."""
+    to = right or left
+    sides = [(*to, left[1])] + ([(*left, right[1])] if right else [])
+    scan = scan or any(len(exact) <= BEAM for _, exact, _ in sides)
+    lost = 0 if scan else sum(missed(*side) for side in sides)
+    if scan or lost:
+        return _scan(to[1], left[1], np.arange(len(left[1])), least), False, lost
+    hits = _walked(*sides[0], least)
+    return hits | (_walked(*sides[1], least) if right else hits).T, True, 0
 
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
@@ -253,15 +270,17 @@ def _load(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of each pair of shards: per vector their number and the least vector it is joined with."""
+    """Links of each pair of shards: per vector their number and the least vector it is joined with.
+
+    A row without a vector tells how a pair was searched.
+    """
     for batch in batches:
         for row in batch.to_dict("records"):
-            ids, copies, exact, _ = _load(row["left"])
+            ids, copies, exact, graph = _load(row["left"])
             own = row["left"]["shard"] == row["right"]["shard"]
-            to_ids, to_copies, to_exact, graph = _load(row["right"])
-            hits = linked(graph, to_exact, exact)
+            to_ids, to_copies, to_exact, to_graph = _load(row["right"])
+            hits, walked, lost = joint_links((graph, exact), None if own else (to_graph, to_exact), scan=row["scan"])
             if own:
-                hits |= hits.T
                 np.fill_diagonal(hits, False)
                 links = hits @ to_copies
                 nodes, shift = ids, 0
@@ -277,7 +296,10 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 known = np.nonzero(root != np.arange(len(nodes)))[0]
                 root = roots_of(len(nodes), np.concatenate([known, rank[a + lo]]), np.concatenate([root[known], rank[b + shift]]))
             some = np.nonzero(links)[0]
-            yield pd.DataFrame({"rid": nodes[some], "links": links[some], "root": nodes[order][root[rank[some]]]})
+            pair = {"label": row["label"], "dim": row["dim"], "a": row["left"]["shard"], "b": row["right"]["shard"]}
+            told = pd.DataFrame([{**pair, "walked": walked, "lost": lost}])
+            out = pd.DataFrame({"rid": nodes[some], "links": links[some], "root": nodes[order][root[rank[some]]]}).assign(**pair)
+            yield pd.concat([told, out]).astype({"rid": "Int64", "links": "Int64", "root": "Int64", "walked": "boolean", "lost": "Int64"})
 
 
 def embedding_groups(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -304,9 +326,21 @@ def embedding_groups(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     side = F.struct("shard", "ids", "copies", "vectors", "nodes", "links")
     left = index.select("label", "dim", F.col("shard").alias("a"), side.alias("left"))
     right = index.select("label", "dim", F.col("shard").alias("b"), side.alias("right"))
-    tasks = pairs.repartition(partitions(vectors), "label", "dim", "a", "b").join(right, ["label", "dim", "b"]).join(left, ["label", "dim", "a"])
-    spread = tasks.repartition(partitions(vectors), "label", "dim", "a", "b").select("left", "right")
-    found = cut_lineage(spread.mapInPandas(_search, "rid long, links long, root long"))
+    key = ["label", "dim", "a", "b"]
+
+    def search(these: DataFrame, scan: bool) -> DataFrame:
+        tasks = these.repartition(partitions(vectors), *key).join(right, ["label", "dim", "b"]).join(left, ["label", "dim", "a"])
+        spread = tasks.repartition(partitions(vectors), *key).select("label", "dim", "left", "right", F.lit(scan).alias("scan"))
+        return cut_lineage(spread.mapInPandas(_search, f"label {label}, dim int, a int, b int, rid long, links long, root long, walked boolean, lost long"))
+
+    first = search(pairs, False)
+    # what one audit of a label missed, others may have missed unseen
+    doubted = first.filter("lost > 0").select("label", "dim").distinct()
+    again = cut_lineage(first.filter("walked").select(*key).join(doubted, ["label", "dim"], "left_semi"))
+    found = first
+    if not again.isEmpty():
+        found = first.join(again, key, "left_anti").unionByName(search(again, True))
+    found = found.filter("rid is not null").select("rid", "links", "root")
 
     joined = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")).filter("u <> v"))
     roots = joined.select(F.col("node").alias("rid"), "component")

@@ -51,6 +51,49 @@ def test_links_are_complete_where_beams_overflow():
     assert (hw.linked(graph, unit, unit) == (unit @ unit.T >= 0.98)).mean() == 1.0
 
 
+def few_links(n, links, seed, dim=64):
+    """Vectors without structure, and a few more that are each linked with one of them."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(size=(n, dim))
+    near = vectors[:links] + 0.12 * rng.normal(size=(links, dim))
+    return np.concatenate([vectors, near])
+
+
+def test_few_links_between_shards_are_all_found():
+    """In graphs with few ways: the audited queries have no link, but their nearest nodes are missed as well."""
+    unit = hw._unit(few_links(4000, 60, 5))
+    shards = [unit[k::3] for k in range(3)]
+    graphs = [hw.Graph.build(x.astype(np.float32), np.arange(len(x))) for x in shards]
+    for graph in graphs:
+        graph.layers[0][1][:, 2:] = -1
+    want = [shards[a] @ shards[b].T >= 0.98 for a in range(3) for b in range(3) if a != b]
+    got = [hw.linked(graphs[b], shards[b], shards[a]) for a in range(3) for b in range(3) if a != b]
+    assert sum(x.sum() for x in want) > 30
+    assert all((x == y).all() for x, y in zip(got, want))
+
+
+def test_a_label_in_doubt_is_scanned_as_a_whole(spark, monkeypatch):
+    """Pairs of shards whose own audits passed are searched again if another pair of the label missed something."""
+
+    def blind(batches):
+        from arborlake.llm import hnsw
+
+        kept = hnsw.missed, hnsw._walked
+        hnsw.missed = lambda graph, exact, queries: int(queries is exact)
+        hnsw._walked = lambda graph, exact, queries, least: np.zeros((len(queries), len(exact)), bool)
+        try:
+            yield from hnsw._search(batches)
+        finally:
+            hnsw.missed, hnsw._walked = kept
+
+    monkeypatch.setattr(hw, "_search", blind)
+    vectors = few_links(400, 40, 6)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(4)
+    unit = hw._unit(vectors)
+    want = ((unit @ unit.T >= 0.98).sum(axis=1) - 1).tolist()
+    assert {r.vec_id: r.n_links for r in hw.embedding_groups(table, 110).collect()} == dict(enumerate(want))
+
+
 def test_groups_match_brute_force(spark):
     vectors = clouds(700, 4)
     rows = [(3 * i + 5, v.tolist(), i % 3 if i % 50 else None) for i, v in enumerate(vectors)]
