@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -284,7 +284,8 @@ def repeats(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 def _shard(rows: pd.DataFrame) -> pd.DataFrame:
     """Repeats of one shard as runs; of a gram that is dealt out also its first strings, with their hash."""
-    rows = rows.sort_values(["doc", "low"])
+    # a row repeated under an id is not earlier than itself
+    rows = rows.drop_duplicates(["doc", "low", "text"]).sort_values(["doc", "low"])
     texts, doc, low = rows["text"].tolist(), rows["doc"].to_numpy(), rows["low"].to_numpy(np.int64)
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     place, later, data = repeats(texts)
@@ -316,14 +317,20 @@ def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "gram", "low", "text"])
 
 
-def _key() -> Column:
-    """Id of a document; documents without one come first and count as one."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+def _keyed(documents: DataFrame) -> DataFrame:
+    """The documents and, in ``_doc``, their id. Rows without one come first, each with a key of its own.
+
+    Those keys follow the order of hashed texts. They are written, so that a later read or a retry finds the same.
+    """
+    named = documents.filter("doc_id is not null").withColumn("_doc", F.col("doc_id").cast("long"))
+    ordered = documents.filter("doc_id is null").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
+    unnamed = ordered.withColumn("_doc", F.lit(-(1 << 63)) + F.monotonically_increasing_id())
+    return named.unionByName(cut_lineage(unnamed))
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
-    """``doc, low, high``: runs of starts of 100-byte strings that also start earlier."""
-    texts = documents.select(_key().alias("doc"), "text").filter(F.octet_length("text") >= LENGTH)
+    """``doc, low, high``: runs of starts of 100-byte strings that also start earlier; documents as keyed before."""
+    texts = documents.select(F.col("_doc").alias("doc"), "text").filter(F.octet_length("text") >= LENGTH)
     found = texts.mapInArrow(_find_spans, SPANS)
     ordered = found.repartition(partitions(documents), "gram").sortWithinPartitions("gram", "print", "doc", "low")
     settled = cut_lineage(ordered.mapInArrow(_settle_sorted, RUNS))
@@ -333,7 +340,7 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     sizes = doubt.groupBy("gram").agg(F.count("*").alias("n"))
     total = doubt.count()
     many = sizes.filter(F.col("n") > SHARD).select("gram", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks"))
-    by_doc = doubt.groupBy("doc").agg(F.collect_list(F.struct("gram", "low", "high")).alias("runs"))
+    by_doc = doubt.groupBy("doc").agg(F.collect_set(F.struct("gram", "low", "high")).alias("runs"))
     cut = texts.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(_cut_spans, "doc long, gram long, low int, text binary")
     shards = max(1, -(-total // SHARD))
     placed = cut.join(many, "gram", "left").withColumn("dealt", F.col("blocks").isNotNull())
@@ -367,16 +374,17 @@ def kept_bytes(text: str | None, runs: list | None) -> tuple[bytes, list[tuple[i
 
 def _with_runs(documents: DataFrame) -> DataFrame:
     """The documents and, in ``_runs``, what of them repeats."""
-    runs = repeated_runs(documents).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("low", "high")).alias("_runs"))
-    return documents.withColumn("_doc", _key()).join(runs, "_doc", "left").drop("_doc")
+    keyed = _keyed(documents)
+    runs = repeated_runs(keyed).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("low", "high")).alias("_runs"))
+    return keyed.join(runs, "_doc", "left").drop("_doc")
 
 
 def repeat_digests(documents: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
     Null texts are empty; texts below 100 bytes lose nothing. Rows under one id are the same document: equal
-    rows get equal results, and of different texts under an id each loses what was found for any of them. An
-    empty table gives an empty result.
+    rows get equal results, and of different texts under an id each loses what was found for any of them. Rows
+    without an id are documents of their own. An empty table gives an empty result.
     """
 
     @pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -91,3 +91,22 @@ def test_odd_rows(spark):
     assert rest.columns == docs.columns
     assert all(r.n_chars == len(r.text or "") for r in rest.collect())
     assert sx.repeat_digests(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_rows_without_id_lose_only_repeats(spark):
+    """A phrase of less than 100 bytes shared with another document puts spans in doubt, but nothing goes."""
+    rng = np.random.default_rng(8)
+    phrase = "".join(rng.choice(list("abcdefgh"), 90))
+    one, two, three, four = ("".join(rng.choice(list("klmnopqr"), 400)) for _ in range(4))
+    texts = [f"{x[:200]}{phrase}{x[200:]}" for x in (one, two, three)]
+    rows = [(1, texts[0])] * 3 + [(2, texts[1]), (None, texts[2]), (None, four + four[:150]), (None, four[::-1] + "z" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in sx.repeat_digests(docs).collect())
+    assert got == [(0, 490, 0), (0, 550, 150), (0, 700, 299), (1, 490, 0), (1, 490, 0), (1, 490, 0), (2, 490, 0)]
+
+
+def test_equal_rows_without_id_are_copies(spark):
+    text = "".join(chr(97 + (i * i * i + i) % 23) for i in range(200)) + "".join(np.random.default_rng(1).choice(list("uvwxyz"), 300))
+    docs = spark.createDataFrame([(None, text)] * 3, "doc_id long, text string")
+    got = sorted(r.n_removed for r in sx.repeat_digests(docs).collect())
+    assert got[1:] == [500, 500] and got[0] == plain_digests([(0, text)])[0][1]
