@@ -4,6 +4,9 @@ Every page scores its containers by the running text they hold outside menus, fo
 page votes for the generalised path (tags and classes, digits taken out) of its best container, with the length of
 the text as weight. Spark sums the votes of a host; the winning path is then used to extract all pages of the
 host again. A page without that path falls back to its own best container.
+
+The best container is only the start: an ancestor below the body that adds running text and nothing that is left out
+is taken in its place, so a title or lead beside the body of an article belongs to it.
 """
 
 from __future__ import annotations
@@ -56,6 +59,7 @@ class Page:
 
     def __init__(self, source: str | None) -> None:
         self.paths, self.parents, self.named, self.depth = [""], [-1], [False], [0]
+        self.left_out = [0]  # elements of a container that are left out
         self.blocks: list[tuple[str, int, int]] = []  # text, container, characters outside links
         self._stack: list[tuple[str, int, bool]] = []  # tag, container, left out
         self._out = self._link = 0
@@ -117,7 +121,10 @@ class Page:
         out = (out or tag in LEFT_OUT) and tag not in ("body", "html")
         if tag in ("p", "html") or tag[0] == "h" and tag[1:].isdigit():
             self._stack.append((tag, parent, out))  # a block, not a container
+            self.left_out[parent] += out
         else:
+            self.left_out[parent] += out
+            self.left_out.append(0)
             self.paths.append(f"{self.paths[parent]}/{tag}{'.' + classes if classes else ''}")
             self.parents.append(parent)
             self.named.append(named or tag in ("article", "main"))
@@ -151,11 +158,13 @@ class Page:
 
     def best(self) -> tuple[int, float]:
         """The container of the article and the length of its running text; -1 if the page has no text."""
-        inside = [0.0] * len(self.paths)
+        inside, size, without = [0.0] * len(self.paths), [0] * len(self.paths), list(self.left_out)
         for text, container, running in self.blocks:
             inside[container] += running + 0.01 * len(text)
+            size[container] += len(text)
         for node in range(len(self.paths) - 1, 0, -1):  # children come after their parents
-            inside[self.parents[node]] += inside[node]
+            for sums in (inside, size, without):
+                sums[self.parents[node]] += sums[node]
         if not inside[0]:
             return -1, 0.0
         named = [i for i, x in enumerate(inside) if self.named[i] and x >= NAMED_SHARE * inside[0]]
@@ -163,6 +172,11 @@ class Page:
             top = max(named, key=lambda i: (inside[i], i))
         else:  # the innermost that holds nearly all
             top = max((i for i, x in enumerate(inside) if x >= SHARE * inside[0]), key=lambda i: (self.depth[i], inside[i]))
+        above = self.parents[top]
+        while above > 0 and self.depth[above] > 1 and without[above] == without[top]:
+            if inside[above] - inside[top] > 0.5 * (size[above] - size[top]):  # not a list of links
+                top = above
+            above = self.parents[above]
         return top, inside[top]
 
     def text(self, path: str | None) -> str:

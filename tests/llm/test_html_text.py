@@ -45,3 +45,14 @@ def test_host_votes_decide_for_all_its_pages(spark):
     assert texts[6] == "" and texts[None] == "" and texts[7] == "Else"
     assert all(r.n_chars == len(r.text) for r in got)
     assert main_texts(pages.limit(0)).count() == 0
+
+
+def test_title_and_lead_beside_the_body_belong_to_the_article():
+    lead, body = "lead words " * 15, "body words " * 80
+    links = "<ul>" + "<li><a href='/'>Another page</a></li>" * 5 + "</ul>"
+    for outer, inner in (("div class='page'", "div class='b'"), ("div", "div class='post-text'")):
+        article = f"<{outer}><h1>Title</h1><p>{lead}</p><{inner}><p>{body}</p></div></div>"
+        want = f"Title\n{lead.strip()}\n{body.strip()}"
+        assert Page(f"<body><nav>Menu</nav>{article}<div class='tail'>Tail</div></body>").text(None) == want
+        assert Page(f"<body><div>{article}<div>{links}</div></div></body>").text(None) == want
+        assert Page(f"<body><div>{article}<p>More</p><div class='comments'>Reader</div></div></body>").text(None) == want
