@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import hnsw, html_text, language, merkle, mixing, packing, quality, simhash, suffixes, toxicity
+from arborlake.llm import filter_audit, hnsw, html_text, language, merkle, mixing, packing, quality, simhash, suffixes, toxicity
 from arborlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,50 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+with texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+firsts as (select t, min(doc_id) as first from texts group by t),
+marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from texts),
+fails as (
+  select x.doc_id, x.part, coalesce(m.good, 0) as good, coalesce(m.toxic, 0) as toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(x.t, '[^A-Z]', '', 'g')) > 2 * length(x.t),
+     regexp_matches(x.t, '[#$%&*|]'), coalesce(x.doc_id > f.first, false)] as f
+  from words x join firsts f on f.t = x.t left join marks m on m.doc_id = x.doc_id
+),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l, unnest([1, 2, 3, 4, 5]) as i),
+orders as (
+  select [a.i, b.i, c.i, d.i, e.i] as o, a.l || b.l || c.l || d.l || e.l as filter_order
+  from letters a join letters b on b.i <> a.i join letters c on c.i not in (a.i, b.i)
+  join letters d on d.i not in (a.i, b.i, c.i) join letters e on e.i not in (a.i, b.i, c.i, d.i)
+),
+steps as (select o, filter_order, unnest([1, 2, 3, 4, 5]) as step from orders),
+cells as (select part, f, count(*) as n, sum(good) as good, sum(toxic) as toxic from fails group by part, f),
+seen as (
+  select part, filter_order, step, o[step] as i, n, good, toxic, f[o[step]] as hit,
+    list_bool_or(list_transform(o[1:step - 1], lambda j: f[j])) as earlier,
+    len(list_filter(f, lambda b: b)) = 1 and f[o[step]] as alone
+  from cells cross join steps
+),
+counted as (
+  select part, filter_order, step, i,
+    sum(case when not hit and not coalesce(earlier, false) then n else 0 end) as kept,
+    sum(case when hit and not coalesce(earlier, false) then n else 0 end) as removed,
+    sum(case when hit and coalesce(earlier, false) then n else 0 end) as redundant,
+    sum(case when alone then n else 0 end) as unique_fails,
+    sum(case when hit and not coalesce(earlier, false) then good else 0 end) as good_lost,
+    sum(case when hit and not coalesce(earlier, false) then toxic else 0 end) as toxic_lost
+  from seen group by part, filter_order, step, i
+)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, i) as bigint) as shapley
+from counted
+"""
