@@ -69,7 +69,7 @@ def failure_masks(documents: DataFrame, labels: DataFrame) -> DataFrame:
         mask_of(failures).alias("mask"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
     ))
-    copied = (
+    copied = cut_lineage(  # written, so that a digest shared by many rows can be split in the join
         narrow.filter("doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     )
