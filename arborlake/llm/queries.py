@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import filter_audit, hnsw, html_text, language, merkle, mixing, packing, quality, simhash, suffixes, toxicity
+from arborlake.llm import filter_audit, hnsw, html_text, language, merkle, mixing, packing, quality, sentence_pieces, simhash, suffixes, toxicity
 from arborlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ select part, filter_order, cast(step as integer) as step, cast(kept as bigint) a
   cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, i) as bigint) as shapley
 from counted
 """
+
+
+@query
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"))
