@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from arborlake.llm.common import slices
 
 MODEL = "piece_bpe_32k.model"
-CACHED_CHUNKS = 250_000  # chunks a worker remembers, of at most so many characters
+CACHED_CHUNKS = 200_000  # chunks a worker remembers, of at most so many characters
 LONGEST_CACHED = 64
 NEVER = float("inf")
 MARK = "▁"  # stands for a space in pieces
@@ -320,44 +320,49 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
 
 
-def encode_pieces(documents: DataFrame, model: str = MODEL) -> DataFrame:
+def encode_pieces(documents: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFrame:
     """``doc_id, ids, starts, ends``: piece ids of every whole text, and the bytes of its UTF-8 that each stands for.
 
     Of a character that is spelled in byte pieces, the last one has the character's bytes and the others none.
+    ``decoded`` adds the text that the ids stand for, from the same worker.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept("encoders", model, lambda: PieceEncoder(read_model(model)))
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 128):
             found = [encoder(text.as_py() or "") for text in batch.column(1)]
-            yield pa.record_batch(
-                [batch.column(0), *(_lists([f[i] for f in found]) for i in range(3))], ["doc_id", "ids", "starts", "ends"]
-            )
+            columns = {"doc_id": batch.column(0)} | {c: _lists([f[i] for f in found]) for i, c in enumerate(("ids", "starts", "ends"))}
+            if decoded:
+                columns["decoded"] = pa.array([decoder(model).decode(f[0].tolist()) for f in found], pa.string())
+            yield pa.record_batch(columns)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(encode, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    shape = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
+    return texts.mapInArrow(encode, shape + ", decoded string" * decoded)
+
+
+def decoder(model: str):
+    import sentencepiece
+
+    return kept("decoders", model, lambda: sentencepiece.SentencePieceProcessor(model_proto=read_model(model)))
 
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Adds ``decoded``, the text that the ids stand for; null for null ids."""
+    """Adds ``decoded``, the text that the array ``ids`` stands for; null for null ids."""
 
     @F.arrow_udf("string")
-    def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import sentencepiece
-
-        processor = kept("decoders", model, lambda: sentencepiece.SentencePieceProcessor(model_proto=read_model(model)))
-        for ids in parts:
-            yield pa.array([None if row is None else processor.decode(row) for row in ids.to_pylist()], pa.string())
+    def decode(ids: pa.Array) -> pa.Array:
+        return pa.array([None if row is None else decoder(model).decode(row) for row in ids.to_pylist()], pa.string())
 
     return encoded.withColumn("decoded", decode("ids"))
 
 
 def piece_digests(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """Per row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and ``n_spanned``, the text's bytes behind pieces."""
-    pieces = decode_pieces(encode_pieces(documents, model), model)
+    """Per row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and ``n_bytes``, where the last piece ends."""
+    pieces = encode_pieces(documents, model, decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    spanned = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0), lambda a, x: a + x)
     return pieces.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), spanned.cast("long").alias("n_spanned"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
     )
