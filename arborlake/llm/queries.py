@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import filter_audit, hnsw, html_text, language, merkle, mixing, packing, quality, sentence_pieces, simhash, suffixes, toxicity
+from arborlake.llm import (
+    conversation_trie,
+    filter_audit,
+    hnsw,
+    html_text,
+    language,
+    merkle,
+    mixing,
+    packing,
+    quality,
+    sentence_pieces,
+    simhash,
+    suffixes,
+    toxicity,
+)
 from arborlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +166,61 @@ from counted
 @query
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_conversation_trie"] = """
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+  from conversations where conv_id is not null
+),
+ids as (select conv_id, cast(conv_id as varchar) as digits from turns group by conv_id),
+crc as (
+  select conv_id, conv_id - conv_id % 5 as base,
+    xor(list_reduce(
+      list_concat([cast(4294967295 as bigint)], flatten(list_transform(string_split(digits, ''), lambda c: list_concat([cast(ascii(c) as bigint)], list_transform(range(8), lambda i: cast(-1 as bigint)))))),
+      lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, cast(3988292384 as bigint)) else a // 2 end
+    ), cast(4294967295 as bigint)) % 9 as h
+  from ids
+),
+joined as (
+  select c.conv_id, 0 as own, t.pos, t.role, t.text from crc c join turns t on t.conv_id = c.base and t.pos <= c.h
+  union all
+  select c.conv_id, 1 as own, t.pos, t.role, t.text from crc c join turns t on t.conv_id = c.conv_id and t.pos > c.h
+),
+rebuilt as (
+  select conv_id, row_number() over w as depth, strlen(text) as n_bytes,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text || ';', '') over (w rows between unbounded preceding and current row) as prefix
+  from joined window w as (partition by conv_id order by own, pos)
+),
+paths as (
+  select conv_id, depth, n_bytes, prefix from rebuilt
+  union all select conv_id, 0, 0, '' from crc
+),
+lengths as (select conv_id, max(depth) as len from paths group by conv_id),
+nodes as (
+  select p.prefix, p.depth, min(p.conv_id) as conv_id, count(*) as n_convs, max(p.n_bytes) as n_bytes,
+    sha256(coalesce(string_agg(cast(p.conv_id as varchar), ',' order by p.conv_id) filter (where l.len = p.depth), '')) as ends_sha256
+  from paths p join lengths l on l.conv_id = p.conv_id group by p.prefix, p.depth
+),
+parents as (
+  select n.prefix, n.depth, p.prefix as above, p.conv_id as parent_conv_id
+  from nodes n left join nodes p on p.depth = n.depth - 1 and starts_with(n.prefix, p.prefix)
+),
+children as (select above, depth - 1 as depth, count(*) as n from parents where above is not null group by above, depth),
+below as (
+  select n.prefix, n.depth, sum((m.n_convs - 1) * m.n_bytes) as saved, sum(case when c.n is null then 1 else 0 end) as leaves
+  from nodes n join nodes m on m.depth >= n.depth and starts_with(m.prefix, n.prefix)
+  left join children c on c.above = m.prefix and c.depth = m.depth
+  group by n.prefix, n.depth
+)
+select n.conv_id, cast(n.depth as bigint) as depth, p.parent_conv_id, cast(n.n_convs as bigint) as n_convs, cast(coalesce(c.n, 0) as bigint) as n_children,
+  cast(b.leaves as bigint) as n_leaves, cast(b.saved as bigint) as saved_tokens, n.ends_sha256
+from nodes n join parents p on p.prefix = n.prefix and p.depth = n.depth
+left join children c on c.above = n.prefix and c.depth = n.depth join below b on b.prefix = n.prefix and b.depth = n.depth
+"""
