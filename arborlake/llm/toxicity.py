@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The vocabulary is the words whose presence goes with the label beyond chance on the learning rows; their document
-frequencies are counted over all documents. Examples are unit TF-IDF vectors over that vocabulary in an inverted
-index. Examples with the same leading words stand together and are cut into blocks; for every word and block the
-index keeps the largest weight. The sum of a query's weights times these maxima bounds every cosine in a block,
-so blocks are visited from the highest bound down and those whose bound falls below the k-th best are left out.
-The result is exact: no example that ties with or beats the k-th is passed over.
-
-Neighbours vote with their cosine. The scale from votes to probabilities comes from the examples' own votes, each
-without itself. The nearest examples are returned as evidence.
+Every word of the learning rows is in the index. Its weight is its inverse document frequency, counted over all
+documents, raised for words whose presence goes with the label beyond chance. Examples are unit vectors in an
+inverted index; examples with the same leading words stand together and are cut into blocks. For a query, the words
+that few examples have are summed up first. For the others the index keeps the largest weight in every block: the
+sum of a query's weights times these maxima, on top of the block's largest sum so far, bounds every cosine in the
+block. The block of the highest bound sets the bar, and blocks whose bound stays below it are left out. The result
+is exact: no example that ties with or beats the k-th is passed over.
+
+Neighbours vote by their distance, so an equal text outvotes all chance likenesses. The scale from votes to
+probabilities comes from the examples' own votes, each without itself. The nearest examples are returned as evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -22,18 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType
 
 from arborlake.llm.common import calibrate, held_out, learning_rows
 
-EXAMPLES = 8000  # bound of the labelled sample
+EXAMPLES = 6000  # bound of the labelled sample
 NEIGHBOURS = 15
-BLOCK = 64  # examples of one block
-MIN_ROWS = 3  # least learning rows of a vocabulary word
-ASSOCIATION = 16.0  # least likelihood ratio of a vocabulary word
-FALLBACK_WORDS = 32  # the most associated words, where none reaches that ratio
+BLOCK = 128  # examples of one block
+COMMON = 64  # examples from which on a word has block maxima
+ASSOCIATION = 4.0  # likelihood ratio that doubles a word's weight
+NEAREST = 0.02  # least distance of a vote
 EVIDENCE = 3
-FIRST_BLOCKS = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,120 +42,144 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def vocabulary(texts: list[str], labels: np.ndarray) -> list[str]:
-    """Words associated with the label in either direction, by the likelihood ratio of presence against label."""
-    present: dict[str, list[int]] = {}
-    for text, y in zip(texts, labels.tolist()):
-        for word in set(words(text)):
-            present.setdefault(word, [0, 0])[y] += 1
-    kept = sorted(w for w, (a, b) in present.items() if a + b >= min(MIN_ROWS, len(texts)))
-    if not kept:
-        return []
-    seen = np.array([present[w] for w in kept], float)
-    size = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+def association(seen: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Likelihood ratio of words being present against the label; ``seen``: words x labels, ``size``: rows by label."""
     cells = np.stack([seen, size - seen], axis=2)  # word, label, present or absent
-    expected = cells.sum(axis=1, keepdims=True) * cells.sum(axis=2, keepdims=True) / size.sum()
+    expected = cells.sum(axis=1, keepdims=True) * cells.sum(axis=2, keepdims=True) / max(1.0, size.sum())
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * np.where(cells > 0, cells * np.log(cells / expected), 0).sum(axis=(1, 2))
-    order = np.lexsort((np.arange(len(kept)), -ratio))
-    return [kept[i] for i in order if ratio[i] >= ASSOCIATION] or [kept[i] for i in order[:FALLBACK_WORDS]]
+        return 2 * np.where(cells > 0, cells * np.log(cells / expected), 0).sum(axis=(1, 2))
 
 
 @dataclass
 class ToxicityIndex:
     """Block-max inverted index of labelled examples with calibrated votes."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
+    place: dict[str, int]
+    weight: np.ndarray  # by word
     ids: np.ndarray  # example ids in block order
     labels: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per term: examples, weights, start of each block
-    most: np.ndarray  # terms x blocks: largest weight
+    examples: np.ndarray  # postings by word, in block order: example and weight
+    weights: np.ndarray
+    starts: np.ndarray  # by word: where its postings begin
+    common: np.ndarray  # by word: its row in the block tables, or -1
+    most: np.ndarray  # common words x blocks: largest weight
+    cuts: np.ndarray  # common words x blocks + 1: where the block's postings begin
     none: float  # probability where no example is near
     scale: tuple[float, float] = (1.0, 0.0)
     known: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, texts: list[str], labels: np.ndarray, ids: np.ndarray, terms: list[str], frequency: np.ndarray, total: int) -> ToxicityIndex:
-        place = {w: i for i, w in enumerate(terms)}
-        idf = np.log((1 + total) / (1 + frequency)) + 1
-        vectors = [cls._vector(t, place, idf) for t in texts]
-        lead = [(tuple(v[0][np.argsort(-v[1], kind="stable")].tolist()), int(i)) for v, i in zip(vectors, ids)]
-        order = sorted(range(len(texts)), key=lambda i: lead[i])
-        blocks = -(-max(1, len(texts)) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for at, i in enumerate(order):
-            for term, weight in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                postings[term].append((at, weight))
-        lists, most = [], np.zeros((len(terms), blocks))
-        for term, own in enumerate(postings):
-            where, weight = np.array([p for p, _ in own], np.int64), np.array([w for _, w in own], float)
-            np.maximum.at(most[term], where // BLOCK, weight)
-            lists.append((where, weight, np.searchsorted(where, np.arange(blocks + 1) * BLOCK)))
-        ordered = labels[order] if len(order) else labels
-        alone = np.array([int(labels[i]) for i in range(len(texts)) if not len(vectors[i][0])])
+    def build(cls, texts: list[str], labels: np.ndarray, ids: np.ndarray, total: int, frequency: dict[str, int]) -> ToxicityIndex:
+        """``frequency``: documents of ``total`` that have a word; unlisted words count by the examples alone."""
+        place: dict[str, int] = {}
+        counts = [[(place.setdefault(w, len(place)), n) for w, n in Counter(words(t)).items()] for t in texts]
+        own = [np.array(c, np.int64).reshape(-1, 2) for c in counts]
+        del counts
+        at = np.repeat(np.arange(len(own)), [len(c) for c in own])
+        where, times = np.concatenate([np.zeros((0, 2), np.int64), *own]).T
+        seen = np.stack([np.bincount(where[labels[at] == y], minlength=len(place)) for y in (0, 1)], axis=1).astype(float)
+        df = np.maximum(np.array([frequency.get(w, 0) for w in place], float), seen.sum(axis=1))
+        rarity = np.log1p((np.maximum(total, df) - df + 0.5) / (df + 0.5))
+        weight = rarity * (1 + association(seen, np.array([(labels == 0).sum(), (labels == 1).sum()], float)) / ASSOCIATION)
+        value = (1 + np.log(times)) * weight[where]
+        norm = np.sqrt(np.bincount(at, value**2, minlength=len(texts)))
+        value /= norm[at]
+
+        shared = seen.sum(axis=1) >= COMMON
+        order = cls._block_order(at[shared[where]], where[shared[where]], value[shared[where]], ids)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        by_word = np.lexsort((rank[at], where))
+        examples, weights = rank[at][by_word], value[by_word]
+        starts = np.searchsorted(where[by_word], np.arange(len(place) + 1))
+        rows = np.flatnonzero(shared)
+        common = np.full(len(place), -1)
+        common[rows] = np.arange(len(rows))
+        edges = np.arange(-(-max(1, len(texts)) // BLOCK) + 1) * BLOCK
+        most, cuts = np.zeros((len(rows), len(edges) - 1)), np.zeros((len(rows), len(edges)), np.int64)
+        for row, word in enumerate(rows.tolist()):
+            lo, hi = starts[word], starts[word + 1]
+            np.maximum.at(most[row], examples[lo:hi] // BLOCK, weights[lo:hi])
+            cuts[row] = lo + np.searchsorted(examples[lo:hi], edges)
+        alone = labels[norm == 0]
         rest = alone if len(alone) >= 20 else labels
-        index = cls(place, idf, ids[order] if len(order) else ids, ordered, lists, most, float((rest.sum() + 1) / (len(rest) + 2)))
-        index._calibrate([vectors[i] for i in order])
+        none = float((rest.sum() + 1) / (len(rest) + 2))
+        index = cls(place, weight, ids[order], labels[order], examples, weights, starts, common, most, cuts, none)
+        index._calibrate([texts[i] for i in order.tolist()])
         return index
 
     @staticmethod
-    def _vector(text: str | None, place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(place[w] for w in words(text) if w in place)
-        where = np.array(sorted(counts), np.int64)
-        weight = (1 + np.log(np.array([counts[i] for i in where.tolist()], float))) * idf[where]
+    def _block_order(at: np.ndarray, where: np.ndarray, value: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Examples by their three heaviest words among those that many have, then by id."""
+        sort = np.lexsort((where, -value, at))
+        at, where = at[sort], where[sort]
+        first = np.searchsorted(at, np.arange(len(ids) + 1))
+        lead = np.full((3, len(ids)), -1)
+        for i in range(3):
+            has = first[:-1] + i < first[1:]
+            lead[i, has] = where[first[:-1][has] + i]
+        return np.lexsort((ids, lead[2], lead[1], lead[0]))
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Known words of a text in ascending order, and their weights in a unit vector."""
+        found = [at for at in map(self.place.get, words(text)) if at is not None]
+        where, times = np.unique(np.array(found, np.int64), return_counts=True)
+        weight = (1 + np.log(times)) * self.weight[where]
         return where, weight / (np.sqrt((weight**2).sum()) or 1.0)
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` examples nearest to a unit vector; ties go to the earlier position."""
         where, weight = vector
-        bounds = weight @ self.most[where]
-        blocks = np.argsort(-bounds, kind="stable")
-        blocks = blocks[bounds[blocks] > 0]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        # a few blocks one by one set the bar, those that may still reach it are scored together
-        for group in [*blocks[:FIRST_BLOCKS, None], blocks[FIRST_BLOCKS:]]:
-            if len(best) == k:
-                group = group[bounds[group] >= best[-1] - 1e-12]
-            if not len(group):
-                break
-            at, total = self._score(where, weight, group)
-            keep = at != without
-            best_at, best = np.concatenate([best_at, at[keep]]), np.concatenate([best, total[keep]])
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
-
-    def _score(self, where: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of some blocks that share a word with the query, and their cosines."""
-        low, high = int(blocks.min()), int(blocks.max()) + 1
-        total = np.zeros((high - low) * BLOCK)
-        for term, w in zip(where.tolist(), weight.tolist()):
-            examples, weights, starts = self.lists[term]
-            lo, hi = starts[low], starts[high]
+        row = self.common[where]
+        rare, shared = row < 0, row >= 0
+        base = self._sum_rare(where[rare], weight[rare])
+        row, weight = row[shared], weight[shared]
+        bounds = base.reshape(-1, BLOCK).max(axis=1) + weight @ self.most[row]
+        top = int(bounds.argmax())
+        at, cosine = self._best(base, row, weight, top, top + 1, k, without)
+        bar = cosine[-1] - 1e-9 if len(at) == k else 1e-12
+        open_ = np.flatnonzero(bounds >= bar)
+        if len(open_) and (len(open_) > 1 or open_[0] != top):
+            at, cosine = self._best(base, row, weight, int(open_[0]), int(open_[-1]) + 1, k, without)
+        return at, cosine
+
+    def _sum_rare(self, where: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The part of every example's cosine that comes from words without block maxima."""
+        low, high = self.starts[where], self.starts[where + 1]
+        sizes = high - low
+        take = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else low, sizes) + np.arange(sizes.sum())
+        total = np.bincount(self.examples[take], self.weights[take] * np.repeat(weight, sizes), minlength=self.most.shape[1] * BLOCK)
+        return total.astype(float)  # counts of nothing are whole numbers
+
+    def _best(self, base: np.ndarray, row: np.ndarray, weight: np.ndarray, low: int, high: int, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best examples of a run of blocks that share a word with the query."""
+        total, shift = base.copy(), low * BLOCK
+        examples, weights = self.examples, self.weights
+        for w, lo, hi in zip(weight.tolist(), self.cuts[row, low].tolist(), self.cuts[row, high].tolist()):
             if hi > lo:
-                total[examples[lo:hi] - low * BLOCK] += w * weights[lo:hi]
-        if len(blocks) < high - low:
-            open_ = np.zeros(high - low, bool)
-            open_[blocks - low] = True
-            total.reshape(-1, BLOCK)[~open_] = 0
-        total = np.round(total, 12)
-        found = np.nonzero(total)[0]
-        return found + low * BLOCK, total[found]
+                total[examples[lo:hi]] += w * weights[lo:hi]
+        total = np.round(total[shift : high * BLOCK], 12)
+        if low * BLOCK <= without < high * BLOCK:
+            total[without - shift] = 0
+        found = np.flatnonzero(total)
+        if len(found) > k:
+            found = found[total[found] >= np.partition(total[found], -k)[-k]]
+        found = found[np.lexsort((found, -total[found]))[:k]]
+        return found + shift, total[found]
 
     def _vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Log odds of the neighbours' votes, smoothed by the rate without any neighbour."""
-        p = ((cosine * self.labels[at]).sum() + self.none) / (cosine.sum() + 1)
+        votes = cosine / (1 + NEAREST - np.minimum(cosine, 1))
+        p = ((votes * self.labels[at]).sum() + self.none) / (votes.sum() + 1)
         return float(np.log(p / (1 - p)))
 
-    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def _calibrate(self, texts: list[str]) -> None:
         votes, labels = [], []
-        for i, v in enumerate(vectors):
-            if len(v[0]):
-                at, cosine = self.nearest(v, without=i)
-                if len(at):
-                    votes.append(self._vote(at, cosine))
-                    labels.append(int(self.labels[i]))
+        for i, text in enumerate(texts):
+            at, cosine = self.nearest(self.vector(text), without=i)
+            if len(at):
+                votes.append(self._vote(at, cosine))
+                labels.append(int(self.labels[i]))
         if len(set(labels)) == 2:
             slope, offset = calibrate(np.array(votes), np.array(labels))
             if slope > 0:
@@ -163,42 +187,43 @@ class ToxicityIndex:
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Probability of the label, and ids and cosines of the nearest examples."""
-        vector = self._vector(text, self.terms, self.idf)
+        vector = self.vector(text)
         if not len(vector[0]):
             return self.none, [], []
-        key = vector[0].tobytes() + np.round(vector[1], 12).tobytes()
+        key = hashlib.blake2b(vector[0].tobytes() + np.round(vector[1], 12).tobytes(), digest_size=16).digest()
         if key not in self.known:
             at, cosine = self.nearest(vector)
             margin = self.scale[0] * self._vote(at, cosine) + self.scale[1]
             answer = (float(1 / (1 + np.exp(-margin))) if len(at) else self.none, self.ids[at[:EVIDENCE]].tolist(), cosine[:EVIDENCE].tolist())
-            if len(self.known) > 50_000:  # answers of frequent vectors; bounded
+            if len(self.known) > 10_000:  # answers of frequent vectors; bounded
                 self.known.clear()
             self.known[key] = answer
         return self.known[key]
 
 
+def document_frequency(documents: DataFrame, vocabulary: set[str]) -> dict[str, int]:
+    """Number of documents with each word of a vocabulary, whose size bounds the broadcast and the result."""
+    if not vocabulary:
+        return {}
+    known = documents.sparkSession.createDataFrame(pd.DataFrame({"word": sorted(vocabulary)}))
+    present = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nl}\p{No}]+"))
+    counted = documents.select(F.explode(present).alias("word")).join(F.broadcast(known), "word").groupBy("word").count()
+    counts = counted.toPandas()
+    return dict(zip(counts["word"].tolist(), counts["count"].tolist()))
+
+
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = EXAMPLES) -> ToxicityIndex:
     """The index over at most ``bound`` labelled rows outside the held-out fold; word frequencies are of all documents."""
     rows = learning_rows(documents, labels, label, bound).toPandas().sort_values("doc_id")
-    y = rows["y"].to_numpy(np.int64)
-    terms = vocabulary(rows["text"].tolist(), y)
-    place = {w: i for i, w in enumerate(terms)}
-
-    @pandas_udf(ArrayType(LongType()))
-    def present(text: pd.Series) -> pd.Series:
-        return pd.Series([sorted({place[w] for w in words(t) if w in place}) for t in text])
-
-    counted = documents.select(F.explode(present("text")).alias("term")).groupBy("term").count()
-    frequency = np.zeros(len(terms))
-    for r in counted.collect():  # at most one row for each vocabulary word
-        frequency[r.term] = r["count"]
-    return ToxicityIndex.build(rows["text"].tolist(), y, rows["doc_id"].to_numpy(np.int64), terms, frequency, documents.count())
+    texts = rows["text"].tolist()
+    frequency = document_frequency(documents, {w for t in texts for w in words(t)})
+    return ToxicityIndex.build(texts, rows["y"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64), documents.count(), frequency)
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence_ids, evidence_cosines`` for every row; only the text is looked at.
 
-    A text without vocabulary words, null and empty texts included, gets the rate of such examples and no
+    A text without a word of any example, null and empty texts included, gets the rate of such examples and no
     evidence. Repeated rows are all scored, an empty table gives an empty result, and without learning rows
     every score is one half.
     """

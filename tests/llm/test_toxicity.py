@@ -19,32 +19,54 @@ def sample(n, seed):
 
 
 @pytest.mark.parametrize("k", [1, 7, 40])
-def test_nearest_is_exact(k):
+@pytest.mark.parametrize("common", [1, 40, 10_000])
+def test_nearest_is_exact(k, common, monkeypatch):
+    monkeypatch.setattr(tx, "COMMON", common)
+    monkeypatch.setattr(tx, "BLOCK", 16)
     texts, labels = sample(500, 1)
-    terms = BAD + FINE
-    counts = np.array([sum(w in t.split() for t in texts) for w in terms], float)
-    index = tx.ToxicityIndex.build(texts, labels, np.arange(500) * 3, terms, counts, 500)
-    place = {w: i for i, w in enumerate(terms)}
-    dense = np.zeros((500, len(terms)))
+    counts = {w: sum(w in t.split() for t in texts) + 7 for w in BAD + FINE}
+    index = tx.ToxicityIndex.build(texts, labels, np.arange(500) * 3, 600, counts)
+    dense = np.zeros((500, len(index.place)))
     for at, doc in enumerate(index.ids // 3):
-        where, weight = index._vector(texts[doc], place, index.idf)
+        where, weight = index.vector(texts[doc])
         dense[at, where] = weight
+    assert np.allclose(np.linalg.norm(dense, axis=1), 1)
     for query in ["vile", "foul vile worda", FINE[0] * 2 + " " + " ".join(FINE[:9]), *sample(40, 2)[0]]:
-        where, weight = vector = index._vector(query, place, index.idf)
+        where, weight = vector = index.vector(query)
         if not len(where):
             continue
-        exact = np.round(dense[:, where] @ weight, 12)
+        exact = np.round(dense[:, where] @ weight, 11)
         order = [i for i in np.lexsort((np.arange(500), -exact))[:k] if exact[i] > 0]
         at, cosine = index.nearest(vector, k)
-        assert np.allclose(cosine, exact[order], atol=1e-11)
-        assert set(at.tolist()) == set(order) or np.isclose(exact[order][-1], cosine[-1], atol=1e-11)
+        assert np.allclose(cosine, exact[order], atol=1e-10)
+        assert set(at.tolist()) == set(order) or np.isclose(exact[order][-1], cosine[-1], atol=1e-10)
 
 
-def test_vocabulary_takes_words_that_go_with_the_label():
+def test_every_word_is_indexed_and_those_with_the_label_weigh_more():
     texts, labels = sample(600, 3)
-    chosen = tx.vocabulary(texts, labels)
-    assert set(BAD) == set(chosen[:3])
-    assert tx.vocabulary([], np.zeros(0, int)) == []
+    index = tx.ToxicityIndex.build(texts, labels, np.arange(600), 600, {})
+    assert set(index.place) == {w for t in texts for w in t.split()}
+    heavy = sorted(index.place, key=lambda w: -index.weight[index.place[w]])[:3]
+    assert set(heavy) == set(BAD)
+    plain = np.array([[10, 0], [3, 7]], float)
+    assert np.allclose(tx.association(plain, np.array([10.0, 10.0])), [2 * 20 * np.log(2), 2 * (3 * np.log(3 / 5) + 7 * np.log(7 / 5)) * 2], atol=8)
+
+
+def test_copy_of_a_toxic_example_without_telling_words():
+    texts, labels = sample(400, 5)
+    texts.append("a remark that nobody else would make about zebras and umbrellas")
+    labels = np.append(labels, 1)
+    index = tx.ToxicityIndex.build(texts, labels, np.arange(401), 401, {})
+    score, near, cosine = index.score(texts[-1])
+    assert score >= 0.5 and near[0] == 400 and abs(cosine[0] - 1) < 1e-9
+    assert index.score("never seen")[1] == [] == index.score(None)[1]
+
+
+def test_document_frequency_is_of_all_documents(spark):
+    rows = [("Vile vile, ROT\u00c9 x9y m\u00b2",), ("rot\u00e9 y",), (None,), ("",), ("y " * 600_000,)]
+    docs = spark.createDataFrame(rows, "text string")
+    assert tx.document_frequency(docs, {"vile", "rot\u00e9", "y", "m\u00b2", "none"}) == {"vile": 1, "rot\u00e9": 2, "y": 3, "m\u00b2": 1}
+    assert tx.document_frequency(docs, set()) == {}
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
