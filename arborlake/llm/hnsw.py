@@ -2,11 +2,13 @@
 
 Equal vectors of a label are collapsed to one with a count. A label's vectors are dealt by hash into shards of
 bounded size, each with a graph of its own, and every vector is searched in its own shard and in all others, so
-that every pair is met from both sides. Searches walk many queries at once. A query that meets anything near the
-threshold is compared with its whole shard by cosine in double precision. Before a search some queries of either
-side are audited: if a walk misses any of their nearest nodes, linked or not, the pair of shards is scanned, and so
-are in the end all pairs of a label of which any audit missed one. At the size of a shard a scan costs less than a
-wider beam.
+that every pair is met from both sides. Searches walk many queries at once with a beam of the best nodes met.
+
+Before a search some queries are audited: their true nearest nodes, linked or not, are compared with those that
+their walks meet. While too few are met, the beam is doubled and the audit repeated; a beam of the whole shard
+meets every node. The nodes of the beams are candidates; links are those whose cosine in double precision reaches
+the threshold. A query whose full beam lies above the threshold is walked again with wider beams of its own. The
+recall of the last audits is returned with the vectors.
 
 A task hands on, for each vector, the number of its links and one link to the least vector it is joined with, so
 groups of any size pass through without their pairs.
@@ -26,16 +28,17 @@ from arborlake.operators.graph import components
 from arborlake.session import cut_lineage
 
 LEAST = 0.98
-SHARD = 8192  # vectors of one graph
+SHARD = 8192  # vectors of one graph, fewer if they are long
+SHARD_BYTES = 32 << 20
 NEIGHBOURS = 16  # links of a node; twice as many on the ground layer
-BEAM = 48  # width of a search
+BEAM = 48  # width of a search to begin with
 BUILD_BEAM = 64
 BATCH = 256  # queries that walk together
 STEP = 4  # nodes that a query expands at once
 AUDIT = 64  # queries of each side that are compared with a scan
-NEAREST = 10  # nodes that the walk of an audited query has to meet
+NEAREST = 10  # nodes that the walk of an audited query should meet
+RECALL = 0.98  # share of them that has to be met before a beam is wide enough
 SINGLE = 1e-5  # error of a cosine in single precision, at most
-NEAR = 0.1  # a query that meets a cosine this little below the threshold is scanned
 
 
 class Graph:
@@ -197,56 +200,60 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return exact / np.sqrt((exact**2).sum(axis=1, keepdims=True))
 
 
-def missed(graph: Graph, exact: np.ndarray, queries: np.ndarray) -> int:
-    """Number of nearest nodes that the walks of some queries do not meet. A query always has nearest nodes."""
-    audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    most = min(NEAREST, BEAM, len(exact))
-    cosines = graph.search(queries[audited].astype(np.float32), BEAM)[1][:, :most]
-    best = -np.sort(-(queries[audited] @ exact.T), axis=1)[:, :most]
-    return int((cosines < best - SINGLE).sum())
-
-
-def linked(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float = LEAST) -> np.ndarray:
-    """Table of queries x nodes: whether their cosine reaches ``least``.
+def audit(graph: Graph, exact: np.ndarray, queries: np.ndarray, recall: float = RECALL) -> tuple[int, float]:
+    """The beam at which walks meet enough of the nearest nodes, and the share they meet.
 
-    ``exact`` and ``queries`` are unit vectors in double precision.
+    ``exact`` and ``queries`` are unit vectors in double precision. A query always has nearest nodes, so the audit
+    does not depend on how many links there are.
+    """
+    chosen = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
+    most = min(NEAREST, len(exact))
+    best = -np.sort(-(queries[chosen] @ exact.T), axis=1)[:, :most]
+    beam, met = BEAM, 0.0
+    while beam < len(exact):
+        cosines = graph.search(queries[chosen].astype(np.float32), beam)[1][:, :most]
+        met = float((cosines >= best - SINGLE).mean())
+        if met >= recall:
+            return beam, met
+        beam *= 2
+    return len(exact), 1.0
+
+
+def linked(graph: Graph, exact: np.ndarray, queries: np.ndarray, beam: int, least: float = LEAST) -> np.ndarray:
+    """Table of queries x nodes: links among the candidates of walks with a beam.
+
+    A query whose beam is full of links may have more: it is walked again with twice the beam.
     """
-    every = np.arange(len(queries))
-    if len(exact) <= BEAM or missed(graph, exact, queries):
-        return _scan(exact, queries, every, least)
-    return _walked(graph, exact, queries, least)
-
-
-def _walked(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
-    """The same by walks; those that meet something near the threshold are followed by a scan."""
-    ids, cosines = graph.search(queries.astype(np.float32), BEAM)
-    own = queries is exact  # then a query is not near to itself
-    every = np.arange(len(queries))
-    best = (np.where(ids == every[:, None], -2, cosines) if own else cosines).max(axis=1)
-    hits = _scan(exact, queries, np.nonzero(best >= least - NEAR)[0], least)
-    if own:
-        np.fill_diagonal(hits, True)
-    return hits
-
-
-def _scan(exact: np.ndarray, queries: np.ndarray, chosen: np.ndarray, least: float) -> np.ndarray:
     hits = np.zeros((len(queries), len(exact)), bool)
-    for lo in range(0, len(chosen), BATCH):
-        part = chosen[lo : lo + BATCH]
-        hits[part] = queries[part] @ exact.T >= least
+    open_ = np.arange(len(queries))
+    while len(open_):
+        if beam >= len(exact):  # the beam holds every node
+            for lo in range(0, len(open_), BATCH):
+                part = open_[lo : lo + BATCH]
+                hits[part] = queries[part] @ exact.T >= least
+            break
+        full = np.zeros(len(open_), bool)
+        for lo in range(0, len(open_), BATCH):
+            part = open_[lo : lo + BATCH]
+            ids, cosines = graph.search(queries[part].astype(np.float32), beam)
+            near = (ids >= 0) & (cosines >= least - SINGLE)
+            row, place = np.nonzero(near)
+            node = ids[row, place]
+            hits[part[row], node] = np.einsum("ij,ij->i", queries[part[row]], exact[node]) >= least
+            full[lo : lo + BATCH] = near.all(axis=1)
+        open_, beam = open_[full], 2 * beam
     return hits
 
 
-def joint_links(left: tuple[Graph, np.ndarray], right: tuple[Graph, np.ndarray] | None, least: float = LEAST, scan: bool = False) -> tuple[np.ndarray, bool, int]:
-    """Links of two shards, or of one with itself, searched from both sides; whether by walks; nodes that audits missed."""
+def joint_links(left: tuple[Graph, np.ndarray], right: tuple[Graph, np.ndarray] | None, least: float = LEAST) -> tuple[np.ndarray, int, float]:
+    """Links of two shards, or of one with itself, searched from both sides; the widest beam and the least recall."""
     to = right or left
-    sides = [(*to, left[1])] + ([(*left, right[1])] if right else [])
-    scan = scan or any(len(exact) <= BEAM for _, exact, _ in sides)
-    lost = 0 if scan else sum(missed(*side) for side in sides)
-    if scan or lost:
-        return _scan(to[1], left[1], np.arange(len(left[1])), least), False, lost
-    hits = _walked(*sides[0], least)
-    return hits | (_walked(*sides[1], least) if right else hits).T, True, 0
+    beam, recall = audit(*to, left[1])
+    hits = linked(*to, left[1], beam, least)
+    if right is None:
+        return hits | hits.T, beam, recall
+    back, met = audit(*left, right[1])
+    return hits | linked(*left, right[1], back, least).T, max(beam, back), min(recall, met)
 
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
@@ -279,82 +286,85 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, copies, exact, graph = _load(row["left"])
             own = row["left"]["shard"] == row["right"]["shard"]
             to_ids, to_copies, to_exact, to_graph = _load(row["right"])
-            hits, walked, lost = joint_links((graph, exact), None if own else (to_graph, to_exact), scan=row["scan"])
+            hits, beam, recall = joint_links((graph, exact), None if own else (to_graph, to_exact))
             if own:
                 np.fill_diagonal(hits, False)
-                links = hits @ to_copies
-                nodes, shift = ids, 0
-            else:
-                links = np.concatenate([hits @ to_copies, hits.T @ copies])
-                nodes, shift = np.concatenate([ids, to_ids]), len(ids)
+            nodes, shift = (ids, 0) if own else (np.concatenate([ids, to_ids]), len(ids))
+            links = np.zeros(len(nodes), np.int64)
             root = np.arange(len(nodes))
             order = np.argsort(nodes, kind="stable")  # roots are the least ids
             rank = np.empty(len(nodes), np.int64)
             rank[order] = np.arange(len(nodes))
             for lo in range(0, len(ids), BATCH):
                 a, b = np.nonzero(hits[lo : lo + BATCH])
+                np.add.at(links, a + lo, to_copies[b])
+                if not own:
+                    np.add.at(links, b + shift, copies[a + lo])
                 known = np.nonzero(root != np.arange(len(nodes)))[0]
                 root = roots_of(len(nodes), np.concatenate([known, rank[a + lo]]), np.concatenate([root[known], rank[b + shift]]))
             some = np.nonzero(links)[0]
             pair = {"label": row["label"], "dim": row["dim"], "a": row["left"]["shard"], "b": row["right"]["shard"]}
-            told = pd.DataFrame([{**pair, "walked": walked, "lost": lost}])
+            told = pd.DataFrame([{**pair, "beam": beam, "recall": recall}])
             out = pd.DataFrame({"rid": nodes[some], "links": links[some], "root": nodes[order][root[rank[some]]]}).assign(**pair)
-            yield pd.concat([told, out]).astype({"rid": "Int64", "links": "Int64", "root": "Int64", "walked": "boolean", "lost": "Int64"})
+            yield pd.concat([told, out]).astype({"rid": "Int64", "links": "Int64", "root": "Int64", "beam": "Int64"})
 
 
 def embedding_groups(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row.
+    """``vec_id, n_links, component_id, kept, recall`` for every row.
 
     Only vectors with equal labels that are not null are compared, and of equal length. Vectors that are null,
     zero or hold null or non-finite components link with nothing, nor do rows without an id, whose component is
-    null. Rows repeated under an id are one vector. An empty table gives an empty result.
+    null. Rows repeated under an id are one vector. ``recall`` is the least that the audits of the vector's label
+    met, null where nothing was searched. An empty table gives an empty result.
     """
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     # sign of zero does not tell vectors apart
-    good = rows.filter(usable).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).distinct()
-    copies = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rid"), F.count("*").alias("copies"))
+    good = rows.filter(usable).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    spelled = F.unhex(F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256))
+    good = good.withColumn("digest", spelled).dropDuplicates(["vec_id", "label", "digest"])
+    copies = good.groupBy("label", "digest").agg(
+        F.min("vec_id").alias("rid"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")
+    )
     copies = cut_lineage(copies.withColumn("dim", F.size("embedding")))
-    sizes = copies.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    held = F.greatest(F.lit(1), F.least(F.lit(shard), F.lit(SHARD_BYTES) / (8 * F.col("dim"))))
+    sizes = copies.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / held).cast("int").alias("shards"))
     dealt = copies.join(F.broadcast(sizes), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards").cast("long")).cast("int"))
     kind = "ids binary, copies binary, vectors binary, nodes array<binary>, links array<binary>"
     label = dict(copies.dtypes)["label"]
-    index = cut_lineage(dealt.groupBy("label", "dim", "shard").applyInPandas(_index, f"label {label}, dim int, shard int, {kind}"))
+    index = cut_lineage(
+        dealt.select("label", "dim", "shard", "rid", "copies", "embedding")
+        .groupBy("label", "dim", "shard").applyInPandas(_index, f"label {label}, dim int, shard int, {kind}")
+    )
     names = index.select("label", "dim", "shard")
     pairs = names.withColumnRenamed("shard", "a").join(names.withColumnRenamed("shard", "b"), ["label", "dim"]).filter("a <= b")
     side = F.struct("shard", "ids", "copies", "vectors", "nodes", "links")
     left = index.select("label", "dim", F.col("shard").alias("a"), side.alias("left"))
     right = index.select("label", "dim", F.col("shard").alias("b"), side.alias("right"))
     key = ["label", "dim", "a", "b"]
-
-    def search(these: DataFrame, scan: bool) -> DataFrame:
-        tasks = these.repartition(partitions(vectors), *key).join(right, ["label", "dim", "b"]).join(left, ["label", "dim", "a"])
-        spread = tasks.repartition(partitions(vectors), *key).select("label", "dim", "left", "right", F.lit(scan).alias("scan"))
-        return cut_lineage(spread.mapInPandas(_search, f"label {label}, dim int, a int, b int, rid long, links long, root long, walked boolean, lost long"))
-
-    first = search(pairs, False)
-    # what one audit of a label missed, others may have missed unseen
-    doubted = first.filter("lost > 0").select("label", "dim").distinct()
-    again = cut_lineage(first.filter("walked").select(*key).join(doubted, ["label", "dim"], "left_semi"))
-    found = first
-    if not again.isEmpty():
-        found = first.join(again, key, "left_anti").unionByName(search(again, True))
-    found = found.filter("rid is not null").select("rid", "links", "root")
+    tasks = pairs.repartition(partitions(vectors), *key).join(right, ["label", "dim", "b"]).join(left, ["label", "dim", "a"])
+    spread = tasks.repartition(partitions(vectors), *key).select("label", "dim", "left", "right")
+    told = f"label {label}, dim int, a int, b int, rid long, links long, root long, beam long, recall double"
+    searched = cut_lineage(spread.mapInPandas(_search, told))
+    recalls = searched.filter("rid is null").groupBy("label", "dim").agg(F.min("recall").alias("recall"))
+    found = searched.filter("rid is not null").select("rid", "links", "root")
 
     joined = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")).filter("u <> v"))
     roots = joined.select(F.col("node").alias("rid"), "component")
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
-    classes = copies.join(counts, "rid", "left").join(roots, "rid", "left").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rid").alias("component_id"),
+    classes = copies.join(counts, "rid", "left").join(roots, "rid", "left").join(recalls, ["label", "dim"]).select(
+        "label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "rid").alias("component_id"), "recall",
     )
-    members = good.join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    members = good.select("vec_id", "label", "digest").join(classes, ["label", "digest"]).select("vec_id", "n_links", "component_id", "recall")
     # an id given to several vectors is counted and named with all of them
-    named = members.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    named = members.groupBy("vec_id").agg(
+        F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"), F.min("recall").alias("recall")
+    )
     out = rows.select("vec_id").join(named, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), "recall",
     )

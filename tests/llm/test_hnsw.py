@@ -43,12 +43,17 @@ def test_beams_find_nearly_all_neighbours():
     assert (ids[:, 0] == np.arange(200)).all()
 
 
+def graph_of(unit):
+    return hw.Graph.build(unit.astype(np.float32), np.arange(len(unit)))
+
+
 def test_links_are_complete_where_beams_overflow():
     rng = np.random.default_rng(2)
     tight = np.ones((700, 24)) + 0.01 * rng.normal(size=(700, 24))
     unit = hw._unit(np.concatenate([tight, clouds(900, 3)]))
-    graph = hw.Graph.build(unit.astype(np.float32), np.arange(len(unit)))
-    assert (hw.linked(graph, unit, unit) == (unit @ unit.T >= 0.98)).mean() == 1.0
+    hits, beam, recall = hw.joint_links((graph_of(unit), unit), None)
+    assert beam < len(unit) and recall >= hw.RECALL
+    assert (hits == (unit @ unit.T >= 0.98)).all()
 
 
 def few_links(n, links, seed, dim=64):
@@ -59,39 +64,37 @@ def few_links(n, links, seed, dim=64):
     return np.concatenate([vectors, near])
 
 
-def test_few_links_between_shards_are_all_found():
-    """In graphs with few ways: the audited queries have no link, but their nearest nodes are missed as well."""
-    unit = hw._unit(few_links(4000, 60, 5))
+def test_beams_widen_until_the_audits_pass(monkeypatch):
+    """Three shards without structure: the first beam meets too few nearest nodes, wider ones do, none is the whole shard."""
+    unit = hw._unit(few_links(12_000, 90, 5))
     shards = [unit[k::3] for k in range(3)]
-    graphs = [hw.Graph.build(x.astype(np.float32), np.arange(len(x))) for x in shards]
-    for graph in graphs:
-        graph.layers[0][1][:, 2:] = -1
-    want = [shards[a] @ shards[b].T >= 0.98 for a in range(3) for b in range(3) if a != b]
-    got = [hw.linked(graphs[b], shards[b], shards[a]) for a in range(3) for b in range(3) if a != b]
-    assert sum(x.sum() for x in want) > 30
-    assert all((x == y).all() for x, y in zip(got, want))
-
-
-def test_a_label_in_doubt_is_scanned_as_a_whole(spark, monkeypatch):
-    """Pairs of shards whose own audits passed are searched again if another pair of the label missed something."""
-
-    def blind(batches):
-        from arborlake.llm import hnsw
-
-        kept = hnsw.missed, hnsw._walked
-        hnsw.missed = lambda graph, exact, queries: int(queries is exact)
-        hnsw._walked = lambda graph, exact, queries, least: np.zeros((len(queries), len(exact)), bool)
-        try:
-            yield from hnsw._search(batches)
-        finally:
-            hnsw.missed, hnsw._walked = kept
-
-    monkeypatch.setattr(hw, "_search", blind)
-    vectors = few_links(400, 40, 6)
-    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(4)
-    unit = hw._unit(vectors)
-    want = ((unit @ unit.T >= 0.98).sum(axis=1) - 1).tolist()
-    assert {r.vec_id: r.n_links for r in hw.embedding_groups(table, 110).collect()} == dict(enumerate(want))
+    graphs = [graph_of(x) for x in shards]
+    beams = []
+    for a in range(3):
+        for b in range(a, 3):
+            got, beam, recall = hw.joint_links((graphs[a], shards[a]), None if a == b else (graphs[b], shards[b]))
+            assert (got == (shards[a] @ shards[b].T >= 0.98)).all()
+            assert recall >= hw.RECALL and beam < len(shards[b])
+            beams.append(beam)
+    assert max(beams) > hw.BEAM
+
+
+def test_graphs_without_ways_are_searched_by_whole_beams():
+    unit = hw._unit(few_links(900, 60, 5))
+    graph = graph_of(unit)
+    graph.layers[0][1][:, 2:] = -1
+    hits, beam, recall = hw.joint_links((graph, unit), None)
+    assert beam == len(unit) and recall == 1
+    assert (hits == (unit @ unit.T >= 0.98)).all()
+
+
+def test_long_vectors_make_smaller_shards(spark, monkeypatch):
+    monkeypatch.setattr(hw, "SHARD_BYTES", 8 * 24 * 50)
+    vectors = clouds(300, 7)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = hw.embedding_groups(table).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_groups(rows)
 
 
 def test_groups_match_brute_force(spark):
@@ -105,6 +108,8 @@ def test_groups_match_brute_force(spark):
         got = hw.embedding_groups(table, shard).collect()
         assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+        assert all((r.recall is None) == (r.vec_id in (9100, 9101, 9102, 9103, 9104) or r.vec_id < 9000 and (r.vec_id - 5) // 3 % 50 == 0) for r in got)
+        assert min(r.recall for r in got if r.recall is not None) >= hw.RECALL
 
 
 def test_odd_tables(spark):
