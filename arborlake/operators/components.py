@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.operators.graph import components
-from arborlake.session import cut_lineage
+from arborlake.session import cut_lineage, join_small
 
 BLOCK = 256  # block side in pixels: at most 65,536 pixels per group
 _SHIFT = 32  # a pixel code is y * 2^32 + x, so codes sort in raster order
@@ -43,20 +43,47 @@ def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             parent = up
 
 
+def _joined(x: np.ndarray, y: np.ndarray, connectivity: int) -> np.ndarray:
+    """For pixels in raster order, the place of the first pixel of each one's component."""
+    x0, y0 = x.min(), y.min()
+    at = np.full((y.max() - y0 + 2, x.max() - x0 + 3), -1)
+    at[y - y0, x - x0 + 1] = np.arange(len(x))
+    u, v = [], []
+    for dx, dy in _AHEAD[connectivity]:
+        other = at[y - y0 + dy, x - x0 + 1 + dx]
+        hit = other >= 0
+        u.append(np.flatnonzero(hit))
+        v.append(other[hit])
+    return _roots(len(x), np.concatenate(u), np.concatenate(v))
+
+
+def window_marks(mask: Column, window: int) -> Column:
+    """Of a window's row-major mask: ``num_trees``, its 4-connected components, and ``buffer_mask``, 0 on pixels of
+    8-connected components that touch the border of the window and 1 elsewhere."""
+
+    @F.pandas_udf("num_trees int, buffer_mask array<int>")
+    def mark(masks: pd.Series) -> pd.DataFrame:
+        counts, buffers = [], []
+        for flat in masks:
+            y, x = np.divmod(np.flatnonzero(flat), window)
+            buffer = np.ones(window * window, np.int32)
+            if len(x):
+                root = _joined(x, y, 8)
+                edge = (x == 0) | (y == 0) | (x == window - 1) | (y == window - 1)
+                cut = np.isin(root, root[edge])
+                buffer[y[cut] * window + x[cut]] = 0
+            counts.append(len(np.unique(_joined(x, y, 4))) if len(x) else 0)
+            buffers.append(buffer)
+        return pd.DataFrame({"num_trees": counts, "buffer_mask": buffers})
+
+    return mark(mask)
+
+
 def _label_block(connectivity: int):
     def run(pixels: pd.DataFrame) -> pd.DataFrame:
         pixels = pixels.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
         x, y = pixels["x"].to_numpy(), pixels["y"].to_numpy()
-        x0, y0 = x.min(), y.min()
-        at = np.full((y.max() - y0 + 2, x.max() - x0 + 3), -1)
-        at[y - y0, x - x0 + 1] = np.arange(len(x))
-        u, v = [], []
-        for dx, dy in _AHEAD[connectivity]:
-            other = at[y - y0 + dy, x - x0 + 1 + dx]
-            hit = other >= 0
-            u.append(np.flatnonzero(hit))
-            v.append(other[hit])
-        root = _roots(len(x), np.concatenate(u), np.concatenate(v))
+        root = _joined(x, y, connectivity)
         pixels["root"] = (y[root].astype("int64") << _SHIFT) + x[root]
         return pixels
 
@@ -105,11 +132,18 @@ def number_components(labelled: DataFrame, by: Sequence[str], out: str = "region
     return labelled.join(ids, [*by, "component"])
 
 
-def remove_small(pixels: DataFrame, by: Sequence[str], min_size: float, connectivity: int = 4) -> DataFrame:
-    """Drop components with fewer than ``min_size`` pixels."""
+def with_least(rows: DataFrame, min_size: float | DataFrame) -> DataFrame:
+    """Adds ``least``: one number for all images, or ``min_pixels`` of a table with one row an image."""
+    if isinstance(min_size, DataFrame):
+        return join_small(rows, min_size.select("image_id", F.col("min_pixels").alias("least")), "image_id")
+    return rows.withColumn("least", F.lit(float(min_size)))
+
+
+def remove_small(pixels: DataFrame, by: Sequence[str], min_size: float | DataFrame, connectivity: int = 4) -> DataFrame:
+    """Drop components with fewer than ``min_size`` pixels; a table has ``image_id, min_pixels``."""
     labelled = connected_components(pixels, by, connectivity)
-    sizes = labelled.groupBy(*by, "component").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
-    return labelled.join(sizes.drop("size"), [*by, "component"], "left_semi").select(*by, "x", "y")
+    sizes = with_least(labelled.groupBy(*by, "component").agg(F.count("*").alias("size")), min_size).filter("size >= least")
+    return labelled.join(sizes.select(*by, "component"), [*by, "component"], "left_semi").select(*by, "x", "y")
 
 
 def count_components(pixels: DataFrame, by: Sequence[str], connectivity: int = 4) -> DataFrame:

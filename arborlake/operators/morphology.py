@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.functions.bands import threshold
-from arborlake.operators.components import remove_small
+from arborlake.operators.components import remove_small, with_least
 from arborlake.session import cut_lineage, join_small
 
 TILE = 256  # side of a flood tile: at most 65,536 pixels and their rim per group
@@ -112,7 +112,7 @@ def spaced_peaks(pixels: DataFrame, min_distance: int, by: Sequence[str] = ("ima
 
     Every round keeps the peaks that beat all open peaks near them and drops the peaks they cover.
     """
-    from arborlake.operators.components import pixel_code
+    from arborlake.operators.components import pixel_code, with_least
 
     by = list(by)
     peaks = local_maxima(pixels, 2 * min_distance + 1, 0.0, by).withColumn("marker", pixel_code(F.col("x"), F.col("y")))
@@ -227,11 +227,11 @@ def seeded_regions(pixels: DataFrame, markers: DataFrame, by: Sequence[str] = ("
             return rows.filter(F.col("marker") != none).select(*by, "x", "y", F.col("marker").alias("region"))
 
 
-def merge_small_regions(regions: DataFrame, sizes: DataFrame, min_size: float, radius: int) -> DataFrame:
-    """Regions under ``min_size`` pixels take the region most frequent around them within ``radius``; one pass
+def merge_small_regions(regions: DataFrame, sizes: DataFrame, min_size: float | DataFrame, radius: int) -> DataFrame:
+    """Regions under ``min_size`` pixels (a number, or a table ``image_id, min_pixels``) take the region most frequent around them within ``radius``; one pass
     over the original labels, ties to the lowest id."""
     counts = regions.groupBy("image_id", "region").agg(F.count("*").alias("size"))
-    small = counts.filter(F.col("size") < min_size).select("image_id", "region")
+    small = with_least(counts, min_size).filter("size < least").select("image_id", "region")
     grown = dilate(regions.join(small, ["image_id", "region"], "left_semi"), sizes, radius, ["image_id", "region"])
     around = grown.join(regions.withColumnRenamed("region", "other"), ["image_id", "x", "y"]).filter("other <> region")
     votes = around.groupBy("image_id", "region", "other").agg(F.count("*").alias("n"))
@@ -240,7 +240,7 @@ def merge_small_regions(regions: DataFrame, sizes: DataFrame, min_size: float, r
     return merged.select("image_id", "x", "y", F.coalesce("target", "region").alias("region"))
 
 
-def segment_instances(scores: DataFrame, sizes: DataFrame, limit: float = 0.5, min_pixels: float = 20, blur_sigma: float = 1.0,
+def segment_instances(scores: DataFrame, sizes: DataFrame, limit: float = 0.5, min_pixels: float | DataFrame = 20, blur_sigma: float = 1.0,
                       dilation_radius: int = 1, min_distance: int = 5) -> DataFrame:
     """Score map ``image_id, x, y, value`` to instance regions ``image_id, x, y, region``."""
     binary = scores.filter(threshold(F.col("value"), limit, inclusive=False)).select("image_id", "x", "y")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from arborlake.functions import geometry as geo
 from arborlake.functions.coords import pixel_to_geo
+from arborlake.operators.components import with_least
 from arborlake.operators.morphology import erode
 from arborlake.session import cut_lineage, join_small
 
@@ -200,10 +201,10 @@ def region_props(regions: DataFrame, by: Sequence[str] = ("image_id", "region"))
     )
 
 
-def fit_ellipses(regions: DataFrame, sizes: DataFrame, min_pixels: float = 20, erosion_radius: int = 1, tightness: float = 1.0) -> DataFrame:
+def fit_ellipses(regions: DataFrame, sizes: DataFrame, min_pixels: float | DataFrame = 20, erosion_radius: int = 1, tightness: float = 1.0) -> DataFrame:
     """Moment ellipse of every eroded region: centre, full axes in pixels, angle in degrees, half axes ``ra, rb``
-    scaled by ``tightness``. Regions under ``min_pixels`` or with under 5 pixels after erosion are left out."""
-    big = region_props(regions).filter(F.col("area") >= min_pixels).select("image_id", "region")
+    scaled by ``tightness``. Regions under ``min_pixels`` (a number, or a table by image) or with under 5 pixels after erosion are left out."""
+    big = with_least(region_props(regions), min_pixels).filter("area >= least").select("image_id", "region")
     core = erode(regions.join(big, ["image_id", "region"], "left_semi"), sizes, erosion_radius, ["image_id", "region"])
     m = region_props(core).filter("area >= 5")
     n = F.col("area")

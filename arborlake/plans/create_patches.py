@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from arborlake.functions import bands as B
 from arborlake.functions import geometry as geo
 from arborlake.operators import labels, raster, tiling
-from arborlake.operators.components import buffer_mask, connected_components
-from arborlake.plans.predict import pixel_vectors
+from arborlake.operators.blocks import cut_windows
+from arborlake.operators.components import window_marks
 from arborlake.session import cut_lineage, join_small
 from arborlake.sources.tiles import explode_pixels
 
@@ -28,8 +28,8 @@ class PatchParams:
     systems: tuple[int, ...] = (3067,)
 
 
-def normalised_pixels(tiles: DataFrame, params: PatchParams) -> DataFrame:
-    """``image_id, x, y, bands`` with uint8 values in the wanted band order.
+def normalised_tiles(tiles: DataFrame, params: PatchParams) -> DataFrame:
+    """Tiles whose ``bands`` are uint8 values in the wanted band order.
 
     Tiles may carry ``nodata``, the value that stands for missing pixels of their image.
     """
@@ -37,7 +37,7 @@ def normalised_pixels(tiles: DataFrame, params: PatchParams) -> DataFrame:
     missing = F.col("nodata").cast("double") if "nodata" in tiles.columns else None
     rows = tiles.withColumn("bands", B.map_bands(ordered, lambda v: B.mask_nodata(v, missing)))
     if params.normalise is None:
-        return pixel_vectors(rows.withColumn("bands", B.map_bands(F.col("bands"), lambda v: B.clip_uint8(v).cast("double"))))
+        return rows.withColumn("bands", B.map_bands(F.col("bands"), lambda v: B.clip_uint8(v).cast("double")))
     limits = raster.nonzero_percentiles(explode_pixels(rows), ["image_id", "band"] if params.normalise == "channel" else ["image_id"])
     if params.normalise == "image":
         limits = limits.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(len(params.band_order) - 1))))
@@ -51,7 +51,7 @@ def normalised_pixels(tiles: DataFrame, params: PatchParams) -> DataFrame:
         return F.when(high != low, B.clip_uint8((v - low) / (high - low) * 255).cast("double")).otherwise(flat)
 
     scaled = F.transform("bands", lambda band, i: geo.let(F.col("limits")[i], lambda lim: F.transform(band, lambda v: stretch(v, lim))))
-    return pixel_vectors(rows.withColumn("bands", scaled).drop("limits"))
+    return rows.withColumn("bands", scaled).drop("limits")
 
 
 def ring_to_pixels(polys: DataFrame, meta: DataFrame) -> DataFrame:
@@ -84,25 +84,9 @@ def build_patch_table(tiles: DataFrame, meta: DataFrame, polys: DataFrame, param
     channels = labels.label_channels(cut_lineage(shapes), meta, params.sigma, params.boundary)
     if "nodata" in meta.columns:
         tiles = join_small(tiles, meta.select("image_id", "nodata"), "image_id", "left")
-    pixels = normalised_pixels(tiles, params).join(channels, ["image_id", "x", "y"], "left")
-    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
-    pixels = pixels.select("image_id", "x", "y", "bands", zero("mask", "int"), zero("centroid", "double"), zero("hybrid", "double"))
-    # windows are written once: components, counts and arrays all start from them
-    cells = cut_lineage(tiling.to_windows(pixels, meta, window, stride))
-    key = ["image_id", "idx"]
-    trees = cells.filter("mask = 1").select(*key, "x", "y")
-    counts = connected_components(trees, key, 4).select(*key, "component").distinct().groupBy(*key).agg(F.count("*").alias("num_trees"))
-    sizes = trees.select(*key).distinct().withColumns({"width": F.lit(window), "height": F.lit(window)})
-    cut_off = buffer_mask(trees, sizes, key).withColumn("cut", F.lit(0))
-    cells = cells.join(cut_off, [*key, "x", "y"], "left").withColumn("buffer_mask", F.coalesce("cut", F.lit(1)))
-    values = ("bands", "mask", "centroid", "hybrid", "buffer_mask")
-    entry = F.struct((F.col("y") * window + F.col("x")).alias("pos"), *values)
-    patches = cells.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("cells"))
-    order = F.sequence(F.lit(0), F.lit(len(params.band_order) - 1))
-    per_band = F.transform(order, lambda b: F.transform(F.col("cells.bands"), lambda p: F.get(p, b)))
-    patches = patches.select(*key, per_band.alias("bands"), *[F.col(f"cells.{v}").alias(v) for v in values[1:]])
-    placed = tiling.patch_metadata(meta, window, stride, list(params.systems))
-    table = placed.join(patches, key).join(counts, key, "left").withColumn("num_trees", F.coalesce("num_trees", F.lit(0)))
+    patches = cut_windows(normalised_tiles(tiles, params), meta, window, stride, pixels=channels, values=("mask", "centroid", "hybrid"))
+    marked = patches.withColumn("mask", F.col("mask").cast("array<int>")).withColumn("_marks", window_marks(F.col("mask"), window))
+    table = tiling.placed(marked.select("*", "_marks.*").drop("_marks"), meta, window, list(params.systems))
     table = table.withColumn("source_image", F.col("image_id").cast("string"))
     missing = polys.select("image_id").distinct().join(tiles.select("image_id").distinct(), "image_id", "left_anti")
     rejects = bad_rings.select("image_id", "poly_id", "reason").unionByName(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import augment as A
 from arborlake.operators import graph, matching, ranking, scoring, spatial_join, splits, tiling
+from arborlake.operators.blocks import cut_windows
 from catalog.fixtures import fx, tile_pixels, tiles
 from catalog.registry import query
 
@@ -191,12 +192,13 @@ def patch_metadata(spark, sf):
 
 
 @query("cut_patches", """
-    select image_id, cast(r * 3 + c as int) as idx, cast((y - r) * 2 + x - c as int) as pos, value
-    from fx_tile_pixels, range(3) a(r), range(3) b(c) where band = 0 and x between c and c + 1 and y between r and r + 1""")
+    select image_id, cast(r * 3 + c as int) as idx, cast(c as int) as pixel_x, cast(r as int) as pixel_y, band,
+           cast((y - r) * 2 + x - c as int) as pos, value
+    from fx_tile_pixels, range(3) a(r), range(3) b(c) where x between c and c + 1 and y between r and r + 1""")
 def cut_patches(spark, sf):
-    px = tile_pixels(spark, sf).filter("band = 0").drop("band")
-    rows = tiling.cut_patches(px, tiles(spark, sf).select("image_id", "width", "height"), 2, 1, ["value"])
-    return rows.select("image_id", "idx", F.posexplode("value").alias("pos", "value"))
+    rows = cut_windows(tiles(spark, sf), tiles(spark, sf).select("image_id", "width", "height"), 2, 1)
+    rows = rows.select("image_id", "idx", "pixel_x", "pixel_y", F.posexplode("bands").alias("band", "values"))
+    return rows.select("image_id", "idx", "pixel_x", "pixel_y", "band", F.posexplode("values").alias("pos", "value"))
 
 
 def _scorer():
@@ -204,10 +206,8 @@ def _scorer():
 
 
 def _scored(spark, sf):
-    from arborlake.plans.predict import pixel_vectors, window_patches
-
     meta = tiles(spark, sf).select("image_id", "width", "height")
-    patches = window_patches(pixel_vectors(tiles(spark, sf)), meta, 3, 1, 4)
+    patches = cut_windows(tiles(spark, sf), meta, 3, 1, "multiple")
     return scoring.score_patches(patches, _scorer, 3, 5, keep=("image_id", "idx", "pixel_x", "pixel_y")), meta
 
 

@@ -87,13 +87,9 @@ def test_values_that_are_no_numbers_stay_out(spark):
 def test_stated_nodata_and_dtype_reach_the_jobs(spark):
     tiles = spark.createDataFrame([(1, 2, 1, [[7.0, 9.0], [255.0, 51.0]], 7.0, "uint8")], "image_id int, width int, height int, bands array<array<double>>, nodata double, dtype string")
     params = create_patches.PatchParams(band_order=(1, 0))
-    got = {r.x: list(r.bands) for r in create_patches.normalised_pixels(tiles, params).collect()}
+    got = {r.x: list(r.bands) for r in predict.pixel_vectors(create_patches.normalised_tiles(tiles, params)).collect()}
     assert got == {0: [255.0, 0.0], 1: [51.0, 9.0]}
     assert [list(b) for b in predict.model_tiles(tiles, (1, 0)).first().bands] == [[1.0, 0.2], [7 / 255, 9 / 255]]
-    meta = spark.createDataFrame([(1, 0.25, -0.25), (2, 0.25, -0.25)], "image_id int, a double, e double")
-    assert predict.pixels_of_area(meta, 3.0) == 48
-    with pytest.raises(ValueError, match="one pixel size"):
-        predict.pixels_of_area(meta.unionAll(spark.createDataFrame([(3, 0.5, -0.5)], meta.schema)), 3.0)
 
 
 def test_done_and_triples_go_by_root(spark):
