@@ -27,7 +27,7 @@ from pyspark.sql.functions import pandas_udf
 
 from arborlake.llm.common import calibrate, held_out, learning_rows
 
-EXAMPLES = 6000  # bound of the labelled sample
+EXAMPLES = 3000  # bound of the labelled sample
 NEIGHBOURS = 15
 BLOCK = 128  # examples of one block
 COMMON = 64  # examples from which on a word has block maxima
