@@ -7,8 +7,9 @@ that every pair is met from both sides. Searches walk many queries at once with
 Before a search some queries are audited: their true nearest nodes, linked or not, are compared with those that
 their walks meet. While too few are met, the beam is doubled and the audit repeated; a beam of the whole shard
 meets every node. The nodes of the beams are candidates; links are those whose cosine in double precision reaches
-the threshold. A query whose full beam lies above the threshold is walked again with wider beams of its own. The
-recall of the last audits is returned with the vectors.
+the threshold. A beam can be full of links; so the cosines between all members of a component that beams have joined
+are verified as well, which costs little next to the walks. The recall of the last audits is returned with the
+vectors.
 
 A task hands on, for each vector, the number of its links and one link to the least vector it is joined with, so
 groups of any size pass through without their pairs.
@@ -34,7 +35,7 @@ NEIGHBOURS = 16  # links of a node; twice as many on the ground layer
 BEAM = 48  # width of a search to begin with
 BUILD_BEAM = 64
 BATCH = 256  # queries that walk together
-STEP = 4  # nodes that a query expands at once
+STEP = 12  # a query expands one in so many nodes of its beam at once
 AUDIT = 64  # queries of each side that are compared with a scan
 NEAREST = 10  # nodes that the walk of an audited query should meet
 RECALL = 0.98  # share of them that has to be met before a beam is wide enough
@@ -106,7 +107,7 @@ class Graph:
             part = np.sort(part, axis=1)
             part[:, 1:][part[:, 1:] == part[:, :-1]] = -1
             cosines = np.where(part >= 0, np.einsum("md,mkd->mk", own[at], own[part]), -2)
-            order = np.argsort(-cosines, axis=1, kind="stable")
+            order = np.argsort(-cosines, axis=1, kind="stable")[:, :BUILD_BEAM]
             links[at] = _diverse(own, at, np.take_along_axis(part, order, 1), np.take_along_axis(cosines, order, 1), width)
 
     def _descend(self, queries: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
@@ -136,11 +137,14 @@ def _diverse(own: np.ndarray, at: np.ndarray, ids: np.ndarray, cosines: np.ndarr
     valid = (ids >= 0) & (cosines > -1.5) & (ids != at[:, None])
     closest = np.full(ids.shape, -2.0, np.float32)
     vectors = own[ids]
+    among = vectors @ vectors.transpose(0, 2, 1)
+    room = np.full(len(ids), width)
     for j in range(ids.shape[1]):
-        take = valid[:, j] & (cosines[:, j] > closest[:, j]) & (chosen.sum(axis=1) < width)
-        if take.any():
+        take = np.flatnonzero(valid[:, j] & (cosines[:, j] > closest[:, j]) & (room > 0))
+        if len(take):
             chosen[take, j] = True
-            closest[take] = np.maximum(closest[take], np.einsum("mkd,md->mk", vectors[take], vectors[take, j]))
+            room[take] -= 1
+            closest[take] = np.maximum(closest[take], among[take, j])
     rank = np.where(chosen, 0, np.where(valid, 1, 2))
     order = np.argsort(rank, axis=1, kind="stable")[:, :width]
     out = np.full((len(ids), width), -1, np.int32)
@@ -152,6 +156,7 @@ def _diverse(own: np.ndarray, at: np.ndarray, ids: np.ndarray, cosines: np.ndarr
 def _walk(own: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first walks of all queries through one layer, with a beam of the best nodes met."""
     beam = min(beam, len(own))
+    step = max(1, beam // STEP)
     out_ids, out_cosines = np.full((len(queries), beam), -1, np.int64), np.full((len(queries), beam), -2.0, np.float32)
     for lo in range(0, len(queries), BATCH):
         q, first = queries[lo : lo + BATCH], np.sort(start[lo : lo + BATCH], axis=1)
@@ -169,7 +174,7 @@ def _walk(own: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.nda
         seen[rows, first] = True
         while open_.any():
             score = np.where(open_, cosines, -3)
-            best = np.argpartition(-score, min(STEP, beam) - 1, axis=1)[:, :STEP]
+            best = np.argpartition(-score, step - 1, axis=1)[:, :step]
             expand = np.take_along_axis(open_, best, 1)
             np.put_along_axis(open_, best, False, 1)
             nodes = np.where(expand, np.take_along_axis(ids, best, 1), -1)
@@ -219,29 +224,34 @@ def audit(graph: Graph, exact: np.ndarray, queries: np.ndarray, recall: float =
     return len(exact), 1.0
 
 
-def linked(graph: Graph, exact: np.ndarray, queries: np.ndarray, beam: int, least: float = LEAST) -> np.ndarray:
-    """Table of queries x nodes: links among the candidates of walks with a beam.
-
-    A query whose beam is full of links may have more: it is walked again with twice the beam.
-    """
+def candidates(graph: Graph, exact: np.ndarray, queries: np.ndarray, beam: int, least: float = LEAST) -> np.ndarray:
+    """Table of queries x nodes: links among the nodes of every query's beam."""
     hits = np.zeros((len(queries), len(exact)), bool)
-    open_ = np.arange(len(queries))
-    while len(open_):
+    for lo in range(0, len(queries), BATCH):
+        part = queries[lo : lo + BATCH]
         if beam >= len(exact):  # the beam holds every node
-            for lo in range(0, len(open_), BATCH):
-                part = open_[lo : lo + BATCH]
-                hits[part] = queries[part] @ exact.T >= least
-            break
-        full = np.zeros(len(open_), bool)
-        for lo in range(0, len(open_), BATCH):
-            part = open_[lo : lo + BATCH]
-            ids, cosines = graph.search(queries[part].astype(np.float32), beam)
-            near = (ids >= 0) & (cosines >= least - SINGLE)
-            row, place = np.nonzero(near)
-            node = ids[row, place]
-            hits[part[row], node] = np.einsum("ij,ij->i", queries[part[row]], exact[node]) >= least
-            full[lo : lo + BATCH] = near.all(axis=1)
-        open_, beam = open_[full], 2 * beam
+            hits[lo : lo + BATCH] = part @ exact.T >= least
+            continue
+        ids, cosines = graph.search(part.astype(np.float32), beam)
+        row, place = np.nonzero((ids >= 0) & (cosines >= least - SINGLE))
+        node = ids[row, place]
+        hits[row + lo, node] = np.einsum("ij,ij->i", part[row], exact[node]) >= least
+    return hits
+
+
+def complete(hits: np.ndarray, queries: np.ndarray, exact: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Adds the links that full beams had no place for: cosines of all queries and nodes of one component."""
+    row, node = np.nonzero(hits)
+    root = roots_of(sum(hits.shape), row, node + len(queries))
+    left, right = root[: len(queries)], root[len(queries) :]
+    by_left, by_right = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+    for r in np.unique(left[row]).tolist():
+        q = by_left[slice(*np.searchsorted(left[by_left], [r, r + 1]))]
+        n = by_right[slice(*np.searchsorted(right[by_right], [r, r + 1]))]
+        if len(q) > 1 and len(n) > 1:
+            for lo in range(0, len(q), BATCH):
+                part = q[lo : lo + BATCH]
+                hits[part[:, None], n] = queries[part] @ exact[n].T >= least
     return hits
 
 
@@ -249,11 +259,14 @@ def joint_links(left: tuple[Graph, np.ndarray], right: tuple[Graph, np.ndarray]
     """Links of two shards, or of one with itself, searched from both sides; the widest beam and the least recall."""
     to = right or left
     beam, recall = audit(*to, left[1])
-    hits = linked(*to, left[1], beam, least)
+    hits = candidates(*to, left[1], beam, least)
     if right is None:
-        return hits | hits.T, beam, recall
-    back, met = audit(*left, right[1])
-    return hits | linked(*left, right[1], back, least).T, max(beam, back), min(recall, met)
+        hits |= hits.T
+    else:
+        back, met = audit(*left, right[1])
+        hits |= candidates(*left, right[1], back, least).T
+        beam, recall = max(beam, back), min(recall, met)
+    return complete(hits, left[1], to[1], least), beam, recall
 
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
