@@ -16,16 +16,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from arborlake.llm.common import calibrate, held_out, learning_rows
+from arborlake.session import cut_lineage
 
 EXAMPLES = 3000  # bound of the labelled sample
 NEIGHBOURS = 15
@@ -54,7 +56,6 @@ def association(seen: np.ndarray, size: np.ndarray) -> np.ndarray:
 class ToxicityIndex:
     """Block-max inverted index of labelled examples with calibrated votes."""
 
-    place: dict[str, int]
     weight: np.ndarray  # by word
     ids: np.ndarray  # example ids in block order
     labels: np.ndarray
@@ -69,16 +70,13 @@ class ToxicityIndex:
     known: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, texts: list[str], labels: np.ndarray, ids: np.ndarray, total: int, frequency: dict[str, int]) -> ToxicityIndex:
-        """``frequency``: documents of ``total`` that have a word; unlisted words count by the examples alone."""
-        place: dict[str, int] = {}
-        counts = [[(place.setdefault(w, len(place)), n) for w, n in Counter(words(t)).items()] for t in texts]
-        own = [np.array(c, np.int64).reshape(-1, 2) for c in counts]
-        del counts
-        at = np.repeat(np.arange(len(own)), [len(c) for c in own])
-        where, times = np.concatenate([np.zeros((0, 2), np.int64), *own]).T
+    def build(cls, texts: list[str], labels: np.ndarray, ids: np.ndarray, total: int, place: dict[str, int], frequency: np.ndarray) -> ToxicityIndex:
+        """``frequency``: documents of ``total`` that have a word; it counts at least as often as in the examples."""
+        own = [counted(t, place) for t in texts]
+        at = np.repeat(np.arange(len(own)), [len(w) for w, _ in own])
+        where, times = (np.concatenate([np.zeros(0, np.int64), *(c[i] for c in own)]) for i in (0, 1))
         seen = np.stack([np.bincount(where[labels[at] == y], minlength=len(place)) for y in (0, 1)], axis=1).astype(float)
-        df = np.maximum(np.array([frequency.get(w, 0) for w in place], float), seen.sum(axis=1))
+        df = np.maximum(frequency, seen.sum(axis=1))
         rarity = np.log1p((np.maximum(total, df) - df + 0.5) / (df + 0.5))
         weight = rarity * (1 + association(seen, np.array([(labels == 0).sum(), (labels == 1).sum()], float)) / ASSOCIATION)
         value = (1 + np.log(times)) * weight[where]
@@ -104,8 +102,8 @@ class ToxicityIndex:
         alone = labels[norm == 0]
         rest = alone if len(alone) >= 20 else labels
         none = float((rest.sum() + 1) / (len(rest) + 2))
-        index = cls(place, weight, ids[order], labels[order], examples, weights, starts, common, most, cuts, none)
-        index._calibrate([texts[i] for i in order.tolist()])
+        index = cls(weight, ids[order], labels[order], examples, weights, starts, common, most, cuts, none)
+        index._calibrate([own[i] for i in order.tolist()])
         return index
 
     @staticmethod
@@ -120,10 +118,8 @@ class ToxicityIndex:
             lead[i, has] = where[first[:-1][has] + i]
         return np.lexsort((ids, lead[2], lead[1], lead[0]))
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Known words of a text in ascending order, and their weights in a unit vector."""
-        found = [at for at in map(self.place.get, words(text)) if at is not None]
-        where, times = np.unique(np.array(found, np.int64), return_counts=True)
+    def vector(self, where: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of a text and their weights in a unit vector."""
         weight = (1 + np.log(times)) * self.weight[where]
         return where, weight / (np.sqrt((weight**2).sum()) or 1.0)
 
@@ -173,10 +169,10 @@ class ToxicityIndex:
         p = ((votes * self.labels[at]).sum() + self.none) / (votes.sum() + 1)
         return float(np.log(p / (1 - p)))
 
-    def _calibrate(self, texts: list[str]) -> None:
+    def _calibrate(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         votes, labels = [], []
-        for i, text in enumerate(texts):
-            at, cosine = self.nearest(self.vector(text), without=i)
+        for i, count in enumerate(counts):
+            at, cosine = self.nearest(self.vector(*count), without=i)
             if len(at):
                 votes.append(self._vote(at, cosine))
                 labels.append(int(self.labels[i]))
@@ -185,9 +181,9 @@ class ToxicityIndex:
             if slope > 0:
                 self.scale = (slope, offset)
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Probability of the label, and ids and cosines of the nearest examples."""
-        vector = self.vector(text)
+    def score(self, where: np.ndarray, times: np.ndarray) -> tuple[float, list[int], list[float]]:
+        """Probability of the label for a text's counted words, and ids and cosines of the nearest examples."""
+        vector = self.vector(where, times)
         if not len(vector[0]):
             return self.none, [], []
         key = hashlib.blake2b(vector[0].tobytes() + np.round(vector[1], 12).tobytes(), digest_size=16).digest()
@@ -201,37 +197,67 @@ class ToxicityIndex:
         return self.known[key]
 
 
-def document_frequency(documents: DataFrame, vocabulary: set[str]) -> dict[str, int]:
-    """Number of documents with each word of a vocabulary, whose size bounds the broadcast and the result."""
-    if not vocabulary:
-        return {}
-    known = documents.sparkSession.createDataFrame(pd.DataFrame({"word": sorted(vocabulary)}))
-    present = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nl}\p{No}]+"))
-    counted = documents.select(F.explode(present).alias("word")).join(F.broadcast(known), "word").groupBy("word").count()
-    counts = counted.toPandas()
-    return dict(zip(counts["word"].tolist(), counts["count"].tolist()))
+def vocabulary(texts: list[str]) -> dict[str, int]:
+    """A number for every word of some texts."""
+    place: dict[str, int] = {}
+    for text in texts:
+        for word in words(text):
+            place.setdefault(word, len(place))
+    return place
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = EXAMPLES) -> ToxicityIndex:
-    """The index over at most ``bound`` labelled rows outside the held-out fold; word frequencies are of all documents."""
-    rows = learning_rows(documents, labels, label, bound).toPandas().sort_values("doc_id")
-    texts = rows["text"].tolist()
-    frequency = document_frequency(documents, {w for t in texts for w in words(t)})
-    return ToxicityIndex.build(texts, rows["y"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64), documents.count(), frequency)
+def counted(text: str | None, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a text's known words in ascending order, and how often each comes."""
+    found = [at for at in map(place.get, words(text)) if at is not None]
+    return np.unique(np.array(found, np.int64), return_counts=True)
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def counted_words(documents: DataFrame, place: dict[str, int]) -> DataFrame:
+    """``doc_id, words, times`` of every row, by a vocabulary of bounded size."""
+
+    @pandas_udf("words array<int>, times array<int>")
+    def count(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counted(t, place) for t in text], columns=["words", "times"])
+
+    return documents.select("doc_id", count("text").alias("c")).select("doc_id", "c.*")
+
+
+def document_frequency(rows: DataFrame, size: int) -> np.ndarray:
+    """Rows that have each word: counted per task, then summed. The result is as large as the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["word", "n"])
+
+    sums = rows.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size)
+    out[sums["word"].to_numpy(np.int64)] = sums["n"].to_numpy(float)
+    return out
+
+
+def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", bound: int = EXAMPLES) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence_ids, evidence_cosines`` for every row; only the text is looked at.
 
-    A text without a word of any example, null and empty texts included, gets the rate of such examples and no
-    evidence. Repeated rows are all scored, an empty table gives an empty result, and without learning rows
-    every score is one half.
+    Examples are at most ``bound`` labelled rows outside the held-out fold; every document's words are counted once,
+    for the frequencies and for its own score. A text without a word of any example, null and empty texts included,
+    gets the rate of such examples and no evidence. Repeated rows are all scored, an empty table gives an empty
+    result, and without learning rows every score is one half.
     """
-    index = fit(documents, labels)
+    learned = learning_rows(documents, labels, label, bound).toPandas().sort_values("doc_id")
+    texts = learned["text"].tolist()
+    place = vocabulary(texts)
+    rows = cut_lineage(counted_words(documents, place))
+    index = ToxicityIndex.build(
+        texts, learned["y"].to_numpy(np.int64), learned["doc_id"].to_numpy(np.int64), rows.count(), place, document_frequency(rows, len(place))
+    )
+    del learned, texts, place
 
     @pandas_udf("score double, evidence_ids array<long>, evidence_cosines array<double>")
-    def judge(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([index.score(t) for t in text], columns=["score", "evidence_ids", "evidence_cosines"])
+    def judge(words: pd.Series, times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([index.score(w, t) for w, t in zip(words, times)], columns=["score", "evidence_ids", "evidence_cosines"])
 
-    judged = documents.select("doc_id", held_out().alias("held_out"), judge("text").alias("j")).select("doc_id", "held_out", "j.*")
+    judged = rows.select("doc_id", held_out().alias("held_out"), judge("words", "times").alias("j")).select("doc_id", "held_out", "j.*")
     return judged.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -18,21 +18,26 @@ def sample(n, seed):
     return texts, np.array(labels)
 
 
+def built(texts, labels, ids, total, more=0):
+    place = tx.vocabulary(texts)
+    seen = np.array([sum(w in t.split() for t in texts) + more for w in place], float)
+    return tx.ToxicityIndex.build(texts, labels, ids, total, place, seen), place
+
+
 @pytest.mark.parametrize("k", [1, 7, 40])
 @pytest.mark.parametrize("common", [1, 40, 10_000])
 def test_nearest_is_exact(k, common, monkeypatch):
     monkeypatch.setattr(tx, "COMMON", common)
     monkeypatch.setattr(tx, "BLOCK", 16)
     texts, labels = sample(500, 1)
-    counts = {w: sum(w in t.split() for t in texts) + 7 for w in BAD + FINE}
-    index = tx.ToxicityIndex.build(texts, labels, np.arange(500) * 3, 600, counts)
-    dense = np.zeros((500, len(index.place)))
+    index, place = built(texts, labels, np.arange(500) * 3, 600, 7)
+    dense = np.zeros((500, len(place)))
     for at, doc in enumerate(index.ids // 3):
-        where, weight = index.vector(texts[doc])
+        where, weight = index.vector(*tx.counted(texts[doc], place))
         dense[at, where] = weight
     assert np.allclose(np.linalg.norm(dense, axis=1), 1)
     for query in ["vile", "foul vile worda", FINE[0] * 2 + " " + " ".join(FINE[:9]), *sample(40, 2)[0]]:
-        where, weight = vector = index.vector(query)
+        where, weight = vector = index.vector(*tx.counted(query, place))
         if not len(where):
             continue
         exact = np.round(dense[:, where] @ weight, 11)
@@ -44,9 +49,9 @@ def test_nearest_is_exact(k, common, monkeypatch):
 
 def test_every_word_is_indexed_and_those_with_the_label_weigh_more():
     texts, labels = sample(600, 3)
-    index = tx.ToxicityIndex.build(texts, labels, np.arange(600), 600, {})
-    assert set(index.place) == {w for t in texts for w in t.split()}
-    heavy = sorted(index.place, key=lambda w: -index.weight[index.place[w]])[:3]
+    index, place = built(texts, labels, np.arange(600), 600)
+    assert set(place) == {w for t in texts for w in t.split()} and (np.diff(index.starts) > 0).all()
+    heavy = sorted(place, key=lambda w: -index.weight[place[w]])[:3]
     assert set(heavy) == set(BAD)
     plain = np.array([[10, 0], [3, 7]], float)
     assert np.allclose(tx.association(plain, np.array([10.0, 10.0])), [2 * 20 * np.log(2), 2 * (3 * np.log(3 / 5) + 7 * np.log(7 / 5)) * 2], atol=8)
@@ -56,17 +61,20 @@ def test_copy_of_a_toxic_example_without_telling_words():
     texts, labels = sample(400, 5)
     texts.append("a remark that nobody else would make about zebras and umbrellas")
     labels = np.append(labels, 1)
-    index = tx.ToxicityIndex.build(texts, labels, np.arange(401), 401, {})
-    score, near, cosine = index.score(texts[-1])
+    index, place = built(texts, labels, np.arange(401), 401)
+    score, near, cosine = index.score(*tx.counted(texts[-1], place))
     assert score >= 0.5 and near[0] == 400 and abs(cosine[0] - 1) < 1e-9
-    assert index.score("never seen")[1] == [] == index.score(None)[1]
+    assert index.score(*tx.counted("never seen", place))[1] == [] == index.score(*tx.counted(None, place))[1]
 
 
 def test_document_frequency_is_of_all_documents(spark):
     rows = [("Vile vile, ROT\u00c9 x9y m\u00b2",), ("rot\u00e9 y",), (None,), ("",), ("y " * 600_000,)]
-    docs = spark.createDataFrame(rows, "text string")
-    assert tx.document_frequency(docs, {"vile", "rot\u00e9", "y", "m\u00b2", "none"}) == {"vile": 1, "rot\u00e9": 2, "y": 3, "m\u00b2": 1}
-    assert tx.document_frequency(docs, set()) == {}
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3)
+    place = {w: i for i, w in enumerate(["vile", "rot\u00e9", "y", "m\u00b2", "none"])}
+    found = tx.counted_words(docs, place)
+    assert tx.document_frequency(found, 5).tolist() == [1, 2, 3, 1, 0]
+    assert tx.document_frequency(found.limit(0), 5).tolist() == [0] * 5 and tx.document_frequency(tx.counted_words(docs, {}), 0).tolist() == []
+    assert {r.doc_id: (r.words, r.times) for r in found.collect()}[0] == ([0, 1, 2, 3], [2, 1, 1, 1])
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
