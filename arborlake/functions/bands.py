@@ -56,7 +56,8 @@ def scale_by_dtype(value: Column, dtype: Column) -> Column:
     divisor = F.when(dtype.startswith("float"), F.lit(1.0))
     for name, top in DTYPE_MAX.items():
         divisor = divisor.when(dtype == name, F.lit(top))
-    divisor = divisor.otherwise(F.raise_error(F.concat(F.lit("unsupported raster type "), dtype)).cast("double"))
+    named = F.concat(F.lit("unsupported raster type "), F.coalesce(dtype, F.lit("null")))
+    divisor = divisor.otherwise(F.raise_error(named).cast("double"))
     return value / divisor
 
 

@@ -74,7 +74,7 @@ def build_patch_table(tiles: DataFrame, meta: DataFrame, polys: DataFrame, param
 
     ``patches``: key, image, tree count, centre, position, ``bands`` (C arrays), ``mask, centroid, hybrid,
     buffer_mask`` arrays. ``rejects``: images without tiles for their labels, and rings of less than three points.
-    ``polys`` has rings in map coordinates; ``meta`` may state the ``nodata`` value of an image.
+    ``polys`` has rings in map coordinates; ``meta`` may state the ``nodata`` value of an image whose tiles do not.
     """
     window, stride = params.window, params.stride
     # truncation makes points repeat and edges touch; every ring with three points is filled all the same
@@ -83,7 +83,9 @@ def build_patch_table(tiles: DataFrame, meta: DataFrame, polys: DataFrame, param
     bad_rings = rings.filter("ring is null or size(ring) < 3").withColumn("reason", F.lit("fewer than 3 points"))
     channels = labels.label_channels(cut_lineage(shapes), meta, params.sigma, params.boundary)
     if "nodata" in meta.columns:
-        tiles = join_small(tiles, meta.select("image_id", "nodata"), "image_id", "left")
+        stated = join_small(tiles, meta.select("image_id", F.col("nodata").alias("_stated")), "image_id", "left")
+        own = F.col("nodata") if "nodata" in tiles.columns else F.lit(None).cast("double")
+        tiles = stated.withColumn("nodata", F.coalesce(own, F.col("_stated").cast("double"))).drop("_stated")
     patches = cut_windows(normalised_tiles(tiles, params), meta, window, stride, pixels=channels, values=("mask", "centroid", "hybrid"))
     marked = patches.withColumn("mask", F.col("mask").cast("array<int>")).withColumn("_marks", window_marks(F.col("mask"), window))
     table = tiling.placed(marked.select("*", "_marks.*").drop("_marks"), meta, window, list(params.systems))

@@ -113,16 +113,42 @@ def segment_instances(spark, sf):
     return M.segment_instances(px, sizes, limit=0.55, min_pixels=6, min_distance=4)
 
 
+def _outlines(source: str) -> str:
+    """Filled 8-connected components of ``source`` (image_id, x, y) by a flood of what lies outside each of them:
+    ``ext`` has the outside cells of a component's frame, ``turns`` the corners where its outer outline turns."""
+    return f"""
+    {_reach(source, _EIGHT)},
+    c as (select image_id, component, node % 4294967296 as x, floor(node / 4294967296)::bigint as y from r),
+    bb as (select image_id, component, min(x) - 1 as lx, max(x) + 1 as hx, min(y) - 1 as ly, max(y) + 1 as hy from c group by 1, 2),
+    cols as (select *, unnest(generate_series(lx, hx)) as x from bb),
+    cells as (select image_id, component, x, y from (select *, unnest(generate_series(ly, hy)) as y from cols) anti join c using (image_id, component, x, y)),
+    ext as (select image_id, component, lx as x, ly as y from bb
+            union select n.image_id, n.component, n.x, n.y from ext e join (values (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) on true
+                  join cells n on n.image_id = e.image_id and n.component = e.component and n.x = e.x + o.dx and n.y = e.y + o.dy),
+    corners as (select image_id, component, x + ox as vx, y + oy as vy, count(*) as k, sum(abs((x + y) % 2)) as odd
+                from ext, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(ox, oy) group by 1, 2, 3, 4),
+    turns as (select k.image_id, k.component, vx, vy, case when k = 2 then 2 else 1 end as visits from corners k join bb using (image_id, component)
+              where vx between lx + 1 and hx and vy between ly + 1 and hy and (k in (1, 3) or k = 2 and odd <> 1))"""
+
+
 @query("contours", f"""
-    with recursive {_reach(_MASK, _EIGHT)},
-    c as (select image_id, component, node % 4294967296 as x, floor(node / 4294967296) as y from r)
-    select image_id, component, cast(min(x) as double) as min_x, cast(max(x) + 1 as double) as max_x,
-           cast(min(y) as double) as min_y, cast(max(y) + 1 as double) as max_y from c group by 1, 2""")
+    with recursive {_outlines(_MASK)}
+    select image_id, component, cast(vx as double) as x, cast(vy as double) as y, cast(visits as bigint) as visits from turns""")
 def contours(spark, sf):
-    from arborlake.functions.geometry import bounds
+    points = V.contours(_noise(spark, sf)).select("image_id", "component", F.explode("ring").alias("p"))
+    return points.groupBy("image_id", "component", F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.count("*").alias("visits"))
+
 
-    rows = V.contours(_noise(spark, sf)).withColumn("b", bounds(F.col("ring")))
-    return rows.select("image_id", "component", "b.min_x", "b.max_x", "b.min_y", "b.max_y")
+@query("ring_vertices", f"""
+    with m as ({_MASK}),
+    corners as (select image_id, x + ox as vx, y + oy as vy, count(*) as k, sum(abs((x + y) % 2)) as odd
+                from m, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(ox, oy) group by 1, 2, 3)
+    select image_id, cast(vx as double) as x, cast(vy as double) as y, cast(case when k = 2 then 2 else 1 end as bigint) as visits
+    from corners where k in (1, 3) or k = 2 and odd <> 1""")
+def ring_vertices(spark, sf):
+    """Corners of all rings, holes too, with blocks small enough to cut most rings; straightened across their seams."""
+    found = V.rings(_noise(spark, sf), ["image_id"], block=8).select("image_id", F.explode(V.drop_straight(F.col("ring"))).alias("p"))
+    return found.groupBy("image_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.count("*").alias("visits"))
 
 
 @query("ring_areas", f"select image_id, cast(count(*) as double) as area from ({_MASK}) group by 1")
@@ -131,12 +157,22 @@ def ring_areas(spark, sf):
     return V.rings(_noise(spark, sf), ["image_id"], block=8).groupBy("image_id").agg(F.sum("signed").alias("area"))
 
 
-@query("contours_from_labels", """
-    with r as (select image_id, x, y, cast(floor(y / 16) * 100 + floor(x / 16) as bigint) as region from fx_pixels)
-    select image_id, region from r group by 1, 2""")
+_LABELLED = "select image_id * 1000000 + cast(floor(y / 16) * 100 + floor(x / 16) as bigint) as image_id, x, y from fx_pixels"
+
+
+@query("contours_from_labels", f"""
+    with recursive {_outlines(_LABELLED)},
+    filled as (select image_id, component, (hx - lx + 1) * (hy - ly + 1) - n as area
+               from bb join (select image_id, component, count(*) as n from ext group by 1, 2) using (image_id, component)),
+    best as (select *, row_number() over (partition by image_id order by area desc, component) as place from filled),
+    points as (select image_id, component, sum(visits) as points, sum(visits * vx) as sx, sum(visits * vy) as sy from turns group by 1, 2)
+    select cast(floor(image_id / 1000000) as int) as image_id, image_id % 1000000 as region, cast(area as double) as area,
+           cast(points as int) as points, cast(sx as double) as sx, cast(sy as double) as sy
+    from best join points using (image_id, component) where place = 1""")
 def contours_from_labels(spark, sf):
     px = fx(spark, sf, "fx_pixels").selectExpr("image_id", "x", "y", "floor(y / 16) * 100 + floor(x / 16) as region")
-    return V.contours_from_labels(px).select("image_id", "region")
+    total = lambda c: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[c])
+    return V.contours_from_labels(px).select("image_id", "region", "area", F.size("ring").alias("points"), total("x").alias("sx"), total("y").alias("sy"))
 
 
 _REG = "r as (select image_id, x, y, cast(floor(y / 16) * 100 + floor(x / 16) as bigint) as region from fx_pixels)"

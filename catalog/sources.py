@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import geometry as geo
 from arborlake.session import ensure_checkpoint_dir
-from arborlake.sources import evaluation_csv, files, geojson, patches, tiles as tile_source
+from arborlake.sources import files, geojson, patches, tiles as tile_source
 from catalog.fixtures import fx, polygons, tile_pixels, tiles
 from catalog.registry import query
 
@@ -248,6 +248,24 @@ def read_raster_tiles(spark, sf):
     return tile_source.explode_pixels(tile_source.read_raster_tiles(spark, path))
 
 
+@query("scaled_tiles", """
+    select image_id, band, x, y, case image_id % 3 when 0 then 'uint8' when 1 then 'uint16' else 'float32' end as dtype,
+           round(case when image_id % 2 = 0 and value = 200 then 0 else value end
+                 / case image_id % 3 when 0 then 255 when 1 then 65535 else 1 end, 9) as value
+    from fx_tile_pixels""")
+def scaled_tiles(spark, sf):
+    """Tiles written with the type of their values, and every second one with a value for missing pixels; read and scaled."""
+    from arborlake.plans.predict import model_tiles
+
+    path = _scratch(spark)
+    kind = F.when(F.col("image_id") % 3 == 0, "uint8").when(F.col("image_id") % 3 == 1, "uint16").otherwise("float32")
+    missing = F.when(F.col("image_id") % 2 == 0, F.lit(200.0))
+    tiles(spark, sf).withColumns({"dtype": kind, "nodata": missing}).write.parquet(path)
+    read = model_tiles(tile_source.read_raster_tiles(spark, path))
+    rows = tile_source.explode_pixels(read).join(read.select("image_id", "dtype"), "image_id")
+    return rows.select("image_id", "band", "x", "y", "dtype", F.round("value", 9).alias("value"))
+
+
 @query("raster_bounds", """
     select image_id, c as min_x, f - 0.25 * height as min_y, c + 0.25 * width as max_x, f as max_y, a as res_x, -e as res_y from fx_meta""")
 def raster_bounds(spark, sf):
@@ -275,11 +293,3 @@ def catalog_by_image(spark, sf):
     return patches.catalog_by_image(fx(spark, sf, "fx_patches"))
 
 
-@query("eval_csv", """
-    select concat(image_id, '.geojson') as file, count(*) as n_truth, round(avg(w), 6) as precision from fx_gt_poly group by image_id""")
-def eval_csv(spark, sf):
-    rows = fx(spark, sf, "fx_gt_poly").groupBy("image_id").agg(F.count("*").alias("n_truth"), F.avg("w").alias("precision"))
-    zero = {c: F.lit(0).cast(kind) for _, c, kind in evaluation_csv.COLUMNS if c not in ("file", "n_truth", "precision")}
-    path = _scratch(spark)
-    evaluation_csv.write_eval_csv(rows.withColumns({**zero, "file": F.concat(F.col("image_id").cast("string"), F.lit(".geojson"))}), path)
-    return evaluation_csv.read_eval_csv(spark, path).select("file", "n_truth", F.round("precision", 6).alias("precision"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import augment as A
 from arborlake.operators import graph, matching, ranking, scoring, spatial_join, splits, tiling
 from arborlake.operators.blocks import cut_windows
+from catalog.bands import _lonlat_sql
 from catalog.fixtures import fx, tile_pixels, tiles
 from catalog.registry import query
 
@@ -183,12 +184,16 @@ def window_grid_padded(spark, sf):
     return tiling.window_grid(_meta(spark, sf), 64, 32, "multiple").select("image_id", "idx", "pixel_x", "pixel_y")
 
 
-@query("patch_metadata", """
-    select image_id, concat(image_id, '_', row_no * 5 + col_no) as patch_key, cast(col_no * 24 as int) as pixel_x, cast(row_no * 24 as int) as pixel_y
-    from fx_meta, range(5) a(row_no), range(5) b(col_no)""")
+@query("patch_metadata", f"""
+    with src as (
+      select image_id, row_no, col_no, c + 0.25::double * (col_no * 24 + 24.5::double) as x, f - 0.25::double * (row_no * 24 + 24.5::double) as y, 27 as lon0
+      from fx_meta, range(5) a(row_no), range(5) b(col_no))
+    select image_id, concat(image_id, '_', row_no * 5 + col_no) as patch_key, cast(row_no as int) as patch_row, cast(col_no as int) as patch_col,
+           cast(col_no * 24 as int) as pixel_x, cast(row_no * 24 as int) as pixel_y, round(lat, 5) as latitude, round(lon, 5) as longitude
+    from ({_lonlat_sql()})""")
 def patch_metadata(spark, sf):
     rows = tiling.patch_metadata(_meta(spark, sf), 48, 24, [3067, 32635])
-    return rows.select("image_id", "patch_key", "pixel_x", "pixel_y")
+    return rows.select("image_id", "patch_key", "patch_row", "patch_col", "pixel_x", "pixel_y", F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"))
 
 
 @query("cut_patches", """

@@ -120,7 +120,7 @@ def test_images_of_different_pixel_size_keep_their_own_least_area(spark):
     meta = spark.createDataFrame(place, "image_id string, width int, height int, a double, b double, c double, d double, e double, f double")
     least = {r.image_id: r.min_pixels for r in predict.pixels_of_area(meta, 4.0).collect()}
     assert least == {"fine": 16, "coarse": 4}
-    found = predict.predict_images(rows, meta, lambda: lambda batch: batch * 20 - 10, window=8, stride=4, crop=8, post_process=True, min_area=4.0, dilation_radius=1, erosion_radius=0)
+    found = predict.predict_images(rows, meta, lambda: lambda batch: batch * 20 - 10, window=8, stride=4, crop=8, post_process=True, min_area=4.0, dilation_radius=1, erosion_radius=0, scale=False)
     assert {r.image_id for r in found.collect()} == {"coarse"}
 
 
