@@ -2,22 +2,25 @@
 
 Every page scores its containers by the running text they hold outside menus, forms, notices and the like. The
 page votes for the generalised path (tags and classes, digits taken out) of its best container, with the length of
-the text as weight. Spark sums the votes of a host; the winning path is then used to extract all pages of the
-host again. A page without that path falls back to its own best container.
+the text as weight. Votes count among the pages of a host that are built alike: a page's template is the set of its
+outer container paths. Spark sums the votes of a template; the winning path is then used to extract all its pages
+again. A page without that path falls back to its own best container.
 
-The best container is only the start: an ancestor below the body that adds running text and nothing that is left out
-is taken in its place, so a title or lead beside the body of an article belongs to it.
+The best container is only the start. An ancestor below the body is taken in its place if it holds running text of
+its own, so a title or lead beside the body of an article belongs to it, or if it adds running text and nothing that
+is left out. Running text directly in the body belongs to an article that stands in no ``article`` or ``main``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -43,10 +46,12 @@ MARKS = (
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login form widget"
 ).split()
 LAYOUT = "with has no without".split()
+HEADINGS = "header masthead".split()  # of an article, if inside one or named with it
 ARTICLE_MARKS = "article content entry main maincontent post story text".split()
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SHARE = 0.75  # part of the page's running text that an unnamed container of the article holds
 NAMED_SHARE = 0.4  # the same for one that is named as an article
+OUTER = 3  # depth of the containers that make a template
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -59,10 +64,12 @@ class Page:
 
     def __init__(self, source: str | None) -> None:
         self.paths, self.parents, self.named, self.depth = [""], [-1], [False], [0]
+        self.tags = [""]
         self.left_out = [0]  # elements of a container that are left out
+        self._outer: set[str] = set()
         self.blocks: list[tuple[str, int, int]] = []  # text, container, characters outside links
         self._stack: list[tuple[str, int, bool]] = []  # tag, container, left out
-        self._out = self._link = 0
+        self._out = self._link = self._article = 0
         self._parts: list[str] = []
         self._linked = 0
         self._read(source or "")
@@ -91,35 +98,45 @@ class Page:
 
     def _marked(self, found: re.Match) -> bool:
         """An inline element that is left out, or the end of one."""
-        return any(t == found[2].lower() for t, _, _ in self._stack) if found[1] else self._attributes(found[3])[2]
+        return any(t == found[2].lower() for t, _, _ in self._stack) if found[1] else self._attributes(found[3], False)[2]
 
-    @staticmethod
-    def _attributes(text: str) -> tuple[str, bool, bool]:
-        """Generalised class, whether it is named as an article, and whether the element is left out."""
+    def _attributes(self, text: str, block: bool) -> tuple[str, bool, bool]:
+        """Generalised class, whether it is named as an article, and whether the element is left out.
+
+        One marking word is enough for a container; of a block, half of the words of a name have to mark.
+        """
         if not text or text == "/":
             return "", False, False
-        classes, pieces, out = "", set(), False
+        classes, pieces, out, names = "", set(), False, []
         for name, *values in _ATTRIBUTE.findall(text):
             name, value = name.lower(), "".join(values).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 out = True
             elif name != "aria-hidden":
                 pieces.update(_PIECES.findall(value))
+                names += value.split()
                 if name == "class":
                     classes = ".".join(sorted(_PIECES.findall(value)))
+        named = any(p in ARTICLE_MARKS for p in pieces)
+        marks = _MARKS - _HEADINGS if named or self._article else _MARKS
+        if block:
+            marked = any(2 * sum(w in marks for w in own) >= len(own) for own in map(_PIECES.findall, names) if own)
+        else:
+            marked = any(p in marks for p in pieces)
         # with-sidebar, no-header: a layout that speaks of others
-        out = out or any(p in _MARKS for p in pieces) and not any(p in LAYOUT for p in pieces)
-        return classes, any(p in ARTICLE_MARKS for p in pieces), out
+        return classes, named, out or marked and not any(p in LAYOUT for p in pieces)
 
     def _open(self, tag: str, attributes: str) -> None:
         self._flush()
         closes = CLOSED_BY.get(tag, ())
         if self._stack and (self._stack[-1][0] == "p" or self._stack[-1][0] in closes):
             self._pop()
-        classes, named, out = self._attributes(attributes)
+        block = tag in ("p", "html") or tag[0] == "h" and tag[1:].isdigit()
+        classes, named, out = self._attributes(attributes, block)
         parent = self._stack[-1][1] if self._stack else 0
-        out = (out or tag in LEFT_OUT) and tag not in ("body", "html")
-        if tag in ("p", "html") or tag[0] == "h" and tag[1:].isdigit():
+        out = (out or tag in LEFT_OUT and not (tag == "header" and self._article)) and tag not in ("body", "html")
+        self._article += tag in ("article", "main")
+        if block:
             self._stack.append((tag, parent, out))  # a block, not a container
             self.left_out[parent] += out
         else:
@@ -127,13 +144,18 @@ class Page:
             self.left_out.append(0)
             self.paths.append(f"{self.paths[parent]}/{tag}{'.' + classes if classes else ''}")
             self.parents.append(parent)
+            self.tags.append(tag)
             self.named.append(named or tag in ("article", "main"))
             self.depth.append(self.depth[parent] + 1)
+            if self.depth[-1] <= OUTER and not self._out and not out:
+                self._outer.add(self.paths[-1])
             self._stack.append((tag, len(self.paths) - 1, out))
         self._out += out
 
     def _pop(self) -> None:
-        self._out -= self._stack.pop()[2]
+        tag, _, out = self._stack.pop()
+        self._out -= out
+        self._article -= tag in ("article", "main")
 
     def _close(self, tag: str, _: str) -> None:
         self._flush()
@@ -156,12 +178,17 @@ class Page:
                 self.blocks.append((text, self._stack[-1][1] if self._stack else 0, max(0, len(text) - self._linked)))
         self._parts, self._linked, self._link = [], 0, 0
 
+    def template(self) -> str:
+        """Digest of the outer container paths, those that are left out aside."""
+        return hashlib.md5("\n".join(sorted(self._outer)).encode()).hexdigest()
+
     def best(self) -> tuple[int, float]:
         """The container of the article and the length of its running text; -1 if the page has no text."""
         inside, size, without = [0.0] * len(self.paths), [0] * len(self.paths), list(self.left_out)
         for text, container, running in self.blocks:
             inside[container] += running + 0.01 * len(text)
             size[container] += len(text)
+        own = [2 * x > n for x, n in zip(inside, size)]  # running text that is in no inner container
         for node in range(len(self.paths) - 1, 0, -1):  # children come after their parents
             for sums in (inside, size, without):
                 sums[self.parents[node]] += sums[node]
@@ -172,10 +199,11 @@ class Page:
             top = max(named, key=lambda i: (inside[i], i))
         else:  # the innermost that holds nearly all
             top = max((i for i, x in enumerate(inside) if x >= SHARE * inside[0]), key=lambda i: (self.depth[i], inside[i]))
-        above = self.parents[top]
-        while above > 0 and self.depth[above] > 1 and without[above] == without[top]:
-            if inside[above] - inside[top] > 0.5 * (size[above] - size[top]):  # not a list of links
-                top = above
+        above, clean = self.parents[top], without[top]
+        while above > 0 and self.tags[above] != "body":
+            adds = inside[above] - inside[top] > 0.5 * (size[above] - size[top])  # not a list of links
+            if own[above] or adds and without[above] == clean:
+                top, clean = above, without[above]
             above = self.parents[above]
         return top, inside[top]
 
@@ -191,23 +219,27 @@ class Page:
         held = [False] * len(self.paths)
         for node in range(len(self.paths)):
             held[node] = node in wanted or node > 0 and held[self.parents[node]]
-        return [text for text, container, _ in self.blocks if held[container]]
+        found = [text for text, container, _ in self.blocks if held[container]]
+        if not found or any(self.tags[i] in ("article", "main") for i in wanted):
+            return found
+        body = [tag == "body" or not node for node, tag in enumerate(self.tags)]
+        return [text for text, container, running in self.blocks if held[container] or body[container] and 2 * running > len(text)]
 
 
-_MARKS = set(MARKS)
+_MARKS, _HEADINGS = set(MARKS), set(HEADINGS)
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sums: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0])
+        sums: dict[tuple[str, str, str], list[float]] = defaultdict(lambda: [0.0, 0])
         for host, source in zip(batch["host"], batch["html"]):
             page = Page(source)
             node, length = page.best()
             if node >= 0:
-                own = sums[host, page.paths[node]]
+                own = sums[host, page.template(), page.paths[node]]
                 own[0] += length
                 own[1] += 1
-        yield pd.DataFrame([(h, p, w, n) for (h, p), (w, n) in sums.items()], columns=["host", "path", "weight", "pages"])
+        yield pd.DataFrame([(*key, w, n) for key, (w, n) in sums.items()], columns=["host", "template", "path", "weight", "pages"])
 
 
 def host_of(url):
@@ -217,12 +249,19 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the path with most votes of each host; ties go to more pages, then the smaller path."""
+    """``host, template, path``: the path with most votes among the host's pages of a template; ties go to more pages,
+    then the smaller path."""
     hosted = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host is not null and html is not null")
-    votes = hosted.mapInPandas(_votes, "host string, path string, weight double, pages long")
-    summed = votes.groupBy("host", "path").agg(F.round(F.sum("weight"), 3).alias("weight"), F.sum("pages").alias("pages"))
-    order = Window.partitionBy("host").orderBy(F.desc("weight"), F.desc("pages"), "path")
-    return summed.withColumn("place", F.row_number().over(order)).filter("place = 1").select("host", "path")
+    votes = hosted.mapInPandas(_votes, "host string, template string, path string, weight double, pages long")
+    summed = votes.groupBy("host", "template", "path").agg(F.round(F.sum("weight"), 3).alias("weight"), F.sum("pages").alias("pages"))
+    # the least of an aggregate, so a template with many paths is no window
+    best = F.min(F.struct((-F.col("weight")).alias("w"), (-F.col("pages")).alias("n"), "path")).alias("best")
+    return summed.groupBy("host", "template").agg(best).select("host", "template", "best.path")
+
+
+@pandas_udf(StringType())
+def _template(source: pd.Series) -> pd.Series:
+    return pd.Series([Page(s).template() for s in source], dtype=object)
 
 
 @pandas_udf(StringType())
@@ -235,10 +274,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Null and empty html gives an empty text, as does a page without text outside what is left out. Pages
     without a host use their own best container. Repeated rows are all answered; an empty table gives an empty
-    result. ``path`` is the host's path, null where it has none.
+    result. ``path`` is that of the page's host and template, null where there is none.
     """
     winners = cut_lineage(host_paths(pages))
-    hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = hosted.join(winners, "host", "left")
+    hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), _template("html").alias("template"))
+    joined = hosted.join(winners, ["host", "template"], "left")
     texts = joined.select("page_id", "url", "path", F.coalesce(_extract("html", "path"), F.lit("")).alias("text"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

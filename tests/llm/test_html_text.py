@@ -37,7 +37,8 @@ def test_host_votes_decide_for_all_its_pages(spark):
     rows += [(3, "http://a.example/short", page("", 2, 30), "h"), (4, "HTTPS://B.example?q", page("", 2, 30), "h"), (5, None, page("", 2, 30), "h")]
     rows += [(6, "no url", None, "h"), (6, "no url", None, "h"), (None, "http://c.example", "", "h"), (7, "http://a.example/other", "<main>Else</main>", "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string")
-    assert {r.host: r.path for r in host_paths(pages).collect()} == {"a.example": "/body/div.b", "b.example": "/body/div.tail"}
+    paths = {(r.host, r.path) for r in host_paths(pages).collect()}
+    assert paths == {("a.example", "/body/div.b"), ("a.example", "/main"), ("b.example", "/body/div.tail")}
     got = main_texts(pages).collect()
     assert len(got) == len(rows)
     texts = {r.page_id: r.text for r in got}
@@ -55,4 +56,39 @@ def test_title_and_lead_beside_the_body_belong_to_the_article():
         want = f"Title\n{lead.strip()}\n{body.strip()}"
         assert Page(f"<body><nav>Menu</nav>{article}<div class='tail'>Tail</div></body>").text(None) == want
         assert Page(f"<body><div>{article}<div>{links}</div></div></body>").text(None) == want
-        assert Page(f"<body><div>{article}<p>More</p><div class='comments'>Reader</div></div></body>").text(None) == want
+        assert Page(f"<body><div>{article}<p>More</p><div class='comments'>Reader</div></div></body>").text(None) == want + "\nMore"
+
+
+BODY = "body words " * 80
+
+
+@pytest.mark.parametrize("source, text", [
+    # directly in the body
+    (f"<body><nav>Menu</nav><h1>Title</h1><p>The lead.</p><div class='x'><p>{BODY}</p></div><div class='tail'>Tail</div></body>", f"Title\nThe lead.\n{BODY.strip()}"),
+    (f"<body><a href='#'>Skip to text</a><p>Note</p><article><p>{BODY}</p></article></body>", BODY.strip()),
+    # beside an inner container, in one that also holds a form
+    (f"<body><div><div class='page'><h1>Title</h1><p>The lead.</p><div class='text'><p>{BODY}</p></div><form>Mail</form></div></div></body>", f"Title\nThe lead.\n{BODY.strip()}"),
+    # the header of an article, not that of the site
+    (f"<body><header><h2>Site</h2></header><article><header><h1>Title</h1></header><p>{BODY}</p><footer>Tags</footer></article></body>", f"Title\n{BODY.strip()}"),
+    (f"<body><div class='site-header'>Site</div><div class='post'><div class='post-header'><h1>Title</h1></div><p>{BODY}</p></div></body>", f"Title\n{BODY.strip()}"),
+    # words that mark containers do not make a paragraph one
+    (f"<body><article><p class='form-of-life'>Kept.</p><p class='cookie-notice'>Gone.</p><p class='ad'>Gone.</p><p>{BODY}</p></article></body>", f"Kept.\n{BODY.strip()}"),
+])
+def test_nothing_of_the_article_is_lost(source, text):
+    assert Page(source).text(None) == text
+
+
+def test_templates_of_a_host_vote_on_their_own(spark):
+    def other(k):
+        return f"<body><section class='story'><p>{'news words ' * k}</p></section><div class='b'><p>short teaser</p></div></body>"
+
+    rows = [(i, "http://a.example/x", page("", 30, 2)) for i in range(6)] + [(10 + i, "http://a.example/y", other(20)) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert sorted(r.path for r in host_paths(pages).collect()) == ["/body/div.b", "/body/section.story"]
+    texts = {r.page_id: r.text for r in main_texts(pages).collect()}
+    assert texts[0] == ("long text " * 30).strip() and texts[11] == ("news words " * 20).strip()
+
+
+def test_very_long_page():
+    source = f"<body><article>{'<p>words of a very long page</p>' * 40_000}</article><footer>End</footer></body>"
+    assert len(source) > 1_000_000 and Page(source).text(None).count("\n") == 39_999
