@@ -69,11 +69,24 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = merkle.edit_report(table(spark, sf_dir, "documents"))
-    return report.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
-ORACLES["op8_merkle"] = rf"""
+def _leaves(text: str) -> str:
+    return f"""list_sort(list_distinct(list_transform(regexp_extract_all({text}, '{merkle.PIECE}'), lambda p: substr(md5(p), 1, {merkle.DIGITS}))))[1:{merkle.SKETCH}]"""
+
+
+def _branches(text: str) -> str:
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p)))"
+
+
+def _near(a: str, b: str, root_a: str, root_b: str) -> str:
+    least = f"list_sort(list_distinct(list_concat({a}, {b})))[1:{merkle.SKETCH}]"
+    shared = f"len(list_intersect({least}, list_intersect({a}, {b})))"
+    return f"case when {root_a} = {root_b} then 1.0::double when len({a}) + len({b}) = 0 then 0.0::double else {shared}::double / len({least}) end"
+
+
+ORACLES["op8_merkle"] = f"""
 with texts as (select doc_id, coalesce(text, '') as a from documents),
 next as (
   select doc_id, a, coalesce(lead(a) over (order by doc_id), first_value(a) over (order by doc_id)) as c from texts
@@ -82,27 +95,21 @@ edited as (
   select doc_id, a, c, length(a) as n, substring(a, 1, length(a) - length(a) // 2) || substring(c, 1, length(a) // 2) as b from next
 ),
 cut as (
-  select *, list_distinct(case when length(a) < 64 then regexp_extract_all(a, '{merkle.CHARACTERS}') else regexp_extract_all(a, '{merkle.WORDS}') end) as pa,
-    list_distinct(case when length(b) < 64 then regexp_extract_all(b, '{merkle.CHARACTERS}') else regexp_extract_all(b, '{merkle.WORDS}') end) as pb,
-    list_distinct(case when length(c) < 64 then regexp_extract_all(c, '{merkle.CHARACTERS}') else regexp_extract_all(c, '{merkle.WORDS}') end) as pc
-  from edited
+  select *, {_leaves("a")} as la, {_leaves("b")} as lb, {_leaves("c")} as lc, {_branches("a")} as ta, {_branches("b")} as tb, {_branches("c")} as tc from edited
 ),
-weighed as (
-  select *, coalesce(list_sum(list_transform(pa, lambda p: least(length(p), 4095))), 0) as wa,
-    coalesce(list_sum(list_transform(pb, lambda p: least(length(p), 4095))), 0) as wb,
-    coalesce(list_sum(list_transform(pc, lambda p: least(length(p), 4095))), 0) as wc,
-    coalesce(list_sum(list_transform(list_intersect(pa, pb), lambda p: least(length(p), 4095))), 0) as wab,
-    coalesce(list_sum(list_transform(list_intersect(pa, pc), lambda p: least(length(p), 4095))), 0) as wac
+rooted as (
+  select *, sha256(array_to_string(list_transform(ta, lambda s: sha256(array_to_string(s, ','))), ',')) as ra,
+    sha256(array_to_string(list_transform(tb, lambda s: sha256(array_to_string(s, ','))), ',')) as rb,
+    sha256(array_to_string(list_transform(tc, lambda s: sha256(array_to_string(s, ','))), ',')) as rc,
+    flatten(list_transform(range(greatest(len(ta), len(tb))), lambda i: list_filter(list_transform(
+      range(greatest(coalesce(len(ta[i + 1]), 0), coalesce(len(tb[i + 1]), 0))),
+      lambda j: case when ta[i + 1][j + 1] is distinct from tb[i + 1][j + 1] then [i, j] end), lambda x: x is not null))) as edits
   from cut
 )
-select doc_id, n as n_chars, sha256(b) as edited_sha256,
-  sha256(array_to_string(list_transform(string_split(a, chr(10) || chr(10)), lambda s:
-    sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ',')) as fingerprint,
-  sha256(array_to_string(list_transform(string_split(b, chr(10) || chr(10)), lambda s:
-    sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ',')) as edited_fingerprint,
-  case when wa + wb > 0 then cast(wab as double) / cast(wa + wb - wab as double) when a = b then 1.0 else 0.0 end as near_edited,
-  case when wa + wc > 0 then cast(wac as double) / cast(wa + wc - wac as double) when a = c then 1.0 else 0.0 end as near_next
-from weighed
+select doc_id, n as n_chars, sha256(b) as edited_sha256, ra || ':' || array_to_string(la, '') as fingerprint, rb || ':' || array_to_string(lb, '') as edited_fingerprint,
+  {_near("la", "lb", "ra", "rb")} as near_edited, {_near("la", "lc", "ra", "rc")} as near_next,
+  cast(len(edits) as integer) as n_differing, cast(edits[1][1] as integer) as edit_section, cast(edits[1][2] as integer) as edit_paragraph
+from rooted
 """
 
 

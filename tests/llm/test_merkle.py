@@ -14,14 +14,21 @@ def plain_root(text):
     return sha(",".join(sha(",".join(sha(p) for p in s.split("\n"))) for s in text.split("\n\n")))
 
 
-def plain_pieces(text):
-    return set(re.findall(mk.CHARACTERS if len(text) < mk.SHORT else mk.WORDS.replace(r"\x0B", "\x0b"), text))
+def plain_sketch(text):
+    found = re.findall(mk.PIECE.replace(r"\x0B", "\x0b"), text)
+    return sorted({hashlib.md5(p.encode()).hexdigest()[: mk.DIGITS] for p in found})[: mk.SKETCH]
+
+
+def plain_print(text):
+    return plain_root(text) + ":" + "".join(plain_sketch(text))
 
 
 def plain_near(a, b):
-    x, y = plain_pieces(a), plain_pieces(b)
-    both, total = sum(map(len, x & y)), sum(map(len, x)) + sum(map(len, y))
-    return both / (total - both) if total else float(a == b)
+    if a == b:
+        return 1.0
+    x, y = set(plain_sketch(a)), set(plain_sketch(b))
+    least = set(sorted(x | y)[: mk.SKETCH])
+    return len(least & x & y) / len(least) if least else 0.0
 
 
 def plain_report(rows):
@@ -31,7 +38,7 @@ def plain_report(rows):
         c = order[(i + 1) % len(order)][1]
         half = len(a) // 2
         b = a[: len(a) - half] + c[:half]
-        out.append((key, len(a), sha(b), plain_root(a), plain_root(b), plain_near(a, b), plain_near(a, c)))
+        out.append((key, len(a), sha(b), plain_print(a), plain_print(b), plain_near(a, b), plain_near(a, c)))
     return out
 
 
@@ -77,3 +84,28 @@ def test_edits_stay_near_and_strangers_do_not(spark):
     texts = [(i, " ".join(f"w{(i * 7919 + j * j * 31) % 5000}" for j in range(80)) + ".") for i in range(20)]
     rows = mk.edit_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert all(r.near_edited > 0.25 > 0.05 > r.near_next and r.fingerprint != r.edited_fingerprint for r in rows)
+
+
+def near(spark, a, b):
+    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    x, y = mk.merkle_trees(rows).orderBy("doc_id").collect()
+    assert (x.fingerprint == y.fingerprint) == (a == b)
+    return plain_near(a, b)
+
+
+def test_pieces_stay_in_paragraphs_and_cover_the_text():
+    for text in ("one two three four. five\nsix\tseven\n\n eight", "漢字" * 120, "x" * 5000, " " * 100, "a" + " " * 30 + "b", "。。！a\x0bb\r\n"):
+        found = re.findall(mk.PIECE.replace(r"\x0B", "\x0b"), text)
+        assert "".join(found) == text.replace("\n", "") and max(map(len, found)) <= 96
+
+
+def test_one_rule_for_all_lengths(spark):
+    text = "The river ran high that spring and nobody in the valley slept w"
+    assert len(text) == 63 and near(spark, text, text + "x") > 0.6
+    han = "".join(chr(0x4E00 + (i * i * 37) % 5000) for i in range(240))
+    assert near(spark, han, han[:120] + han[::-1][:120]) > 0.25
+    assert near(spark, "", "\n") == 0.0 and near(spark, "", "") == 1.0
+
+
+def test_rows_without_id_in_number(spark):
+    check(spark, [(None, f"text number {i}. " * (i % 5)) for i in range(60)] + [(5, "last")])
