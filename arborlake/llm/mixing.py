@@ -3,21 +3,25 @@
 A labelled table (text, domain) teaches a naive Bayes classifier over hashed words. It gives every document a
 posterior over the domains, so a document belongs to each of them in part. Rates say how often a document is to
 be used. They are fitted so that the expected tokens of every domain, summed over all documents as tokens x rate x
-posterior, come to a target: projected gradient descent on the squared misses, each relative to what its domain
-has, with rates kept at or above their least value.
-
-A step changes a rate by the document's posterior times one number per domain. The rate is therefore a short
-formula over the posterior and the numbers of the steps so far: a round is one pass of sums over a narrow table,
-and nothing is shuffled but one row of sums per task.
+posterior, come to a target: projected gradient descent with momentum on the squared misses, with rates kept at or
+above their least value. Misses are measured by the inverse of the domains' joint tokens (tokens x posterior x
+posterior), which undoes what mixed posteriors share, so a rare domain is fitted as fast as a large one. It goes on
+until the targets are met or nothing more is gained; what each domain then has is reported against its target.
+
+A step changes a rate by the document's posterior times one number per domain. The rate is therefore a fold over
+the numbers of the steps so far: a round is one pass of sums over a narrow table, and nothing is shuffled but one
+row of sums per task.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.llm.common import held_out
@@ -27,12 +31,15 @@ BUCKETS = 8192  # hashed words of the classifier
 PER_DOMAIN = 2000  # labelled rows of a domain, about: the bound of the fitted sample
 EVIDENCE = 32  # words whose weight a text's mean likelihood carries at most
 POWER = 0.7  # default targets: token shares to this power
-ROUNDS = 60
+ROUNDS = 400
 CLOSE = 1e-4  # relative miss that ends the rounds
-GAIN = 5e-3  # least part of the squared misses that a round takes away
+GAIN = 1e-5  # part of the squared misses; rounds that gain less in a row end the fit
+IDLE = 4  # so many of them
 WRITTEN = 8  # rounds between two tables of rates
 UNIT = 1 << 30
 
+log = logging.getLogger(__name__)
+
 
 def exploded(text: Column) -> Column:
     """Lower-cased words with their position; one row without a word for a null text."""
@@ -91,28 +98,42 @@ def fit_domains(labelled: DataFrame, key: Column, per_domain: int = PER_DOMAIN)
 
 @dataclass
 class Rates:
-    """Fitted rates as the list of steps that lead to them."""
+    """Fitted rates as the list of steps that lead to them: the momentum and one number a domain."""
 
     domains: list[str]
     targets: list[float]
     least: float
     steps: list[list[float]] = field(default_factory=list)
-    totals: list[float] = field(default_factory=list)
+    tokens: list[float] = field(default_factory=list)  # before
+    totals: list[float] = field(default_factory=list)  # after
 
-    def rate(self, posterior: Column, start: Column | None = None, since: int = 0) -> Column:
-        """The rate after all steps, or from ``start`` on after those ``since`` a step."""
-        parts = [F.get(posterior, F.lit(k)) for k in range(len(self.domains))]
+    def state(self, posterior: Column, start: Column | None = None, since: int = 0) -> Column:
+        """``rate, last`` after all steps, or from ``start`` on after those ``since`` a step."""
+        if start is None:
+            first = F.greatest(F.lit(float(self.least)), F.lit(1.0))
+            start = F.struct(first.alias("rate"), first.alias("last"))
+        if since == len(self.steps):
+            return start
+        steps = F.array(*(F.array(*map(F.lit, step)) for step in self.steps[since:]))
 
-        def move(rate: Column, step: list[float]) -> Column:
-            slope = reduce(lambda a, b: a + b, (p * F.lit(c) for p, c in zip(parts, step)))
-            return F.greatest(F.lit(self.least), rate - slope)
+        def move(own: Column, step: Column) -> Column:
+            ahead = own["rate"] + F.get(step, F.lit(0)) * (own["rate"] - own["last"])
+            slope = reduce(lambda a, b: a + b, (F.get(posterior, F.lit(k)) * F.get(step, F.lit(k + 1)) for k in range(len(self.domains))))
+            return F.struct(F.greatest(F.lit(float(self.least)), ahead - slope).alias("rate"), own["rate"].alias("last"))
 
-        return reduce(move, self.steps[since:], F.greatest(F.lit(self.least), F.lit(1.0)) if start is None else start)
+        return F.aggregate(steps, start, move)
+
+    def rate(self, posterior: Column) -> Column:
+        return self.state(posterior)["rate"]
 
     @property
     def miss(self) -> float:
         return max((abs(s - t) / t for s, t in zip(self.totals, self.targets) if t > 0), default=0.0)
 
+    def report(self, spark: SparkSession) -> DataFrame:
+        """``domain, tokens, target, total``: expected tokens before, wanted and after."""
+        return spark.createDataFrame([*zip(self.domains, self.tokens, self.targets, self.totals)], "domain string, tokens double, target double, total double")
+
 
 def default_targets(sums: list[float], power: float = POWER) -> list[float]:
     """Shares to the power, scaled so that the domain nearest to having enough keeps just what it has."""
@@ -125,32 +146,50 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]
     """Rates for rows ``tokens, posterior``.
 
     ``targets`` are wanted tokens by domain (missing ones: none wanted); by default those of ``default_targets``.
-    The rounds end when every domain is within ``CLOSE`` of its target or a round takes less than ``GAIN`` of the
-    misses away; what is then reached stands in ``totals``. Every few rounds the rates are written, so that the
-    formula of a round stays short.
+    The rounds end when every domain is within ``CLOSE`` of its target, or at the optimum, where several rounds in a
+    row gain next to nothing. Momentum starts anew when the misses grow. Every few rounds the rates are written, so
+    that a round folds a few steps only.
     """
     def sums(rate: Column) -> list[float]:
-        own = [F.sum(F.col("tokens") * rate * F.get("posterior", F.lit(k))).alias(f"s{k}") for k in range(len(domains))]
-        return [float(x or 0.0) for x in members.agg(*own).first()]
-
+        own = [F.sum(F.col("tokens") * F.col("_rate") * F.get("posterior", F.lit(k))).alias(f"s{k}") for k in range(len(domains))]
+        return [float(x or 0.0) for x in members.withColumn("_rate", rate).agg(*own).first()]
+
+    pairs = [(k, j) for k in range(len(domains)) for j in range(k + 1)]
+    joint = members.agg(*(F.sum(F.col("tokens") * F.get("posterior", F.lit(k)) * F.get("posterior", F.lit(j))) for k, j in pairs)).first()
+    shared = np.zeros((len(domains), len(domains)))
+    for (k, j), value in zip(pairs, joint):
+        shared[k, j] = shared[j, k] = value or 0.0
     start = sums(F.lit(1.0))
     wanted = default_targets(start) if targets is None else [float(targets.get(d, 0.0)) for d in domains]
-    # misses count in units of what a domain has: the curvature is then below one and near one for clear posteriors
-    unit = [max(s, 1e-9 * (sum(start) + 1)) for s in start]
-    fitted = Rates(domains, wanted, least)
-    fitted.totals = start if least <= 1.0 else sums(F.lit(least))
-    last, written, current = math.inf, 0, None
+    # in this measure the curvature is one; a little is added for domains that no document tells apart
+    shared += np.eye(len(domains)) * 1e-9 * (sum(start) + 1)
+
+    def misses(totals: list[float]) -> list[float]:
+        return np.linalg.solve(shared, np.subtract(totals, wanted)).tolist()
+
+    def cost(totals: list[float]) -> float:
+        return float(np.subtract(totals, wanted) @ misses(totals))
+
+    fitted = Rates(domains, wanted, least, tokens=start)
+    fitted.totals = start if least <= 1.0 else sums(F.lit(float(least)))
+    before, pace, best, idle, written, current = fitted.totals, 1.0, cost(fitted.totals), 0, 0, None
     for _ in range(rounds):
-        misses = [(s - t) / u for s, t, u in zip(fitted.totals, wanted, unit)]
-        cost = sum(m * m * u for m, u in zip(misses, unit))
-        if fitted.miss < CLOSE or cost > last * (1 - GAIN):
+        if fitted.miss < CLOSE or idle == IDLE:
             break
-        last = cost
-        fitted.steps.append(misses)
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        push, pace = (pace - 1) / faster, faster
+        # totals are linear in the rates, so those of the point ahead need no pass
+        ahead = [s + push * (s - b) for s, b in zip(fitted.totals, before)]
+        fitted.steps.append([push, *misses(ahead)])
         if len(fitted.steps) - written == WRITTEN:
-            members = cut_lineage(members.withColumn("rate", fitted.rate(F.col("posterior"), current, written)))
-            written, current = len(fitted.steps), F.col("rate")
-        fitted.totals = sums(fitted.rate(F.col("posterior"), current, written))
+            members = cut_lineage(members.withColumn("state", fitted.state(F.col("posterior"), current, written)))
+            written, current = len(fitted.steps), F.col("state")
+        before, fitted.totals = fitted.totals, sums(fitted.state(F.col("posterior"), current, written)["rate"])
+        new = cost(fitted.totals)
+        if new > cost(before):
+            pace = 1.0
+        idle = idle + 1 if new > best * (1 - GAIN) else 0
+        best = min(best, new)
     return fitted
 
 
@@ -189,15 +228,18 @@ def mixed(documents: DataFrame, domain: str = "lang", targets: dict[str, float]
 
 
 def mixing_rates(documents: DataFrame, domain: str = "lang") -> DataFrame:
-    """``doc_id, n_tokens, posterior, rate, copies`` for every row. An empty table gives an empty result."""
-    rows, _ = mixed(documents.select("doc_id", "text", domain), domain)
+    """``doc_id, n_tokens, posterior, rate, copies, miss`` for every row, the last the largest relative miss of a
+    target that is left. An empty table gives an empty result."""
+    rows, fitted = mixed(documents.select("doc_id", "text", domain), domain)
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_time")
-    return rows.select("doc_id", F.col("tokens").alias("n_tokens"), "posterior", "rate", "copies", again).drop("_time")
+    return rows.select("doc_id", F.col("tokens").alias("n_tokens"), "posterior", "rate", "copies", F.lit(fitted.miss).alias("miss"), again).drop("_time")
 
 
 def repeat_to_targets(documents: DataFrame, domain: str = "lang") -> DataFrame:
     """Every document as often as its rate says, at least once: scarce domains are repeated, nothing is dropped."""
-    rows, _ = mixed(documents, domain, least=1.0)
+    rows, fitted = mixed(documents, domain, least=1.0)
+    for name, had, target, total in zip(fitted.domains, fitted.tokens, fitted.targets, fitted.totals):
+        log.info("domain %s: %.0f tokens, target %.0f, mixed %.0f", name, had, target, total)
     copies = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     times = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_time")
