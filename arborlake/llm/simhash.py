@@ -177,6 +177,13 @@ def fingerprint_links(distinct: DataFrame, key: str = "fp") -> DataFrame:
     return dealt.groupBy("tree", "cell", "a", "b").applyInPandas(_shard_links, "u long, v long")
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """``fp, root`` of every distinct fingerprint of rows ``fp``; written, so joins with it can split a hot value."""
+    distinct = cut_lineage(prints.select("fp").distinct())
+    links = components(fingerprint_links(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return cut_lineage(distinct.join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def simhash_groups(documents: DataFrame) -> DataFrame:
     """``doc_id, fp, fingerprint, component_id`` for every row: smallest doc_id among all it is linked to.
 
@@ -185,20 +192,26 @@ def simhash_groups(documents: DataFrame) -> DataFrame:
     unless all its members lack an id.
     """
     prints = cut_lineage(documents.select("doc_id", fingerprint("text").alias("fp")))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = components(fingerprint_links(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = distinct.join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
+    classes = _classes(prints)
+    first = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    rooted = classes.join(first, "fp")
+    named = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    by_print = cut_lineage(classes.join(named, "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_first_copies(documents: DataFrame) -> DataFrame:
-    """The documents without near copies: of each group the one of smallest id stays, once.
+    """One document of each group of near copies: that of the smallest id, of several texts under it the one of the
+    smallest hash, once.
 
-    Rows without an id cannot be told apart by one and stay.
+    A group whose rows have no id keeps one of them by the hash alone; rows without an id go where another has one.
     """
-    kept = simhash_groups(documents).filter("doc_id = component_id").select("doc_id").distinct()
-    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
-    return named.unionByName(documents.filter("doc_id is null"))
+    prints = cut_lineage(documents.select("doc_id", F.xxhash64("text").alias("hash"), fingerprint("text").alias("fp")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
+    by_print = cut_lineage(prints.groupBy("fp").agg(least))
+    winners = _classes(prints).join(by_print, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    kept = cut_lineage(winners.select(F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_hash")))
+    stamped = documents.withColumn("_own", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    return stamped.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*documents.columns)

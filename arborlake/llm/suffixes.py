@@ -39,6 +39,7 @@ SLICE = 1 << 20  # bytes of one text worked on at once
 CHUNK = 1 << 18  # bytes of short texts worked on at once
 HELD = 1 << 19  # spans that a task compares with each other
 SHARD = 4096  # spans of one suffix array, about
+SAMPLED = 64  # one document in so many tells which grams are hot
 SEPARATOR = 0xFF  # no UTF-8 text has this byte
 
 SPANS = "gram long, print long, doc long, low int, high int, copy boolean"
@@ -145,18 +146,19 @@ def joined(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
 def _settle_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans in order of gram, print and place: copies come out as runs, spans in doubt with their gram.
 
-    Of a gram's spans only the last one read is held, so a gram of any size streams through.
+    Of a gram's spans only the last one read is held, so a gram of any size streams through. Spans of a hot gram have
+    ``own`` set: others of it are elsewhere, so each is in doubt.
     """
     pending, in_doubt = None, False  # the last different span, and whether its gram had one before
     for batch in batches:
         gram, stamp, doc, low, high, copy = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         yield _run_batch(doc[copy], low[copy], high[copy], None)
-        rows = [c[~copy] for c in (gram, stamp, doc, low, high)]
+        rows = [c[~copy] for c in (gram, stamp, doc, low, high, batch.column(6).is_valid().to_numpy(zero_copy_only=False))]
         if not len(rows[0]):
             continue
         if pending is not None:
             rows = [np.concatenate([[p], c]) for p, c in zip(pending, rows)]
-        gram, stamp, doc, low, high = rows
+        gram, stamp, doc, low, high, alone = rows
         same_gram = gram[1:] == gram[:-1]
         again = np.concatenate([[False], same_gram & (stamp[1:] == stamp[:-1])])
         # the same place twice is a repeated row, not a copy
@@ -166,14 +168,14 @@ def _settle_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         kinds = np.nonzero(~again)[0]
         beside = gram[kinds[1:]] == gram[kinds[:-1]]
         before = np.concatenate([[in_doubt and pending is not None], beside])
-        doubt = before.copy()
+        doubt = before | alone[kinds].astype(bool)
         doubt[:-1] |= beside
         out = kinds[:-1][doubt[:-1]]
         yield _run_batch(doc[out], low[out], high[out], gram[out])
         last = kinds[-1]
-        pending, in_doubt = [c[last] for c in rows], bool(before[-1])
+        pending, in_doubt = [c[last] for c in rows], bool(before[-1] or alone[last])
     if pending is not None and in_doubt:
-        yield _run_batch(*(np.array([x]) for x in pending[2:]), np.array([pending[0]]))
+        yield _run_batch(*(np.array([x]) for x in pending[2:5]), np.array([pending[0]]))
 
 
 def _run_batch(doc, low, high, gram: np.ndarray | None) -> pa.RecordBatch:
@@ -311,39 +313,72 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
 def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         doc, texts, runs = (batch.column(i).to_pylist() for i in range(3))
-        rows = [(d, r["gram"], r["low"], utf8_text[r["low"] : r["high"] + LENGTH]) for d, t, own in zip(doc, texts, runs) for utf8_text in [utf8(t)] for r in own]
-        columns = list(zip(*rows)) or [()] * 4
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "gram", "low", "text"])
+        rows = [
+            (d, r["gram"], r["low"], r["blocks"], utf8_text[r["low"] : r["high"] + LENGTH])
+            for d, t, own in zip(doc, texts, runs) for utf8_text in [utf8(t)] for r in own
+        ]
+        columns = list(zip(*rows)) or [()] * 5
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "gram", "low", "blocks", "text"])
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """The documents and, in ``_doc``, their id. Rows without one come first, each with a key of its own.
+    """The documents and, in ``_doc``, a key in the order of their ids: equal texts under an id share it.
 
-    Those keys follow the order of hashed texts. They are written, so that a later read or a retry finds the same.
+    Rows without an id come first, each with a key of its own, in the order of hashed texts. Of different texts under
+    an id the one of the smallest hash has the id as its key; the others come after all ids. Keys that are made up
+    are written, so that a later read or a retry finds the same.
     """
-    named = documents.filter("doc_id is not null").withColumn("_doc", F.col("doc_id").cast("long"))
+    texts = documents.filter("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
+    several = cut_lineage(
+        texts.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most"))
+        .filter("_least <> _most").select("_id", "_least")
+    )
+    known = texts.join(several, F.col("doc_id") == F.col("_id"), "left")
+    other = F.col("_hash") != F.coalesce("_least", "_hash")
+    named = known.filter(~other).withColumn("_doc", F.col("doc_id").cast("long")).select(*documents.columns, "_doc")
+    made = F.monotonically_increasing_id()
+    again = known.filter(other).select("doc_id", "_hash").distinct().orderBy("doc_id", "_hash").withColumn("_doc", F.lit(1 << 62) + made)
+    again = cut_lineage(again.withColumnsRenamed({"doc_id": "_id2", "_hash": "_hash2"}))
+    rest = known.filter(other).join(again, (F.col("doc_id") == F.col("_id2")) & (F.col("_hash") == F.col("_hash2")))
     ordered = documents.filter("doc_id is null").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
-    unnamed = ordered.withColumn("_doc", F.lit(-(1 << 63)) + F.monotonically_increasing_id())
-    return named.unionByName(cut_lineage(unnamed))
+    unnamed = cut_lineage(ordered.withColumn("_doc", F.lit(-(1 << 63)) + made))
+    return named.unionByName(rest.select(*documents.columns, "_doc")).unionByName(unnamed)
+
+
+def _hot_grams(texts: DataFrame, parts: int) -> DataFrame:
+    """``gram, hot``: grams that would fill a large part of one of so many tasks, by a sample of the documents.
+
+    There are at most ``8 * parts`` of them. They only decide where spans meet, not what is found.
+    """
+    some = texts.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).mapInArrow(_find_spans, SPANS).filter("not copy")
+    sizes = cut_lineage(some.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return sizes.filter(F.col("n") * 8 * parts > total).select("gram", F.lit(True).alias("hot"))
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
     """``doc, low, high``: runs of starts of 100-byte strings that also start earlier; documents as keyed before."""
     texts = documents.select(F.col("_doc").alias("doc"), "text").filter(F.octet_length("text") >= LENGTH)
-    found = texts.mapInArrow(_find_spans, SPANS)
-    ordered = found.repartition(partitions(documents), "gram").sortWithinPartitions("gram", "print", "doc", "low")
+    parts = partitions(documents)
+    hot = _hot_grams(texts, parts)
+    found = texts.mapInArrow(_find_spans, SPANS).join(F.broadcast(hot), "gram", "left")
+    # spans of a hot gram meet by their print only, and are all in doubt
+    found = found.withColumn("own", F.when(F.col("hot"), F.col("print")))
+    ordered = found.drop("hot").repartition(parts, "gram", "own").sortWithinPartitions("gram", "print", "doc", "low")
     settled = cut_lineage(ordered.mapInArrow(_settle_sorted, RUNS))
     copies = settled.filter("gram is null").select("doc", "low", "high")
     doubt = settled.filter("gram is not null")
 
     sizes = doubt.groupBy("gram").agg(F.count("*").alias("n"))
     total = doubt.count()
-    many = sizes.filter(F.col("n") > SHARD).select("gram", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks"))
-    by_doc = doubt.groupBy("doc").agg(F.collect_set(F.struct("gram", "low", "high")).alias("runs"))
-    cut = texts.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(_cut_spans, "doc long, gram long, low int, text binary")
+    # the blocks of a gram join its narrow rows, before any text does
+    many = cut_lineage(sizes.filter(F.col("n") > SHARD).select("gram", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks")))
+    doubt = doubt.join(many, "gram", "left")
+    by_doc = doubt.groupBy("doc").agg(F.collect_set(F.struct("gram", "low", "high", "blocks")).alias("runs"))
+    placed = texts.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(_cut_spans, "doc long, gram long, low int, blocks int, text binary")
     shards = max(1, -(-total // SHARD))
-    placed = cut.join(many, "gram", "left").withColumn("dealt", F.col("blocks").isNotNull())
+    placed = placed.withColumn("dealt", F.col("blocks").isNotNull())
     shard = F.when(F.col("dealt"), F.pmod(F.xxhash64("doc", "low"), F.col("blocks").cast("long"))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
     keyed = placed.select("doc", "low", "text", "dealt", F.when(F.col("dealt"), F.col("gram")).alias("own"), shard.alias("shard"))
     sorted_out = cut_lineage(keyed.groupBy("own", "shard").applyInPandas(_shard, "doc long, low int, high int, one long, two long, first boolean"))
@@ -382,9 +417,9 @@ def _with_runs(documents: DataFrame) -> DataFrame:
 def repeat_digests(documents: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
-    Null texts are empty; texts below 100 bytes lose nothing. Rows under one id are the same document: equal
-    rows get equal results, and of different texts under an id each loses what was found for any of them. Rows
-    without an id are documents of their own. An empty table gives an empty result.
+    Null texts are empty; texts below 100 bytes lose nothing. Equal rows under an id are one document and get equal
+    results; different texts under an id are documents of their own (see ``_keyed``), as are rows without an id. An
+    empty table gives an empty result.
     """
 
     @pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -74,8 +74,12 @@ def test_links_of_crowded_prints_match_brute_force(spark, monkeypatch):
 
 def test_one_copy_of_each_group_stays(spark):
     rows = [(5, TEXT, "x"), (3, TEXT, "y"), (3, TEXT, "y"), (9, "something else entirely", "z"), (None, "no id here at all today", "z")]
+    rows += [(None, "no id here at all today", "z"), (None, TEXT, "n"), (20, "one text under this id here", "a"), (20, "and quite another under the same", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     kept = sh.keep_first_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None"]
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([
+        ("3", TEXT), ("9", "something else entirely"), ("None", "no id here at all today"),
+        ("20", "one text under this id here"), ("20", "and quite another under the same"),
+    ])
     assert sh.keep_first_copies(docs.limit(0)).count() == 0

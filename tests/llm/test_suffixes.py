@@ -110,3 +110,29 @@ def test_equal_rows_without_id_are_copies(spark):
     docs = spark.createDataFrame([(None, text)] * 3, "doc_id long, text string")
     got = sorted(r.n_removed for r in sx.repeat_digests(docs).collect())
     assert got[1:] == [500, 500] and got[0] == plain_digests([(0, text)])[0][1]
+
+
+def test_different_texts_under_one_id_are_documents_of_their_own(spark):
+    rng = np.random.default_rng(11)
+    shared, unique = ("".join(rng.choice(list(letters), 400)) for letters in ("abcdefgh", "klmnopqr"))
+    rows = [(1, shared), (5, shared), (5, unique), (5, unique), (7, unique[:250] + shared[:50])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in sx.repeat_digests(docs).collect())
+    assert got[0] == (1, 400, 0)
+    whole = {n for k, _, n in got if k == 5}
+    assert whole <= {0, 250, 400} and sorted(n for k, _, n in got if k == 5).count(400) == 1
+    # the unique text is nobody's copy: what it shares with document 7 goes from one of the two
+    lost = {(k, n) for k, _, n in got}
+    assert ((5, 0) in lost) == ((7, 250) in lost)
+
+
+@pytest.mark.parametrize("sampled", [1, 1 << 40])
+def test_hot_grams_change_nothing(spark, monkeypatch, sampled):
+    """A phrase in every document, in other surroundings each time, with all of it sampled or nothing."""
+    monkeypatch.setattr(sx, "SAMPLED", sampled)
+    rng = np.random.default_rng(12)
+    phrase = "".join(rng.choice(list("abcd"), 140))
+    rows = [(i, "".join(rng.choice(list("klmnopqrstuv"), 90)) + phrase + "".join(rng.choice(list("klmnopqrstuv"), 90 + i % 3))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sx.repeat_digests(docs).collect()}
+    assert got == plain_digests(rows)
