@@ -78,21 +78,40 @@ def first_by_hash(df: DataFrame, key: str, salt: str, by: str, take: DataFrame,
     return whole.unionByName(cut)
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], buckets: int = 1024) -> DataFrame:
+def cuts_below(cuts: Column, value: Column, most: int) -> Column:
+    """Number of the sorted ``cuts`` (at most ``most``) that are below a value, by halving."""
+    halves = F.array(*(F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)))
+
+    def further(place: Column, step: Column) -> Column:
+        return F.when((place + step <= F.size(cuts)) & (F.get(cuts, place + step - 1) < value), place + step).otherwise(place)
+
+    return F.aggregate(halves, F.lit(0), further)
+
+
+def with_buckets(counts: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
+    """Adds ``_b``: ordered buckets of about equally many rows each, whatever the values are.
+
+    Their bounds come from a rank sketch that tasks build and merge; its error is a tenth of a bucket. Equal values
+    share a bucket.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, shares, 10 * buckets)).alias("_cuts"))
+    return counts.join(cuts, list(by)).withColumn("_b", cuts_below(F.col("_cuts"), F.col(value), buckets)).drop("_cuts")
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], buckets: int = 1000) -> DataFrame:
     """Linear-interpolated quantiles per ``by``: columns ``by, n, quantiles`` (array in the order of ``probs``).
 
-    Values are counted first (partial aggregation collapses repeats), the counts go into equal-width buckets,
-    and only buckets that hold a wanted rank are looked at value by value. No task sees a whole group.
+    Values are counted first (partial aggregation collapses repeats). The counts go into ordered buckets of equal
+    numbers of values, and only buckets that hold a wanted rank are looked at value by value. No task sees a whole
+    group, and an outlier takes a place in a bucket like any other value.
     """
     by = list(by)
     if not by:
         raise ValueError("exact_quantiles needs at least one key column")
     counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n"))
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets
-    binned = counts.join(span, by).withColumn(
-        "_b", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    )
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
+    binned = with_buckets(counts, by, "_v", buckets).join(sizes, by)
     hist = binned.groupBy(*by, "_b", "n").agg(F.sum("_n").alias("_size"))
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlake.session import cut_lineage, join_small
+
 # Attribute columns of a patch.
 ATTRIBUTES = ("patch_key", "source_image", "num_trees", "latitude", "longitude", "pixel_x", "pixel_y")
 
 
-def write_patches(patches: DataFrame, path: str, codec: str = "gzip", rows_per_file: int = 2000, spread: int = 4) -> None:
+def write_patches(patches: DataFrame, path: str, codec: str = "gzip", rows_per_file: int = 2000) -> None:
     """Write patch rows; an existing store is an error.
 
-    Patches of an image are brought together in at most ``spread`` tasks before they are written, so an image has
-    a few files and not one from every task; files are cut by rows, so a hot image becomes many.
+    An image's patches are counted and dealt into as many shares as they fill files, so a small image is one file
+    and a hot one is written by many tasks. Only keys are read for the counts.
     """
-    part = F.pmod(F.xxhash64("patch_key"), F.lit(spread))
-    together = patches.withColumn("_part", part).repartition("source_image", "_part").drop("_part")
+    shares = cut_lineage(
+        patches.groupBy("source_image").agg(F.ceil(F.count("*") / rows_per_file).cast("long").alias("_shares"))
+    )
+    dealt = join_small(patches, shares, "source_image").withColumn("_share", F.pmod(F.xxhash64("patch_key"), F.col("_shares")))
+    together = dealt.repartition("source_image", "_share").sortWithinPartitions("source_image", "patch_key").drop("_share", "_shares")
     (
         together.write.mode("errorifexists").partitionBy("source_image")
         .option("compression", codec).option("maxRecordsPerFile", rows_per_file).parquet(path)

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as driver
 from arborlake.functions import bands as B
@@ -72,7 +73,7 @@ def test_parts_holes_and_rejects(spark):
 
 def test_tiles_keep_their_place(spark, tmp_path):
     rows = [(1, 2, 1, [[1.0, 2.0]], 0, 0), (1, 2, 1, [[3.0, 4.0]], 2, 5)]
-    spark.createDataFrame(rows, tiles_source.TILE_SCHEMA).write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame(rows, T.StructType(tiles_source.TILE_SCHEMA.fields[:6])).write.parquet(f"{tmp_path}/t")
     got = tiles_source.explode_pixels(tiles_source.read_raster_tiles(spark, f"{tmp_path}/t")).collect()
     assert {(r.x, r.y, r.value) for r in got} == {(0, 0, 1.0), (1, 0, 2.0), (2, 5, 3.0), (3, 5, 4.0)}
 
@@ -134,6 +135,15 @@ def test_exact_quantiles_match_linear_interpolation(spark, values):
     assert got == pytest.approx(list(np.percentile(values, [1, 25, 50, 99])))
 
 
+def test_an_outlier_leaves_the_buckets_even(spark):
+    """Rows of one bucket meet in one window: none has over a five hundredth of a group."""
+    rows = spark.range(60_000).selectExpr("id % 2 as k", "case when id < 2 then 1e12 when id < 4 then -1e9 else rand(7) end as v")
+    got = ranking.with_buckets(rows, ["k"], "v", 1000).groupBy("k", "_b").count().groupBy("k").agg(F.max("count").alias("most"), F.count("*").alias("n")).collect()
+    assert len(got) == 2 and all(r.most <= 30_000 / 500 and r.n >= 500 for r in got)
+    exact = ranking.exact_quantiles(rows.filter("k = 0"), ["k"], "v", (0.0, 0.5, 1.0)).first()["quantiles"]
+    assert exact[0] == -1e9 and exact[2] == 1e12 and 0.45 < exact[1] < 0.55
+
+
 def test_stitched_mean_can_only_pass_one_before_the_clamp(spark):
     meta = spark.createDataFrame([(1, 2, 1)], "image_id int, width int, height int")
     # two windows of side 2 over pixel 1: one score reaches the limit, both are summed
@@ -192,6 +202,23 @@ def test_patch_store_refuses_to_overwrite_and_catalog_prunes(spark, tmp_path):
     assert "image:array" not in plan
 
 
+def test_a_hot_image_is_written_by_as_many_tasks_as_it_has_shares(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('k', id) as patch_key", "if(id < 2900, 'hot', concat('i', id % 10)) as source_image", "1 as num_trees",
+                                        "60.0 as latitude", "20.0 as longitude", "0 as pixel_x", "0 as pixel_y")
+    path = tmp_path / "store"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        patches.write_patches(rows, str(path), rows_per_file=200)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tasks = {f.name.split("-")[1] for f in (path / "source_image=hot").glob("part-*")}
+    assert len(tasks) >= 8 and all(len(list((path / f"source_image=i{i}").glob("part-*"))) == 1 for i in range(10))
+    assert patches.read_patches(spark, str(path)).count() == 3000
+
+
 def test_eval_csv_keeps_nan_and_null(spark, tmp_path):
     values = {c: (1 if kind == "bigint" else "x" if kind == "string" else 0.5) for _, c, kind in evaluation_csv.COLUMNS}
     values |= {"centroid_error": float("nan"), "latitude": None}
