@@ -248,20 +248,35 @@ def read_raster_tiles(spark, sf):
     return tile_source.explode_pixels(tile_source.read_raster_tiles(spark, path))
 
 
+def _typed_tiles(spark, sf):
+    """Written tiles with the type of their values; every second one has a value for missing pixels."""
+    path = _scratch(spark)
+    kind = F.when(F.col("image_id") % 3 == 0, "uint8").when(F.col("image_id") % 3 == 1, "uint16").otherwise("float32")
+    missing = F.when(F.col("image_id") % 2 == 0, F.lit(200.0))
+    tiles(spark, sf).withColumns({"dtype": kind, "nodata": missing}).write.parquet(path)
+    return path
+
+
+@query("masked_tiles", """
+    select image_id, (band + 1) % 4 as band, x, y, cast(least(255, case when image_id % 2 = 0 and value = 200 then 0 else value end) as double) as value
+    from fx_tile_pixels""")
+def masked_tiles(spark, sf):
+    """Read tiles as the dataset job has them: their own missing value is 0, bands in another order, clipped to a byte."""
+    from arborlake.plans.create_patches import PatchParams, normalised_tiles
+
+    read = tile_source.read_raster_tiles(spark, _typed_tiles(spark, sf))
+    return tile_source.explode_pixels(normalised_tiles(read, PatchParams()))
+
+
 @query("scaled_tiles", """
     select image_id, band, x, y, case image_id % 3 when 0 then 'uint8' when 1 then 'uint16' else 'float32' end as dtype,
-           round(case when image_id % 2 = 0 and value = 200 then 0 else value end
-                 / case image_id % 3 when 0 then 255 when 1 then 65535 else 1 end, 9) as value
+           round(value / case image_id % 3 when 0 then 255 when 1 then 65535 else 1 end, 9) as value
     from fx_tile_pixels""")
 def scaled_tiles(spark, sf):
-    """Tiles written with the type of their values, and every second one with a value for missing pixels; read and scaled."""
+    """Tiles written with the type of their values, read and scaled for the model."""
     from arborlake.plans.predict import model_tiles
 
-    path = _scratch(spark)
-    kind = F.when(F.col("image_id") % 3 == 0, "uint8").when(F.col("image_id") % 3 == 1, "uint16").otherwise("float32")
-    missing = F.when(F.col("image_id") % 2 == 0, F.lit(200.0))
-    tiles(spark, sf).withColumns({"dtype": kind, "nodata": missing}).write.parquet(path)
-    read = model_tiles(tile_source.read_raster_tiles(spark, path))
+    read = model_tiles(tile_source.read_raster_tiles(spark, _typed_tiles(spark, sf)))
     rows = tile_source.explode_pixels(read).join(read.select("image_id", "dtype"), "image_id")
     return rows.select("image_id", "band", "x", "y", "dtype", F.round("value", 9).alias("value"))
 
