@@ -176,31 +176,56 @@ def shape_passes(ring: Column, min_area: float, max_aspect: float, min_solidity:
     return let(ring, measure)
 
 
+def _up_to(sorted_: Column, value: Column, halves: Column) -> Column:
+    """How many of the sorted numbers do not exceed a value, by halving."""
+
+    def further(place: Column, step: Column) -> Column:
+        return F.when((place + step <= F.size(sorted_)) & (F.get(sorted_, place + step - 1) <= value), place + step).otherwise(place)
+
+    return F.aggregate(halves, F.lit(0), further)
+
+
 def crosses_itself(ring: Column) -> Column:
-    """True when two edges that do not follow each other share a point; repeated points count once."""
+    """True when two edges that do not follow each other share a point; repeated points count once.
+
+    A sweep over the edges in order of their left ends: an edge is compared with those that begin before it ends,
+    so the work follows the edges that lie above one another and not all pairs.
+    """
 
     def side(e: Column, x: Column, y: Column) -> Column:
         return F.signum((e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"]))
 
-    def boxes_meet(e: Column, f: Column) -> Column:
-        return (
-            (F.least(e["x0"], e["x1"]) <= F.greatest(f["x0"], f["x1"]))
-            & (F.least(f["x0"], f["x1"]) <= F.greatest(e["x0"], e["x1"]))
-            & (F.least(e["y0"], e["y1"]) <= F.greatest(f["y0"], f["y1"]))
-            & (F.least(f["y0"], f["y1"]) <= F.greatest(e["y0"], e["y1"]))
-        )
-
     def meet(a: Column, b: Column, n: Column) -> Column:
         e, f = a["e"], b["e"]
-        apart = (b["i"] > a["i"] + 1) & ~((a["i"] == 0) & (b["i"] == n - 1))
+        first, last = F.least(a["i"], b["i"]), F.greatest(a["i"], b["i"])
+        apart = (last > first + 1) & ~((first == 0) & (last == n - 1))
+        above = (F.least(e["y0"], e["y1"]) <= F.greatest(f["y0"], f["y1"])) & (F.least(f["y0"], f["y1"]) <= F.greatest(e["y0"], e["y1"]))
         return (
-            apart & boxes_meet(e, f)
+            apart & above
             & (side(e, f["x0"], f["y0"]) * side(e, f["x1"], f["y1"]) <= 0)
             & (side(f, e["x0"], e["y0"]) * side(f, e["x1"], e["y1"]) <= 0)
         )
 
-    numbered = F.transform(edges(without_repeats(ring)), lambda e, i: F.struct(i.alias("i"), e.alias("e")))
-    return let(numbered, lambda all_: F.exists(all_, lambda a: F.exists(all_, lambda b: meet(a, b, F.size(all_)))))
+    def sweep(order: Column) -> Column:
+        tables = F.struct(
+            F.transform(order, lambda s: s["low"]).alias("lows"),
+            F.transform(order, lambda s, at: F.struct(at.alias("at"), s.alias("s"))).alias("placed"),
+            F.filter(F.array(*(F.lit(1 << i) for i in range(30, -1, -1))), lambda h: h <= F.size(order)).alias("halves"),
+        )
+
+        def any_met(t: Column) -> Column:
+            def met(a: Column) -> Column:
+                behind = _up_to(t["lows"], a["s"]["high"], t["halves"]) - a["at"] - 1
+                return F.exists(F.slice(order, a["at"] + 2, behind), lambda b: meet(a["s"], b, F.size(order)))
+
+            return F.exists(t["placed"], met)
+
+        return let(tables, any_met)
+
+    def spanned(e: Column, i: Column) -> Column:
+        return F.struct(F.least(e["x0"], e["x1"]).alias("low"), F.greatest(e["x0"], e["x1"]).alias("high"), i.alias("i"), e.alias("e"))
+
+    return let(F.array_sort(F.transform(edges(without_repeats(ring)), spanned)), sweep)
 
 
 def one_part(ring: Column) -> Column:

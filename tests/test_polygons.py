@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +148,52 @@ def test_best_assignment_equals_brute_force_with_copies(spark):
             for r in out:
                 used[r[end]] = used.get(r[end], 0) + r.units
             assert all(n <= copies[i] for i, n in used.items())
+
+
+def ring_of(points):
+    return [{"x": float(x), "y": float(y)} for x, y in points]
+
+
+def plain_crossing(points):
+    """All pairs of edges that do not follow each other."""
+    n = len(points)
+    side = lambda p, q, r: np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+    for i in range(n):
+        for j in range(i + 2, n):
+            if i == 0 and j == n - 1:
+                continue
+            a, b, c, d = points[i], points[(i + 1) % n], points[j], points[(j + 1) % n]
+            boxes = all(min(a[k], b[k]) <= max(c[k], d[k]) and min(c[k], d[k]) <= max(a[k], b[k]) for k in (0, 1))
+            if boxes and side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0:
+                return True
+    return False
+
+
+def test_sweep_finds_the_crossings_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rings = []
+    for _ in range(150):
+        n = int(rng.integers(4, 14))
+        turn = np.sort(rng.random(n)) * 2 * np.pi
+        points = np.stack([np.cos(turn), np.sin(turn)], axis=1) * (4 + 3 * rng.random((n, 1)))
+        if rng.random() < 0.5:
+            points[rng.integers(n)] = rng.integers(-6, 7, 2)
+        points = np.round(points, 1)
+        if len({tuple(p) for p in points.tolist()}) == n:
+            rings.append([tuple(p) for p in points.tolist()])
+    rows = spark.createDataFrame([(i, ring_of(r)) for i, r in enumerate(rings)], "i int, ring array<struct<x:double,y:double>>")
+    got = {r.i: r.c for r in rows.select("i", geo.crosses_itself(F.col("ring")).alias("c")).collect()}
+    want = {i: plain_crossing(r) for i, r in enumerate(rings)}
+    assert got == want and 20 < sum(want.values()) < len(want) - 20
+
+
+def test_a_ring_of_a_hundred_thousand_points_takes_seconds(spark):
+    turn = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    wave = 1000 + 5 * np.sin(400 * turn)
+    points = np.stack([wave * np.cos(turn), wave * np.sin(turn)], axis=1)
+    crossed = points.copy()
+    crossed[[500, 60_000]] = crossed[[60_000, 500]]
+    rows = spark.createDataFrame([(0, ring_of(points)), (1, ring_of(crossed))], "i int, ring array<struct<x:double,y:double>>")
+    start = time.time()
+    got = {r.i: r.c for r in rows.select("i", geo.crosses_itself(F.col("ring")).alias("c")).collect()}
+    assert got == {0: False, 1: True} and time.time() - start < 120
