@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]
         yield key, rows
 
 
+def runs_by(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Rows of one key after the other from sorted batches, as tables; a key may go on from one batch to the next."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            column = batch.column(batch.schema.get_field_index(key))
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        first = tuple(batch.column(batch.schema.get_field_index(k))[0].as_py() for k in keys)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(starts, starts[1:]):
+            if lo and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        last = tuple(batch.column(batch.schema.get_field_index(k))[batch.num_rows - 1].as_py() for k in keys)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _values(lists: pa.Scalar) -> np.ndarray:
     """All numbers of a list of lists; missing ones are NaN."""
     return lists.values.flatten().to_numpy(zero_copy_only=False).astype(float)

@@ -6,12 +6,16 @@ row, so no shuffle happens before pixels of different polygons have to meet.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborlake.functions import geometry as geo
+from arborlake.operators.blocks import runs_by
 from arborlake.operators.components import buffer_mask, count_components  # noqa: F401  (label operators too)
 from arborlake.operators.polygons import polygon_moments
 from arborlake.session import cut_lineage, join_small, spread
@@ -19,6 +23,7 @@ from arborlake.session import cut_lineage, join_small, spread
 # Weights of the 3x3 chamfer distance.
 AXIAL = 0.955
 DIAGONAL = 1.3693
+BLOCK = 256  # side of the blocks in which distances are settled
 
 
 def _row_pixels(near: Column, y: Column) -> Column:
@@ -93,54 +98,108 @@ def tree_count(polys: DataFrame) -> DataFrame:
     return polygon_moments(polys).groupBy("image_id").agg(F.count("*").alias("trees"))
 
 
-def _runs(instances: DataFrame, keys: Sequence[str], line: str, along: str, low: str, high: str) -> DataFrame:
-    """Adds first and last pixel of the straight run each pixel lies in. The window is one raster line, sorted once."""
-    order = Window.partitionBy(*keys, line).orderBy(along)
-    rows = instances.withColumns({"_prev": F.lag(along).over(order), "_next": F.lead(along).over(order)})
-    starts = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(along) - 1), F.col(along))
-    ends = F.when(F.col("_next").isNull() | (F.col("_next") != F.col(along) + 1), F.col(along))
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return rows.withColumns({low: F.max(starts).over(before), high: F.min(ends).over(after)}).drop("_prev", "_next")
+def _sweep(d: np.ndarray) -> np.ndarray:
+    """Chamfer distances over an area: the least of the values and what leads there from any other cell.
+
+    One sweep down and one up, each row taking over from the one before and then along itself in both directions:
+    two visits of every cell.
+    """
+    along = AXIAL * np.arange(d.shape[1])
+    for order in (range(d.shape[0]), range(d.shape[0] - 1, -1, -1)):
+        above = None
+        for y in order:
+            row = d[y]
+            if above is not None:
+                row = np.minimum(row, above + AXIAL)
+                row[1:] = np.minimum(row[1:], above[:-1] + DIAGONAL)
+                row[:-1] = np.minimum(row[:-1], above[1:] + DIAGONAL)
+            row = np.minimum(row, np.minimum.accumulate(row - along) + along)
+            back = row[::-1]
+            d[y] = above = np.minimum(row, (np.minimum.accumulate(back - along) + along)[::-1])
+    return d
+
+
+def _settle_block(x: np.ndarray, y: np.ndarray, known: np.ndarray, width: int, height: int, bx: int, by: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and outline of an instance's pixels in one block and its rim; ``known``: distances so far, or infinity.
+
+    Beyond the rim nothing is known of the instance, so the area ends there.
+    """
+    left, top = max(0, int(x.min()) - 1, bx * BLOCK - 1), max(0, int(y.min()) - 1, by * BLOCK - 1)
+    wide = min(width, int(x.max()) + 2, (bx + 1) * BLOCK + 1) - left
+    high = min(height, int(y.max()) + 2, (by + 1) * BLOCK + 1) - top
+    inside = np.zeros((high + 2, wide + 2), bool)
+    inside[y - top + 1, x - left + 1] = True
+    missing = ~(inside[:-2, 1:-1] & inside[2:, 1:-1] & inside[1:-1, :-2] & inside[1:-1, 2:])
+    d = np.zeros((high, wide))
+    d[y - top, x - left] = known
+    return _sweep(d)[y - top, x - left], missing[y - top, x - left]
+
+
+def _settled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One round: blocks of instances with their rims, each settled on its own. ``moved`` tells what has changed."""
+    group = [*keys, "bx", "by"]
+    schema = T.StructType([rows.schema[c] for c in keys] + [
+        T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("width", T.IntegerType()),
+        T.StructField("height", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("outline", T.BooleanType()),
+        T.StructField("moved", T.BooleanType()),
+    ])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_by(batches, group):
+            own, far = {c: table.column(c).to_numpy() for c in ("x", "y", "home")}, table.column("dist").to_numpy()
+            far = np.where(np.isnan(far), np.inf, far)
+            sides = (int(table.column(c)[0].as_py()) for c in ("width", "height", "bx", "by"))
+            dist, outline = _settle_block(own["x"], own["y"], far, *sides)
+            home = own["home"].astype(bool)
+            kept = table.filter(pa.array(home))
+            columns = [kept.column(c).combine_chunks() for c in (*keys, "x", "y", "width", "height")]
+            moved = dist[home] < far[home]
+            yield pa.record_batch([*columns, pa.array(dist[home]), pa.array(outline[home]), pa.array(moved)], schema.names)
+
+    together = rows.repartition(*group).sortWithinPartitions(*group)
+    return cut_lineage(together.select(*keys, "bx", "by", "x", "y", "width", "height", "dist", "home").mapInArrow(settle, schema))
+
+
+def _with_rims(rows: DataFrame) -> DataFrame:
+    """Every pixel in its block and, where it lies on the border, in the rims of the neighbours."""
+    def near(axis: str) -> Column:
+        at = F.floor(F.col(axis) / BLOCK).cast("int")
+        place = F.pmod(F.col(axis), F.lit(BLOCK))
+        return F.when(place == 0, F.array(at, at - 1)).when(place == BLOCK - 1, F.array(at, at + 1)).otherwise(F.array(at))
+
+    seen = rows.withColumn("bx", F.explode(near("x"))).withColumn("by", F.explode(near("y")))
+    return seen.withColumn("home", (F.col("bx") == F.floor(F.col("x") / BLOCK)) & (F.col("by") == F.floor(F.col("y") / BLOCK)))
 
 
 def instance_distance(instances: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("image_id", "poly_id")) -> DataFrame:
     """Chamfer distance to the nearest pixel outside the instance: adds ``dist`` and ``outline``.
 
-    In every raster row the nearest outside pixel is one step beyond the run. Straight along the pixel's own
-    row or column the run ends tell the distance at once; a slanted way can only be shorter through rows
-    closer than both, all of them in the pixel's own column run. So a pixel asks ``2 * (reach - 1)`` rows by
-    one equi-join on ``(keys, x, y)``, and a pixel on the outline asks none. Pixels beyond the image are not
-    outside pixels; ``dist`` is null when the instance fills the image. ``outline`` marks pixels with a
-    missing 4-neighbour.
+    An instance is settled block by block, in two sweeps over the block and a rim of one pixel: linear in the pixels.
+    Only instances that reach into other blocks go on, taking the rims' distances over until none gets smaller; a
+    distance crosses one block a round. Pixels beyond the image are not outside pixels; ``dist`` is null when the
+    instance fills the image. ``outline`` marks pixels with a missing 4-neighbour.
     """
     keys = list(keys)
-    rows = _runs(instances, keys, "y", "x", "x_low", "x_high")
-    rows = join_small(_runs(rows, keys, "x", "y", "y_low", "y_high"), sizes.select("image_id", "width", "height"), "image_id")
-    far = F.lit(2**30)
-
-    def reach(at: str, low: str, high: str, side: str) -> Column:
-        down = F.when(F.col(low) > 0, F.col(at) - F.col(low) + 1).otherwise(far)
-        up = F.when(F.col(high) < F.col(side) - 1, F.col(high) - F.col(at) + 1).otherwise(far)
-        return F.least(down, up)
-
-    outline = (F.col("x") == F.col("x_low")) | (F.col("x") == F.col("x_high")) | (F.col("y") == F.col("y_low")) | (F.col("y") == F.col("y_high"))
-    rows = cut_lineage(rows.select(
-        *keys, "x", "y", "y_low", "y_high", reach("x", "x_low", "x_high", "width").alias("h"),
-        reach("y", "y_low", "y_high", "height").alias("v"), outline.alias("outline"),
-    ))
-    straight = F.least("h", "v")
-    own = rows.select(*keys, "x", "y", F.when(straight < far, F.lit(AXIAL) * straight).alias("cost"), F.col("outline").cast("int").alias("o"))
-    first, last = F.greatest(F.col("y") - straight + 1, F.col("y_low")), F.least(F.col("y") + straight - 1, F.col("y_high"))
-    asked = rows.filter(straight > 1).withColumn("ry", F.explode(F.filter(F.sequence(first, last), lambda r: r != F.col("y"))))
-    asked = asked.select(*keys, "x", "y", "ry")
-    other = rows.filter(F.col("h") < far).select(*keys, "x", F.col("y").alias("ry"), F.col("h").alias("side"))
-    steps = asked.join(other, [*keys, "x", "ry"]).withColumn("dy", F.abs(F.col("ry") - F.col("y")))
-    low, high = F.least("side", "dy"), F.greatest("side", "dy")
-    slanted = steps.select(*keys, "x", "y", (F.lit(AXIAL) * (high - low) + F.lit(DIAGONAL) * low).alias("cost"), F.lit(0).alias("o"))
-    both = own.unionByName(slanted).groupBy(*keys, "x", "y").agg(F.min("cost").alias("dist"), F.max("o").alias("o"))
+    cells = instances.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    placed = join_small(cells, sizes.select("image_id", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")), "image_id")
+    rows = placed.withColumn("dist", F.lit(float("nan")))
+    done = _settled(_with_rims(rows), keys)
+    blocks = done.select(*keys, F.floor(F.col("x") / BLOCK).alias("bx"), F.floor(F.col("y") / BLOCK).alias("by")).distinct()
+    wide = cut_lineage(blocks.groupBy(*keys).count().filter("count > 1").select(*keys))
+    out = done
+    if not wide.isEmpty():
+        out = done.join(wide, keys, "left_anti")
+        open_ = done.join(wide, keys, "left_semi")
+        on_border = F.pmod(F.col("x"), F.lit(BLOCK)).isin(0, BLOCK - 1) | F.pmod(F.col("y"), F.lit(BLOCK)).isin(0, BLOCK - 1)
+        while True:
+            now = _settled(_with_rims(open_.select(*keys, "x", "y", "width", "height", "dist")), keys)
+            open_ = now
+            if now.filter(F.col("moved") & on_border).isEmpty():
+                break
+        out = out.unionByName(open_)
+    far = F.col("dist") == float("inf")
     # every label built on it reads it more than once
-    return cut_lineage(both.withColumn("outline", F.col("o") == 1).drop("o"))
+    return cut_lineage(out.select(*keys, "x", "y", F.when(~far, F.col("dist")).alias("dist"), "outline"))
 
 
 def with_share(distances: DataFrame, keys: Sequence[str] = ("image_id", "poly_id")) -> DataFrame:

@@ -186,3 +186,37 @@ def test_two_blobs_are_two_instances(spark):
     out = morphology.segment_instances(px, sizes, min_pixels=10, min_distance=10, blur_sigma=4.0)
     assert out.select("region").distinct().count() == 2
     assert vectorize.fit_ellipses(out, sizes, 10, 1).count() == 2
+
+
+def plain_distance(mask):
+    """Chamfer distance by relaxing all neighbours until nothing changes; the image border is no outside."""
+    d = np.where(mask, np.inf, 0.0)
+    while True:
+        padded = np.pad(d, 1, constant_values=np.inf)
+        steps = [padded[1 + dy : padded.shape[0] - 1 + dy, 1 + dx : padded.shape[1] - 1 + dx] + (labels.DIAGONAL if dx and dy else labels.AXIAL)
+                 for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
+        new = np.minimum(d, np.min(steps, axis=0))
+        if np.allclose(new, d, atol=1e-9, equal_nan=True) and (np.isinf(new) == np.isinf(d)).all():
+            return new
+        d = new
+
+
+@pytest.mark.parametrize("block", [5, 8, 256])
+def test_distances_across_blocks_equal_relaxation(spark, monkeypatch, block):
+    monkeypatch.setattr(labels, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    masks = {1: np.ones((30, 26), bool), 2: rng.random((30, 26)) < 0.97, 3: np.zeros((30, 26), bool), 4: rng.random((30, 26)) < 0.5}
+    masks[3][4:22, 3:25] = True
+    masks[3][10, 9] = False
+    rows = [(1, k, int(x), int(y)) for k, m in masks.items() for y, x in zip(*np.nonzero(m))]
+    px = spark.createDataFrame(rows, "image_id int, poly_id long, x int, y int").repartition(5)
+    sizes = spark.createDataFrame([(1, 26, 30)], "image_id int, width int, height int")
+    got = {(r.poly_id, r.x, r.y): (r.dist, r.outline) for r in labels.instance_distance(px, sizes).collect()}
+    assert len(got) == len(rows)
+    for k, m in masks.items():
+        want, framed = plain_distance(m), np.pad(m, 1)
+        inner = framed[:-2, 1:-1] & framed[2:, 1:-1] & framed[1:-1, :-2] & framed[1:-1, 2:]
+        for y, x in zip(*np.nonzero(m)):
+            dist, outline = got[k, x, y]
+            assert dist is None if np.isinf(want[y, x]) else dist == pytest.approx(want[y, x], abs=1e-9)
+            assert outline == (not inner[y, x])
