@@ -87,13 +87,14 @@ def pieces(tiles: DataFrame, meta: DataFrame, side: int, reach: int) -> DataFram
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Consecutive rows of one block, across batches."""
+    """Consecutive rows of one block, across batches: numbers as such, lists as they are."""
     key, rows = None, []
     for batch in batches:
         names = batch.schema.names
-        for i in range(batch.num_rows):
-            row = {n: batch.column(j)[i] for j, n in enumerate(names)}
-            new = tuple(row[k].as_py() for k in KEY)
+        columns = [c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for values in zip(*columns):
+            row = dict(zip(names, values))
+            new = tuple(row[k] for k in KEY)
             if new != key and rows:
                 yield key, rows
                 rows = []
@@ -176,13 +177,13 @@ def cut_windows(tiles: DataFrame, meta: DataFrame, window: int, stride: int, pad
             if not tiles_:
                 continue
             at_y, at_x = block_y * blocks.side, block_x * blocks.side
-            down = min(blocks.steps, parts[0]["grid_rows"].as_py() - block_y * blocks.steps)
-            across = min(blocks.steps, parts[0]["grid_cols"].as_py() - block_x * blocks.steps)
+            down = min(blocks.steps, parts[0]["grid_rows"] - block_y * blocks.steps)
+            across = min(blocks.steps, parts[0]["grid_cols"] - block_x * blocks.steps)
             bands = len(tiles_[0]["bands"].values)
             area = np.zeros((bands + len(values), (down - 1) * stride + window, (across - 1) * stride + window))
             for part in tiles_:
-                y, x = part["y0"].as_py() - at_y, part["x0"].as_py() - at_x
-                whole = _values(part["bands"]).reshape(bands, part["rows"].as_py(), part["cols"].as_py())
+                y, x = part["y0"] - at_y, part["x0"] - at_x
+                whole = _values(part["bands"]).reshape(bands, part["rows"], part["cols"])
                 part_ = whole[:, : max(0, area.shape[1] - y), : max(0, area.shape[2] - x)]
                 area[:bands, y : y + part_.shape[1], x : x + part_.shape[2]] = part_
             for part in parts:
@@ -200,7 +201,7 @@ def cut_windows(tiles: DataFrame, meta: DataFrame, window: int, stride: int, pad
                 cuts = cuts.reshape(len(some), area.shape[0], window * window)
                 row, col = (np.array(some) + [block_y * blocks.steps, block_x * blocks.steps]).T
                 columns = [pa.array([image] * len(some), kind), *(
-                    pa.array(c.astype(np.int32)) for c in (row * parts[0]["grid_cols"].as_py() + col, col * stride, row * stride))]
+                    pa.array(c.astype(np.int32)) for c in (row * parts[0]["grid_cols"] + col, col * stride, row * stride))]
                 yield pa.record_batch([*columns, _nested(cuts[:, :bands]), *(_nested(cuts[:, bands + i]) for i in range(len(values)))], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -231,11 +232,11 @@ def sum_windows(scored: DataFrame, meta: DataFrame, window: int, limit: float) -
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (image, block_y, block_x), parts in _runs(batches):
             at_y, at_x = block_y * SIDE, block_x * SIDE
-            high, wide = min(SIDE, parts[0]["image_h"].as_py() - at_y), min(SIDE, parts[0]["image_w"].as_py() - at_x)
+            high, wide = min(SIDE, parts[0]["image_h"] - at_y), min(SIDE, parts[0]["image_w"] - at_x)
             total, n, reached = np.zeros((high, wide)), np.zeros((high, wide), np.int32), np.zeros((high, wide), np.int32)
             for part in parts:
-                y, x = part["y0"].as_py() - at_y, part["x0"].as_py() - at_x
-                score = _values(part["bands"]).reshape(part["rows"].as_py(), part["cols"].as_py())[: max(0, high - y), : max(0, wide - x)]
+                y, x = part["y0"] - at_y, part["x0"] - at_x
+                score = _values(part["bands"]).reshape(part["rows"], part["cols"])[: max(0, high - y), : max(0, wide - x)]
                 here = np.s_[y : y + score.shape[0], x : x + score.shape[1]]
                 total[here] += score
                 n[here] += 1

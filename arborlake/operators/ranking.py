@@ -15,6 +15,9 @@ from arborlake.functions.hashing import bucket, digest
 from arborlake.session import cut_lineage
 
 
+BUCKET_ROWS = 4096  # rows of a group that are looked at together
+
+
 def running_total(df: DataFrame, bucket_col: Column, order: Sequence[str], value: str, by: Sequence[str] = (),
                   out: str = "before") -> DataFrame:
     """Adds ``out``: sum of ``value`` over all rows of the same ``by`` that come earlier in (bucket, order).
@@ -91,12 +94,15 @@ def cuts_below(cuts: Column, value: Column, most: int) -> Column:
 def with_buckets(counts: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
     """Adds ``_b``: ordered buckets of about equally many rows each, whatever the values are.
 
-    Their bounds come from a rank sketch that tasks build and merge; its error is a tenth of a bucket. Equal values
-    share a bucket.
+    A group of up to ``BUCKET_ROWS`` rows is one bucket. Bounds of larger ones come from a rank sketch that tasks build
+    and merge; its error is a tenth of a bucket. Equal values share a bucket.
     """
+    by = list(by)
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, shares, 10 * buckets)).alias("_cuts"))
-    return counts.join(cuts, list(by)).withColumn("_b", cuts_below(F.col("_cuts"), F.col(value), buckets)).drop("_cuts")
+    large = counts.groupBy(*by).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > BUCKET_ROWS).select(*by)
+    cuts = counts.join(large, by, "left_semi").groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, shares, 10 * buckets)).alias("_cuts"))
+    place = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(cuts_below(F.col("_cuts"), F.col(value), buckets))
+    return counts.join(cuts, by, "left").withColumn("_b", place).drop("_cuts")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], buckets: int = 1000) -> DataFrame:
