@@ -1,12 +1,11 @@
 """Language of a text by one bit-sliced Bloom filter over the n-grams of all languages.
 
-Every language contributes the letter n-grams that make up at least a given share of its learning texts. All
-languages share one filter: a slot holds a bitmask with one bit for each language, and looking up an n-gram is
-the conjunction of its slots' masks, that is all languages that contain it. A text's bits are counted for each
-language, the hits expected from false positives are taken off, and the largest count decides.
+Every language contributes all letter n-grams of its learning texts; words that are shorter than an n-gram count as
+wholes, so every letter has a part. All languages share one filter: a slot holds a bitmask with one bit for each language, and looking up an n-gram is the conjunction of its slots' masks,
+that is all languages that contain it. A text's bits are counted for each language, the hits expected from false
+positives are taken off, and the largest count decides.
 
-A share bounds how many n-grams a language can have, so the filter has a proven size: at most one over the
-share, times the number of languages.
+The size of the filter follows from the learning texts, whose number is bounded.
 """
 
 from __future__ import annotations
@@ -23,8 +22,7 @@ from pyspark.sql.functions import pandas_udf
 
 from arborlake.llm.common import Rolling, held_out, mix, runs_of
 
-GRAM = 3  # letters of an n-gram, a word's two ends counted
-SHARE = 2e-4  # least share of a language's n-grams
+GRAM = 5  # letters of an n-gram, a word's two ends counted
 PER_LANGUAGE = 4000  # learning rows of a language, about: the bound of the fitted sample
 HASHES = 3
 SLOTS_PER_KEY = 8
@@ -47,21 +45,30 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 def grams(texts: list[str], rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the lower-cased texts and the bounds of each text's part.
 
-    Runs of letters are words, anything else is one blank; an n-gram has a blank at its ends only.
+    Runs of letters are words, anything else is one blank; an n-gram has a blank at its ends only. A shorter word with
+    its two blanks is one n-gram.
     """
     low = [t.lower() for t in texts]
     codes = np.frombuffer((" " + "  ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     letter = _letters(codes)
     codes[~letter] = 32
     ends = np.cumsum([len(t) + 2 for t in low])
-    if len(codes) < GRAM:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    inner = letter[1 : len(codes) - 1].copy()
-    for shift in range(1, GRAM - 2):
-        inner[: len(inner) - shift] &= letter[1 + shift : len(codes) - 1]
-    at = np.nonzero(inner[: len(codes) - GRAM + 1])[0]
-    found = rolling.grams(rolling.prefix(codes), GRAM)[at]
-    return found, np.concatenate([[0], np.searchsorted(at, ends - 1)])
+    sums = rolling.prefix(codes)
+    found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for size in range(3, GRAM + 1):
+        if len(codes) < size:
+            continue
+        inner = letter[1 : len(codes) - 1].copy()
+        for shift in range(1, size - 2):
+            inner[: len(inner) - shift] &= letter[1 + shift : len(codes) - 1]
+        at = np.nonzero(inner[: len(codes) - size + 1])[0]
+        if size < GRAM:
+            at = at[~letter[at] & ~letter[at + size - 1]]
+        found.append(rolling.grams(sums, size)[at])
+        owner.append(np.searchsorted(ends - 1, at, side="right"))
+    owner_, found_ = np.concatenate(owner), np.concatenate(found)
+    order = np.argsort(owner_, kind="stable")
+    return found_[order], np.searchsorted(owner_[order], np.arange(len(texts) + 1))
 
 
 @dataclass(frozen=True)
@@ -113,7 +120,7 @@ class LanguageFilter:
         return names, scores
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling()
     for batch in batches:
         texts, language = batch.column("text").to_pylist(), batch.column("language").to_numpy()
@@ -121,15 +128,15 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, bounds = grams(texts[lo:hi], rolling)
             own = np.repeat(language[lo:hi], np.diff(bounds))
             for one in np.unique(own):
-                kinds, counts = np.unique(keys[own == one], return_counts=True)
-                yield pa.record_batch([pa.array(np.full(len(kinds), one, np.int32)), pa.array(kinds.view(np.int64)), pa.array(counts)], ["language", "gram", "n"])
+                kinds = np.unique(keys[own == one])
+                yield pa.record_batch([pa.array(np.full(len(kinds), one, np.int32)), pa.array(kinds.view(np.int64))], ["language", "gram"])
 
 
-def fit(documents: DataFrame, share: float = SHARE, per_language: int = PER_LANGUAGE) -> LanguageFilter:
+def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageFilter:
     """The filter of all languages, from about ``per_language`` rows of each outside the held-out fold.
 
     Rows are chosen by hashed id with a rate that follows from the language's size, so rare languages are
-    learned from whole. Counting is distributed; only n-grams above the share reach the driver.
+    learned from whole. Distinct n-grams are found where the texts are; the driver sees each of a language once.
     """
     known = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = [(r.lang, r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
@@ -140,10 +147,8 @@ def fit(documents: DataFrame, share: float = SHARE, per_language: int = PER_LANG
     rates = spark.createDataFrame([(i, n, float(per_language) / c) for i, (n, c) in enumerate(sizes)], "language int, lang string, rate double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).select("text", "language")
-    counts = chosen.mapInArrow(_gram_counts, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
-    common = counts.join(F.broadcast(totals), "language").filter(F.col("n") >= F.col("total") * share).select("language", "gram").toPandas()
-    return LanguageFilter.build(names, common["gram"].to_numpy(np.int64).view(np.uint64), common["language"].to_numpy(np.int64))
+    kinds = chosen.mapInArrow(_distinct_grams, "language int, gram long").distinct().toPandas()
+    return LanguageFilter.build(names, kinds["gram"].to_numpy(np.int64).view(np.uint64), kinds["language"].to_numpy(np.int64))
 
 
 def language_ids(documents: DataFrame) -> DataFrame:

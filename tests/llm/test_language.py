@@ -8,9 +8,10 @@ SYLLABLES = {"xa": ["ka", "to", "mi"], "yb": ["ôl", "ün", "är"], "zc": ["the"
 
 def test_grams_are_letters_with_blank_ends():
     rolling = Rolling()
-    keys, bounds = lg.grams(["Ab, c9d", "", "é", "12 !", "AB"], rolling)
-    assert np.diff(bounds).tolist() == [4, 0, 1, 0, 2]
-    assert keys[0] == keys[5]  # " ab" starts both
+    keys, bounds = lg.grams(["Ab, c9d", "", "é", "12 !", "AB", "abcd dx"], rolling)
+    assert np.diff(bounds).tolist() == [3, 0, 1, 0, 1, 3]  # " ab ", " c ", " d " and " é " are whole words; " abcd", "abcd ", " dx "
+    assert len(set(keys.tolist())) == 7 and keys[bounds[4]] in keys[:3]
+    assert lg.grams([], rolling)[1].tolist() == [0] and lg.grams([""], rolling)[1].tolist() == [0, 0]
 
 
 def test_filter_returns_all_languages_of_a_gram():
@@ -44,3 +45,22 @@ def test_held_out_accuracy_and_odd_rows(spark):
     unknown = docs.withColumn("lang", docs.lang.substr(9, 1).cast("string")).selectExpr("doc_id", "text", "nullif('a','a') lang")
     assert {r.lang_pred for r in lg.language_ids(unknown).collect()} == {"und"}
     assert lg.language_ids(docs.limit(0)).count() == 0
+
+
+def test_every_gram_of_the_sample_is_found(spark):
+    """However rare: a word that one text of a language has once is known to that language, and to no other."""
+    docs = spark.createDataFrame([(i, "kato " * 400 + ("zyxwv" if i == 1 else ""), "xa") for i in range(1, 5)] + [(i, "öl " * 90, "yb") for i in range(5, 9)], "doc_id long, text string, lang string")
+    learned = [i for i in range(1, 9) if not is_held_out(i)]
+    known, rolling = lg.fit(docs), Rolling()
+    hits = known.hits(*lg.grams(["zyxwv"], rolling))[0]
+    assert (1 in learned) == (hits[known.names.index("xa")] > 2) and hits[known.names.index("yb")] < 1
+
+
+def test_ties_go_to_the_language_with_more_rows(spark):
+    docs = spark.createDataFrame([(i, "same words here", "xa" if i % 3 else "yb") for i in range(60)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in lg.language_ids(docs).collect()} == {"xa"}
+
+
+def test_text_of_a_megabyte(spark):
+    docs = spark.createDataFrame([(i, "kato mila ", "xa") for i in range(6)] + [(6, "kato mila " * 120_000, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in lg.language_ids(docs).collect()}[6] == "xa"
