@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from arborlake.llm.common import partitions
+from arborlake.llm.common import kept, partitions
 from arborlake.session import cut_lineage
 
 WINDOW = 4096
@@ -87,12 +87,7 @@ class WordEncoder:
 
 def word_encoder(vocabulary: str) -> Callable[[str], bytes]:
     """The encoder of a vocabulary; a worker process keeps it from task to task."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_arborlake_encoders", {})
-    if vocabulary not in kept:
-        kept[vocabulary] = WordEncoder(vocabulary)
-    return kept[vocabulary]
+    return kept("word encoders", vocabulary, lambda: WordEncoder(vocabulary))
 
 
 def _pieces(vocabulary: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

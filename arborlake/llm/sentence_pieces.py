@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
-import types
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
@@ -27,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import slices
+from arborlake.llm.common import kept, slices
 
 MODEL = "piece_bpe_32k.model"
 CACHED_CHUNKS = 200_000  # chunks a worker remembers, of at most so many characters
@@ -302,12 +300,6 @@ class PieceEncoder:
         return ids, source[starts], source[ends]
 
 
-def kept(kind: str, name: str, make: Callable[[], object]):
-    """``make()``, once for a worker process: it lives in a module of this library's own."""
-    module = sys.modules.setdefault("_arborlake_worker", types.ModuleType("_arborlake_worker"))
-    return module.__dict__.setdefault(kind, {}).get(name) or module.__dict__[kind].setdefault(name, make())
-
-
 def read_model(model: str) -> bytes:
     import public_tokenizers
 
