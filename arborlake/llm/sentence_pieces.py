@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from arborlake.llm.common import kept, slices
 
 MODEL = "piece_bpe_32k.model"
-CACHED_CHUNKS = 200_000  # chunks a worker remembers, of at most so many characters
+CACHED_CHUNKS = 500_000  # chunks a worker remembers, of at most LONGEST_CACHED characters
 LONGEST_CACHED = 64
 NEVER = float("inf")
 MARK = "▁"  # stands for a space in pieces
