@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions.hashing import bucket, digest
-from arborlake.session import cut_lineage
+from arborlake.session import cut_lineage, join_small
 
 
 BUCKET_ROWS = 4096  # rows of a group that are looked at together
@@ -22,7 +22,8 @@ def running_total(df: DataFrame, bucket_col: Column, order: Sequence[str], value
                   out: str = "before") -> DataFrame:
     """Adds ``out``: sum of ``value`` over all rows of the same ``by`` that come earlier in (bucket, order).
 
-    The bucket must respect the order and have a bounded number of values. ``by`` must have few values.
+    The bucket must respect the order and have a bounded number of values. Starts of buckets are one row a bucket and
+    key; they are counted before they are broadcast.
     """
     by = list(by)
     rows = df.withColumn("_bucket", bucket_col)
@@ -31,8 +32,7 @@ def running_total(df: DataFrame, bucket_col: Column, order: Sequence[str], value
     starts = totals.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    # one row per bucket and key: bounded by the bucket function
-    joined = local.join(F.broadcast(starts), [*by, "_bucket"])
+    joined = join_small(local, cut_lineage(starts), [*by, "_bucket"])
     return joined.withColumn(out, F.col("_start") + F.col("_local")).drop("_bucket", "_start", "_local")
 
 
@@ -54,7 +54,7 @@ def ordered_total(df: DataFrame, order: Sequence[Column | str], value: str, out:
 
 
 def hash_rank(df: DataFrame, key: str, salt: str, by: Sequence[str] = (), out: str = "rank", digits: int = 3) -> DataFrame:
-    """Adds ``out``: 0-based position in shuffled order, the order of md5(key | salt); ``by`` must have few values."""
+    """Adds ``out``: 0-based position in shuffled order, the order of md5(key | salt)."""
     rows = df.withColumn("_h", digest(F.col(key).cast("string"), salt)).withColumn("_one", F.lit(1))
     ranked = running_total(rows, bucket(F.col("_h"), digits), ["_h", key], "_one", by, out)
     return ranked.drop("_h", "_one")
@@ -64,17 +64,16 @@ def first_by_hash(df: DataFrame, key: str, salt: str, by: str, take: DataFrame,
     """The first ``take`` rows (columns ``by, n``) of every ``by`` in hash order.
 
     Buckets wholly inside the quota pass without any ordering; only the one bucket on the edge is ranked.
-    ``by`` must have few values.
     """
     rows = df.withColumn("_h", digest(F.col(key).cast("string"), salt)).withColumn("_bucket", bucket(F.col("_h"), digits))
     sizes = rows.groupBy(by, "_bucket").agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = (
         sizes.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-        .join(F.broadcast(take), by).filter("_start < n")
+        .join(take, by).filter("_start < n")
         .select(by, "_bucket", (F.col("n") - F.col("_start")).alias("_quota"), (F.col("_start") + F.col("_size") <= F.col("n")).alias("_whole"))
     )
-    planned = rows.join(F.broadcast(plan), [by, "_bucket"])
+    planned = join_small(rows, cut_lineage(plan), [by, "_bucket"])
     edge = Window.partitionBy(by, "_bucket").orderBy("_h", key)
     whole = planned.filter("_whole").select(df.columns)
     cut = planned.filter("not _whole").withColumn("_n", F.row_number().over(edge)).filter("_n <= _quota").select(df.columns)
