@@ -92,38 +92,53 @@ class LanguageFilter:
         for i in range(HASHES):
             yield (mix(keys + np.uint64(i * 0x9E3779B9)) & np.uint64(size - 1)).astype(np.int64)
 
-    def hits(self, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Per text and language the n-grams it contains, false positives taken off."""
+    def seen(self, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Per text and language the n-grams that the filter finds in it."""
         masks = None
         for places in self._places(keys, len(self.slots)):
             masks = self.slots[places] if masks is None else masks & self.slots[places]
         bits = np.unpackbits(masks, axis=1)[:, : len(self.names)]
-        sums = np.zeros((len(keys) + 1, len(self.names)), np.int32)
-        np.cumsum(bits, axis=0, out=sums[1:])
-        seen = (sums[bounds[1:]] - sums[bounds[:-1]]).astype(float)
-        asked = (bounds[1:] - bounds[:-1])[:, None]
-        return np.maximum(0.0, (seen - asked * self.wrong) / np.maximum(1e-9, 1 - self.wrong))
+        out = np.zeros((len(bounds) - 1, len(self.names)), np.int64)
+        some = bounds[1:] > bounds[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(bits, bounds[:-1][some], axis=0, dtype=np.int64)
+        return out
+
+    def hits(self, seen: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Found n-grams with false positives taken off."""
+        return np.maximum(0.0, (seen - asked[:, None] * self.wrong) / np.maximum(1e-9, 1 - self.wrong))
 
     def predict(self, texts: list[str | None], rolling: Rolling) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(texts))
-        filled = [t or "" for t in texts]
+        if not self.names:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        parts = [(i, part) for i, text in enumerate(texts) for part in slices_of(text or "")]
+        owner, filled = np.array([i for i, _ in parts], np.int64), [part for _, part in parts]
+        seen, asked = np.zeros((len(texts), len(self.names)), np.int64), np.zeros(len(texts), np.int64)
         for lo, hi in runs_of([len(t) for t in filled], CHUNK):
             keys, bounds = grams(filled[lo:hi], rolling)
-            if not self.names:
-                names += [UNDETERMINED] * (hi - lo)
-                continue
-            counts = self.hits(keys, bounds)
-            best = counts.argmax(axis=1)  # ties: the more frequent language
-            scores[lo:hi] = counts.max(axis=1) / np.maximum(counts.sum(axis=1), 1e-9)
-            has_letter = bounds[1:] > bounds[:-1]
-            names += [self.names[b] if h else UNDETERMINED for b, h in zip(best, has_letter)]
-        return names, scores
+            np.add.at(seen, owner[lo:hi], self.seen(keys, bounds))
+            np.add.at(asked, owner[lo:hi], np.diff(bounds))
+        counts = self.hits(seen, asked)
+        scores = counts.max(axis=1, initial=0.0) / np.maximum(counts.sum(axis=1), 1e-9)
+        best = counts.argmax(axis=1)  # ties: the more frequent language
+        return [self.names[b] if n else UNDETERMINED for b, n in zip(best, asked)], scores
+
+
+def slices_of(text: str) -> Iterator[str]:
+    """The text in parts of bounded length that end with a blank or a line; a longer run without any is cut."""
+    start = 0
+    while len(text) - start > CHUNK:
+        stop = max(text.rfind(" ", start, start + CHUNK), text.rfind("\n", start, start + CHUNK)) + 1 or start + CHUNK
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
 
 
 def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling()
     for batch in batches:
-        texts, language = batch.column("text").to_pylist(), batch.column("language").to_numpy()
+        parts = [(part, own) for text, own in zip(batch.column("text").to_pylist(), batch.column("language").to_pylist()) for part in slices_of(text)]
+        texts, language = [part for part, _ in parts], np.array([own for _, own in parts], np.int32)
         for lo, hi in runs_of([len(t) for t in texts], CHUNK * 8):
             keys, bounds = grams(texts[lo:hi], rolling)
             own = np.repeat(language[lo:hi], np.diff(bounds))

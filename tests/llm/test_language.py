@@ -14,14 +14,30 @@ def test_grams_are_letters_with_blank_ends():
     assert lg.grams([], rolling)[1].tolist() == [0] and lg.grams([""], rolling)[1].tolist() == [0, 0]
 
 
+def hits_of(known, keys, bounds):
+    return known.hits(known.seen(keys, bounds), np.diff(bounds))[0]
+
+
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    rolling = Rolling()
+    texts = ["kato mila rosu " * 40, "öl grün\nbär " * 30, "", "ab", "kato" * 9]
+    keys = np.unique(lg.grams(texts[:1], rolling)[0]), np.unique(lg.grams(texts[1:2], rolling)[0])
+    known = lg.LanguageFilter.build(["xa", "yb"], np.concatenate(keys), np.repeat([0, 1], [len(k) for k in keys]))
+    whole = known.predict(texts, rolling)
+    monkeypatch.setattr(lg, "CHUNK", 50)
+    assert all(max(map(len, lg.slices_of(t))) <= 50 and "".join(lg.slices_of(t)) == t for t in texts)
+    names, scores = known.predict(texts, rolling)
+    assert names == whole[0] and np.allclose(scores[:4], whole[1][:4])
+
+
 def test_filter_returns_all_languages_of_a_gram():
     keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(7919)
     language = np.arange(3000) % 12
     both = np.concatenate([keys, keys[:1]]), np.concatenate([language, [11]])
     known = lg.LanguageFilter.build([str(i) for i in range(12)], *both)
-    hits = known.hits(keys, np.array([0, 3000]))[0]
+    hits = hits_of(known, keys, np.array([0, 3000]))
     assert np.allclose(hits, 250, atol=8)
-    one = known.hits(keys[:1], np.array([0, 1]))[0]
+    one = hits_of(known, keys[:1], np.array([0, 1]))
     assert one[0] > 0.9 and one[11] > 0.9
     assert lg.LanguageFilter.build([], np.zeros(0, np.uint64), np.zeros(0, np.int64)).predict(["abc"], Rolling())[0] == ["und"]
 
@@ -52,7 +68,7 @@ def test_every_gram_of_the_sample_is_found(spark):
     docs = spark.createDataFrame([(i, "kato " * 400 + ("zyxwv" if i == 1 else ""), "xa") for i in range(1, 5)] + [(i, "öl " * 90, "yb") for i in range(5, 9)], "doc_id long, text string, lang string")
     learned = [i for i in range(1, 9) if not is_held_out(i)]
     known, rolling = lg.fit(docs), Rolling()
-    hits = known.hits(*lg.grams(["zyxwv"], rolling))[0]
+    hits = hits_of(known, *lg.grams(["zyxwv"], rolling))
     assert (1 in learned) == (hits[known.names.index("xa")] > 2) and hits[known.names.index("yb")] < 1
 
 
