@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.session import cut_lineage
+from arborlake.session import cut_lineage, join_large
 
 # 4^20 units are longer than any coordinate range, 4^-12 shorter than any box that counts; cell numbers stay exact
 MIN_LEVEL, MAX_LEVEL = -12, 20
@@ -59,7 +59,7 @@ def box_join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     # turn "l": the right box sets the grid (it is as large or larger); turn "r": the left box does
     left_rows = _spread(left, "r", "l", _present_levels(right), False, "l")
     right_rows = _spread(right, "l", "r", _present_levels(left), True, "r")
-    pairs = left_rows.join(right_rows, [*by, "turn", "grid", "cell_x", "cell_y"])
+    pairs = join_large(left_rows, right_rows, [*by, "turn", "grid", "cell_x", "cell_y"])
     size = F.pow(F.lit(4.0), F.col("grid"))
     pairs = pairs.filter(
         (F.col("l_min_x") < F.col("r_max_x")) & (F.col("r_min_x") < F.col("l_max_x"))
@@ -86,7 +86,7 @@ def distance_join(left: DataFrame, right: DataFrame, by: Sequence[str], eps: flo
         .drop("dx", "dy")
     )
     dx, dy = F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")
-    pairs = left.join(right, [*by, "cell_x", "cell_y"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    pairs = join_large(left, right, [*by, "cell_x", "cell_y"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
     return pairs.filter(F.col("distance") <= size).drop("cell_x", "cell_y")
 
 
@@ -110,7 +110,7 @@ def nearest_join(points: DataFrame, candidates: DataFrame, by: Sequence[str], li
         best = cut_lineage(best)
         found = best if found is None else found.unionByName(best)
         if step:
-            open_places = cut_lineage(open_places.join(best, [*by, "lx", "ly"], "left_anti"))
+            open_places = cut_lineage(join_large(open_places, best, [*by, "lx", "ly"], "left_anti"))
             if open_places.isEmpty():
                 break
-    return points.join(found, [*by, "lx", "ly"]).select(*by, "point_id", "best.candidate_id", "best.distance")
+    return join_large(points, found, [*by, "lx", "ly"]).select(*by, "point_id", "best.candidate_id", "best.distance")
