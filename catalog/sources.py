@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from arborlake.functions import geometry as geo
-from arborlake.session import ensure_checkpoint_dir
+from arborlake.session import ensure_checkpoint_dir, join_large
 from arborlake.sources import files, geojson, patches, tiles as tile_source
 from catalog.fixtures import fx, polygons, tile_pixels, tiles
 from catalog.registry import query
@@ -277,7 +277,7 @@ def scaled_tiles(spark, sf):
     from arborlake.plans.predict import model_tiles
 
     read = model_tiles(tile_source.read_raster_tiles(spark, _typed_tiles(spark, sf)))
-    rows = tile_source.explode_pixels(read).join(read.select("image_id", "dtype"), "image_id")
+    rows = join_large(tile_source.explode_pixels(read), read.select("image_id", "dtype"), "image_id")
     return rows.select("image_id", "band", "x", "y", "dtype", F.round("value", 9).alias("value"))
 
 
