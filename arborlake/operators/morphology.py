@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from arborlake.functions.bands import threshold
 from arborlake.operators.components import remove_small, with_least
-from arborlake.session import cut_lineage, join_small
+from arborlake.session import cut_lineage, join_large, join_small
 
 TILE = 256  # side of a flood tile: at most 65,536 pixels and their rim per group
 
@@ -103,7 +103,7 @@ def local_maxima(pixels: DataFrame, k: int, limit: float, by: Sequence[str] = ("
     across = across.groupBy(*by, "x", "y").agg(F.max("value").alias("value"))
     window = _moved(across, [(0, d) for d in steps]).groupBy(*by, "x", "y").agg(F.max("value").alias("top"))
     rows = pixels.select(*by, "x", "y", "value").filter(F.col("value") > F.lit(float(limit)))
-    return rows.join(window, [*by, "x", "y"]).filter("value = top").drop("top")
+    return join_large(rows, window, [*by, "x", "y"]).filter("value = top").drop("top")
 
 
 def spaced_peaks(pixels: DataFrame, min_distance: int, by: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -122,12 +122,12 @@ def spaced_peaks(pixels: DataFrame, min_distance: int, by: Sequence[str] = ("ima
     near = cut_lineage(near)
     while not open_peaks.isEmpty():
         alive = open_peaks.select(*by, F.col("marker").alias("other"), F.col("value").alias("other_value"))
-        rivals = near.join(alive, [*by, "other"]).filter("other_value > value or (other_value = value and other < marker)")
-        won = cut_lineage(open_peaks.join(rivals, [*by, "marker"], "left_anti"))
+        rivals = join_large(near, alive, [*by, "other"]).filter("other_value > value or (other_value = value and other < marker)")
+        won = cut_lineage(join_large(open_peaks, rivals, [*by, "marker"], "left_anti"))
         kept = kept.unionByName(won)
-        covered = near.join(won.select(*by, "marker"), [*by, "marker"]).select(*by, F.col("other").alias("marker"))
+        covered = join_large(near, won.select(*by, "marker"), [*by, "marker"]).select(*by, F.col("other").alias("marker"))
         open_peaks = cut_lineage(
-            open_peaks.join(covered.unionByName(won.select(*by, "marker")), [*by, "marker"], "left_anti")
+            join_large(open_peaks, covered.unionByName(won.select(*by, "marker")), [*by, "marker"], "left_anti")
         )
     return kept
 
@@ -140,7 +140,7 @@ def _near_peaks(peaks: DataFrame, by: list[str], distance: int) -> DataFrame:
     b = peaks.select(*by, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("marker").alias("other"), cell("x").alias("bx"), cell("y").alias("by_"))
     b = b.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
     b = b.select(*by, "ox", "oy", "other", (F.col("bx") + F.col("dx")).alias("cx"), (F.col("by_") + F.col("dy")).alias("cy"))
-    pairs = a.join(b, [*by, "cx", "cy"]).filter("marker <> other")
+    pairs = join_large(a, b, [*by, "cx", "cy"]).filter("marker <> other")
     close = (F.abs(F.col("x") - F.col("ox")) < distance) & (F.abs(F.col("y") - F.col("oy")) < distance)
     return pairs.filter(close).select(*by, "marker", "value", "other")
 
@@ -196,7 +196,7 @@ def seeded_regions(pixels: DataFrame, markers: DataFrame, by: Sequence[str] = ("
     than one. Pixels no marker reaches are left out.
     """
     by = list(by)
-    rows = pixels.join(markers.select(*by, "x", "y", F.col("marker").alias("seed")), [*by, "x", "y"], "left")
+    rows = join_large(pixels, markers.select(*by, "x", "y", F.col("marker").alias("seed")), [*by, "x", "y"], "left")
     none, start = F.lit(_NONE), F.col("seed").isNotNull()
     rows = rows.select(
         *by, "x", "y", (-F.col("value")).alias("cost"), F.coalesce("seed", none).alias("seed"),
@@ -232,11 +232,11 @@ def merge_small_regions(regions: DataFrame, sizes: DataFrame, min_size: float |
     over the original labels, ties to the lowest id."""
     counts = regions.groupBy("image_id", "region").agg(F.count("*").alias("size"))
     small = with_least(counts, min_size).filter("size < least").select("image_id", "region")
-    grown = dilate(regions.join(small, ["image_id", "region"], "left_semi"), sizes, radius, ["image_id", "region"])
-    around = grown.join(regions.withColumnRenamed("region", "other"), ["image_id", "x", "y"]).filter("other <> region")
+    grown = dilate(join_large(regions, small, ["image_id", "region"], "left_semi"), sizes, radius, ["image_id", "region"])
+    around = join_large(grown, regions.withColumnRenamed("region", "other"), ["image_id", "x", "y"]).filter("other <> region")
     votes = around.groupBy("image_id", "region", "other").agg(F.count("*").alias("n"))
     target = votes.groupBy("image_id", "region").agg(F.min(F.struct((-F.col("n")).alias("n"), "other")).alias("best"))
-    merged = regions.join(target.select("image_id", "region", F.col("best.other").alias("target")), ["image_id", "region"], "left")
+    merged = join_large(regions, target.select("image_id", "region", F.col("best.other").alias("target")), ["image_id", "region"], "left")
     return merged.select("image_id", "x", "y", F.coalesce("target", "region").alias("region"))
 
 
@@ -247,7 +247,7 @@ def segment_instances(scores: DataFrame, sizes: DataFrame, limit: float = 0.5, m
     binary = cut_lineage(remove_small(binary, ["image_id"], min_pixels))
     smooth = gaussian_blur(binary, sizes, blur_sigma)
     grown = dilate(binary, sizes, dilation_radius)
-    field = grown.join(smooth, ["image_id", "x", "y"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    field = join_large(grown, smooth, ["image_id", "x", "y"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     # twelve digits: equal heights stay equal whatever the order of the sums
     field = cut_lineage(field.withColumn("value", F.round("value", 12)))
     peaks = spaced_peaks(field, min_distance)
