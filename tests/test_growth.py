@@ -5,9 +5,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import blocks, labels, morphology
+from arborlake.operators import blocks, labels, morphology, polygons, vectorize
 from arborlake.operators.spatial_join import box_join
 from arborlake.session import spread
+from arborlake.sources import geojson, patches
 from catalog import fixtures, load_all
 from catalog.registry import QUERIES
 
@@ -126,3 +127,41 @@ def test_polygons_of_a_small_file_are_spread(spark, tmp_path):
     assert fixtures.polygons(spark, str(tmp_path), "gt").rdd.getNumPartitions() == 4
     heat = labels.with_share(spark.createDataFrame([(1, 1, 2.0), (1, 1, 1.0)], "image_id int, poly_id int, dist double"), rows=2)
     assert sorted(r.share for r in heat.select(F.col("share")).collect()) == [0.5, 1.0]
+
+
+def test_rings_of_one_square_need_no_pointer_rounds(spark, monkeypatch):
+    """A comb that crosses many blocks, and rings of several images, are linked in squares of blocks."""
+    monkeypatch.setattr(vectorize, "_join_far", lambda *_: pytest.fail("pointer rounds"))
+    comb = spark.range(40 * 20).selectExpr("cast(id div 400 as int) as image_id", "cast(id % 40 as int) as x", "cast(id div 40 % 10 as int) as y")
+    found = vectorize.rings(comb.filter("y = 0 or x % 2 = 0"), ["image_id"], block=4).collect()
+    assert [(r.image_id, r.ring_id, r.signed, len(r.ring)) for r in sorted(found)] == [(i, 0, 40.0 + 20 * 9, 4 + 19 * 4 + 2) for i in (0, 1)]
+
+
+def test_rings_beyond_a_square_start_at_their_smallest_segment(spark, monkeypatch):
+    monkeypatch.setattr(vectorize, "SQUARE", 2)
+    frame = spark.range(900).selectExpr("1 as image_id", "cast(id % 30 as int) as x", "cast(id div 30 as int) as y").filter("x in (0, 29) or y in (0, 29)")
+    found = {r.signed: [(p.x, p.y) for p in r.ring] for r in vectorize.rings(frame, ["image_id"], block=4).collect()}
+    assert found[900.0] == [(0, 0), (30, 0), (30, 30), (0, 30)] and found[-784.0][0] == (1, 1) and len(found) == 2
+
+
+def test_rings_are_judged_once(spark):
+    ring = "array<struct<x: double, y: double>>"
+    polys = spark.createDataFrame([(1, 1, square(0, 0)), (1, 2, [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (1.0, 5.0)]), (1, 3, None)], f"image_id int, poly_id int, ring {ring}")
+    good, bad = polygons.validate_polygons(polys)
+    assert not any("lambdafunction" in plan(side).lower() for side in (good, bad))
+    assert [r.poly_id for r in good.collect()] == [1] and {r.poly_id: r.reason for r in bad.collect()} == {2: "self-crossing", 3: "no ring"}
+
+
+def test_documents_of_many_images_are_written_by_many_tasks(spark, tmp_path):
+    meta = spark.range(64).selectExpr("id as image_id", "3067 as epsg", *[f"1.0D as {c}" for c in "abcdef"])
+    shapes = meta.selectExpr("image_id", "1 as poly_id", "array(struct(0.0D as x, 0.0D as y), struct(1.0D as x, 0.0D as y), struct(0.0D as x, 1.0D as y)) as ring")
+    geojson.write_geojson(geojson.feature_collections(shapes, meta, empty=True), f"{tmp_path}/out")
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "out").glob("*/part-*")}
+    assert len(tasks) >= 4
+
+
+def test_images_of_a_store_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(64).selectExpr("cast(id as string) as patch_key", "concat('i', id) as source_image", "array(1.0D) as image")
+    patches.write_patches(rows, f"{tmp_path}/out")
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "out").glob("*/part-*")}
+    assert len(tasks) >= 4 and patches.read_patches(spark, f"{tmp_path}/out").count() == 64
