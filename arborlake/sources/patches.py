@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.session import cut_lineage, join_small
+from arborlake.session import cut_lineage, join_small, spread
 
 # Attribute columns of a patch.
 ATTRIBUTES = ("patch_key", "source_image", "num_trees", "latitude", "longitude", "pixel_x", "pixel_y")
@@ -21,7 +21,8 @@ def write_patches(patches: DataFrame, path: str, codec: str = "gzip", rows_per_f
         patches.groupBy("source_image").agg(F.ceil(F.count("*") / rows_per_file).cast("long").alias("_shares"))
     )
     dealt = join_small(patches, shares, "source_image").withColumn("_share", F.pmod(F.xxhash64("patch_key"), F.col("_shares")))
-    together = dealt.repartition("source_image", "_share").sortWithinPartitions("source_image", "patch_key").drop("_share", "_shares")
+    # a fixed number of tasks: many small files are few bytes but much work
+    together = spread(dealt, "source_image", "_share").sortWithinPartitions("source_image", "patch_key").drop("_share", "_shares")
     (
         together.write.mode("errorifexists").partitionBy("source_image")
         .option("compression", codec).option("maxRecordsPerFile", rows_per_file).parquet(path)
@@ -30,12 +31,23 @@ def write_patches(patches: DataFrame, path: str, codec: str = "gzip", rows_per_f
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
     """Whole patches: arrays and attributes."""
-    return spark.read.parquet(path)
+    return _listed(spark, path)
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The store with its folders listed by some tasks a core; a task for every image's folder would be mostly waiting."""
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(tasks)
+    spark.conf.set(tasks, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(tasks, before)
 
 
 def patch_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Attributes only: the scan never touches the arrays."""
-    return spark.read.parquet(path).select(*ATTRIBUTES)
+    return _listed(spark, path).select(*ATTRIBUTES)
 
 
 def catalog_by_image(catalog: DataFrame) -> DataFrame:
