@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.session import cut_lineage, join_small, spread
+from arborlake.session import cut_lineage, few_listers, join_small, spread
 
 # Attribute columns of a patch.
 ATTRIBUTES = ("patch_key", "source_image", "num_trees", "latitude", "longitude", "pixel_x", "pixel_y")
@@ -35,14 +35,8 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, path: str) -> DataFrame:
-    """The store with its folders listed by some tasks a core; a task for every image's folder would be mostly waiting."""
-    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(tasks)
-    spark.conf.set(tasks, min(int(before), 4 * spark.sparkContext.defaultParallelism))
-    try:
+    with few_listers(spark):
         return spark.read.parquet(path)
-    finally:
-        spark.conf.set(tasks, before)
 
 
 def patch_catalog(spark: SparkSession, path: str) -> DataFrame:
