@@ -5,10 +5,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import blocks, labels, morphology, polygons, vectorize
+from arborlake.operators import blocks, labels, morphology, polygons, raster, vectorize
 from arborlake.operators.spatial_join import box_join
 from arborlake.session import spread
 from arborlake.sources import geojson, patches
+from arborlake.sources import tiles as sources_tiles
 from catalog import fixtures, load_all
 from catalog.registry import QUERIES
 
@@ -165,3 +166,51 @@ def test_images_of_a_store_are_written_by_many_tasks(spark, tmp_path):
     patches.write_patches(rows, f"{tmp_path}/out")
     tasks = {f.name.split("-")[1] for f in (tmp_path / "out").glob("*/part-*")}
     assert len(tasks) >= 4 and patches.read_patches(spark, f"{tmp_path}/out").count() == 64
+
+
+def test_blur_and_disks_shuffle_pixels_and_no_weighted_copies(spark):
+    px = spark.range(300).selectExpr("cast(id % 2 as int) as image_id", "cast(id % 17 as int) as x", "cast(id div 17 as int) as y")
+    sizes = spark.createDataFrame([(0, 18, 18), (1, 18, 18)], "image_id int, width int, height int")
+    for out in (morphology.gaussian_blur(px, sizes, 1.5), morphology.erode(px, sizes, 1), morphology.dilate(px, sizes, 2)):
+        assert "HashAggregate" not in plan(out) and "MapInArrow" in plan(out)
+
+
+def test_blur_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(morphology, "TILE", 5)
+    px = spark.createDataFrame([(1, 4, 6), (1, 0, 0), (1, 11, 7)], "image_id int, x int, y int")
+    found = np.zeros((8, 12))
+    for r in morphology.gaussian_blur(px, spark.createDataFrame([(1, 12, 8)], "image_id int, width int, height int"), 1.0).collect():
+        found[r.y, r.x] = r.value
+    dense = np.zeros((8, 12))
+    dense[6, 4] = dense[0, 0] = dense[7, 11] = 1
+    kernel = np.exp(-0.5 * np.arange(-4.0, 5) ** 2)
+    kernel /= kernel.sum()
+    wide = np.pad(dense, 4, mode="symmetric")
+    wide = sum(w * wide[:, i : i + 12] for i, w in enumerate(kernel))
+    assert np.allclose(found, sum(w * wide[i : i + 8] for i, w in enumerate(kernel)))
+
+
+def test_channels_reach_their_windows_without_a_row_a_pixel(spark, shapes):
+    polys, sizes = shapes
+    tiles = labels.label_tiles(polys, sizes)
+    found = {}
+    for t in tiles.collect():
+        for i, values in enumerate(zip(*t.bands)):
+            found[t.image_id, t.tile_x + i % t.width, t.tile_y + i // t.width] = values
+    rows = {(r.image_id, r.x, r.y): (r.mask, r.centroid, r.hybrid) for r in labels.label_channels(polys, sizes).collect()}
+    assert set(rows) <= set(found) and all(found[k] == rows.get(k, (0, 0, 0)) for k in found)
+    whole = sizes.selectExpr("image_id", "width", "height", "array(array_repeat(7.0D, width * height)) as bands")
+    names = ["mask", "centroid", "hybrid"]
+    cut = blocks.cut_windows(whole, sizes, 8, 4, layers=tiles, values=names)
+    assert "collect_list" not in plan(cut)
+    old = blocks.cut_windows(whole, sizes, 8, 4, pixels=labels.label_channels(polys, sizes), values=names)
+    assert sorted(cut.collect()) == sorted(old.collect())
+
+
+def test_percentiles_of_tiles_take_counted_values(spark):
+    tiles = spark.createDataFrame([(1, 2, 2, [[1.0, 1.0, 0.0, None], [2.0, float("nan"), 3.0, 3.0]]), (1, 2, 2, [[5.0, 1.0, 9.0, 9.0], [4.0, 4.0, -1.0, 4.0]]), (2, 2, 2, [[0.0] * 4, None])],
+                                  "image_id int, width int, height int, bands array<array<double>>")
+    counted = sources_tiles.count_values(tiles)
+    assert counted.filter("band = 0 and value = 1").agg(F.sum("times")).first()[0] == 3
+    new = sorted(raster.nonzero_percentiles(counted, ["image_id", "band"], (0.3, 0.9)).collect())
+    assert new == sorted(raster.nonzero_percentiles(sources_tiles.explode_pixels(tiles), ["image_id", "band"], (0.3, 0.9)).collect())
