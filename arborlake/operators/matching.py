@@ -6,10 +6,13 @@ needed for a whole image. Per-image totals are plain aggregates, so one hot imag
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import cycle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +92,8 @@ def centroid_match(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("imag
     """
     by = list(by)
     p = polygon_moments(pred).select(*by, F.col("poly_id").alias("candidate_id"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
-    t = polygon_moments(truth).select(*by, F.col("poly_id").alias("point_id"), F.col("cx").alias("lx"), F.col("cy").alias("ly"))
+    # read twice, to search and to match
+    t = cut_lineage(polygon_moments(truth).select(*by, F.col("poly_id").alias("point_id"), F.col("cx").alias("lx"), F.col("cy").alias("ly")))
     near = nearest_join(t, p, by, limit)
     kept = near.groupBy(*by, "candidate_id").agg(F.min(F.struct("point_id", "distance")).alias("m"))
     hits = kept.groupBy(*by).agg(F.count("*").alias("tp"), F.sum("m.distance").alias("total"))
@@ -124,6 +128,75 @@ def mutual_rounds(pairs: DataFrame, by: Sequence[str], order: Sequence[str]) ->
     return pairs.limit(0) if taken is None else taken
 
 
+BLOCK = 32  # side of a block of the matching, in limits; above 4, so that a point is inside of some layout's block
+
+
+def _block_pass(keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Walks over sorted pairs and says of each block's pairs which are ``taken``; others come out open, or not at all.
+
+    A pair is open when its right point may have pairs in other blocks, or one of its ends an open pair before it.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        used_l, used_r, open_l, open_r = set(), set(), set(), set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.zeros(batch.num_rows, bool)
+            for key in keys:
+                column = batch.column(key)
+                fresh[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            place = [batch.column(key)[0].as_py() for key in keys]
+            fresh[0] = place != last
+            last = [batch.column(key)[-1].as_py() for key in keys]
+            state = np.zeros(batch.num_rows, np.int8)
+            ends = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("left_id", "right_id", "shared")]
+            for i, (new, a, b, shared) in enumerate(zip(fresh.tolist(), *ends)):
+                if new:
+                    used_l, used_r, open_l, open_r = set(), set(), set(), set()
+                if a in used_l or b in used_r:
+                    continue
+                if shared or a in open_l or b in open_r:
+                    open_l.add(a)
+                    open_r.add(b)
+                    state[i] = 1
+                else:
+                    used_l.add(a)
+                    used_r.add(b)
+                    state[i] = 2
+            kept = batch.drop_columns([*(c for c in keys if c.startswith("_block")), "shared"]).append_column("taken", pa.array(state == 2))
+            yield kept.filter(pa.array(state > 0))
+
+    return walk
+
+
+def first_free_pairs(pairs: DataFrame, by: Sequence[str], limit: float) -> DataFrame:
+    """``by, left_id, right_id, distance`` of the pairs that a loop in (left, right) order takes, each end once.
+
+    Pairs carry the places of their points, one place an id. Those of a block of places are walked in order, which needs
+    no more than the ids met in the block. What hangs on other blocks is walked again in blocks moved by half their
+    side, until no pair is open: every point is well inside a block of one of the four layouts, so the first open pair
+    is settled by then, and mostly a whole block of pairs.
+    """
+    by, columns = list(by), [*by, "left_id", "right_id", "distance", "lx", "ly", "rx", "ry"]
+    side, reach = float(limit) * BLOCK, float(limit) * 1.000001
+    keys = [*by, "_block_x", "_block_y"]
+    taken, open_ = None, pairs.select(*columns)
+    for shift in cycle(((0.0, 0.0), (0.5, 0.5), (0.5, 0.0), (0.0, 0.5))):
+        block = lambda v, s=shift: [F.floor(v(c) / side + o) for c, o in zip("xy", s)]
+        low, high = (block(lambda c, d=d: F.col(f"r{c}") + d) for d in (-reach, reach))
+        x, y = block(lambda c: F.col(f"l{c}"))
+        placed = open_.withColumns({"_block_x": x, "_block_y": y, "shared": (low[0] != high[0]) | (low[1] != high[1])})
+        # blocks are told apart by a hash first, which sorts faster than their keys
+        placed = placed.repartition(*keys).sortWithinPartitions(F.xxhash64(*keys), *keys, "left_id", "right_id")
+        walked = cut_lineage(placed.mapInArrow(_block_pass(keys), open_.withColumn("taken", F.lit(True)).schema))
+        won, open_ = (walked.filter(c).drop("taken") for c in ("taken", "not taken"))
+        taken = won if taken is None else taken.unionByName(won)
+        if open_.isEmpty():
+            return taken.select(*columns[:-4])
+
+
 def proximity_match(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), limit: float = 5.0) -> DataFrame:
     """First free pair within ``limit`` in (prediction, truth) order, matched in rounds.
 
@@ -132,10 +205,17 @@ def proximity_match(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("ima
     and the mean distance of matched pairs; (0, 0, 0, inf) when a side is empty.
     """
     by = list(by)
+    pred, truth = (cut_lineage(side.select(*by, "point_id", "x", "y")) for side in (pred, truth))
     left = pred.select(*by, F.col("point_id").alias("left_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
     right = truth.select(*by, F.col("point_id").alias("right_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    pairs = distance_join(left, right, by, limit).select(*by, "left_id", "right_id", "distance")
-    hits = mutual_rounds(pairs, by, []).groupBy(*by).agg(F.count("*").alias("tp"), F.sum("distance").alias("total"))
+    pairs = distance_join(left, right, by, limit).filter("left_id is not null and right_id is not null")
+    both = pred.withColumn("side", F.lit(0)).unionByName(truth.withColumn("side", F.lit(1))).filter("point_id is not null")
+    repeated = both.groupBy(*by, "side", "point_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        matched = first_free_pairs(pairs, by, limit)
+    else:  # an id with several places belongs to no block
+        matched = mutual_rounds(pairs.select(*by, "left_id", "right_id", "distance"), by, [])
+    hits = matched.groupBy(*by).agg(F.count("*").alias("tp"), F.sum("distance").alias("total"))
     rows = _counts(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     precision, recall, f1 = precision_recall_f1(F.col("tp"), F.col("n_pred") - F.col("tp"), F.col("n_truth") - F.col("tp"))
     error = F.when(F.col("tp") > 0, F.col("total") / F.col("tp")).otherwise(F.lit(float("inf")))

@@ -47,6 +47,14 @@ def _spread(df: DataFrame, own_turn: str, up_turn: str, other_levels: list[int],
     return rows.withColumnsRenamed({c: f"{side}_{c}" for c in BOX})
 
 
+def _join_cells(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Sorted join on cells. Rows are told apart by a hash of the cell first: keys in order, such as long names that
+    begin alike, would be compared as wholes at every step of the sort."""
+    own, other = dict(left.dtypes), dict(right.dtypes)
+    place = F.xxhash64(*[k for k in keys if own[k] == other[k]])
+    return join_large(left.withColumn("_place", place), right.withColumn("_place", place), ["_place", *keys]).drop("_place")
+
+
 def box_join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Pairs of rows with equal ``by`` whose boxes overlap in more than a line.
 
@@ -59,7 +67,7 @@ def box_join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     # turn "l": the right box sets the grid (it is as large or larger); turn "r": the left box does
     left_rows = _spread(left, "r", "l", _present_levels(right), False, "l")
     right_rows = _spread(right, "l", "r", _present_levels(left), True, "r")
-    pairs = join_large(left_rows, right_rows, [*by, "turn", "grid", "cell_x", "cell_y"])
+    pairs = _join_cells(left_rows, right_rows, [*by, "turn", "grid", "cell_x", "cell_y"])
     size = F.pow(F.lit(4.0), F.col("grid"))
     pairs = pairs.filter(
         (F.col("l_min_x") < F.col("r_max_x")) & (F.col("r_min_x") < F.col("l_max_x"))
@@ -73,20 +81,19 @@ def box_join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
 def distance_join(left: DataFrame, right: DataFrame, by: Sequence[str], eps: float) -> DataFrame:
     """Pairs within ``eps`` of each other, with ``distance``.
 
-    Sides carry ``by`` and (lx, ly) / (rx, ry). The left point goes to its own cell of side ``eps``, the
-    right point to the 3x3 cells around its own.
+    Sides carry ``by`` and (lx, ly) / (rx, ry). The left point goes to its own cell of side ``2 * eps``, the
+    right point to the cells that its reach touches: two in each direction, three where it ends on a cell's border.
     """
-    by, size = list(by), F.lit(float(eps))
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    left = left.withColumn("cell_x", F.floor(F.col("lx") / size)).withColumn("cell_y", F.floor(F.col("ly") / size))
-    right = (
-        right.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-        .withColumn("cell_x", F.floor(F.col("rx") / size) + F.col("dx"))
-        .withColumn("cell_y", F.floor(F.col("ry") / size) + F.col("dy"))
-        .drop("dx", "dy")
-    )
+    by, size, side = list(by), F.lit(float(eps)), F.lit(2 * float(eps))
+
+    def reached(c: str) -> Column:
+        # a hair more than half a cell, as the quotient is rounded
+        return F.explode(F.sequence(F.floor(F.col(c) / side - 0.500001), F.floor(F.col(c) / side + 0.500001)))
+
+    left = left.withColumn("cell_x", F.floor(F.col("lx") / side)).withColumn("cell_y", F.floor(F.col("ly") / side))
+    right = right.withColumn("cell_x", reached("rx")).withColumn("cell_y", reached("ry"))
     dx, dy = F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")
-    pairs = join_large(left, right, [*by, "cell_x", "cell_y"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    pairs = _join_cells(left, right, [*by, "cell_x", "cell_y"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
     return pairs.filter(F.col("distance") <= size).drop("cell_x", "cell_y")
 
 
