@@ -149,12 +149,12 @@ class ToxicityIndex:
 
     def _best(self, base: np.ndarray, row: np.ndarray, weight: np.ndarray, low: int, high: int, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         """The best examples of a run of blocks that share a word with the query."""
-        total, shift = base.copy(), low * BLOCK
-        examples, weights = self.examples, self.weights
-        for w, lo, hi in zip(weight.tolist(), self.cuts[row, low].tolist(), self.cuts[row, high].tolist()):
-            if hi > lo:
-                total[examples[lo:hi]] += w * weights[lo:hi]
-        total = np.round(total[shift : high * BLOCK], 12)
+        total, shift = base[low * BLOCK : high * BLOCK].copy(), low * BLOCK
+        first, last = self.cuts[row, low], self.cuts[row, high]
+        sizes = last - first
+        take = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else first, sizes) + np.arange(sizes.sum())
+        np.add.at(total, self.examples[take] - shift, np.repeat(weight, sizes) * self.weights[take])
+        total = np.round(total, 12)
         if low * BLOCK <= without < high * BLOCK:
             total[without - shift] = 0
         found = np.flatnonzero(total)

@@ -93,3 +93,26 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert by_id[402].predicted == 1 and by_id[None].predicted == 1 and by_id[400].predicted == by_id[401].predicted == 0
     assert tx.toxicity_scores(docs.limit(0), known).count() == 0
     assert {r.score for r in tx.toxicity_scores(docs, known.limit(0)).collect()} == {0.5}
+
+
+def test_postings_of_a_run_of_blocks_are_summed_without_a_loop_over_words(monkeypatch):
+    monkeypatch.setattr(tx, "BLOCK", 16)
+    texts, labels = sample(500, 6)
+    index, place = built(texts, labels, np.arange(500), 500)
+    where, weight = index.vector(*tx.counted(" ".join(FINE[:30]), place))
+    shared = index.common[where] >= 0
+    row, weight = index.common[where][shared], weight[shared]
+    base = np.zeros(index.most.shape[1] * 16)
+    dense = base.copy()
+    for w, word in zip(weight, np.array(where)[shared]):
+        at = slice(index.starts[word], index.starts[word + 1])
+        dense[index.examples[at]] += w * index.weights[at]
+
+    def no_loop(*_):
+        raise AssertionError("a step for every word")
+
+    monkeypatch.setattr(tx, "zip", no_loop, raising=False)
+    for low, high in ((0, 1), (3, 9), (0, index.most.shape[1])):
+        at, cosine = index._best(base, row, weight, low, high, 5, -1)
+        part = np.round(dense[low * 16 : high * 16], 12)
+        assert cosine.tolist() == sorted(part.tolist(), reverse=True)[:5] and (part[at - low * 16] == cosine).all()
