@@ -23,7 +23,7 @@ from arborlake.operators.spatial_join import distance_join, nearest_join
 from arborlake.session import cut_lineage
 
 
-def _counts(pred: DataFrame, truth: DataFrame, by: Sequence[str]) -> DataFrame:
+def count_sides(pred: DataFrame, truth: DataFrame, by: Sequence[str]) -> DataFrame:
     """n_pred and n_truth per key, also for keys with one side only."""
     both = pred.select(*by, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
         truth.select(*by, F.lit(0).alias("p"), F.lit(1).alias("t"))
@@ -31,17 +31,17 @@ def _counts(pred: DataFrame, truth: DataFrame, by: Sequence[str]) -> DataFrame:
     return both.groupBy(*by).agg(F.sum("p").alias("n_pred"), F.sum("t").alias("n_truth"))
 
 
-def _copies(polys: DataFrame, by: Sequence[str]) -> DataFrame:
+def count_copies(polys: DataFrame, by: Sequence[str]) -> DataFrame:
     """How many polygons share the shape of the smallest id."""
     shape = shape_column(polys)
     return polys.groupBy(*by, shape).agg(F.min("poly_id").alias("left_id"), F.count("*").alias("copies")).drop(shape)
 
 
-def best_truth(pairs: DataFrame, pred: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+def best_truth(pairs: DataFrame, copies: DataFrame, by: Sequence[str], score: str) -> DataFrame:
     """Best truth per distinct prediction ring by ``iou`` or ``coverage`` (overlap / prediction area).
 
-    ``pairs`` comes from :func:`overlap_area`. The first truth wins ties. ``copies`` tells how many predictions
-    the ring stands for.
+    ``pairs`` comes from :func:`overlap_area`, ``copies`` from :func:`count_copies` of the predictions; it tells how
+    many predictions the ring stands for. The first truth wins ties.
     """
     by = list(by)
     value = {
@@ -52,20 +52,22 @@ def best_truth(pairs: DataFrame, pred: DataFrame, by: Sequence[str], score: str)
     pairs = pairs.withColumn("value", F.round(value, 12)).filter("value > 0")
     best = pairs.groupBy(*by, "left_id").agg(F.min(F.struct((-F.col("value")).alias("low"), "right_id")).alias("b"))
     best = best.select(*by, "left_id", (-F.col("b.low")).alias("value"), F.col("b.right_id").alias("truth_id"))
-    return best.join(_copies(pred, by), [*by, "left_id"])
+    return best.join(copies, [*by, "left_id"])
 
 
-def object_pixel_iou(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), pairs: DataFrame | None = None) -> DataFrame:
+def object_pixel_iou(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), pairs: DataFrame | None = None,
+                     counts: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
     """Mean over best IoU per prediction and one 0 per truth that no prediction chose; 0 when a side is empty.
 
-    ``pairs`` may pass in overlaps that are already there.
+    ``pairs``, ``counts`` and ``copies`` may pass in overlaps, :func:`count_sides` and :func:`count_copies` that are already there.
     """
     by = list(by)
-    best = best_truth(overlap_area(pred, truth, by) if pairs is None else pairs, pred, by, "iou")
+    copies = count_copies(pred, by) if copies is None else copies
+    best = best_truth(overlap_area(pred, truth, by) if pairs is None else pairs, copies, by, "iou")
     total = best.groupBy(*by).agg(F.sum(F.col("value") * F.col("copies")).alias("total"))
     # two levels, so that one image's chosen truths are counted in many tasks
     chosen = best.select(*by, "truth_id").distinct().groupBy(*by).agg(F.count("*").alias("chosen"))
-    rows = _counts(pred, truth, by).join(total, by, "left").join(chosen, by, "left")
+    rows = (count_sides(pred, truth, by) if counts is None else counts).join(total, by, "left").join(chosen, by, "left")
     both = (F.col("n_pred") > 0) & (F.col("n_truth") > 0)
     entries = F.col("n_pred") + F.col("n_truth") - F.coalesce("chosen", F.lit(0))
     value = F.when(both, F.coalesce("total", F.lit(0.0)) / entries).otherwise(F.lit(0.0))
@@ -73,19 +75,21 @@ def object_pixel_iou(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("im
 
 
 def tree_iou_greedy(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), limit: float = 0.4,
-                    pairs: DataFrame | None = None) -> DataFrame:
+                    pairs: DataFrame | None = None, counts: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
     """Best-covered truth per prediction; a truth counts once, for its first prediction."""
     by = list(by)
     pairs = overlap_area(pred, truth, by) if pairs is None else pairs
-    best = best_truth(pairs, pred, by, "coverage").filter(F.col("value") >= F.lit(float(limit)))
+    copies = count_copies(pred, by) if copies is None else copies
+    best = best_truth(pairs, copies, by, "coverage").filter(F.col("value") >= F.lit(float(limit)))
     hits = best.select(*by, "truth_id").distinct().groupBy(*by).agg(F.count("*").alias("hits"))
-    rows = _counts(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("hits", F.lit(0)))
+    rows = (count_sides(pred, truth, by) if counts is None else counts).join(hits, by, "left").withColumn("tp", F.coalesce("hits", F.lit(0)))
     both = (F.col("n_pred") > 0) & (F.col("n_truth") > 0)
     value = F.when(both, F.col("tp") / (F.col("n_pred") + F.col("n_truth") - F.col("tp"))).otherwise(F.lit(0.0))
     return rows.select(*by, value.alias("tree_iou"))
 
 
-def centroid_match(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), limit: float = 50.0) -> DataFrame:
+def centroid_match(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("image_id",), limit: float = 50.0,
+                   counts: DataFrame | None = None) -> DataFrame:
     """Nearest prediction per truth within ``limit``; per prediction the first truth wins.
 
     Returns tp, fp, fn and the mean distance (NaN without a match).
@@ -97,7 +101,7 @@ def centroid_match(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("imag
     near = nearest_join(t, p, by, limit)
     kept = near.groupBy(*by, "candidate_id").agg(F.min(F.struct("point_id", "distance")).alias("m"))
     hits = kept.groupBy(*by).agg(F.count("*").alias("tp"), F.sum("m.distance").alias("total"))
-    rows = _counts(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    rows = (count_sides(pred, truth, by) if counts is None else counts).join(hits, by, "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     error = F.when(F.col("tp") > 0, F.col("total") / F.col("tp")).otherwise(F.lit(float("nan")))
     return rows.select(
         *by, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"),
@@ -216,7 +220,7 @@ def proximity_match(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("ima
     else:  # an id with several places belongs to no block
         matched = mutual_rounds(pairs.select(*by, "left_id", "right_id", "distance"), by, [])
     hits = matched.groupBy(*by).agg(F.count("*").alias("tp"), F.sum("distance").alias("total"))
-    rows = _counts(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    rows = count_sides(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     precision, recall, f1 = precision_recall_f1(F.col("tp"), F.col("n_pred") - F.col("tp"), F.col("n_truth") - F.col("tp"))
     error = F.when(F.col("tp") > 0, F.col("total") / F.col("tp")).otherwise(F.lit(float("inf")))
     return rows.select(
@@ -329,14 +333,14 @@ def tree_iou_optimal(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ("im
     by = list(by)
     shapes = overlap_area(pred, truth, by)
     pairs = shapes.withColumn("iou", F.round(iou(F.col("inter"), F.col("left_area"), F.col("right_area")), 12)).filter("iou > 0")
-    right_copies = _copies(truth, by).withColumnsRenamed({"left_id": "right_id", "copies": "right_copies"})
+    right_copies = count_copies(truth, by).withColumnsRenamed({"left_id": "right_id", "copies": "right_copies"})
     pairs = (
-        pairs.join(_copies(pred, by).withColumnRenamed("copies", "left_copies"), [*by, "left_id"])
+        pairs.join(count_copies(pred, by).withColumnRenamed("copies", "left_copies"), [*by, "left_id"])
         .join(right_copies, [*by, "right_id"]).select(*by, "left_id", "right_id", "left_copies", "right_copies", "iou")
     )
     matched = best_assignment(pairs, by).filter(F.col("iou") >= F.lit(float(limit)))
     hits = matched.groupBy(*by).agg(F.sum("units").alias("hits"))
-    rows = _counts(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("hits", F.lit(0)))
+    rows = count_sides(pred, truth, by).join(hits, by, "left").withColumn("tp", F.coalesce("hits", F.lit(0)))
     both = (F.col("n_pred") > 0) & (F.col("n_truth") > 0)
     value = F.when(both, F.col("tp") / (F.col("n_pred") + F.col("n_truth") - F.col("tp"))).otherwise(F.lit(0.0))
     return rows.select(*by, value.alias("tree_iou"))

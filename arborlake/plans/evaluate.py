@@ -11,7 +11,7 @@ from arborlake.functions.coords import reproject
 from arborlake.functions.scores import precision_recall_f1
 from arborlake.operators import matching, metrics
 from arborlake.operators.polygons import overlap_area, shape_column, validate_polygons
-from arborlake.session import cut_lineage
+from arborlake.session import cut_lineage, join_small
 from arborlake.sources import files as files_source
 from arborlake.sources import geojson
 
@@ -48,19 +48,22 @@ def evaluate_files(pred: DataFrame, truth: DataFrame, files: DataFrame, by: Sequ
     by = list(by)
     pred, bad_pred = validate_polygons(pred)
     truth, bad_truth = validate_polygons(truth)
-    pred, truth = (cut_lineage(side.select(*by, "poly_id", shape_column(side))) for side in (pred, truth))
+    # one number a file: names that begin alike would be moved and compared at every step
+    numbered = cut_lineage(files.select(*by).distinct().withColumn("_file", F.monotonically_increasing_id()))
+    key = ["_file"]
+    pred, truth = (cut_lineage(join_small(side, numbered, by).select(*key, "poly_id", shape_column(side))) for side in (pred, truth))
     rejected = bad_pred.select(*by).unionByName(bad_truth.select(*by)).groupBy(*by).agg(F.count("*").alias("rejected"))
-    pairs = cut_lineage(overlap_area(pred, truth, by))
-    rows = files
+    pairs = cut_lineage(overlap_area(pred, truth, key))
+    counts, copies = cut_lineage(matching.count_sides(pred, truth, key)), cut_lineage(matching.count_copies(pred, key))
+    rows = files.join(numbered, by, "left")
     for part in (
-        matching.object_pixel_iou(pred, truth, by, pairs),
-        matching.tree_iou_greedy(pred, truth, by, overlap, pairs),
-        matching.centroid_match(pred, truth, by, limit),
-        pred.groupBy(*by).agg(F.count("*").alias("n_pred")),
-        truth.groupBy(*by).agg(F.count("*").alias("n_truth")),
-        rejected,
+        matching.object_pixel_iou(pred, truth, key, pairs, counts, copies),
+        matching.tree_iou_greedy(pred, truth, key, overlap, pairs, counts, copies),
+        matching.centroid_match(pred, truth, key, limit, counts),
+        counts,
     ):
-        rows = rows.join(part, by, "left")
+        rows = rows.join(part, key, "left")
+    rows = rows.join(rejected, by, "left")
     counts = ("tp", "fp", "fn", "n_pred", "n_truth", "rejected")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("pixel_iou", "tree_iou")})

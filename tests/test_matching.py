@@ -2,9 +2,9 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from arborlake.operators import matching, polygons, spatial_join
+from arborlake.plans import evaluate
 
 
 def loop(left, right, limit):
@@ -93,3 +93,20 @@ def test_triangles_and_crossing_rings(spark):
     polys = spark.createDataFrame(rows, "poly_id int, ring array<struct<x: double, y: double>>")
     good, bad = polygons.validate_polygons(polys)
     assert [r.poly_id for r in good.collect()] == [1] and [(r.poly_id, r.reason) for r in bad.collect()] == [(2, "self-crossing")]
+
+
+def test_files_are_numbered_and_sides_counted_once(spark, monkeypatch):
+    calls, keys = [], []
+    count, overlap = matching.count_sides, polygons.overlap_area
+    monkeypatch.setattr(matching, "count_sides", lambda *a: (calls.append(1), count(*a))[1])
+    monkeypatch.setattr(evaluate, "overlap_area", lambda a, b, by: (keys.append(list(by)), overlap(a, b, by))[1])
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    shapes = "pred_set string, file string, poly_id int, ring array<struct<x: double, y: double>>"
+    pred = spark.createDataFrame([("s", "a", 1, ring), ("s", "a", 2, ring), ("s", "elsewhere", 3, ring), ("s", None, 4, ring)], shapes)
+    truth = spark.createDataFrame([("s", "a", 1, ring), ("s", "b", 2, ring), ("s", "b", 3, ring[:2])], shapes)
+    files = spark.createDataFrame([("s", "a", 1.0, 2.0), ("s", "a", 3.0, 4.0), ("s", "b", 1.0, 2.0), ("s", None, 1.0, 2.0)],
+                                  "pred_set string, file string, latitude double, longitude double")
+    rows = {(r.file, r.latitude): (r.pixel_iou, r.tree_iou, r.tp, r.fp, r.fn, r.n_pred, r.n_truth, r.status) for r in evaluate.evaluate_files(pred, truth, files).collect()}
+    a = (1.0, 0.5, 1, 1, 0, 2, 1, "ok")
+    assert rows == {("a", 1.0): a, ("a", 3.0): a, ("b", 1.0): (0.0, 0.0, 0, 0, 1, 0, 1, "rejected rings"), (None, 1.0): (0.0, 0.0, 0, 0, 0, 0, 0, "empty")}
+    assert calls == [1] and keys == [["_file"]]
