@@ -1,7 +1,7 @@
 """Morphology, smoothing, peaks and seeded regions on sparse pixel tables ``by, x, y[, value]``.
 
-``sizes`` carries ``image_id, width, height``. Neighbourhoods of window maxima are offset lists joined by position;
-disks and blurs are summed in blocks with a rim, and the seeded flood runs tile by tile.
+``sizes`` carries ``image_id, width, height``. Window maxima, spaced peaks, disks and blurs are settled in blocks with a
+rim, many blocks at once, and the seeded flood runs over many tiles at once.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,20 +24,11 @@ from arborlake.session import cut_lineage, join_large, join_small, spread
 TILE = 256  # side of a flood tile: at most 65,536 pixels and their rim per group
 
 
-def _offsets(pairs: Sequence[tuple[int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in pairs])
-
-
 def disk(radius: int) -> list[tuple[int, int]]:
     steps = range(-radius, radius + 1)
     return [(dx, dy) for dy in steps for dx in steps if dx * dx + dy * dy <= radius * radius]
 
 
-def _moved(pixels: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    rows = pixels.withColumn("_o", F.explode(_offsets(pairs)))
-    return rows.withColumns({"x": F.col("x") + F.col("_o.dx"), "y": F.col("y") + F.col("_o.dy")}).drop("_o")
-
-
 CELLS = 1 << 20  # cells of blocks looked at together
 
 
@@ -189,99 +180,238 @@ def gaussian_blur(pixels: DataFrame, sizes: DataFrame, sigma: float, truncate: f
     return _by_blocks(mirrored(mirrored(rows, "x", "width"), "y", "height"), ["image_id"], radius, ["value"], solve)
 
 
+def _alike(high: np.ndarray, wide: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of areas of like size, as many together as fill CELLS cells, or one."""
+    order, lo = np.argsort(np.maximum(wide, high), kind="stable"), 0
+    while lo < len(order):
+        hi = len(order)
+        while hi - lo > 1 and (hi - lo) * int(high[order[lo:hi]].max()) * int(wide[order[lo:hi]].max()) > CELLS:
+            hi = lo + (hi - lo + 1) // 2
+        yield order[lo:hi]
+        lo = hi
+
+
+def _members(starts: np.ndarray, n: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of some groups, and which of these groups each row is in."""
+    sizes = np.diff(np.append(starts, n))[some]
+    return np.repeat(starts[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), np.repeat(np.arange(len(some)), sizes)
+
+
+def _near_blocks(rows: DataFrame, by: list[str], reach: int, shift: int = 0) -> DataFrame:
+    """Rows by block, sorted: every row in its own block, ``home``, and in those that it lies up to ``reach`` cells off.
+    Blocks start ``shift`` cells off the image. Partitions are counted, so the memory of a task does not grow."""
+    def span(axis: str) -> Column:
+        low, high = (F.floor((F.col(axis) - shift + d) / TILE).cast("int") for d in (-reach, reach))
+        return F.explode(F.sequence(low, high))
+
+    own = lambda axis, at: F.floor((F.col(axis) - shift) / TILE) == F.col(at)
+    placed = rows.withColumn("bx", span("x")).withColumn("by_", span("y")).withColumn("home", own("x", "bx") & own("y", "by_"))
+    group = [*by, "bx", "by_"]
+    return spread(placed, *group, rows=rows.count()).sortWithinPartitions(*group)
+
+
+def _grids(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, int, int]]]:
+    """Groups of like size as grids over the bounds of their rows: places of the rows, their cells, and the grids' shape."""
+    x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
+    left, top = np.minimum.reduceat(x, starts), np.minimum.reduceat(y, starts)
+    wide, high = np.maximum.reduceat(x, starts) - left + 1, np.maximum.reduceat(y, starts) - top + 1
+    for some in _alike(high, wide):
+        at, no = _members(starts, len(x), some)
+        shape = (len(some), int(high[some].max()), int(wide[some].max()))
+        yield at, (no * shape[1] + y[at] - top[some][no]) * shape[2] + x[at] - left[some][no], shape
+
+
+def _slide(values: np.ndarray, back: int, on: int, pick) -> np.ndarray:
+    """``pick`` over the windows of grids that reach ``back`` cells before and ``on`` cells behind, on both axes."""
+    for lines in (lambda v: v, lambda v: v.swapaxes(1, 2)):
+        given, values = lines(values), values.copy()
+        out = lines(values)
+        for d in range(1, back + 1):
+            out[:, :, d:] = pick(out[:, :, d:], given[:, :, :-d])
+        for d in range(1, on + 1):
+            out[:, :, :-d] = pick(out[:, :, :-d], given[:, :, d:])
+    return values
+
+
+def _placed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with a key, a place and a value; no other meets a neighbour."""
+    return rows.dropna(subset=[*by, "x", "y"]).filter(F.col("value").isNotNull())
+
+
 def local_maxima(pixels: DataFrame, k: int, limit: float, by: Sequence[str] = ("image_id",)) -> DataFrame:
     """Pixels equal to the largest value of their k x k window and above ``limit``; plateaus give several.
 
-    The window maximum is taken along rows, then along columns: 2k copies of a pixel instead of k squared.
+    Windows slide over blocks with a rim, so a pixel is moved once, and again where it lies near other blocks.
     """
     by = list(by)
-    steps = range(-(k - k // 2 - 1), k // 2 + 1)
-    across = _moved(pixels.select(*by, "x", "y", "value"), [(d, 0) for d in steps])
-    across = across.groupBy(*by, "x", "y").agg(F.max("value").alias("value"))
-    window = _moved(across, [(0, d) for d in steps]).groupBy(*by, "x", "y").agg(F.max("value").alias("top"))
-    rows = pixels.select(*by, "x", "y", "value").filter(F.col("value") > F.lit(float(limit)))
-    return join_large(rows, window, [*by, "x", "y"]).filter("value = top").drop("top")
+    rows = cut_lineage(_placed(pixels.select(*by, "x", "y", "value"), by).withColumn("level", F.col("value").cast("double")))
+    group = [*by, "bx", "by_"]
+    back, on = k // 2, k - k // 2 - 1
+    schema = T.StructType([rows.schema[c] for c in (*by, "x", "y", "value")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, group):
+            value, hit = table.column("level").to_numpy(), np.zeros(table.num_rows, bool)
+            for at, cells, shape in _grids(table, starts):
+                grid = np.full(shape, -np.inf)
+                np.maximum.at(grid.reshape(-1), cells, value[at])  # not a number is the largest, as in a sort
+                top = _slide(grid, back, on, np.maximum).reshape(-1)[cells]
+                hit[at] = (value[at] == top) | np.isnan(value[at])
+            hit &= ~(value <= limit) & table.column("home").to_numpy()
+            yield from table.select(schema.names).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return _near_blocks(rows, by, max(back, on)).mapInArrow(run, schema)
 
 
 def spaced_peaks(pixels: DataFrame, min_distance: int, by: Sequence[str] = ("image_id",)) -> DataFrame:
     """Local maxima of ``value`` at least ``min_distance`` apart (larger of the two axis distances), strongest
     first, raster order on ties. Returns ``by, x, y, value, marker``; the marker is the pixel's code.
 
-    Every round keeps the peaks that beat all open peaks near them and drops the peaks they cover.
+    A peak is kept when it beats all open peaks near it, and the peaks it covers are dropped, block by block until
+    nothing in a block is left to decide. What hangs on peaks beyond a block goes on in blocks half a side further.
     """
-    from arborlake.operators.components import pixel_code, with_least
+    from arborlake.operators.components import pixel_code
 
     by = list(by)
     peaks = local_maxima(pixels, 2 * min_distance + 1, 0.0, by).withColumn("marker", pixel_code(F.col("x"), F.col("y")))
     peaks = cut_lineage(peaks)
-    near = _near_peaks(peaks, by, min_distance)
-    open_peaks, kept = peaks, peaks.limit(0)
-    near = cut_lineage(near)
-    while not open_peaks.isEmpty():
-        alive = open_peaks.select(*by, F.col("marker").alias("other"), F.col("value").alias("other_value"))
-        rivals = join_large(near, alive, [*by, "other"]).filter("other_value > value or (other_value = value and other < marker)")
-        won = cut_lineage(join_large(open_peaks, rivals, [*by, "marker"], "left_anti"))
+    names, reach = peaks.columns, max(min_distance - 1, 0)
+    open_peaks, kept, shift = peaks.withColumn("state", F.lit(_OPEN)), peaks.limit(0), 0
+    while True:
+        solved = cut_lineage(_settled_peaks(open_peaks, by, reach, shift))
+        won = solved.filter(F.col("state") == _WON).select(names)
         kept = kept.unionByName(won)
-        covered = join_large(near, won.select(*by, "marker"), [*by, "marker"]).select(*by, F.col("other").alias("marker"))
-        open_peaks = cut_lineage(
-            join_large(open_peaks, covered.unionByName(won.select(*by, "marker")), [*by, "marker"], "left_anti")
-        )
-    return kept
-
-
-def _near_peaks(peaks: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Ordered pairs of different peaks closer than ``distance`` on both axes, by cells of that side."""
-    cell = lambda axis: F.floor(F.col(axis) / distance)
-    a = peaks.select(*by, "x", "y", "marker", "value").withColumns({"cx": cell("x"), "cy": cell("y")})
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    b = peaks.select(*by, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("marker").alias("other"), cell("x").alias("bx"), cell("y").alias("by_"))
-    b = b.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    b = b.select(*by, "ox", "oy", "other", (F.col("bx") + F.col("dx")).alias("cx"), (F.col("by_") + F.col("dy")).alias("cy"))
-    pairs = join_large(a, b, [*by, "cx", "cy"]).filter("marker <> other")
-    close = (F.abs(F.col("x") - F.col("ox")) < distance) & (F.abs(F.col("y") - F.col("oy")) < distance)
-    return pairs.filter(close).select(*by, "marker", "value", "other")
+        left = solved.filter(F.col("state") == _OPEN)
+        if left.isEmpty():
+            return kept
+        edge = F.lit(False)
+        for axis in ("x", "y"):
+            place = F.pmod(F.col(axis) - shift, F.lit(TILE))
+            edge = edge | (place < reach) | (place >= TILE - reach)
+        open_peaks = left.unionByName(won.filter(edge).withColumn("state", F.lit(_KNOWN)))
+        shift = TILE // 2 - shift
 
 
-_NONE = 2**62  # marker of a pixel no flood has reached
+_OPEN, _WON, _KNOWN = 0, 1, 2  # a peak to decide, one just kept, one kept before that others have to give way to
 
 
-def _flood_tile(tile: pd.DataFrame) -> pd.DataFrame:
-    """Settle one tile with its rim fixed. A pixel follows the neighbour with the least (level, hops, marker)."""
-    x, y = tile["x"].to_numpy(), tile["y"].to_numpy()
-    x0, y0 = x.min() - 1, y.min() - 1
-    shape = (y.max() - y0 + 2, x.max() - x0 + 2)
+def _settled_peaks(peaks: DataFrame, by: list[str], reach: int, shift: int) -> DataFrame:
+    """One round: the peaks of every block that are kept now or still open, by ``state``."""
+    group = [*by, "bx", "by_"]
+    rows = peaks.withColumn("level", F.col("value").cast("double"))
+    schema = peaks.schema
+    names = [c for c in schema.names if c != "state"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, group):
+            value, marker, state, home = (table.column(c).to_numpy() for c in ("level", "marker", "state", "home"))
+            out = np.full(table.num_rows, -1, np.int32)
+            for at, cells, shape in _grids(table, starts):
+                rank = np.empty(len(at), np.int64)
+                strength = np.where(np.isnan(value[at]), np.inf, value[at])
+                rank[np.lexsort((marker[at], -strength, ~np.isnan(value[at])))] = np.arange(len(at))
+                last, open_ = len(at), state[at] == _OPEN
+                order = np.full(shape, last)
+                flat = order.reshape(-1)
+                np.minimum.at(flat, cells[open_], rank[open_])
+                own, won = np.zeros(shape, bool), np.zeros(shape, bool)
+                own.reshape(-1)[cells[home[at]]] = True
+                new = np.zeros(shape, bool)
+                new.reshape(-1)[cells[~open_]] = True
+                while True:
+                    order[_slide(new, reach, reach, np.logical_or)] = last  # what a kept peak covers is open no more
+                    new = (order < last) & own & (order == _slide(order, reach, reach, np.minimum))
+                    if not new.any():
+                        break
+                    won |= new
+                mine = open_ & home[at]
+                out[at] = np.where(mine & won.reshape(-1)[cells], _WON, np.where(mine & (flat[cells] < last), _OPEN, -1))
+            some = pa.array(out >= 0)
+            columns = [c.combine_chunks() for c in table.select(names).filter(some).columns]
+            yield pa.record_batch([*columns, pa.array(out[out >= 0])], schema.names)
+
+    return _near_blocks(rows, by, reach, shift).mapInArrow(run, schema)
 
-    def grid(values, fill, kind):
-        out = np.full(shape, fill, dtype=kind)
-        out[y - y0, x - x0] = values
-        return out
 
-    cost = grid(tile["cost"], np.inf, float)
-    level, hops, marker = grid(tile["level"], np.inf, float), grid(tile["hops"], 0, "int64"), grid(tile["marker"], _NONE, "int64")
-    # rim pixels and seeds keep their state
-    free = grid(tile["own"].to_numpy() & (tile["seed"].to_numpy() == _NONE), False, bool)
+_NONE = 2**62  # marker of a pixel no flood has reached
+_BITS = 62  # of a level, a number of steps and a marker as one number
+
+
+def _flood(level: np.ndarray, hops: np.ndarray, marker: np.ndarray, cost: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Settle tiles with their rims fixed, arrays over tiles, lines and columns. A free pixel follows the neighbour with
+    the least (level, hops, marker). The three are one number each, so the least of neighbours is one step; None when
+    these tiles have too many levels and markers for that."""
+    known = marker != _NONE
+    levels, at = np.unique(np.concatenate([level[known], cost[free]]), return_inverse=True)
+    markers, names = np.unique(marker[known], return_inverse=True)
+    if not len(markers):
+        return level, hops, marker
+    low = len(markers).bit_length()
+    high = low + (int(hops[known].max()) + marker[0].size + 2).bit_length()
+    if high + len(levels).bit_length() > _BITS:
+        return None
+    none = np.int64(1) << _BITS
+    key, cost_ = np.full(level.shape, none), np.zeros(level.shape, np.int64)
+    key[known] = (at[: known.sum()].astype(np.int64) << high) | (hops[known].astype(np.int64) << low) | names
+    cost_[free] = at[known.sum() :]
+    some, inner = np.arange(len(key)), np.s_[:, 1:-1, 1:-1]
+    now, step, kept = key, np.int64(1) << low, np.int64((1 << low) - 1)
+    costs, open_ = cost_[inner], free[inner]
     while True:
-        best = None
-        for sy, sx in ((1, 0), (-1, 0), (0, 1), (0, -1)):
-            cand = [np.roll(a, (sy, sx), (0, 1)) for a in (level, hops, marker)]
-            if best is None:
-                best = cand
-                continue
-            less = (cand[0] < best[0]) | ((cand[0] == best[0]) & ((cand[1] < best[1]) | ((cand[1] == best[1]) & (cand[2] < best[2]))))
-            best = [np.where(less, c, b) for c, b in zip(cand, best)]
-        new_level = np.maximum(cost, best[0])
-        new_hops = np.where(new_level == best[0], best[1] + 1, 1)
-        reached = free & np.isfinite(best[0])
-        new = [np.where(reached, a, b) for a, b in ((new_level, level), (new_hops, hops), (best[2], marker))]
-        same = all(np.array_equal(a, b) for a, b in zip(new, (level, hops, marker)))
-        level, hops, marker = new
-        if same:
+        best = np.minimum(np.minimum(now[:, :-2, 1:-1], now[:, 2:, 1:-1]), np.minimum(now[:, 1:-1, :-2], now[:, 1:-1, 2:]))
+        new = np.where(costs > best >> high, (costs << high) | step | (best & kept), best + step)
+        new = np.where(open_ & (best < none), new, now[inner])
+        moved = (new != now[inner]).any(axis=(1, 2))
+        now[inner] = new
+        if not moved.any():
             break
-    own = tile["own"].to_numpy()
-    old = tile.loc[own, ["level", "hops", "marker"]].to_numpy()
-    out = tile[own].assign(level=level[y - y0, x - x0][own], hops=hops[y - y0, x - x0][own], marker=marker[y - y0, x - x0][own])
-    out["changed"] = (old != out[["level", "hops", "marker"]].to_numpy()).any(axis=1)
-    return out
+        if 2 * moved.sum() < len(moved):  # tiles that stand still are done
+            key[some] = now
+            some, now, costs, open_ = some[moved], now[moved], costs[moved], open_[moved]
+    key[some] = now
+    got = key < none
+    out = [np.full(level.shape, np.inf), np.zeros(level.shape, np.int64), np.full(level.shape, _NONE)]
+    out[0][got], out[1][got], out[2][got] = levels[key[got] >> high], (key[got] & ((np.int64(1) << high) - 1)) >> low, markers[key[got] & kept]
+    return out[0], out[1], out[2]
+
+
+_STATE = ("level", "hops", "marker")
+
+
+def _flood_tiles(cells: dict[str, np.ndarray], active: np.ndarray) -> None:
+    """Settle the active ones of many tiles in place. ``cells`` has a row a pixel, by tile: ``tile`` its number, ``x, y`` in
+    the tile with its rim, ``own``, ``cost``, ``seed`` whether it starts a flood, and the state."""
+    todo = np.flatnonzero(active[cells["tile"]])
+    if not len(todo):
+        return
+    tile, x, y = (cells[c][todo] for c in ("tile", "x", "y"))
+    starts = np.flatnonzero(np.diff(tile, prepend=-1))
+    ends = [(np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)) for v in (x, y)]
+    (left, wide), (top, high) = ((low - 1, high - low + 3) for low, high in ends)
+    parts = list(_alike(high, wide))
+    while parts:
+        some = parts.pop()
+        at, no = _members(starts, len(todo), some)
+        rows, shape = todo[at], (len(some), int(high[some].max()), int(wide[some].max()))
+        place = (no, y[at] - top[some][no], x[at] - left[some][no])
+
+        def grid(values: np.ndarray, fill, kind) -> np.ndarray:
+            out = np.full(shape, fill, kind)
+            out[place] = values
+            return out
+
+        # rims and seeds keep their state
+        free = grid(cells["own"][rows] & ~cells["seed"][rows], False, bool)
+        done = _flood(grid(cells["level"][rows], np.inf, float), grid(cells["hops"][rows], 0, np.int64), grid(cells["marker"][rows], _NONE, np.int64),
+                      grid(cells["cost"][rows], np.inf, float), free)
+        if done is None:
+            if len(some) == 1:
+                raise ValueError("a tile has too many levels and markers for one number")
+            parts += [some[: len(some) // 2], some[len(some) // 2 :]]
+            continue
+        own = cells["own"][rows]
+        for c, values in zip(_STATE, done):
+            cells[c][rows[own]] = values[place][own]
 
 
 def seeded_regions(pixels: DataFrame, markers: DataFrame, by: Sequence[str] = ("image_id",), tile: int = TILE) -> DataFrame:
@@ -290,38 +420,72 @@ def seeded_regions(pixels: DataFrame, markers: DataFrame, by: Sequence[str] = ("
     A pixel is reached at the lowest level (largest cost on the way, at best), after the fewest steps on that
     level, from the smallest marker. Tiles settle on their own with the rim of their neighbours fixed and
     exchange rims until no rim changes, so a flood may cross any number of tiles and no task holds more
-    than one. Pixels no marker reaches are left out.
+    than some. After the first round a tile is one row, and only tiles whose rim has changed are settled again.
+    Pixels no marker reaches are left out.
     """
     by = list(by)
-    rows = join_large(pixels, markers.select(*by, "x", "y", F.col("marker").alias("seed")), [*by, "x", "y"], "left")
-    none, start = F.lit(_NONE), F.col("seed").isNotNull()
+    rows = _placed(pixels, ()).filter(~F.isnan(F.col("value").cast("double")))
+    rows = join_large(rows, markers.select(*by, "x", "y", F.col("marker").alias("seed")), [*by, "x", "y"], "left")
     rows = rows.select(
-        *by, "x", "y", (-F.col("value")).alias("cost"), F.coalesce("seed", none).alias("seed"),
-        F.when(start, -F.col("value")).otherwise(F.lit(float("inf"))).alias("level"), F.lit(0).cast("bigint").alias("hops"),
-        F.coalesce("seed", none).alias("marker"),
+        *by, "x", "y", (-F.col("value")).cast("double").alias("cost"), F.col("seed").cast("bigint").alias("seed"),
+        F.floor(F.col("x") / tile).cast("int").alias("tx"), F.floor(F.col("y") / tile).cast("int").alias("ty"),
     )
-    rows = rows.withColumns({
-        "tx": F.floor(F.col("x") / tile).cast("int"), "ty": F.floor(F.col("y") / tile).cast("int"), "changed": F.lit(True),
-    })
-    rows = cut_lineage(rows)
-    schema = T.StructType([f for f in rows.withColumn("own", F.lit(True)).schema])
-    columns = [f.name for f in schema]
-    while True:
-        rim = F.array_compact(F.array(
-            F.when(F.col("x") % tile == 0, F.struct(F.lit(-1).alias("dx"), F.lit(0).alias("dy"))),
-            F.when(F.col("x") % tile == tile - 1, F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy"))),
-            F.when(F.col("y") % tile == 0, F.struct(F.lit(0).alias("dx"), F.lit(-1).alias("dy"))),
-            F.when(F.col("y") % tile == tile - 1, F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy"))),
-        ))
-        lent = rows.withColumn("r", F.explode(rim)).withColumns(
-            {"tx": F.col("tx") + F.col("r.dx"), "ty": F.col("ty") + F.col("r.dy"), "own": F.lit(False)}
-        ).drop("r")
-        both = rows.withColumn("own", F.lit(True)).unionByName(lent).select(columns)
-        solved = both.groupBy(*by, "tx", "ty").applyInPandas(lambda pdf: _flood_tile(pdf)[columns], schema)
-        rows = cut_lineage(solved.drop("own"))
-        on_rim = (F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)
-        if rows.filter(F.col("changed") & on_rim).isEmpty():
-            return rows.filter(F.col("marker") != none).select(*by, "x", "y", F.col("marker").alias("region"))
+    group, reach = [*by, "tx", "ty"], tile + 2
+    lists = {"cells": T.IntegerType(), "cost": T.DoubleType(), "seed": T.BooleanType(), "level": T.DoubleType(), "hops": T.LongType(), "marker": T.LongType()}
+    schema = T.StructType([rows.schema[c] for c in group] + [T.StructField("own", T.BooleanType()), T.StructField("moved", T.BooleanType())]
+                          + [T.StructField(c, T.ArrayType(t)) for c, t in lists.items()])
+
+    def tiles(keys: pa.Table, cells: dict[str, np.ndarray], before: dict[str, np.ndarray] | None, number: int) -> Iterator[pa.RecordBatch]:
+        """A row a tile with its own pixels and, for each neighbour, one with what it sees of them."""
+        own = np.flatnonzero(cells["own"])
+        tile_, x, y = (cells[c][own] for c in ("tile", "x", "y"))
+        reached = cells["marker"][own] != _NONE
+        changed = reached if before is None else np.any([cells[c][own] != before[c][own] for c in _STATE], axis=0)
+        for dx, dy, edge in ((0, 0, None), (-1, 0, x == 1), (1, 0, x == tile), (0, -1, y == 1), (0, 1, y == tile)):
+            seen = np.arange(len(own)) if edge is None else np.flatnonzero(edge & reached)
+            sizes = np.bincount(tile_[seen], minlength=number)
+            some = np.flatnonzero(sizes)
+            if not len(some):
+                continue
+            moved = np.bincount(tile_[seen], changed[seen], number)[some] > 0
+            at = [c.combine_chunks() for c in keys.take(pa.array(some)).columns]
+            at[-2:] = [pa.array((at[i].to_numpy() + d).astype(np.int32)) for i, d in ((-2, dx), (-1, dy))]
+            code = (y[seen] - dy * tile) * reach + x[seen] - dx * tile
+            values = [code.astype(np.int32), *(cells[c][own[seen]] for c in ("cost", "seed", *_STATE))]
+            offsets = pa.array(np.append(0, np.cumsum(sizes[some])).astype(np.int32))
+            yield pa.record_batch([*at, pa.array(np.full(len(some), edge is None)), pa.array(moved & (edge is not None)),
+                                   *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values)], schema.names)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, group):
+            seed = table.column("seed")
+            start = seed.is_valid().to_numpy()
+            cost = table.column("cost").to_numpy()
+            cells = {c: table.column(c).to_numpy().astype(np.int64) - table.column(f"t{c}").to_numpy().astype(np.int64) * tile + 1 for c in ("x", "y")}
+            cells |= {"tile": np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows))), "own": np.ones(len(cost), bool), "cost": cost, "seed": start,
+                      "level": np.where(start, cost, np.inf), "hops": np.zeros(len(cost), np.int64), "marker": seed.fill_null(_NONE).to_numpy().copy()}
+            _flood_tiles(cells, np.ones(len(starts), bool))
+            yield from tiles(table.select(group).take(pa.array(starts)), cells, None, len(starts))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, group):
+            number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+            own, moved = (table.column(c).to_numpy() for c in ("own", "moved"))
+            sizes = pc.list_value_length(table.column("cells")).to_numpy()
+            flat = {c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).copy() for c in lists}
+            cells = {"tile": np.repeat(number, sizes), "own": np.repeat(own, sizes), "x": flat["cells"].astype(np.int64) % reach, "y": flat["cells"].astype(np.int64) // reach, **flat}
+            before = {c: flat[c].copy() for c in _STATE}
+            active = (np.bincount(number, moved, len(starts)) > 0) & (np.bincount(number, own, len(starts)) > 0)
+            _flood_tiles(cells, active)
+            yield from tiles(table.select(group).take(pa.array(starts)), cells, before, len(starts))
+
+    settled = cut_lineage(spread(rows, *group).sortWithinPartitions(*group).mapInArrow(first, schema))
+    while not settled.filter("moved").isEmpty():
+        settled = cut_lineage(spread(settled, *group).sortWithinPartitions(*group).mapInArrow(again, schema))
+    found = settled.filter("own").select(*group, F.inline(F.arrays_zip("cells", "marker"))).filter(F.col("marker") != _NONE)
+    place = lambda t, cell: (F.col(t).cast("bigint") * tile + cell - 1)
+    return found.select(*by, place("tx", F.col("cells") % reach).cast(rows.schema["x"].dataType).alias("x"),
+                        place("ty", F.floor(F.col("cells") / reach)).cast(rows.schema["y"].dataType).alias("y"), F.col("marker").alias("region"))
 
 
 def merge_small_regions(regions: DataFrame, sizes: DataFrame, min_size: float | DataFrame, radius: int) -> DataFrame:
