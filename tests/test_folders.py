@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from arborlake.plans import folders
 from arborlake.plans.create_patches import PatchParams
-from arborlake.sources import patches
+from arborlake.sources import geojson, patches
 from arborlake.sources.tiles import TILE_SCHEMA
 
 META = "image_id long, path string, width int, height int, a double, b double, c double, d double, e double, f double, epsg int"
@@ -84,3 +84,18 @@ def test_patches_are_scored_by_batches(spark):
     got = folders.evaluate_patches(table, lambda: lambda batch: batch * 9, 2, batch=4).first()
     assert got.batches == 1 and got.dice == pytest.approx((0 + 2 / 3 + 1 + 4 / 5) / 4)
     assert folders.evaluate_patches(table.filter(F.lit(False)), lambda: lambda batch: batch, 2).first().batches == 0
+
+
+NAMES = ["007", "7", "1e3", "2020-01-01", "a b+c%d", "\u00e4=\u00f6", "x:y"]
+
+
+def test_written_documents_go_by_the_names_of_their_folders(spark, tmp_path):
+    lines = spark.createDataFrame([(n, i, v) for n in NAMES for i, v in ((1, "]}"), (0, f"[{n}"))], "image string, line_no long, value string")
+    for part in (0, 1):
+        geojson.write_geojson(lines.filter((F.length("image") % 2) == part), f"{tmp_path}/out/run={part}", key="image")
+    got = {r.image: r.value for r in geojson.list_written(spark, f"{tmp_path}/out", "image").collect()}
+    assert got == {n: f"[{n}\n]}}\n" for n in NAMES}
+    listed = folders.predicted_images(spark, f"{tmp_path}/out")
+    assert sorted(r.image for r in listed.collect()) == sorted(NAMES)  # none is read as a number or a date
+    assert "PartitionFilters: []" in listed._jdf.queryExecution().toString()
+    assert not list(tmp_path.glob("out/run=*/image=*/.*.crc"))  # one file a document
